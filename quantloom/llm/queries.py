@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import bpe, sharding
 
-QUERIES = {"op6_sharding": sharding.op6_sharding}
+QUERIES = {
+    "op6_sharding": sharding.op6_sharding,
+    "op8_bpe": bpe.op8_bpe,
+}
 ORACLES: dict[str, str] = {}
