@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, sharding
+from . import bpe, packing, sharding
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op6_sharding": sharding.op6_sharding,
     "op8_bpe": bpe.op8_bpe,
 }
