@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, sharding
+from . import ann, bpe, chat, packing, sharding
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op3_chat": chat.op3_chat,
+    "op4_ann": ann.op4_ann,
     "op6_sharding": sharding.op6_sharding,
     "op8_bpe": bpe.op8_bpe,
 }
