@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, packing, sharding
+from . import ann, bpe, chat, packing, quality, sharding
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op3_chat": chat.op3_chat,
     "op4_ann": ann.op4_ann,
+    "op5_quality": quality.op5_quality,
     "op6_sharding": sharding.op6_sharding,
     "op8_bpe": bpe.op8_bpe,
 }
