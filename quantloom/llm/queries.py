@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, packing, quality, sharding
+from . import ann, bpe, chat, packing, quality, sharding, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_ann": ann.op4_ann,
     "op5_quality": quality.op5_quality,
     "op6_sharding": sharding.op6_sharding,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_bpe": bpe.op8_bpe,
 }
 ORACLES: dict[str, str] = {}
