@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, packing, quality, sharding, toxicity
+from . import ann, bpe, chat, neardup, packing, quality, sharding, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -12,5 +12,6 @@ QUERIES = {
     "op6_sharding": sharding.op6_sharding,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_bpe": bpe.op8_bpe,
+    "op10_neardup": neardup.op10_neardup,
 }
 ORACLES: dict[str, str] = {}

@@ -21,7 +21,7 @@ def usable(col: str) -> Column:
 
 def clean(vectors: DataFrame, key: str = "vec_id", col: str = "embedding") -> DataFrame:
     """key, v (doubles) and dim of the vectors that count."""
-    return vectors.where(usable(col)).select(F.col(key).cast("long").alias("id"), F.col(col).cast("array<double>").alias("v"), F.size(col).alias("dim"))
+    return vectors.where(F.col(key).isNotNull() & usable(col)).select(F.col(key).cast("long").alias("id"), F.col(col).cast("array<double>").alias("v"), F.size(col).alias("dim"))
 
 
 def matrix(col: pd.Series) -> np.ndarray:
