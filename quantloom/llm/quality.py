@@ -18,7 +18,7 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, fold, written
@@ -26,7 +26,7 @@ from .common import documents, fold, written
 FEATURES = 384  # random cosines
 WIDTH = 3.0  # of the Gaussian kernel, in standard deviations
 RIDGE = 1e-3  # times the number of rows
-FIT_ROWS = 400_000  # labelled rows used at most, by a hash of the id
+FIT_ROWS = 200_000  # labelled rows used at most, by a hash of the id; their ids and labels are broadcast (5 MB)
 FIT_PARTS = 16  # partitions that sum normal equations
 CALIBRATION_BINS = 2000
 THRESHOLD = 0.3
@@ -81,14 +81,21 @@ def statistics(texts: list[str]) -> np.ndarray:
     return out
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and x, the statistics of the text."""
+def with_statistics(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """doc_id, y and x, the statistics of the text, of the documents in ``marked`` (doc_id, y)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "x": list(statistics(b["text"].fillna("").tolist()).astype("f4"))})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "x": list(statistics(b["text"].fillna("").tolist()).astype("f4"))})
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInPandas(run, "doc_id long, x array<float>")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(F.broadcast(marked), "doc_id").mapInPandas(run, "doc_id long, y double, x array<float>")
+
+
+def bounded(labels: DataFrame, most: int, seed: int) -> DataFrame:
+    """doc_id and y of labelled documents, ``most`` of them in expectation at most, by a hash of the id."""
+    marked = labels.where("y is not null and doc_id is not null").groupBy("doc_id").agg(F.max("y").cast("double").alias("y"))
+    share = min(1.0, most / max(1, marked.count()))
+    return marked.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
 
 
 class Cosines:
@@ -149,13 +156,9 @@ class Model:
         return r if self.constant is not None else np.clip(np.interp(r, self.at, self.value), 0, 1)
 
 
-def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """A model from the statistics (doc_id, x) of the documents that ``labels`` (doc_id, y) marks."""
-    marked = labels.where("y is not null and doc_id is not null").groupBy("doc_id").agg(F.max("y").cast("double").alias("y"))
-    rows = stats.join(marked, "doc_id")
-    if rows.groupBy().agg(F.count("*").alias("n")).first()["n"] > fit_rows:
-        share = fit_rows / rows.count()
-        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+    """A model from the texts of the documents that ``labels`` (doc_id, y) marks."""
+    rows = with_statistics(docs, bounded(labels, fit_rows, 3))
     rows = written(rows.withColumn("later", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)) == 0), "labelled")
     dims = range(len(STATISTICS))
     got = rows.agg(F.count("*").alias("n"), F.avg("y").alias("y"), F.array(*[F.avg(F.col("x")[i]) for i in dims]).alias("mean"), F.array(*[F.stddev_pop(F.col("x")[i]) for i in dims]).alias("sd")).first()
@@ -181,15 +184,15 @@ def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     return model
 
 
-def scored(stats: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score."""
+def scorer(model: Model) -> Callable[[Column], Column]:
+    """The score as a function of the text column; other columns stay where they are."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = np.stack(list(b["x"])).astype("f8") if len(b) else np.zeros((0, len(STATISTICS)))
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": model.score(x)})
+    @F.pandas_udf("double")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for t in texts:
+            yield pd.Series(model.score(statistics(t.fillna("").tolist()).astype("f4").astype("f8")), dtype="f8")
 
-    return stats.mapInPandas(run, "doc_id long, score double")
+    return lambda text: score(text.cast("string"))
 
 
 def training_labels(spark: SparkSession, sf_dir: str, kind: str, parts: int, left_out: int) -> DataFrame:
@@ -197,13 +200,12 @@ def training_labels(spark: SparkSession, sf_dir: str, kind: str, parts: int, lef
     return labels.where(fold("doc_id", parts) != left_out).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(kind).alias("y"))
 
 
-def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, score: the probability of label 1."""
-    stats = written(with_statistics(docs), "statistics")
-    return scored(stats, fit(stats, labels))
+def quality(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name``: the probability of label 1."""
+    return docs.withColumn(name, scorer(fit(docs, labels))(F.col("text")))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of all documents."""
-    got = quality(documents(spark, sf_dir), training_labels(spark, sf_dir, "quality", FOLDS, HELD_OUT))
-    return got.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    got = quality(documents(spark, sf_dir).select("doc_id", "text"), training_labels(spark, sf_dir, "quality", FOLDS, HELD_OUT))
+    return got.select(F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

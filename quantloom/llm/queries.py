@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, neardup, packing, quality, sharding, toxicity
+from . import ann, bpe, chat, jaccard, neardup, packing, quality, sharding, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_jaccard": jaccard.op2_jaccard,
     "op3_chat": chat.op3_chat,
     "op4_ann": ann.op4_ann,
     "op5_quality": quality.op5_quality,

@@ -18,15 +18,15 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold, written
-from .quality import isotonic, training_labels
+from .common import documents, fold
+from .quality import bounded, isotonic, training_labels
 
 WINDOW, STRIDE = 32, 16  # words
 FIT_DOCUMENTS = 5000  # of either label, at most, by a hash of the id
@@ -43,6 +43,7 @@ THRESHOLD = 0.7
 NO_WORDS = -40.0  # the raw score of a text without words
 FOLDS, HELD_OUT = 3, 1
 BINS = 1000
+CALIBRATE = 100_000  # labelled documents that scores are calibrated on, at most
 
 WORDS = re.compile(r"[^\W\d_]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -326,6 +327,8 @@ _SCORERS: dict = {}  # the scorer of this worker process, and the model that it
 def sample_windows(docs: DataFrame, marked: DataFrame) -> pd.DataFrame:
     """doc, y and words of evenly spaced windows of a bounded sample of labelled documents."""
     counts = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return pd.DataFrame({"doc": [], "y": [], "words": []})
     share = "case " + " ".join(f"when y = {y} then {min(1.0, FIT_DOCUMENTS / max(1, n))}" for y, n in counts.items()) + " end"
     chosen = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < F.expr(f"({share}) * 1000000"))
 
@@ -344,36 +347,63 @@ def sample_windows(docs: DataFrame, marked: DataFrame) -> pd.DataFrame:
     return texts.join(F.broadcast(chosen), "doc_id").mapInPandas(run, "doc long, y int, words string").toPandas()  # 2 x FIT_DOCUMENTS x FIT_WINDOWS rows at most
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, score: the probability of label 1."""
-    spark = docs.sparkSession
+class Model:
+    """A network and the calibration of its raw scores; or a constant."""
+
+    def __init__(self, constant: float | None = None, parameters=None):
+        self.constant, self.parameters, self.token = constant, parameters, uuid.uuid4().hex
+        self.at, self.value = np.array([-6.0, 6.0]), np.array([0.0, 1.0])
+
+    def raw(self, texts: list[str]) -> np.ndarray:
+        if _SCORERS.get("of") != self.token:
+            _SCORERS.update(of=self.token, scorer=Scorer(self.parameters.value))
+        return _SCORERS["scorer"].raw(texts)
+
+    def score(self, texts: list[str]) -> np.ndarray:
+        if self.constant is not None:
+            return np.full(len(texts), self.constant)
+        return np.clip(np.interp(self.raw(texts), self.at, self.value), 0, 1)
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model from the texts of the documents that ``labels`` (doc_id, y) marks."""
     marked = labels.where("y is not null and doc_id is not null").groupBy("doc_id").agg(F.max("y").cast("int").alias("y"))
     later = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(4)) == 0
     got = sample_windows(docs, marked.where(~later)).sort_values(["doc", "words"], ignore_index=True)
     if got["y"].nunique() < 2:
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(float(got["y"].max()) if len(got) else 0.0).alias("score"))
+        return Model(constant=float(got["y"].max()) if len(got) else 0.0)
     net = fit_network([w.split(" ") for w in got["words"]], np.unique(got["doc"], return_inverse=True)[1], got["y"].to_numpy())
-    parameters, token = spark.sparkContext.broadcast(net.p), uuid.uuid4().hex  # 3 MB whatever the input
+    model = Model(parameters=docs.sparkSession.sparkContext.broadcast(net.p))  # 8 MB whatever the input
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if _SCORERS.get("of") != token:
-            _SCORERS.update(of=token, scorer=Scorer(parameters.value))
-        scorer = _SCORERS["scorer"]
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "raw": scorer.raw(b["text"].fillna("").tolist())})
+            yield pd.DataFrame({"raw": model.raw(b["text"].fillna("").tolist()), "y": b["y"]})
+
+    rest = bounded(labels.where(later), CALIBRATE, 29)
+    raw = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(F.broadcast(rest), "doc_id").mapInPandas(run, "raw double, y double")
+    bins = raw.groupBy(F.floor(F.greatest("raw", F.lit(-40.0)) * (BINS / 80)).alias("bin")).agg(F.avg("raw").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n")).collect()  # about BINS rows at most
+    if len(bins) > 1:
+        model.at, model.value = isotonic(*(np.array([b[k] for b in bins], "f8") for k in ("x", "y", "n")))
+    return model
+
+
+def scorer(model: Model) -> Callable[[Column], Column]:
+    """The score as a function of the text column; other columns stay where they are."""
+
+    @F.pandas_udf("double")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for t in texts:
+            yield pd.Series(model.score(t.fillna("").tolist()), dtype="f8")
+
+    return lambda text: score(text.cast("string"))
+
 
-    raw = written(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInPandas(run, "doc_id long, raw double"), "toxicity")
-    bins = raw.join(marked.where(later), "doc_id").groupBy(F.floor(F.greatest("raw", F.lit(-40.0)) * (BINS / 80)).alias("bin")).agg(F.avg("raw").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n")).collect()  # about BINS rows at most
-    if len(bins) < 2:
-        return raw.select("doc_id", (1 / (1 + F.exp(-F.col("raw")))).alias("score"))
-    x, y, w = (np.array([b[k] for b in bins], "f8") for k in ("x", "y", "n"))
-    at, value = isotonic(x, y, w)
-    at, value = np.r_[-50.0, at, 50.0].tolist(), np.r_[value[0], value, value[-1]].tolist()
-    steps = [f"when raw <= {b!r}D then {v!r}D + (raw - {a!r}D) * {(u - v) / max(b - a, 1e-9)!r}D" for a, b, v, u in zip(at, at[1:], value, value[1:], strict=False)]
-    return raw.select("doc_id", F.expr(f"least(1D, greatest(0D, case {' '.join(steps)} else {value[-1]!r}D end))").alias("score"))
+def toxicity(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name``: the probability of label 1."""
+    return docs.withColumn(name, scorer(fit(docs, labels))(F.col("text")))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity score of all documents."""
-    got = toxicity(documents(spark, sf_dir), training_labels(spark, sf_dir, "toxic", FOLDS, HELD_OUT))
-    return got.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    got = toxicity(documents(spark, sf_dir).select("doc_id", "text"), training_labels(spark, sf_dir, "toxic", FOLDS, HELD_OUT))
+    return got.select(F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
