@@ -39,6 +39,7 @@ CANDIDATES, DEGREE, ALPHA = 48, 16, 1.2
 BACK = 4  # of a node's links, the nearest also lead back to it, so that it can be reached
 BEAM, STEPS = 24, 12
 SLACK = 0.15  # of cosine, below the threshold, for nodes that are still expanded
+EXPANDED = 2_000_000  # neighbours looked at together
 AUDIT, TARGET = 256, 0.999
 
 
@@ -138,15 +139,17 @@ def search(q: np.ndarray, self_at: np.ndarray, u: np.ndarray, links: np.ndarray,
             hit = sims >= least - 1e-4
             found_q.append(at_q[hit] + lo)
             found_n.append(at_n[hit])
-            near = links[at_n]
-            go_q, go_n = np.repeat(at_q, near.shape[1]), near.ravel()
-            ok = go_n >= 0
-            go_q, go_n = go_q[ok], go_n[ok]
-            new = ~seen[go_q, go_n]
-            key = np.unique(go_q[new].astype("i8") * n + go_n[new])
+            keys, step = [], max(1, EXPANDED // links.shape[1])
+            for i in range(0, len(at_q), step):  # so many pairs at once that dense groups stay in memory
+                near = links[at_n[i : i + step]]
+                go_q, go_n = np.repeat(at_q[i : i + step], near.shape[1]), near.ravel()
+                new = (go_n >= 0) & ~seen[go_q, go_n]
+                key = np.unique(go_q[new].astype("i8") * n + go_n[new])
+                seen[key // n, key % n] = True
+                keys.append(key)
+            key = np.concatenate(keys) if keys else np.zeros(0, "i8")
             at_q, at_n = key // n, key % n
-            seen[at_q, at_n] = True
-            sims = np.einsum("kd,kd->k", part[at_q], v[at_n]) if len(key) < 2_000_000 else np.concatenate([np.einsum("kd,kd->k", part[at_q[i : i + 1_000_000]], v[at_n[i : i + 1_000_000]]) for i in range(0, len(key), 1_000_000)])
+            sims = np.concatenate([np.einsum("kd,kd->k", part[at_q[i : i + 100_000]], v[at_n[i : i + 100_000]]) for i in range(0, len(key), 100_000)] or [np.zeros(0, "f4")])
     once = np.unique(np.concatenate(found_q or [np.zeros(0, "i8")]).astype("i8") * n + np.concatenate(found_n or [np.zeros(0, "i8")]))
     return once // n, once % n
 
@@ -213,7 +216,7 @@ def link_pass(nodes: DataFrame, n: int, overlap: int, threshold: float) -> DataF
         q, node = search(units(m_q), local(q_ids), units(m_n), links, threshold)
         other = q_ids[q] != ids[node]
         q, node = q[other], node[other]
-        true = np.concatenate([exact(m_q[q[i : i + 200_000]], m_n[node[i : i + 200_000]]) >= threshold for i in range(0, len(q), 200_000)] or [np.zeros(0, bool)])
+        true = np.concatenate([exact(m_q[q[i : i + 50_000]], m_n[node[i : i + 50_000]]) >= threshold for i in range(0, len(q), 50_000)] or [np.zeros(0, bool)])
         q, node = q[true], node[true]
         home = int(left["shard"].iloc[0])
         shards_q, home_n = np.stack(list(left["shards"])), np.stack(list(right["shards"]))[:, 0]
@@ -259,7 +262,7 @@ def audit(nodes: DataFrame, links: DataFrame, threshold: float) -> float:
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id", col: str = "embedding", overlap: int = OVERLAP) -> DataFrame:
     """id, n_links, component of every id of ``vectors``."""
     spark = vectors.sparkSession
-    rows = written(clean(vectors, key, col).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64("v", F.lit(1))}), "vectors")
+    rows = written(clean(vectors, key, col).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")}), "vectors")
     equal = rows.groupBy("dim", "h1", "h2").agg(F.min("id").alias("node"), F.countDistinct("id").alias("copies"))
     member = written(rows.select("id", "dim", "h1", "h2").join(equal, ["dim", "h1", "h2"]).select("id", "node", "copies").distinct(), "member")
     nodes = rows.join(equal.select("dim", "h1", "h2", F.col("node").alias("id"), "copies"), ["dim", "h1", "h2", "id"]).dropDuplicates(["dim", "h1", "h2"])
