@@ -29,7 +29,7 @@ from .common import documents, fold
 from .quality import bounded, isotonic, training_labels
 
 WINDOW, STRIDE = 32, 16  # words
-FIT_DOCUMENTS = 5000  # of either label, at most, by a hash of the id
+FIT_DOCUMENTS = 2500  # of either label, at most, by a hash of the id
 FIT_WINDOWS = 12  # of each of those documents, evenly spaced
 EPOCHS, BATCH, RATE = 3, 256, 0.01
 STEPS = 1200  # at least, by more epochs
@@ -39,6 +39,7 @@ WORD_ROWS, CHAR_ROWS = 1 << 17, 1 << 17
 RARE = 3  # words and n-grams of fewer sampled documents keep a zero vector
 GRAMS = (3, 4, 5)
 CACHED_WORDS = 300_000
+PART = 20_000  # words whose n-grams are looked at together
 THRESHOLD = 0.7
 NO_WORDS = -40.0  # the raw score of a text without words
 FOLDS, HELD_OUT = 3, 1
@@ -84,6 +85,13 @@ def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word_rows, rows[order], np.searchsorted(owners[order], np.arange(len(raw)))
 
 
+def grams_of_all(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``grams_of``, a part of the words at a time."""
+    parts = [grams_of(words[i : i + PART]) for i in range(0, len(words), PART)]
+    shifts = np.cumsum([0, *(len(p[1]) for p in parts[:-1])])
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] + s for p, s in zip(parts, shifts, strict=True)])
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -108,28 +116,37 @@ class Network:
         word_rows, gram_rows, begins = grams
         n, label = doc.max() + 1, np.zeros(doc.max() + 1)
         label[doc] = y
-        seen = index >= 0
-        pairs = np.unique(np.repeat(doc, seen.sum(axis=1)).astype("i8") * len(word_rows) + index[seen])  # distinct (document, word)
-        docs, words = pairs // len(word_rows), pairs % len(word_rows)
         sizes = np.diff(np.r_[begins, len(gram_rows)])
-        starts = np.cumsum(sizes[words]) - sizes[words]
-        of_grams = gram_rows[np.repeat(begins[words] - starts, sizes[words]) + np.arange(sizes[words].sum())]
-        for name, rows, owners in (("word", word_rows[words], docs), ("char", of_grams, np.repeat(docs, sizes[words]))):
-            size = len(self.p[name])
-            both = np.unique(owners * size + rows)
-            hits = np.bincount(both % size, label[both // size], size)
-            total = np.bincount(both % size, minlength=size)
+        hits = {k: np.zeros(len(self.p[k])) for k in ("word", "char")}
+        total = {k: np.zeros(len(self.p[k])) for k in ("word", "char")}
+        order = np.argsort(doc, kind="stable")
+        ends = np.searchsorted(doc[order], np.arange(n), "right")
+        for lo in range(0, n, 200):  # documents
+            part = order[ends[lo - 1] if lo else 0 : ends[min(n, lo + 200) - 1]]
+            seen = index[part] >= 0
+            pairs = np.unique(np.repeat(doc[part], seen.sum(axis=1)).astype("i8") * len(word_rows) + index[part][seen])  # distinct (document, word)
+            docs, words = pairs // len(word_rows), pairs % len(word_rows)
+            starts = np.cumsum(sizes[words]) - sizes[words]
+            of_grams = gram_rows[np.repeat(begins[words] - starts, sizes[words]) + np.arange(sizes[words].sum())]
+            for name, rows, owners in (("word", word_rows[words], docs), ("char", of_grams, np.repeat(docs, sizes[words]))):
+                size = len(self.p[name])
+                both = np.unique(owners * size + rows)
+                hits[name] += np.bincount(both % size, label[both // size], size)
+                total[name] += np.bincount(both % size, minlength=size)
+        for name in hits:
             base = label.sum() / n
-            share = (hits + 4 * base) / (total + 4)
+            share = (hits[name] + 4 * base) / (total[name] + 4)
             odds = np.log(share / (1 - share)) - np.log(base / (1 - base))
             self.p[name][:, 0] = odds * 0.4
-            self.common[name] = total >= RARE
+            self.common[name] = total[name] >= RARE
             self.p[name][~self.common[name]] = 0
 
     def inputs(self, word_rows: np.ndarray, gram_rows: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Input vectors of distinct words, and their n-gram counts' roots."""
-        root = np.sqrt(np.diff(np.r_[begins, len(gram_rows)])).astype("f4")[:, None]
-        chars = np.tanh(np.add.reduceat(self.p["char"][gram_rows], begins) / root)
+        ends = np.r_[begins[1:], len(gram_rows)]
+        root = np.sqrt(ends - begins).astype("f4")[:, None]
+        parts = [slice(i, i + PART) for i in range(0, len(begins), PART)]
+        chars = np.tanh(np.concatenate([np.add.reduceat(self.p["char"][gram_rows[begins[x][0] : ends[x][-1]]], begins[x] - begins[x][0]) for x in parts]) / root)
         return np.hstack([self.p["word"][word_rows], chars]), root
 
     def recur(self, gates: np.ndarray, mask: np.ndarray, side: str, keep: list | None = None) -> np.ndarray:
@@ -237,7 +254,7 @@ def fit_network(windows: list[list[str]], doc: np.ndarray, y: np.ndarray, epochs
     index = np.full((len(windows), WINDOW), -1, "i4")
     for row, w in zip(index, windows, strict=True):
         row[: len(w)] = [vocabulary.setdefault(x, len(vocabulary)) for x in w]
-    grams = grams_of(list(vocabulary))
+    grams = grams_of_all(list(vocabulary))
     net, rng = Network(), np.random.default_rng(3)
     net.prime(index, doc, y, grams)
     epochs = max(epochs, -(-STEPS * BATCH // len(index)))
@@ -284,8 +301,8 @@ class Scorer:
                 bigger = np.zeros((2 * (at + len(new)), 6 * HIDDEN), "f4")
                 bigger[:at] = self.table[:at]
                 self.table = bigger
-            for i in range(0, len(new), 20_000):
-                part = new[i : i + 20_000]
+            for i in range(0, len(new), PART):
+                part = new[i : i + PART]
                 self.table[at + i : at + i + len(part)] = self.net.gate_table(self.net.inputs(*grams_of(part))[0])
         return list(map(self.known.__getitem__, words))
 
