@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, jaccard, neardup, packing, quality, sharding, toxicity
+from . import ann, bpe, chat, jaccard, lm, neardup, packing, quality, sharding, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_sharding": sharding.op6_sharding,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_bpe": bpe.op8_bpe,
+    "op9_lm": lm.op9_lm,
     "op10_neardup": neardup.op10_neardup,
 }
 ORACLES: dict[str, str] = {}
