@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_TICKER = Window.partitionBy("ticker").orderBy("date_idx")
-BY_DATE = Window.partitionBy("trade_date")
+
+def by_ticker() -> WindowSpec:
+    """A ticker's dates in order. Windows and columns are made on call: importing needs no session."""
+    return Window.partitionBy("ticker").orderBy("date_idx")
+
+
+def by_date() -> WindowSpec:
+    """The cross-section of a date."""
+    return Window.partitionBy("trade_date")
 
 
 def col(x: str | Column) -> Column:
@@ -32,11 +39,11 @@ def r6(x: str | Column) -> Column:
 
 def lag(x: str | Column, n: int = 1) -> Column:
     """The value n dates back; negative n looks forward."""
-    return F.lag(col(x), n).over(BY_TICKER) if n >= 0 else F.lead(col(x), -n).over(BY_TICKER)
+    return F.lag(col(x), n).over(by_ticker()) if n >= 0 else F.lead(col(x), -n).over(by_ticker())
 
 
 def rows(n: int):
-    return BY_TICKER.rowsBetween(-(n - 1), 0)
+    return by_ticker().rowsBetween(-(n - 1), 0)
 
 
 def rolling(agg: Callable[[Column], Column], x: str | Column, n: int, least: int | None = None) -> Column:
@@ -58,11 +65,11 @@ def ew_kernel(x: str | Column, n: int, half_life: float) -> Column:
 
 
 def ffill(x: str | Column) -> Column:
-    return F.last(col(x), ignorenulls=True).over(BY_TICKER.rowsBetween(Window.unboundedPreceding, 0))
+    return F.last(col(x), ignorenulls=True).over(by_ticker().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def bfill(x: str | Column) -> Column:
-    return F.first(col(x), ignorenulls=True).over(BY_TICKER.rowsBetween(0, Window.unboundedFollowing))
+    return F.first(col(x), ignorenulls=True).over(by_ticker().rowsBetween(0, Window.unboundedFollowing))
 
 
 def rank_first(x: str, descending: bool = False, by: str = "trade_date") -> Column:
@@ -98,7 +105,8 @@ def weighted_mean(x: str | Column, w: str | Column, over=None) -> Column:
     return div(top.over(over), low.over(over)) if over is not None else div(top, low)
 
 
-def zscore(x: str, over=BY_DATE) -> Column:
+def zscore(x: str, over: WindowSpec | None = None) -> Column:
+    over = over or by_date()
     return div(F.col(x) - F.avg(x).over(over), F.stddev(x).over(over))
 
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import BY_DATE, div
+from ..functions.expr import by_date, div
 
 
 def active(panel: DataFrame, holding: str, bench: str) -> DataFrame:
     """Adds w and wb, both summing to 1 on a date, and their difference wa."""
-    share = {n: F.coalesce(div(c, F.sum(c).over(BY_DATE)), F.lit(0.0)) for n, c in (("w", holding), ("wb", bench))}
+    share = {n: F.coalesce(div(c, F.sum(c).over(by_date())), F.lit(0.0)) for n, c in (("w", holding), ("wb", bench))}
     return panel.withColumns(share).withColumn("wa", F.col("w") - F.col("wb"))
 
 

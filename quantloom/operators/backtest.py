@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import BY_TICKER, corr, div, lag, rank_avg, rank_first, rows
+from ..functions.expr import by_ticker, corr, div, lag, rank_avg, rank_first, rows
 
 DAYS = 252
 
@@ -39,7 +39,7 @@ def ic_decay(panel: DataFrame, factor: str, ret: str, length: int) -> DataFrame:
     """Mean correlation with the sum of the returns 2..i+1 dates ahead, for each i; null for i = 0."""
     ahead = panel
     for i in range(1, length):
-        w = BY_TICKER.rowsBetween(2, i + 1)
+        w = by_ticker().rowsBetween(2, i + 1)
         ahead = ahead.withColumn(f"s{i}", F.when(F.count(ret).over(w) == i, F.sum(ret).over(w)))
     per_date = ahead.groupBy("trade_date").agg(*[corr(factor, f"s{i}").alias(f"c{i}") for i in range(1, length)])
     wide = per_date.agg(F.lit(None).cast("double").alias("c0"), *[F.avg(f"c{i}").alias(f"c{i}") for i in range(1, length)])

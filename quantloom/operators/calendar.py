@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_DATE = Window.orderBy("trade_date")
+
+def in_order() -> WindowSpec:
+    """All dates; calendars have a row per date."""
+    return Window.orderBy("trade_date")
 
 
 def neighbours(cal: DataFrame) -> DataFrame:
     """Each date with the next and the previous one (null at the ends)."""
-    return cal.withColumns({"next_date": F.lead("trade_date").over(BY_DATE), "prev_date": F.lag("trade_date").over(BY_DATE)})
+    return cal.withColumns({"next_date": F.lead("trade_date").over(in_order()), "prev_date": F.lag("trade_date").over(in_order())})
 
 
 def nth_previous(cal: DataFrame, n: int) -> DataFrame:

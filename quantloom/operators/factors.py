@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import BY_DATE, BY_TICKER, clip, div, ew_kernel, lag, masked, pair, rank_avg, rolling, weighted_mean, zscore
+from ..functions.expr import by_date, by_ticker, clip, div, ew_kernel, lag, masked, pair, rank_avg, rolling, weighted_mean, zscore
 
 FACTORS: dict[str, tuple[Callable[..., Column], list[tuple]]] = {}
 
@@ -84,7 +84,7 @@ def industry_momentum(panel: DataFrame, n: int) -> DataFrame:
 def nonlinear_size(panel: DataFrame) -> DataFrame:
     """ln(cap)^3 less its projection on ln(cap): covariance by n - 1, variance by n."""
     s = F.when(F.col("cap") > 0, F.ln("cap"))
-    beta = div(F.covar_samp(s * s * s, s).over(BY_DATE), F.var_pop(s).over(BY_DATE))
+    beta = div(F.covar_samp(s * s * s, s).over(by_date()), F.var_pop(s).over(by_date()))
     return panel.select("ticker", "trade_date", "date_idx", (s * s * s - beta * s).alias("value"))
 
 
@@ -100,7 +100,7 @@ def capm(panel: DataFrame, n: int = 252, least: int = 50) -> DataFrame:
     """
     both = panel.join(F.broadcast(market(panel)), "trade_date")  # a row per date
     x, m = pair(F.col("ret"), F.col("mkt"))
-    w = BY_TICKER.rowsBetween(-n, -1)
+    w = by_ticker().rowsBetween(-n, -1)
     enough = F.count(x).over(w) >= least
     beta = F.when(enough, div(F.covar_samp(x, m).over(w), F.var_pop(x).over(w)))
     var = F.var_pop(m).over(w) + beta * beta * F.var_pop(x).over(w) - 2 * beta * F.covar_pop(x, m).over(w)
@@ -109,10 +109,10 @@ def capm(panel: DataFrame, n: int = 252, least: int = 50) -> DataFrame:
 
 def trimmed_normal(panel: DataFrame, x: str, lo: float = 0.01, hi: float = 0.99, weight: str | None = "cap") -> DataFrame:
     """Lagged by one date, cut to the quantile band, and standardised around the (cap-weighted) mean."""
-    p = panel.withColumn("x", lag(x)).withColumn("q", F.percentile("x", [lo, hi]).over(BY_DATE))
+    p = panel.withColumn("x", lag(x)).withColumn("q", F.percentile("x", [lo, hi]).over(by_date()))
     p = p.withColumn("x", F.when(F.col("x").between(F.col("q")[0], F.col("q")[1]), F.col("x")))
-    mean = weighted_mean("x", weight, BY_DATE) if weight else F.avg("x").over(BY_DATE)
-    return p.select("ticker", "trade_date", "date_idx", div(F.col("x") - mean, F.stddev("x").over(BY_DATE)).alias("value"))
+    mean = weighted_mean("x", weight, by_date()) if weight else F.avg("x").over(by_date())
+    return p.select("ticker", "trade_date", "date_idx", div(F.col("x") - mean, F.stddev("x").over(by_date())).alias("value"))
 
 
 def merged(panel: DataFrame, parts: list[str], weight: str = "cap") -> DataFrame:
@@ -120,27 +120,27 @@ def merged(panel: DataFrame, parts: list[str], weight: str = "cap") -> DataFrame
     n = sum(F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in parts)
     total = sum(F.coalesce(F.col(c), F.lit(0.0)) for c in parts)
     p = panel.withColumn("x", F.try_divide(total, F.when(n > 0, n)))
-    return p.select("ticker", "trade_date", "date_idx", div(F.col("x") - weighted_mean("x", weight, BY_DATE), F.stddev("x").over(BY_DATE)).alias("value"))
+    return p.select("ticker", "trade_date", "date_idx", div(F.col("x") - weighted_mean("x", weight, by_date()), F.stddev("x").over(by_date())).alias("value"))
 
 
 def for_regression(panel: DataFrame, x: str) -> DataFrame:
     """Null outside the 5 % and 95 % quantiles, standardised, nulls as 0."""
-    p = panel.withColumn("q", F.percentile(x, [0.05, 0.95]).over(BY_DATE)).withColumn("x", F.when(F.col(x).between(F.col("q")[0], F.col("q")[1]), F.col(x)))
+    p = panel.withColumn("q", F.percentile(x, [0.05, 0.95]).over(by_date())).withColumn("x", F.when(F.col(x).between(F.col("q")[0], F.col("q")[1]), F.col(x)))
     return p.select("ticker", "trade_date", "date_idx", F.coalesce(zscore("x"), F.lit(0.0)).alias("value"))
 
 
 def winsorize(panel: DataFrame, x: str, how: str, k: float = 3.0, q: float = 0.05) -> DataFrame:
     """Clipped to quantiles, to k deviations around the median, or to k x 1.483 mean absolute deviations around it."""
-    med = F.median(x).over(BY_DATE)
+    med = F.median(x).over(by_date())
     if how == "quantile":
-        p = panel.withColumn("q", F.percentile(x, [q, 1 - q]).over(BY_DATE))
+        p = panel.withColumn("q", F.percentile(x, [q, 1 - q]).over(by_date()))
         lo, hi = F.col("q")[0], F.col("q")[1]
     elif how == "sigma":
-        p, wide = panel, k * F.stddev(x).over(BY_DATE)
+        p, wide = panel, k * F.stddev(x).over(by_date())
         lo, hi = med - wide, med + wide
     else:
-        p = panel.withColumn("off", F.abs(F.col(x) - F.avg(x).over(BY_DATE)))
-        wide = k * 1.483 * F.avg("off").over(BY_DATE)
+        p = panel.withColumn("off", F.abs(F.col(x) - F.avg(x).over(by_date())))
+        wide = k * 1.483 * F.avg("off").over(by_date())
         lo, hi = med - wide, med + wide
     return p.withColumns({"lo": lo, "hi": hi}).select("ticker", "trade_date", "date_idx", clip(F.col(x), F.col("lo"), F.col("hi")).alias("value"))
 
@@ -155,8 +155,8 @@ def neutralize(panel: DataFrame, x: str, by: str = "cap", group: str = "industry
     """Residual of x on ln(cap) per date, then standardised inside each industry."""
     s = F.when(F.col(by) > 0, F.ln(by))
     a, b = pair(F.col(x), s)
-    slope = div(F.covar_pop(a, b).over(BY_DATE), F.var_pop(b).over(BY_DATE))
-    p = panel.withColumn("res", a - F.avg(a).over(BY_DATE) - slope * (b - F.avg(b).over(BY_DATE)))
+    slope = div(F.covar_pop(a, b).over(by_date()), F.var_pop(b).over(by_date()))
+    p = panel.withColumn("res", a - F.avg(a).over(by_date()) - slope * (b - F.avg(b).over(by_date())))
     return p.select("ticker", "trade_date", "date_idx", zscore("res", Window.partitionBy("trade_date", group)).alias("value"))
 
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import BY_DATE, BY_TICKER, bfill, div, lag, rows
+from ..functions.expr import by_date, by_ticker, bfill, div, lag, rows
 
 
 def index_weights(panel: DataFrame, group: str = "region", value: str = "value") -> DataFrame:
     """Constituent weights in percent: shares of the group's value on the date."""
-    return panel.where(F.col(value).isNotNull()).select(F.col(group).cast("string").alias("index_code"), "ticker", "trade_date", (100 * div(value, F.sum(value).over(BY_DATE.partitionBy("trade_date", group)))).alias("weight"))
+    return panel.where(F.col(value).isNotNull()).select(F.col(group).cast("string").alias("index_code"), "ticker", "trade_date", (100 * div(value, F.sum(value).over(by_date().partitionBy("trade_date", group)))).alias("weight"))
 
 
 def members(weights: DataFrame, codes: list[str]) -> DataFrame:
@@ -24,7 +24,7 @@ def restrict(panel: DataFrame, mask: DataFrame) -> DataFrame:
 
 def listed(days: int = 60, price: str = "close") -> Column:
     """After the ``days``-th date that follows the first one with a price."""
-    first = F.min(F.when(F.col(price).isNotNull(), F.col("date_idx"))).over(BY_TICKER.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    first = F.min(F.when(F.col(price).isNotNull(), F.col("date_idx"))).over(by_ticker().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return F.col("date_idx") > first + days
 
 

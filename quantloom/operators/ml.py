@@ -9,14 +9,14 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import BY_DATE, clip, corr, div, lag, rank_avg
+from ..functions.expr import by_date, clip, corr, div, lag, rank_avg
 
 
 def samples(panel: DataFrame, features: list[str], lags: int = 1) -> tuple[DataFrame, list[str]]:
     """ticker, trade_date, features with their lags, and y: the forward return less its date's mean."""
     cols = {f"{f}_{k}": lag(f, k) for f in features for k in range(lags)}
     p = panel.withColumns(cols).withColumn("y0", div(lag("vwap", -2), lag("vwap", -1)) - 1)
-    return p.withColumn("y", F.col("y0") - F.avg("y0").over(BY_DATE)).select("ticker", "trade_date", "date_idx", *cols, "y"), list(cols)
+    return p.withColumn("y", F.col("y0") - F.avg("y0").over(by_date())).select("ticker", "trade_date", "date_idx", *cols, "y"), list(cols)
 
 
 def winsorize_features(panel: DataFrame, features: list[str], train_end: int) -> DataFrame:

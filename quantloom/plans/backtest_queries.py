@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import BY_DATE, BY_TICKER, div, r6, rolling
+from ..functions.expr import by_date, by_ticker, div, r6, rolling
 from ..operators import attribution as A
 from ..operators import backtest as B
 from ..operators import factors as X
@@ -156,7 +156,7 @@ def lag_grid(spark, sf):
 
 @query("holding_stats", f"with s as (select *, lag(turnover) over w as t1, {roll('avg({})', 'turnover', 5)} as t5, {roll('stddev_samp({})', 'ret', 5)} as s5 from panel window w as (partition by ticker order by date_idx)), d as (select trade_date, avg(t1) as t1, avg(t5) as t5, avg(s5) as s5, quantile_cont(cap, 0.25) as c25, median(cap) as c50, quantile_cont(cap, 0.75) as c75, median(close) as p50 from s where region = 1 group by 1) select " + ", ".join(f"{r(f'avg({c})')} as {c}" for c in ("t1", "t5", "s5", "c25", "c50", "c75", "p50")) + " from d")
 def holding_stats(spark, sf):
-    s = month_panel(spark, sf).withColumns({"t1": F.lag("turnover").over(BY_TICKER), "t5": rolling(F.avg, "turnover", 5), "s5": rolling(F.stddev, "ret", 5)})
+    s = month_panel(spark, sf).withColumns({"t1": F.lag("turnover").over(by_ticker()), "t5": rolling(F.avg, "turnover", 5), "s5": rolling(F.stddev, "ret", 5)})
     d = s.where("region = 1").groupBy("trade_date").agg(*[F.avg(c).alias(c) for c in ("t1", "t5", "s5")], F.percentile("cap", 0.25).alias("c25"), F.median("cap").alias("c50"), F.percentile("cap", 0.75).alias("c75"), F.median("close").alias("p50"))
     return d.agg(*[r6(F.avg(c)).alias(c) for c in d.columns if c != "trade_date"])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.expr import BY_DATE, div, ew_kernel, r6, rank_avg, rank_first, rolling, weighted_mean
+from ..functions.expr import by_date, div, ew_kernel, r6, rank_avg, rank_first, rolling, weighted_mean
 from ..operators import factors as X
 from ..sources.panel import day_panel, month_panel
 from .registry import avg_rank, pct, query, r, roll
@@ -195,12 +195,12 @@ def scaled_rank(spark, sf):
 
     w = Window.partitionBy("trade_date").orderBy("ret")
     p = month_panel(spark, sf).where("ret is not null")
-    return p.select("ticker", "trade_date", r6(F.rank().over(w) / F.count("*").over(BY_DATE)).alias("share"), r6(F.percent_rank().over(w)).alias("pr"))
+    return p.select("ticker", "trade_date", r6(F.rank().over(w) / F.count("*").over(by_date())).alias("share"), r6(F.percent_rank().over(w)).alias("pr"))
 
 
 @query("qcut_groups", "with q as (select *, " + ", ".join(f"quantile_cont(cap, {i / 10}) over (partition by trade_date) as q{i}" for i in range(1, 10)) + " from panel where cap is not null) select ticker, trade_date, cast(" + " + ".join(f"(cap > q{i})::int" for i in range(1, 10)) + " as bigint) as grp from q")
 def qcut_groups(spark, sf):
-    p = month_panel(spark, sf).where("cap is not null").withColumn("q", F.percentile("cap", [i / 10 for i in range(1, 10)]).over(BY_DATE))
+    p = month_panel(spark, sf).where("cap is not null").withColumn("q", F.percentile("cap", [i / 10 for i in range(1, 10)]).over(by_date()))
     return p.select("ticker", "trade_date", F.size(F.filter("q", lambda e: F.col("cap") > e)).cast("long").alias("grp"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import BY_DATE, BY_TICKER, bfill, div, lag, masked, r6
+from ..functions.expr import by_date, by_ticker, bfill, div, lag, masked, r6
 from ..operators import calendar as C
 from ..operators import masks as M
 from ..sources.panel import day_panel, month_panel, table
@@ -44,7 +44,7 @@ def src_index_weight(spark, sf):
 
 @query("src_signal_scaled", f"select ticker, trade_date, {r('volume / nullif(sum(volume) over (partition by trade_date), 0)')} as weight from panel where region in (0, 1)")
 def src_signal_scaled(spark, sf):
-    return month_panel(spark, sf).where("region in (0, 1)").select("ticker", "trade_date", r6(div("volume", F.sum("volume").over(BY_DATE))).alias("weight"))
+    return month_panel(spark, sf).where("region in (0, 1)").select("ticker", "trade_date", r6(div("volume", F.sum("volume").over(by_date()))).alias("weight"))
 
 
 @query("cal_range", "select trade_date, date_idx from cal where trade_date between date '1996-03-15' and date '1997-02-10'")
@@ -85,7 +85,7 @@ def cal_walk_forward(spark, sf):
 def cal_intersect(spark, sf):
     months = table(spark, sf, "orders").select(F.to_date(F.date_trunc("month", "o_orderdate")).alias("trade_date"))
     both = cal_of(spark, sf).select("trade_date").intersect(months)
-    return both.withColumn("n", F.row_number().over(C.BY_DATE)).where("n > 3").drop("n")
+    return both.withColumn("n", F.row_number().over(C.in_order())).where("n > 3").drop("n")
 
 
 @query("asof_prev", "with d as (select distinct cast(ts as date) - interval 8000 day as x from events) select cast(x as date) as d, max(case when trade_date < x then trade_date end) as prev_date, min(case when trade_date > x then trade_date end) as next_date from d cross join cal group by all")
@@ -127,7 +127,7 @@ LABEL = "with l as (select *, lead(vwap, 2) over w / nullif(lead(vwap) over w, 0
 
 def labelled(spark, sf):
     p = month_panel(spark, sf).withColumn("y0", div(lag("vwap", -2), lag("vwap", -1)) - 1)
-    return p.withColumn("y", F.col("y0") - F.avg("y0").over(BY_DATE))
+    return p.withColumn("y", F.col("y0") - F.avg("y0").over(by_date()))
 
 
 @query("label_demeaned", LABEL + f" select ticker, trade_date, {r('y')} as y from lab")
@@ -190,7 +190,7 @@ def long_short_split(spark, sf):
 @query("holding_weights", f"select ticker, trade_date, {r('coalesce(volume * close, 0) / nullif(sum(volume * close) over (partition by trade_date), 0)')} as w_vol, {r('coalesce(value, 0) / nullif(sum(value) over (partition by trade_date), 0)')} as w_val from panel")
 def holding_weights(spark, sf):
     v = F.col("volume") * F.col("close")
-    return month_panel(spark, sf).select("ticker", "trade_date", r6(div(F.coalesce(v, F.lit(0.0)), F.sum(v).over(BY_DATE))).alias("w_vol"), r6(div(F.coalesce("value", F.lit(0.0)), F.sum("value").over(BY_DATE))).alias("w_val"))
+    return month_panel(spark, sf).select("ticker", "trade_date", r6(div(F.coalesce(v, F.lit(0.0)), F.sum(v).over(by_date()))).alias("w_vol"), r6(div(F.coalesce("value", F.lit(0.0)), F.sum("value").over(by_date()))).alias("w_val"))
 
 
 @query("index_mask", "select distinct ticker, trade_date from panel where value is not null and region in (1, 3)")
@@ -276,5 +276,5 @@ def ffill_bfill(spark, sf):
 
 @query("running", f"select ticker, trade_date, {r('sum(ret) over w')} as cum, {r('max(close) over w')} as high_so_far from panel window w as (partition by ticker order by date_idx rows between unbounded preceding and current row)")
 def running(spark, sf):
-    w = BY_TICKER.rowsBetween(Window.unboundedPreceding, 0)
+    w = by_ticker().rowsBetween(Window.unboundedPreceding, 0)
     return month_panel(spark, sf).select("ticker", "trade_date", r6(F.sum("ret").over(w)).alias("cum"), r6(F.max("close").over(w)).alias("high_so_far"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import BY_TICKER, div
+from ..functions.expr import by_ticker, div
 
 
 @dataclass(frozen=True)
@@ -78,9 +78,9 @@ def month_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         panel = dense(cells, cal, cells.select("ticker")).join(static, "ticker", "left")
         panel = panel.withColumns(
             {
-                "preclose": F.lag("close").over(BY_TICKER),
-                "cap": F.sum("value").over(BY_TICKER.rowsBetween(-11, 0)),
-                "turnover": div("volume", F.sum("volume").over(BY_TICKER.rowsBetween(Window.unboundedPreceding, 0))),
+                "preclose": F.lag("close").over(by_ticker()),
+                "cap": F.sum("value").over(by_ticker().rowsBetween(-11, 0)),
+                "turnover": div("volume", F.sum("volume").over(by_ticker().rowsBetween(Window.unboundedPreceding, 0))),
             }
         )
         panel = panel.withColumn("ret", div("close", "preclose") - 1)
