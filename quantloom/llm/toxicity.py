@@ -32,7 +32,8 @@ WINDOW, STRIDE = 32, 16  # words
 FIT_DOCUMENTS = 2500  # of either label, at most, by a hash of the id
 FIT_WINDOWS = 12  # of each of those documents, evenly spaced
 EPOCHS, BATCH, RATE = 3, 256, 0.01
-STEPS = 1200  # at least, by more epochs
+STEPS = 1200  # at least, by more epochs, unless the mean loss of one falls below LEARNT
+LEARNT = 0.02
 TABLE_RATE = 0.1  # of the learning rate, for the hashed vectors
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
 WORD_ROWS, CHAR_ROWS = 1 << 17, 1 << 17
@@ -186,8 +187,8 @@ class Network:
         states = np.concatenate([self.recur(gates[:, :, : 3 * HIDDEN], mask, "f"), self.recur(gates[:, :, 3 * HIDDEN :], mask, "b")], axis=2)
         return self.pool(states, mask)[0]
 
-    def train(self, index: np.ndarray, y: np.ndarray, weight: np.ndarray, grams: tuple[np.ndarray, np.ndarray, np.ndarray], rate: float) -> None:
-        """One step of Adam on windows of words (rows of ``grams``)."""
+    def train(self, index: np.ndarray, y: np.ndarray, weight: np.ndarray, grams: tuple[np.ndarray, np.ndarray, np.ndarray], rate: float) -> float:
+        """One step of Adam on windows of words (rows of ``grams``); gives the mean loss before it."""
         p, h = self.p, HIDDEN
         kinds, at = np.unique(np.maximum(index, 0), return_inverse=True)
         word_rows, gram_rows, begins = grams
@@ -239,6 +240,7 @@ class Network:
             np.add.at(summed, back, d)
             learnt = self.common[k][touched] if k in self.common else slice(None)
             self.move(k, touched[learnt], summed[learnt], rate * TABLE_RATE)
+        return float((np.logaddexp(0, np.where(y == 1, -logit, logit)) * weight).sum() / weight.sum())
 
     def move(self, k: str, rows: slice | np.ndarray, g: np.ndarray, rate: float) -> None:
         """One step of Adam for some rows."""
@@ -270,10 +272,12 @@ def fit_network(windows: list[list[str]], doc: np.ndarray, y: np.ndarray, epochs
         top, hard = np.quantile(high[y == 1], 0.5), np.quantile(high[y == 0], 0.8)
         use = np.flatnonzero(np.where(y == 1, (high >= best[doc]) | (high > max(top, hard)), (high > hard) | (rng.random(len(y)) < 0.3)))
         weight = np.where(y == 1, 1.0, max(1.0, y[use].sum()) / max(1.0, (1 - y[use]).sum())).astype("f4")
-        order = rng.permutation(use)
+        order, loss = rng.permutation(use), 0.0
         for lo in range(0, len(order), BATCH):
             part = order[lo : lo + BATCH]
-            net.train(index[part], y[part].astype("f4"), weight[part], grams, RATE * (1 - epoch / epochs) ** 2)
+            loss += net.train(index[part], y[part].astype("f4"), weight[part], grams, RATE * (1 - epoch / epochs) ** 2) * len(part)
+        if epoch + 1 >= EPOCHS and loss < LEARNT * len(order):
+            break
     return net
 
 
