@@ -31,9 +31,9 @@ from .quality import bounded, isotonic, training_labels
 WINDOW, STRIDE = 32, 16  # words
 FIT_DOCUMENTS = 2500  # of either label, at most, by a hash of the id
 FIT_WINDOWS = 12  # of each of those documents, evenly spaced
-EPOCHS, BATCH, RATE = 3, 256, 0.01
+EPOCHS, BATCH, RATE = 4, 256, 0.01
 STEPS = 1200  # at least, by more epochs, unless the mean loss of one falls below LEARNT
-LEARNT = 0.02
+LEARNT = 0.012
 TABLE_RATE = 0.1  # of the learning rate, for the hashed vectors
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
 WORD_ROWS, CHAR_ROWS = 1 << 17, 1 << 17
@@ -260,6 +260,7 @@ def fit_network(windows: list[list[str]], doc: np.ndarray, y: np.ndarray, epochs
     net, rng = Network(), np.random.default_rng(3)
     net.prime(index, doc, y, grams)
     epochs = max(epochs, -(-STEPS * BATCH // len(index)))
+    last = False
     for epoch in range(epochs):
         x = net.inputs(*grams)[0]
         if epoch:
@@ -275,9 +276,10 @@ def fit_network(windows: list[list[str]], doc: np.ndarray, y: np.ndarray, epochs
         order, loss = rng.permutation(use), 0.0
         for lo in range(0, len(order), BATCH):
             part = order[lo : lo + BATCH]
-            loss += net.train(index[part], y[part].astype("f4"), weight[part], grams, RATE * (1 - epoch / epochs) ** 2) * len(part)
-        if epoch + 1 >= EPOCHS and loss < LEARNT * len(order):
+            loss += net.train(index[part], y[part].astype("f4"), weight[part], grams, RATE * (0.1 if last else (1 - epoch / epochs) ** 2)) * len(part)
+        if last:
             break
+        last = epoch + 2 >= EPOCHS and loss < LEARNT * len(order)  # one more epoch, with small steps
     return net
 
 
