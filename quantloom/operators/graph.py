@@ -214,17 +214,38 @@ def louvain(adjacency: np.ndarray, rounds: int = 20) -> np.ndarray:
         w = one.T @ w @ one
 
 
+def window_cells(panel: DataFrame, windows: list[tuple[int, int, int]], x: str = "ret") -> DataFrame:
+    w = panel.sparkSession.createDataFrame(windows, "window_id int, lo int, hi int")
+    return panel.join(F.broadcast(w), F.col("date_idx").between(F.col("lo"), F.col("hi"))).select("window_id", "ticker", "date_idx", F.col(x).alias("x"))
+
+
+def window_graph(panel: DataFrame, windows: list[tuple[int, int, int]], kind: str, least: int = 20) -> DataFrame:
+    """(window_id, a, b, rho): each window's spanning tree ('mst') or planar filtered graph ('pmfg')."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        from .planar import filtered_graph
+
+        wide = pdf.pivot(index="date_idx", columns="ticker", values="x")
+        rho = correlation_matrix(wide.to_numpy(float), least)
+        edges = np.array({"mst": spanning_tree, "pmfg": filtered_graph}[kind](rho), int).reshape(-1, 2)
+        names = wide.columns.to_numpy()
+        return pd.DataFrame({"window_id": int(pdf["window_id"].iloc[0]), "a": names[edges[:, 0]], "b": names[edges[:, 1]], "rho": rho[edges[:, 0], edges[:, 1]]})
+
+    return window_cells(panel, windows).groupBy("window_id").applyInPandas(run, "window_id int, a string, b string, rho double")
+
+
 def clustered(panel: DataFrame, windows: list[tuple[int, int, int]], method: str, k: int, least: int = 20, x: str = "ret") -> DataFrame:
     """(window_id, ticker, label) for each window (id, first and last date index): one matrix per task."""
-    w = panel.sparkSession.createDataFrame(windows, "window_id int, lo int, hi int")
-    cells = panel.join(F.broadcast(w), F.col("date_idx").between(F.col("lo"), F.col("hi"))).select("window_id", "ticker", "date_idx", F.col(x).alias("x"))
+    cells = window_cells(panel, windows, x)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot(index="date_idx", columns="ticker", values="x")
         rho = correlation_matrix(wide.to_numpy(float), least)
         n = len(rho)
         seed = int(pdf["window_id"].iloc[0])
-        edges = spanning_tree(rho)
+        from .planar import filtered_graph
+
+        edges = filtered_graph(rho) if method.startswith("pmfg") else spanning_tree(rho)
         near = [[] for _ in range(n)]
         for i, j in edges:
             near[i].append(j)
@@ -239,7 +260,7 @@ def clustered(panel: DataFrame, windows: list[tuple[int, int, int]], method: str
             "node2vec": lambda: node2vec(near, k, seed),
             "sub2vec": lambda: sub2vec(near, k, seed),
             "louvain": lambda: louvain(np.maximum(np.nan_to_num(rho) - np.eye(n), 0)),
-        }[method]()
+        }[method.removeprefix("pmfg_")]()
         return pd.DataFrame({"window_id": seed, "ticker": wide.columns, "label": label})
 
     return cells.groupBy("window_id").applyInPandas(run, "window_id int, ticker string, label int")

@@ -151,7 +151,7 @@ def graph_windows(spark, sf):
     return [(k, lo, hi) for k, lo, hi, _, _ in windows(spark, sf)]
 
 
-for _method in ("complete", "filtered", "spectral", "node2vec", "sub2vec", "louvain"):
+for _method in ("complete", "filtered", "spectral", "node2vec", "sub2vec", "louvain", "pmfg_spectral", "pmfg_node2vec"):
 
     def _cluster(method=_method):
         return lambda spark, sf: G.clustered(month_panel(spark, sf).where("region <= 2"), graph_windows(spark, sf), method, 5, 12)
@@ -159,6 +159,14 @@ for _method in ("complete", "filtered", "spectral", "node2vec", "sub2vec", "louv
     query(f"cluster_{_method}")(_cluster())
 
 
+for _edges in ("mst", "pmfg"):
+
+    def _graph(kind=_edges):
+        return lambda spark, sf: G.window_graph(month_panel(spark, sf).where("region <= 1"), graph_windows(spark, sf), kind, 12).withColumn("rho", r6("rho"))
+
+    query(f"{_edges}_edges")(_graph())
+
+
 @query("dyn_industry")
 def dyn_industry(spark, sf):
     p = month_panel(spark, sf)
