@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from . import ann, bpe, chat, jaccard, lm, neardup, packing, quality, sharding, toxicity
 
 QUERIES = {
@@ -16,4 +18,33 @@ QUERIES = {
     "op9_lm": lm.op9_lm,
     "op10_neardup": neardup.op10_neardup,
 }
-ORACLES: dict[str, str] = {}
+_JACCARD = r"""
+with recursive w as (select doc_id, text, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') as w from documents),
+s as (select doc_id, unnest(list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) as g from w),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where k / (x.n + y.n - k)::double >= 0.8),
+r as (select doc_id as a, doc_id as b from documents union select r.a, l.b from r join l on r.b = l.a),
+c as (select a as doc_id, min(b) as class_id from r group by 1),
+t as (select doc_id, text, min(doc_id) over (partition by text) as copy_of from documents),
+k as (select l.a as doc_id, count(*) as n_links, count(distinct case when x.copy_of <> y.copy_of then y.copy_of end) as n_text_links from l join t x on x.doc_id = l.a join t y on y.doc_id = l.b group by 1)
+select doc_id, class_id, coalesce(n_links, 0)::bigint as n_links, coalesce(n_text_links, 0)::bigint as n_text_links, copy_of from c join t using (doc_id) left join k using (doc_id)"""
+
+_PATTERN = "|".join(re.escape(x) for x in chat.CONTROL)
+_CHAT = f"""
+with t as (select conv_id, turn, role, coalesce(text, '') as text from conversations
+ union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+ coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+ sum({len(chat.TURN + chat.SAYS + chat.END)} + length(role) + length(text) + 2 * len(regexp_extract_all(text, '{_PATTERN}')) + len(regexp_extract_all(text, '{chat.ESCAPE}')))::bigint as formatted_chars
+from t group by conv_id"""
+
+_VECTORS = """
+with recursive v as (select vec_id, embedding::double[] as e from embeddings where len(embedding) > 0 and list_count(embedding) = len(embedding) and len(list_filter(embedding, lambda x: not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.9),
+r as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from r join l on r.b = l.a),
+c as (select a as vec_id, min(b) as component_id from r group by 1), n as (select a as vec_id, count(*) as n from l group by 1)
+select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept from c left join n using (vec_id)"""
+
+#: Token ids, trained scores, packing, splitters and approximate search are beyond SQL; tests/llm hold those against brute force.
+ORACLES: dict[str, str] = {"op2_jaccard": _JACCARD.strip(), "op3_chat": _CHAT.strip(), "op10_neardup": _VECTORS.strip()}
