@@ -21,7 +21,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
+from .common import documents, held
 from .tokens import Generations, bytes_of_chars, tokenizer_path
 
 SPACES = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
@@ -119,14 +119,9 @@ class WordBPE:
         return " ".join([x[0] for x in got]), " ".join([x[1] for x in got])
 
 
-_LOADED: dict[str, WordBPE] = {}
-
-
 def loaded(name: str) -> WordBPE:
     """One encoder, with its cache, for each worker process."""
-    if name not in _LOADED:
-        _LOADED[name] = WordBPE(name)
-    return _LOADED[name]
+    return held(("word", name), lambda: WordBPE(name))
 
 
 def bpe_texts(docs: DataFrame, name: str = "word_bpe_49k.json") -> DataFrame:

@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import held
 from .tokens import tokenizer_path
 
 #: The marks of the template, and control strings of other public templates.
@@ -73,12 +74,10 @@ def loss_mask(offsets: np.ndarray, spans: np.ndarray) -> np.ndarray:
     return (which >= 0) & (offsets[:, 0] < inside[:, 1]) & (offsets[:, 1] <= inside[:, 1])
 
 
-_LOADED: dict = {}
-
-
 def loaded(name: str):
     """The tokenizer, with the template's marks as tokens of their own, for each worker process."""
-    if name not in _LOADED:
+
+    def make():
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import AddedToken, Tokenizer
 
@@ -86,8 +85,9 @@ def loaded(name: str):
         t.no_truncation()
         t.no_padding()
         t.add_special_tokens([AddedToken(x, normalized=False) for x in (TURN, SAYS, END)])
-        _LOADED[name] = t
-    return _LOADED[name]
+        return t
+
+    return held(("chat", name), make)
 
 
 def formatted(turns: list[tuple[str, str]], name: str = TOKENIZER) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; tests without one get a folder of their own."""
@@ -44,6 +49,18 @@ def dropped(*frames: DataFrame | None) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+_HELD: dict = {}
+
+
+def held(key: object, make: Callable[[], T]) -> T:
+    """What a worker process keeps between tasks: one operator's model or cache at a time, whatever ran there before."""
+    if _HELD.get("key") != key:
+        _HELD.clear()
+        gc.collect()
+        _HELD.update(key=key, value=make())
+    return _HELD["value"]
+
+
 def fold(doc_id: str | Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

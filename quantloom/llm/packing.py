@@ -23,20 +23,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, dropped, written
+from .common import documents, dropped, held, written
 from .tokens import ByteBPE
 
 CAPACITY = 2048
 SWEEP_ROWS = 250_000  # documents and gaps in one range
 DOC, GAP, LATER = 1, 0, 2  # LATER: a gap that has shrunk below its range
 
-_LOADED: dict[str, ByteBPE] = {}
-
 
 def loaded(name: str) -> ByteBPE:
-    if name not in _LOADED:
-        _LOADED[name] = ByteBPE(name)
-    return _LOADED[name]
+    return held(("byte", name), lambda: ByteBPE(name))
 
 
 def cut_points(n: int, capacity: int) -> list[int]:

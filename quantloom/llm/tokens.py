@@ -45,7 +45,7 @@ class ByteBPE:
     CUT = re.compile(r"(?<=\S) (?=\S)")
     ODD = re.compile(r" \s|\s |^ | $")
 
-    def __init__(self, name: str = "byte_bpe_50k.json", limit: int = 400_000):
+    def __init__(self, name: str = "byte_bpe_50k.json", limit: int = 250_000):
         import numpy as np
         import tiktoken
         from tokenizers import Tokenizer

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold
+from .common import documents, fold, held
 from .quality import bounded, isotonic, training_labels
 
 WINDOW, STRIDE = 32, 16  # words
@@ -39,7 +39,7 @@ HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
 WORD_ROWS, CHAR_ROWS = 1 << 17, 1 << 17
 RARE = 3  # words and n-grams of fewer sampled documents keep a zero vector
 GRAMS = (3, 4, 5)
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 PART = 20_000  # words whose n-grams are looked at together
 THRESHOLD = 0.7
 NO_WORDS = -40.0  # the raw score of a text without words
@@ -344,9 +344,6 @@ class Scorer:
         np.maximum.at(out, docs, self.net.logits(index, self.table))
 
 
-_SCORERS: dict = {}  # the scorer of this worker process, and the model that it is of
-
-
 def sample_windows(docs: DataFrame, marked: DataFrame) -> pd.DataFrame:
     """doc, y and words of evenly spaced windows of a bounded sample of labelled documents."""
     counts = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -378,9 +375,7 @@ class Model:
         self.at, self.value = np.array([-6.0, 6.0]), np.array([0.0, 1.0])
 
     def raw(self, texts: list[str]) -> np.ndarray:
-        if _SCORERS.get("of") != self.token:
-            _SCORERS.update(of=self.token, scorer=Scorer(self.parameters.value))
-        return _SCORERS["scorer"].raw(texts)
+        return held(self.token, lambda: Scorer(self.parameters.value)).raw(texts)
 
     def score(self, texts: list[str]) -> np.ndarray:
         if self.constant is not None:
