@@ -3,13 +3,14 @@
 All words and word pairs of the training texts are counted exactly, by 64-bit hashes: tasks count
 locally and send sorted blocks to buckets, which merge them. Counts are quantised to levels on a
 logarithmic scale, and an n-gram with level j is put into a Bloom filter once for each level up to j;
-its count is read back by probing level after level. The filter has a fixed size: words and pairs
-are stored from the lowest levels on at which they fit at the designed error. It holds words, pairs, and each
-context's weight for falling back to words, and it is broadcast to the workers.
+its count is read back by probing level after level. Every bucket has a filter of its own, sized by
+the bucket's entries, so all that is counted is stored at any size of the input. The filters hold words,
+pairs, and each context's weight for falling back to words. They stay where they are: batches of
+texts send their distinct words and pairs to the buckets, and the levels come back to the batch.
 
 P(w | h) = max(c(hw) - d, 0) / c(h) + fallback(h) * (c(w) + 0.1) / (N + 0.1 (V + 1)), with the counts
 that the filter gives. The base score uses exact counts instead: the most frequent words, of bounded
-number, are broadcast, the other tokens are joined with their bucket of counts.
+number, are broadcast, the counts of the others come back from the buckets with the levels.
 
 Defined cases: a null or empty text is its end token alone; without training texts N and V are 0;
 repeated rows are scored alike; an empty table gives an empty result; columns other than doc_id and
@@ -18,7 +19,6 @@ text are not read.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,19 +26,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold, held, written
+from .common import documents, fold, written
 from .jaccard import PRIME, powers
 
 FOLDS, HELD_OUT = 10, 0
-FILTER_BITS = 1 << 28  # 32 MB
 PROBES = 3  # bits of each entry
 LOAD = 0.5  # share of bits set at most, by design
-SEGMENTS = 64
 FREQUENT = 1 << 20  # words with their exact counts broadcast: 12 MB
 DISCOUNT = 0.75
 WORD_BASE, PAIR_BASE, WEIGHT_BASE = 2**0.25, 2**0.5, 1.15
 BUCKET_BYTES = 4 << 20  # of text, for each bucket of counts
 SALTS = 8  # buckets that the pairs of one context are dealt to
+BATCH_BYTES = 4 << 20  # of text, on average, that ask and are scored together
 CHUNK = 1 << 20
 END = np.uint64(0x5851F42D4C957F2D)
 WORD, PAIR, WEIGHT = np.uint64(0x1001), np.uint64(0x2003), np.uint64(0x3005)
@@ -105,25 +104,32 @@ def value(level: np.ndarray, least: float, base: float) -> np.ndarray:
     return np.where(level <= 0, 0.0, np.where(low * (base - 1) < 1, np.ceil(low - 1e-6), low * np.sqrt(base)))
 
 
-def bit_places(keys: np.ndarray, kind: np.uint64, level: np.ndarray | int) -> np.ndarray:
-    """PROBES places in the filter for each key at a level: within the segment of the key."""
+def bit_places(keys: np.ndarray, kind: np.uint64, level: int, size: int) -> np.ndarray:
+    """PROBES places in a filter of ``size`` bits for each key at a level."""
     with np.errstate(over="ignore"):
-        one = mixed(keys ^ mixed(np.broadcast_to(np.asarray(level, "u8"), keys.shape) * np.uint64(0x9E37) + kind))
+        one = mixed(keys ^ mixed(np.full(len(keys), level, "u8") * np.uint64(0x9E37) + kind))
         two = mixed(one + PRIME) | np.uint64(1)
-        size = np.uint64(FILTER_BITS // SEGMENTS)
-        return segment_of(keys, kind)[:, None] * size + (one[:, None] + two[:, None] * np.arange(PROBES, dtype="u8")) % size
+        return (one[:, None] + two[:, None] * np.arange(PROBES, dtype="u8")) % np.uint64(size)
 
 
-def segment_of(keys: np.ndarray, kind: np.uint64) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mixed(keys * np.uint64(5) + kind) >> np.uint64(64 - SEGMENTS.bit_length() + 1)
+def built(parts: list[tuple[np.uint64, np.ndarray, np.ndarray]], load: float) -> np.ndarray:
+    """The bytes of a filter with all entries of (kind, keys, levels), at most a share ``load`` of its bits set by design."""
+    n = sum(int(lv.sum()) for _, _, lv in parts)
+    size = 8 * max(8, int(np.ceil(n * PROBES / -np.log(1 - load) / 8)))
+    bits = np.zeros(size, bool)
+    for kind, keys, lv in parts:
+        for level in range(1, int(lv.max(initial=0)) + 1):
+            keys, lv = keys[lv >= level], lv[lv >= level]
+            for i in range(0, len(keys), CHUNK):
+                bits[bit_places(keys[i : i + CHUNK], kind, level, size).ravel()] = True
+    return np.packbits(bits, bitorder="little")
 
 
 def probe(bits: np.ndarray, keys: np.ndarray, kind: np.uint64) -> np.ndarray:
     """The highest level up to which each key is in the filter."""
-    out, left, level = np.zeros(len(keys), "i4"), np.arange(len(keys)), 1
+    out, left, level = np.zeros(len(keys), "u1"), np.arange(len(keys)), 1
     while len(left) and level < 200:
-        at = bit_places(keys[left], kind, level)
+        at = bit_places(keys[left], kind, level, 8 * len(bits))
         hit = ((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype("u1")) & 1).all(axis=1)
         left = left[hit]
         out[left] = level
@@ -131,6 +137,14 @@ def probe(bits: np.ndarray, keys: np.ndarray, kind: np.uint64) -> np.ndarray:
     return out
 
 
+def word_buckets(keys: np.ndarray, up: np.uint64) -> np.ndarray:
+    return (keys >> up).astype("i8")
+
+
+def pair_buckets(keys: np.ndarray, up: np.uint64) -> np.ndarray:
+    return ((keys >> up) * np.uint64(SALTS) + (keys & np.uint64(SALTS - 1))).astype("i8")
+
+
 def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys, values = keys[order], values[order]
@@ -159,8 +173,8 @@ def joined(pdf: pd.DataFrame, dtype: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counted(training: DataFrame, shift: int) -> DataFrame:
-    """BLOCK rows: kind 1, exact counts of words; kind 2, of pairs seen twice or more; kind 3, what contexts give to those pairs."""
-    up = np.uint64(64 - shift)
+    """BLOCK rows: kind 1, exact counts of words; kind 2, the filter of pairs seen twice or more; kind 3, what contexts give to those pairs."""
+    up, load = np.uint64(64 - shift), LOAD
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: list[tuple[np.ndarray, np.ndarray]] = []
@@ -174,9 +188,9 @@ def counted(training: DataFrame, shift: int) -> DataFrame:
         def flush() -> Iterator[pd.DataFrame]:
             if words:
                 k, c = summed(*map(np.concatenate, zip(*words, strict=True)))
-                yield frame(blocks(1, k, c.astype("i8"), (k >> up).astype("i8")))
+                yield frame(blocks(1, k, c.astype("i8"), word_buckets(k, up)))
                 k, c = summed(*map(np.concatenate, zip(*pairs, strict=True)))
-                yield frame(blocks(2, k, c.astype("i4"), ((k >> up) * np.uint64(SALTS) + (k & np.uint64(SALTS - 1))).astype("i8")))
+                yield frame(blocks(2, k, c.astype("i4"), pair_buckets(k, up)))
             words.clear()
             pairs.clear()
 
@@ -195,95 +209,20 @@ def counted(training: DataFrame, shift: int) -> DataFrame:
         if kind == 1:
             return frame([(1, bucket, k.tobytes(), c.tobytes())])
         k, c = k[c > 1], c[c > 1]
-        given = np.maximum(value(levels(c, 2, PAIR_BASE), 2, PAIR_BASE) - DISCOUNT, 0)
-        contexts_, s = summed(k >> np.uint64(32), given)
-        return frame([(2, bucket, k.tobytes(), c.astype("i4").tobytes()), (3, bucket // SALTS, contexts_.tobytes(), s.astype("f8").tobytes())])
+        level = levels(c, 2, PAIR_BASE)
+        contexts_, s = summed(k >> np.uint64(32), np.maximum(value(level, 2, PAIR_BASE) - DISCOUNT, 0))
+        return frame([(2, bucket, built([(PAIR, k, level)], load).tobytes(), b""), (3, bucket // SALTS, contexts_.tobytes(), s.astype("f8").tobytes())])
 
     return training.select("text").mapInPandas(local, BLOCK).groupBy("kind", "bucket").applyInPandas(merge, BLOCK)
 
 
-def entries(counts: DataFrame, least_word: int, least_pair: int) -> DataFrame:
-    """segment, kind, keys, levels: what goes into the filter, words and pairs from some level up."""
-
-    def weights(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Words, and the fallback weights of contexts, of one bucket."""
-        words, given = pdf[pdf["kind"] == 1], pdf[pdf["kind"] == 3]
-        rows = []
-        if len(words):
-            k, c = joined(words, "i8")
-            level = levels(c, 1, WORD_BASE)
-            stored = level >= least_word
-            rows += out(WORD, k[stored], level[stored])
-            if len(given):
-                h, s = summed(*joined(given, "f8"))
-                total_h, total = summed(k >> np.uint64(32), c)
-                at = np.minimum(np.searchsorted(total_h, h), len(total_h) - 1)
-                share = np.clip(1 - s / np.maximum(total[at], 1), 0.01, 1)
-                level = np.round(-np.log(share) / np.log(WEIGHT_BASE)).astype("i4")
-                stored = (level > 0) & (levels(total[at], 1, WORD_BASE) >= least_word)
-                rows += out(WEIGHT, h[stored], level[stored])
-        return pd.DataFrame(rows, columns=["segment", "kind", "keys", "levels"])
-
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for keys, vals in zip(b["keys"], b["vals"], strict=True):
-                level = levels(np.frombuffer(vals, "i4"), 2, PAIR_BASE)
-                ok = level >= least_pair
-                rows += out(PAIR, np.frombuffer(keys, "u8")[ok], level[ok])
-            yield pd.DataFrame(rows, columns=["segment", "kind", "keys", "levels"])
-
-    def out(kind: np.uint64, keys: np.ndarray, level: np.ndarray) -> list[tuple]:
-        return [(b, int(kind), k, v) for _, b, k, v in blocks(0, keys, level.astype("u1"), segment_of(keys, kind).astype("i8"))]
-
-    schema = "segment long, kind long, keys binary, levels binary"
-    return counts.where("kind <> 2").groupBy("bucket").applyInPandas(weights, schema).unionByName(counts.where("kind = 2").mapInPandas(pairs, schema))
-
-
-def built(rows: DataFrame) -> np.ndarray:
-    """The filter's bytes: every segment is filled by a task of its own."""
-    size = FILTER_BITS // SEGMENTS
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        segment = int(pdf["segment"].iloc[0])
-        bits = np.zeros(size, bool)
-        for kind, keys, lv in zip(pdf["kind"], pdf["keys"], pdf["levels"], strict=True):
-            k, lv = np.frombuffer(keys, "u8"), np.frombuffer(lv, "u1")
-            for level in range(1, int(lv.max(initial=0)) + 1):
-                k, lv = k[lv >= level], lv[lv >= level]
-                bits[(bit_places(k, np.uint64(kind), level) % np.uint64(size)).ravel()] = True
-        return pd.DataFrame({"segment": [segment], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
-
-    out = np.zeros(FILTER_BITS // 8, "u1")
-    for r in rows.groupBy("segment").applyInPandas(fill, "segment long, bits binary").toLocalIterator():  # SEGMENTS rows, FILTER_BITS in all
-        out[r["segment"] * size // 8 : (r["segment"] + 1) * size // 8] = np.frombuffer(r["bits"], "u1")
-    return out
-
-
-def least_levels(counts: DataFrame) -> tuple[int, int]:
-    """The lowest levels from which words and pairs fit into the filter; words take half of it at most."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for kind, keys, vals in zip(b["kind"], b["keys"], b["vals"], strict=True):
-                if kind == 3:
-                    level = np.full(len(keys) // 8, 6)  # about so many levels of a fallback weight
-                else:
-                    level = levels(np.frombuffer(vals, "i8" if kind == 1 else "i4"), *((1, WORD_BASE) if kind == 1 else (2, PAIR_BASE)))
-                n = np.bincount(level, minlength=1)
-                yield pd.DataFrame({"pair": kind == 2, "level": np.flatnonzero(n), "n": n[n > 0]})
-
-    got = counts.mapInPandas(run, "pair boolean, level long, n long").groupBy("pair", "level").agg(F.sum("n").alias("n")).collect()  # some hundred rows
-    room = FILTER_BITS * -np.log(1 - LOAD) / PROBES  # entries
-    least = []
-    for pair, share in ((False, 0.5), (True, 1.0)):
-        n = {r["level"]: r["n"] for r in got if r["pair"] == pair}
-        at, left = max(n, default=0) + 1, room * share
-        while at > 1 and left >= (need := (at - 1) * n.get(at - 1, 0)):
-            at, left = at - 1, left - need
-        room -= room * share - left
-        least.append(at)
-    return least[0], least[1]
+def word_filter(k: np.ndarray, c: np.ndarray, given: pd.DataFrame, load: float) -> np.ndarray:
+    """The filter of one bucket's words and of the fallback weights of its contexts."""
+    h, s = summed(*joined(given, "f8"))
+    total_h, total = summed(k >> np.uint64(32), c)
+    at = np.searchsorted(total_h, h)  # every context is a word of the bucket
+    level = np.round(-np.log(np.clip(1 - s / total[at], 0.01, 1)) / np.log(WEIGHT_BASE)).astype("i4")
+    return built([(WORD, k, levels(c, 1, WORD_BASE)), (WEIGHT, h, level)], load)
 
 
 def frequent(counts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, int, int]:
@@ -326,81 +265,72 @@ def lm_scores(docs: DataFrame, held_out) -> DataFrame:
     size = cols.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shift = max(4, min(24, (int(size) // BUCKET_BYTES // SALTS).bit_length()))
     counts = written(counted(cols.where(~held_out), shift), "counts")
-    bits = built(entries(counts, *least_levels(counts)))
     keys, vals, n_train, kinds = frequent(counts)
-    shared = spark.sparkContext.broadcast((bits, keys, vals))  # FILTER_BITS and FREQUENT words
-    token, up = uuid.uuid4().hex, np.uint64(64 - shift)
+    shared = spark.sparkContext.broadcast((keys, vals))  # FREQUENT words
+    least = int(vals.min()) if len(vals) else None  # words counted so often are all broadcast
+    up, load = np.uint64(64 - shift), LOAD
     norm = np.log10(max(n_train + 0.1 * (kinds + 1), 1e-300))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, keys, vals = held(token, lambda: shared.value)
-        none = pd.DataFrame({"kind": [], "row": [], "doc_id": [], "n_tokens": [], "n_known": [], "base": [], "score": [], "bucket": [], "rows": [], "keys": []})
-        for b in batches:
-            for i in range(0, len(b), 1000):
-                part = b.iloc[i : i + 1000]
-                t, bounds = tokens(part["text"].tolist())
-                owner = np.repeat(np.arange(len(part)), np.diff(bounds))
-                kind, at = np.unique(t, return_inverse=True)
-                place = np.minimum(np.searchsorted(keys, kind), max(len(keys) - 1, 0))
-                top = keys[place] == kind if len(keys) else np.zeros(len(kind), bool)
-                exact = np.log10(vals[place] + 0.1) if len(keys) else np.zeros(len(kind))
-                own = top[at]
-                word = value(probe(bits, kind, WORD), 1, WORD_BASE)
-                chance = (word + 0.1) / 10**norm
-                context = contexts(t, bounds)
-                contexts_, at_c = np.unique(context, return_inverse=True)
-                weight = WEIGHT_BASE ** -probe(bits, contexts_ >> np.uint64(32), WEIGHT).astype("f8")
-                in_c = np.maximum(word[np.minimum(np.searchsorted(kind, contexts_), len(kind) - 1)], 1.0)
-                pair, at_p = np.unique(pair_keys(context, t), return_inverse=True)
-                seen = np.maximum(value(probe(bits, pair, PAIR), 2, PAIR_BASE) - DISCOUNT, 0)
-                p = np.minimum(1.0, np.minimum(seen[at_p] / in_c[at_c], 1.0) + weight[at_c] * chance[at])
-                n = np.diff(bounds)
-                rows = part["row"].to_numpy()
-                yield pd.concat([none, pd.DataFrame({
-                    "kind": "d", "row": rows, "doc_id": part["doc_id"].astype("Int64").to_numpy(), "n_tokens": n, "n_known": np.add.reduceat(own.astype("i8"), bounds[:-1]),
-                    "base": np.add.reduceat(np.where(own, exact[at], 0.0), bounds[:-1]) - n * norm, "score": np.add.reduceat(np.log10(p), bounds[:-1]),
-                })])
-                rest = t[~own]
-                if len(rest):
-                    got = blocks(0, rest, rows[owner[~own]].astype("i8"), (rest >> up).astype("i8"))
-                    yield pd.concat([none, pd.DataFrame({"kind": "t", "bucket": [x[1] for x in got], "keys": [x[2] for x in got], "rows": [x[3] for x in got]})])
-
-    schema = "kind string, row long, doc_id long, n_tokens long, n_known long, base double, score double, bucket long, rows binary, keys binary"
-    both = written(cols.withColumn("row", F.monotonically_increasing_id()).mapInPandas(typed(run), schema), "scores")
-
-    def look(tail: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        if not len(tail):
-            return pd.DataFrame({"row": [], "known": [], "more": []}).astype({"row": "i8", "known": "i8", "more": "f8"})
-        t = np.frombuffer(b"".join(tail["keys"]), "u8")
-        row = np.frombuffer(b"".join(tail["rows"]), "i8")
-        k, c = joined(words, "i8")
-        at = np.minimum(np.searchsorted(k, t), max(len(k) - 1, 0))
-        c = np.where(k[at] == t, c[at], 0) if len(k) else np.zeros(len(t), "i8")
-        ids, flat = np.unique(row, return_inverse=True)
-        return pd.DataFrame({"row": ids, "known": np.bincount(flat, c > 0).astype("i8"), "more": np.bincount(flat, np.log10(c + 0.1))})
-
-    tail = both.where("kind = 't'").select("bucket", "keys", "rows").groupBy("bucket").cogroup(counts.where("kind = 1").select("bucket", "keys", "vals").groupBy("bucket")).applyInPandas(look, "row long, known long, more double")
-    tail = tail.groupBy("row").agg(F.sum("known").alias("known"), F.sum("more").alias("more"))
-    out = both.where("kind = 'd'").select("row", "doc_id", "n_tokens", "n_known", "base", "score").join(tail, "row", "left")
-    return out.select(
-        "doc_id",
-        held_out.alias("held_out"),
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
-    )
-
-
-def typed(run):
-    """Integer columns that have nulls as such."""
-
-    def inner(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in run(batches):
-            yield x.astype({c: "Int64" for c in ("row", "doc_id", "n_tokens", "n_known", "bucket")} | {"base": "f8", "score": "f8"})
-
-    return inner
+    texts = cols.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 + int(size) // BATCH_BYTES)))
+
+    def ask(pdf: pd.DataFrame) -> pd.DataFrame:
+        """What a batch has to know: its distinct words (kind 1) and pairs (kind 2), by bucket."""
+        t, bounds = tokens(pdf["text"].tolist())
+        word, pair = np.unique(np.r_[t, END]), np.unique(pair_keys(contexts(t, bounds), t))
+        got = [(kind, bucket, k) for kind, keys, at in ((1, word, word_buckets(word, up)), (2, pair, pair_buckets(pair, up))) for _, bucket, k, _ in blocks(kind, keys, keys, at)]
+        return pd.DataFrame(got, columns=["kind", "bucket", "keys"]).assign(batch=pdf["batch"].iloc[0])
+
+    def answer(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        """Levels of the keys, in their order; for words, those of the fallback weight and the counts beyond the broadcast ones as well."""
+        if not len(asked):
+            return pd.DataFrame({"batch": [], "kind": [], "bucket": [], "vals": []}).astype({"batch": "i8", "kind": "i4", "bucket": "i8"})
+        pairs, vals = int(asked["kind"].iloc[0]) == 2, []
+        if pairs:
+            bits = np.frombuffer(own["keys"].iloc[0], "u1") if len(own) else np.zeros(8, "u1")
+        else:
+            k, c = joined(own[own["kind"] == 1], "i8")
+            bits = word_filter(k, c, own[own["kind"] == 3], load)
+        for keys in asked["keys"]:
+            q = np.frombuffer(keys, "u8")
+            if pairs:
+                vals.append(probe(bits, q, PAIR).tobytes())
+                continue
+            at = np.minimum(np.searchsorted(k, q), max(len(k) - 1, 0))
+            count = np.where(k[at] == q, c[at], 0) if len(k) else np.zeros(len(q), "i8")
+            if least is not None:
+                count[count >= least] = 0
+            vals.append(probe(bits, q, WORD).tobytes() + probe(bits, q >> np.uint64(32), WEIGHT).tobytes() + count.tobytes())
+        return asked[["batch", "kind", "bucket"]].assign(vals=vals)
+
+    def score(key: tuple, pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        keys, vals = shared.value
+        answers = answers.sort_values("bucket")
+        t, bounds = tokens(pdf["text"].tolist())
+        context = contexts(t, bounds)
+        kind = np.unique(np.r_[t, END])  # its order is that of the buckets
+        at, at_c = np.searchsorted(kind, t), np.searchsorted(kind, context)
+        parts = [(v, len(v) // 10) for v in answers.loc[answers["kind"] == 1, "vals"]]  # two levels and a count each
+        word = value(np.frombuffer(b"".join(v[:n] for v, n in parts), "u1"), 1, WORD_BASE)
+        weight = WEIGHT_BASE ** -np.frombuffer(b"".join(v[n : 2 * n] for v, n in parts), "u1").astype("f8")
+        count = np.frombuffer(b"".join(v[2 * n :] for v, n in parts), "i8")
+        if len(keys):
+            place = np.minimum(np.searchsorted(keys, kind), len(keys) - 1)
+            count = np.where(keys[place] == kind, vals[place], count)
+        pair, at_p = np.unique(pair_keys(context, t), return_inverse=True)
+        level = np.zeros(len(pair), "u1")
+        level[np.lexsort((pair, pair_buckets(pair, up)))] = np.frombuffer(b"".join(answers.loc[answers["kind"] == 2, "vals"]), "u1")
+        seen = np.maximum(value(level, 2, PAIR_BASE) - DISCOUNT, 0)
+        p = np.minimum(1.0, np.minimum(seen[at_p] / np.maximum(word[at_c], 1.0), 1.0) + weight[at_c] * (word[at] + 0.1) / 10**norm)
+        n = np.diff(bounds)
+        return pd.DataFrame({
+            "doc_id": pdf["doc_id"].astype("Int64"), "n_tokens": n, "n_known": np.add.reduceat((count[at] > 0).astype("i8"), bounds[:-1]),
+            "base_score": np.add.reduceat(np.log10(count[at] + 0.1), bounds[:-1]) - n * norm, "score": np.add.reduceat(np.log10(p), bounds[:-1]),
+        })
+
+    asked = texts.groupBy("batch").applyInPandas(ask, "kind int, bucket long, keys binary, batch long")
+    own = counts.withColumn("role", F.when(F.col("kind") == 2, 2).otherwise(1))
+    answers = asked.groupBy("kind", "bucket").cogroup(own.groupBy("role", "bucket")).applyInPandas(answer, "batch long, kind int, bucket long, vals binary")
+    out = texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -343,3 +343,13 @@ def test_tail_words_are_counted_by_join(docs, monkeypatch):
     real = lm.frequent
     monkeypatch.setattr(lm, "frequent", lambda counts: real(counts, 6))
     assert sorted((r.doc_id, r.n_known, round(r.base_score, 6)) for r in lm.lm_scores(some, held).collect()) == want
+
+
+def test_filters_hold_all_that_is_counted():
+    g = np.random.default_rng(2)
+    for n in (0, 1, 1000, 200_000):
+        keys, level = g.integers(0, 2**63, n).astype("u8"), g.integers(1, 12, n)
+        bits = lm.built([(lm.PAIR, keys, level)], 0.5)
+        assert (lm.probe(bits, keys, lm.PAIR) >= level).all()
+        assert np.unpackbits(bits).mean() <= 0.51
+    assert len(bits) > 5 * len(lm.built([(lm.PAIR, keys[:20_000], level[:20_000])], 0.5))  # it grows with its entries
