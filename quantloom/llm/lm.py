@@ -173,7 +173,7 @@ def joined(pdf: pd.DataFrame, dtype: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counted(training: DataFrame, shift: int) -> DataFrame:
-    """BLOCK rows: kind 1, exact counts of words; kind 2, the filter of pairs seen twice or more; kind 3, what contexts give to those pairs."""
+    """BLOCK rows: kind 1, exact counts of words; kind 2, the filter of pairs; kind 3, what contexts give to those pairs."""
     up, load = np.uint64(64 - shift), LOAD
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,9 +208,8 @@ def counted(training: DataFrame, shift: int) -> DataFrame:
         k, c = summed(*joined(pdf, "i8" if kind == 1 else "i4"))
         if kind == 1:
             return frame([(1, bucket, k.tobytes(), c.tobytes())])
-        k, c = k[c > 1], c[c > 1]
-        level = levels(c, 2, PAIR_BASE)
-        contexts_, s = summed(k >> np.uint64(32), np.maximum(value(level, 2, PAIR_BASE) - DISCOUNT, 0))
+        level = levels(c, 1, PAIR_BASE)
+        contexts_, s = summed(k >> np.uint64(32), np.maximum(value(level, 1, PAIR_BASE) - DISCOUNT, 0))
         return frame([(2, bucket, built([(PAIR, k, level)], load).tobytes(), b""), (3, bucket // SALTS, contexts_.tobytes(), s.astype("f8").tobytes())])
 
     return training.select("text").mapInPandas(local, BLOCK).groupBy("kind", "bucket").applyInPandas(merge, BLOCK)
@@ -318,7 +317,7 @@ def lm_scores(docs: DataFrame, held_out) -> DataFrame:
         pair, at_p = np.unique(pair_keys(context, t), return_inverse=True)
         level = np.zeros(len(pair), "u1")
         level[np.lexsort((pair, pair_buckets(pair, up)))] = np.frombuffer(b"".join(answers.loc[answers["kind"] == 2, "vals"]), "u1")
-        seen = np.maximum(value(level, 2, PAIR_BASE) - DISCOUNT, 0)
+        seen = np.maximum(value(level, 1, PAIR_BASE) - DISCOUNT, 0)
         p = np.minimum(1.0, np.minimum(seen[at_p] / np.maximum(word[at_c], 1.0), 1.0) + weight[at_c] * (word[at] + 0.1) / 10**norm)
         n = np.diff(bounds)
         return pd.DataFrame({

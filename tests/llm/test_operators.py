@@ -353,3 +353,32 @@ def test_filters_hold_all_that_is_counted():
         assert (lm.probe(bits, keys, lm.PAIR) >= level).all()
         assert np.unpackbits(bits).mean() <= 0.51
     assert len(bits) > 5 * len(lm.built([(lm.PAIR, keys[:20_000], level[:20_000])], 0.5))  # it grows with its entries
+
+
+def test_language_model_scores_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(lm, "LOAD", 1e-4)  # next to no false positives
+    texts = [(i, " ".join(rng.choices("a b c d e f g h".split(), [30, 20, 10, 5, 3, 2, 1, 1], k=rng.randint(0, 40)))) for i in range(60)]
+    got = {r.doc_id: r.score for r in lm.lm_scores(spark.createDataFrame(texts, "doc_id long, text string"), F.col("doc_id") % 10 == 0).collect()}
+
+    def pairs(text):
+        t = [*text.split(), None]
+        return list(zip([None, *t[:-1]], t))
+
+    def rounded(count, base):
+        return float(lm.value(lm.levels(np.array([count]), 1, base), 1, base)[0])
+
+    c = collections.Counter(p for i, t in texts if i % 10 for p in pairs(t))
+    assert 1 in c.values()
+    words = collections.Counter()
+    for (_, w), n in c.items():
+        words[w] += n
+    total, kinds, given = sum(words.values()), len(words), collections.Counter()
+    for (h, _), n in c.items():
+        given[h] += max(rounded(n, lm.PAIR_BASE) - lm.DISCOUNT, 0)
+    for i, text in texts:
+        want = 0.0
+        for h, w in pairs(text):
+            weight = lm.WEIGHT_BASE ** -round(-math.log(min(max(1 - given[h] / words[h], 0.01), 1)) / math.log(lm.WEIGHT_BASE)) if words[h] else 1.0
+            seen = max(rounded(c[h, w], lm.PAIR_BASE) - lm.DISCOUNT, 0) / max(rounded(words[h], lm.WORD_BASE), 1)
+            want += math.log10(min(1.0, min(seen, 1.0) + weight * (rounded(words[w], lm.WORD_BASE) + 0.1) / (total + 0.1 * (kinds + 1))))
+        assert abs(got[i] - want) < 1e-6
