@@ -6,8 +6,9 @@ dropped if a kept one is closer to it, by a factor, than the node is. A node's l
 shards are united. Then every node searches its home shard: greedily from the shard's medoid and its
 own place, with a bounded beam, and from then on through every node within range (and some slack)
 until no new one turns up. Found pairs are verified in double precision on the original vectors. The
-recall is audited against brute force for a bounded sample of nodes; below the target, nodes join
-more shards and the search is repeated. Large shards are cut into blocks that meet each other, so no
+recall is audited against brute force for a bounded sample of nodes, each counting the same; below the
+target, nodes join more shards and the search is repeated, and where all shards aren't enough, all
+nodes are compared exactly, in blocks that meet each other. Large shards are cut into blocks that meet each other, so no
 task holds more than a block of either kind.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows
@@ -40,7 +41,8 @@ BACK = 4  # of a node's links, the nearest also lead back to it, so that it can
 BEAM, STEPS = 24, 12
 SLACK = 0.15  # of cosine, below the threshold, for nodes that are still expanded
 EXPANDED = 2_000_000  # neighbours looked at together
-AUDIT, TARGET = 256, 0.999
+AUDIT, TARGET = 1024, 0.999
+BLOCK = 4000  # nodes in a block that are compared exactly
 
 
 def centres_of(sample: np.ndarray, k: int) -> np.ndarray:
@@ -238,8 +240,44 @@ def link_pass(nodes: DataFrame, n: int, overlap: int, threshold: float) -> DataF
     return out
 
 
+def exact_pass(nodes: DataFrame, n: int, threshold: float) -> DataFrame:
+    """The rows of ``link_pass``, by comparing all nodes with each other."""
+    blocks = -(-n // BLOCK)
+    placed = nodes.withColumn("block", F.expr(f"cast(pmod(xxhash64(id, 2), {blocks}) as int)"))
+    left = placed.withColumnRenamed("block", "lb").withColumn("rb", F.expr(f"explode(sequence(lb, {blocks - 1}))"))
+    right = placed.withColumnRenamed("block", "rb").withColumn("lb", F.expr("explode(sequence(0, rb))"))
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"kind": [], "id": [], "other": []}).astype({"kind": "str", "id": "i8", "other": "i8"})
+        if not len(left) or not len(right):
+            return none
+        same = int(left["lb"].iloc[0]) == int(left["rb"].iloc[0])
+        a, b, ids_a, ids_b = matrix(left["v"]), matrix(right["v"]), left["id"].to_numpy(), right["id"].to_numpy()
+        u_a, u_b = units(a), units(b)
+        copies_a, copies_b = left["copies"].to_numpy(), right["copies"].to_numpy()
+        counts, back, edges = np.zeros(len(a), "i8"), np.zeros(len(b), "i8"), []
+        for lo in range(0, len(a), 256):
+            i, j = np.nonzero(u_a[lo : lo + 256] @ u_b.T >= threshold - 1e-9)
+            i += lo
+            other = ids_a[i] != ids_b[j]
+            i, j = i[other], j[other]
+            true = np.concatenate([exact(a[i[k : k + 50_000]], b[j[k : k + 50_000]]) >= threshold for k in range(0, len(i), 50_000)] or [np.zeros(0, bool)])
+            i, j = i[true], j[true]
+            counts += np.bincount(i, copies_b[j], len(a)).astype("i8")
+            back += np.bincount(j, copies_a[i], len(b)).astype("i8")
+            edges.append(forest(ids_a[i], ids_b[j]))
+        e_a, e_b = forest(*map(np.concatenate, zip(*edges, strict=True)))
+        parts = [("n", ids_a[counts > 0], counts[counts > 0]), ("e", e_a, e_b)]
+        if not same:
+            parts.append(("n", ids_b[back > 0], back[back > 0]))
+        return pd.concat([none, *(pd.DataFrame({"kind": kind, "id": x, "other": y}) for kind, x, y in parts)])
+
+    met = left.groupBy("lb", "rb").cogroup(right.groupBy("lb", "rb")).applyInPandas(meet, "kind string, id long, other long")
+    return written(met, "links")
+
+
 def audit(nodes: DataFrame, links: DataFrame, threshold: float) -> float:
-    """The share of links of a bounded sample of nodes, by brute force, that were counted."""
+    """The share of a node's links, by brute force, that were counted: the mean over a bounded sample of nodes that have any."""
     spark = nodes.sparkSession
     sample = nodes.orderBy(F.xxhash64("id", F.lit(9)), "id").limit(AUDIT).select("id", "v").toPandas()  # AUDIT rows
     ids, m = sample["id"].to_numpy(), matrix(sample["v"])
@@ -255,8 +293,9 @@ def audit(nodes: DataFrame, links: DataFrame, threshold: float) -> float:
 
     true = nodes.mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     got = links.where("kind = 'n'").groupBy("id").agg(F.sum("other").alias("got"))
-    r = F.broadcast(true.where("n > 0")).join(got, "id", "left").agg(F.sum("n").alias("n"), F.sum(F.least("n", F.coalesce("got", F.lit(0)))).alias("got")).first()
-    return r["got"] / r["n"] if r["n"] else 1.0
+    share = F.least(F.lit(1.0), F.coalesce("got", F.lit(0)) / F.col("n"))
+    r = F.broadcast(true.where("n > 0")).join(got, "id", "left").agg(F.avg(share).alias("share")).first()
+    return 1.0 if r["share"] is None else r["share"]
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id", col: str = "embedding", overlap: int = OVERLAP) -> DataFrame:
@@ -273,10 +312,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str =
         while True:
             links = link_pass(part, r["n"], shards, threshold)
             most = min(CENTRES, max(1, r["n"] // SHARD))
-            if shards >= most or audit(part, links, threshold) >= TARGET:
+            if audit(part, links, threshold) >= TARGET:
                 break
-            shards *= 2
             dropped(links)
+            if shards >= most:
+                links = exact_pass(part, r["n"], threshold)
+                break
+            shards *= 2
         found.append(links)
     ids = vectors.select(F.col(key).cast("long").alias("id")).distinct()
     if not found:

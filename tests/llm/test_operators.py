@@ -382,3 +382,27 @@ def test_language_model_scores_every_pair(spark, monkeypatch):
             seen = max(rounded(c[h, w], lm.PAIR_BASE) - lm.DISCOUNT, 0) / max(rounded(words[h], lm.WORD_BASE), 1)
             want += math.log10(min(1.0, min(seen, 1.0) + weight * (rounded(words[w], lm.WORD_BASE) + 0.1) / (total + 0.1 * (kinds + 1))))
         assert abs(got[i] - want) < 1e-6
+
+
+def test_near_vectors_that_the_graph_misses(spark, monkeypatch):
+    real = neardup.link_pass
+    monkeypatch.setattr(neardup, "link_pass", lambda *args: real(*args).where("id % 3 > 0"))
+    for block in (4000, 70):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        m, df = vectors(spark)
+        got = {r.id: r for r in neardup.near_duplicates(df).collect()}
+        u = m / np.linalg.norm(m, axis=1)[:, None]
+        link = u @ u.T >= 0.9
+        low = graph.roots(*np.nonzero(link))[1]
+        for i in range(len(m)):
+            assert (got[i].n_links, got[i].component) == (link[i].sum() - 1, low[i])
+
+
+def test_audit_counts_nodes_alike(spark):
+    g = np.random.default_rng(5)
+    dense, pairs = g.normal(size=64) + 0.01 * g.normal(size=(300, 64)), np.repeat(g.normal(size=(20, 64)), 2, axis=0) + 0.01 * g.normal(size=(40, 64))
+    nodes = spark.createDataFrame([(i, [float(x) for x in v], 1) for i, v in enumerate(np.vstack([dense, pairs]))], "id long, v array<double>, copies long")
+    found = [("n", i, 299) for i in range(300)]
+    every = spark.createDataFrame(found + [("n", i, 1) for i in range(300, 340)], "kind string, id long, other long")
+    assert neardup.audit(nodes, every, 0.9) == 1.0
+    assert neardup.audit(nodes, every.where("id < 300"), 0.9) < 0.9  # all links of the pairs are lost, 40 of 89,740
