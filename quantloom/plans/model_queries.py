@@ -116,8 +116,7 @@ def vol_regime(spark, sf):
 
 def opt_cells(spark, sf):
     p = styled(spark, sf).join(idio(spark, sf).select("ticker", "trade_date", F.sqrt("var").alias("sigma")), ["ticker", "trade_date"])
-    last = p.agg(F.max("date_idx")).first()[0]
-    p = p.where((F.col("region") <= 1) & (F.col("date_idx") > last - 10)).withColumn("sigma", F.greatest("sigma", F.lit(0.01)))
+    p = p.withColumn("sigma", F.greatest("sigma", F.lit(0.01)))
     return p.select("trade_date", "ticker", (F.col("s_mom") * 0.01).alias("alpha"), "sigma", F.col("region").alias("industry"), F.col("cap").alias("bench"), "s_size", "s_mom")
 
 
