@@ -130,7 +130,7 @@ for _m in (1, 2, 3, 4):
 
 def windows(spark, sf):
     n = month_panel(spark, sf).select("date_idx").distinct().count()
-    return list(C.walk_forward(n, 36, 12, 24, 1))[:2]
+    return list(C.walk_forward(n, 36, 12, 12, 1))
 
 
 for _kind in ("linear", "ridge", "lasso", "gbt", "forest"):
@@ -153,7 +153,7 @@ def graph_windows(spark, sf):
 for _method in ("complete", "filtered", "spectral", "node2vec", "sub2vec", "louvain", "pmfg_spectral", "pmfg_node2vec"):
 
     def _cluster(method=_method):
-        return lambda spark, sf: G.clustered(month_panel(spark, sf).where("region <= 2"), graph_windows(spark, sf), method, 5, 12)
+        return lambda spark, sf: G.clustered(month_panel(spark, sf), graph_windows(spark, sf), method, 5, 12)
 
     query(f"cluster_{_method}")(_cluster())
 
@@ -161,7 +161,7 @@ for _method in ("complete", "filtered", "spectral", "node2vec", "sub2vec", "louv
 for _edges in ("mst", "pmfg"):
 
     def _graph(kind=_edges):
-        return lambda spark, sf: G.window_graph(month_panel(spark, sf).where("region <= 1"), graph_windows(spark, sf), kind, 12).withColumn("rho", r6("rho"))
+        return lambda spark, sf: G.window_graph(month_panel(spark, sf), graph_windows(spark, sf), kind, 12).withColumn("rho", r6("rho"))
 
     query(f"{_edges}_edges")(_graph())
 
@@ -169,7 +169,7 @@ for _edges in ("mst", "pmfg"):
 @query("dyn_industry")
 def dyn_industry(spark, sf):
     p = month_panel(spark, sf)
-    labels = G.clustered(p.where("region <= 2"), graph_windows(spark, sf), "complete", 5, 12)
+    labels = G.clustered(p, graph_windows(spark, sf), "complete", 5, 12)
     return G.dynamic_industry(p, labels, [(k, lo, hi) for k, _, _, lo, hi in windows(spark, sf)])
 
 

@@ -19,3 +19,16 @@ def test_portfolios_cover_all_regions_and_dates(spark):
     days = sorted(per_day)[3:]
     got = {(r.trade_date, r.ticker) for r in QUERIES["qp1"](spark, SF).collect()}
     assert got == {(d, t) for d in days if len(per_day[d]) >= 5 for t in per_day[d]}
+
+
+def test_windows_and_graphs_cover_the_panel(spark):
+    p = month_panel(spark, SF)
+    got = M.windows(spark, SF)
+    n = p.select("date_idx").distinct().count()
+    tested = [i for _, _, _, lo, hi in got for i in range(lo, hi + 1)]
+    assert tested == list(range(37, n))  # every date after the first training and its delay, once
+    tickers = {r.ticker for r in p.select("ticker").distinct().collect()}
+    nodes = {x for r in QUERIES["mst_edges"](spark, SF).collect() for x in r.asDict().values() if x in tickers}
+    assert nodes == tickers
+    labels = {r.ticker for r in QUERIES["cluster_complete"](spark, SF).where("label >= 0").collect()}
+    assert labels == tickers
