@@ -29,6 +29,7 @@ from .vectors import clean, embeddings, matrix, spread, units
 TOP = 5
 EPSILON = 2.6  # width of the error bound: higher finds more and reranks more
 ROW_BLOCK, QUERY_BLOCK = 8192, 4096
+MARGIN = 1e-12  # by which fast products of unit vectors may be off
 FIRST = 32  # rows reranked first, for the value that the others have to reach
 
 
@@ -69,7 +70,7 @@ def nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, bi
             reach = reach[-1] if len(reach) == top else -np.inf
             chosen = np.flatnonzero((near + error >= reach - 1e-9) & (near > -np.inf))
             close = rows[chosen] @ queries[i]
-            keep = chosen[np.lexsort((ids[chosen], -close))[: top + 8]]  # a few more: near ties are put in order below
+            keep = chosen[close >= np.sort(close)[-top:].min(initial=np.inf) - MARGIN]  # all near ties, put in order below
             dots = np.einsum("ij,j->i", m[keep], q[i])
             with np.errstate(all="ignore"):
                 score = dots / (norms[keep] * q_norms[i])

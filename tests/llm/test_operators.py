@@ -406,3 +406,17 @@ def test_audit_counts_nodes_alike(spark):
     every = spark.createDataFrame(found + [("n", i, 1) for i in range(300, 340)], "kind string, id long, other long")
     assert neardup.audit(nodes, every, 0.9) == 1.0
     assert neardup.audit(nodes, every.where("id < 300"), 0.9) < 0.9  # all links of the pairs are lost, 40 of 89,740
+
+
+def test_equal_vectors_are_ranked_by_id():
+    g = np.random.default_rng(3)
+    for trial in range(150):
+        n, dim = (15, 50, 500)[trial % 3], 64
+        m = np.vstack([np.repeat(g.normal(size=(1, dim)), n, axis=0), g.normal(size=(200, dim))])
+        ids = g.permutation(len(m))
+        q = m[:1] + 0.1 * g.normal(size=(1, dim))
+        order = g.permutation(len(m))
+        m, ids, same = m[order], ids[order], np.sort(ids[:n])
+        bits, scalar = ann.encode(m)
+        got = ann.nearest(np.array([-1]), q, ids, m, bits, scalar, 5, 2.6)
+        assert [v for _, v, _ in got] == same[:5].tolist()
