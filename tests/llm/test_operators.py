@@ -420,3 +420,9 @@ def test_equal_vectors_are_ranked_by_id():
         bits, scalar = ann.encode(m)
         got = ann.nearest(np.array([-1]), q, ids, m, bits, scalar, 5, 2.6)
         assert [v for _, v, _ in got] == same[:5].tolist()
+
+
+def test_most_frequent_word_of_a_whole_text():
+    text = " ".join(["cheap" if i % 4 == 1 else f"w{i}" for i in range(200)])
+    row = dict(zip(quality.STATISTICS, quality.statistics([text])[0]))
+    assert abs(row["top"] - math.log1p(50 / 200 * 100)) < 1e-12
