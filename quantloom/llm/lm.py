@@ -1,20 +1,25 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
 All words and word pairs of the training texts are counted exactly, by 64-bit hashes: tasks count
-locally and send sorted blocks to buckets, which merge them. Counts are quantised to levels on a
-logarithmic scale, and an n-gram with level j is put into a Bloom filter once for each level up to j;
-its count is read back by probing level after level. Every bucket has a filter of its own, sized by
-the bucket's entries, so all that is counted is stored at any size of the input. The filters hold words,
-pairs, and each context's weight for falling back to words. They stay where they are: batches of
-texts send their distinct words and pairs to the buckets, and the levels come back to the batch.
-
-P(w | h) = max(c(hw) - d, 0) / c(h) + fallback(h) * (c(w) + 0.1) / (N + 0.1 (V + 1)), with the counts
-that the filter gives. The base score uses exact counts instead: the most frequent words, of bounded
-number, are broadcast, the counts of the others come back from the buckets with the levels.
-
-Defined cases: a null or empty text is its end token alone; without training texts N and V are 0;
-repeated rows are scored alike; an empty table gives an empty result; columns other than doc_id and
-text are not read.
+locally and send sorted blocks to buckets, which merge them. A pair's bucket follows from its first
+word (the context); pairs of a frequent context are dealt to as many buckets as its count asks for, so
+that a bucket's work doesn't grow with the corpus. Pair counts are quantised to levels on a logarithmic
+scale, and a pair with level j is put into its bucket's Bloom filter once for each level up to j; its
+count is read back by probing level after level. Each filter is sized by its entries, so every
+counted pair is in one at any size of the input, and the first level has so many probes that false
+positives add less than 2 ** -FALSE to the probabilities after any context, whatever the vocabulary.
+
+P(w | h) = max(q(hw) - d, 0) / T(h) + d K(h) / T(h) * (c(w) + 0.1) / (N + 0.1 (V + 1)), with q the
+quantised count, T(h) the sum of q and K(h) the number of words over all that follow h: the
+probabilities after any context add up to 1. After a context that was never seen, P is the last factor.
+
+The vocabulary (counts, T, K) is exact. Its most frequent words, of bounded number, are broadcast; the
+other words and the filters stay in their buckets, since they grow with the corpus. Batches of texts
+send their distinct pairs and unknown words there, and the levels come back to the batch.
+
+Defined cases: a null or empty text is its end token alone; without training texts N and V are 0, and
+both scores are those of the base; repeated rows are scored alike; an empty table gives an empty
+result; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -23,29 +28,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold, written
+from .common import documents, dropped, fold, written
 from .jaccard import PRIME, powers
 
 FOLDS, HELD_OUT = 10, 0
-PROBES = 3  # bits of each entry
-LOAD = 0.5  # share of bits set at most, by design
-FREQUENT = 1 << 20  # words with their exact counts broadcast: 12 MB
+FALSE = 8  # probes of the first level beyond the logarithm of the vocabulary
+LEVEL_PROBES = 12  # of each further level
+LOAD = 0.5  # share of bits set, by design
+FREQUENT = 1 << 20  # words that are broadcast: 24 MB
 DISCOUNT = 0.75
-WORD_BASE, PAIR_BASE, WEIGHT_BASE = 2**0.25, 2**0.5, 1.15
+BASE = 2**0.5  # of the levels
 BUCKET_BYTES = 4 << 20  # of text, for each bucket of counts
-SALTS = 8  # buckets that the pairs of one context are dealt to
-BATCH_BYTES = 4 << 20  # of text, on average, that ask and are scored together
+HOT = 1 << 17  # tokens: contexts of more are dealt to several buckets
+BATCH_BYTES = 8 << 20  # of text, on average, that ask and are scored together
+FLUSH = 4_000_000  # tokens that a task counts at once
 CHUNK = 1 << 20
 END = np.uint64(0x5851F42D4C957F2D)
-WORD, PAIR, WEIGHT = np.uint64(0x1001), np.uint64(0x2003), np.uint64(0x3005)
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 
+Hot = tuple[np.ndarray, np.ndarray]  # sorted contexts, and the number of buckets of each
+
 
 def mixed(h: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
@@ -54,9 +63,9 @@ def mixed(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
-def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, each text's end token included, and where each text's begin (with the end)."""
-    raw = [t.encode("utf-8", "replace").translate(LOWER) if t else b"" for t in texts]
+    raw = [t.translate(LOWER) for t in texts]
     out, counts, lo = [], np.zeros(len(texts), "i8"), 0
     while lo < len(raw):
         hi, size = lo, 0
@@ -86,248 +95,372 @@ def contexts(t: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return c
 
 
-def pair_keys(context: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """The context's upper 32 bits, and 32 bits of a hash of both."""
+def dealt(context: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """The upper 32 bits of the pairs of a hot context in one of its buckets."""
+    with np.errstate(over="ignore"):
+        return mixed(context + (salt + np.uint64(1)) * PRIME) >> np.uint64(32)
+
+
+def pair_keys(context: np.ndarray, t: np.ndarray, hot: Hot) -> np.ndarray:
+    """32 bits of the context, by which pairs are dealt to buckets, and 32 bits of a hash of both."""
+    names, salts = hot
+    upper, word = context >> np.uint64(32), mixed(t)
+    if len(names):
+        at = np.minimum(np.searchsorted(names, context), len(names) - 1)
+        some = np.flatnonzero(names[at] == context)
+        upper[some] = dealt(context[some], word[some] % salts[at[some]])
     with np.errstate(over="ignore"):
-        both = mixed(context * np.uint64(3) + mixed(t))
-    return (context >> np.uint64(32) << np.uint64(32)) | (both >> np.uint64(32))
+        return (upper << np.uint64(32)) | (mixed(context * np.uint64(3) + word) >> np.uint64(32))
 
 
-def levels(values: np.ndarray, least: float, base: float) -> np.ndarray:
-    """1 for values from ``least``, and one more for each factor ``base``."""
-    return np.maximum(0, 1 + np.floor(np.log(np.maximum(values, 1e-12) / least) / np.log(base) + 1e-9)).astype("i4")
+def levels(counts: np.ndarray) -> np.ndarray:
+    """1 for a count of 1, and one more for each factor BASE."""
+    return (1 + np.floor(np.log(counts) / np.log(BASE) + 1e-9)).astype("i4")
 
 
-def value(level: np.ndarray, least: float, base: float) -> np.ndarray:
-    """What a level stands for: the least value of it for small counts, else its geometric middle."""
-    low = least * base ** (level - 1.0)
-    return np.where(level <= 0, 0.0, np.where(low * (base - 1) < 1, np.ceil(low - 1e-6), low * np.sqrt(base)))
+def value(level: np.ndarray) -> np.ndarray:
+    """What a level stands for: the least count of it where it has few, else its geometric middle."""
+    low = BASE ** (level - 1.0)
+    return np.where(level <= 0, 0.0, np.where(low * (BASE - 1) < 1, np.ceil(low - 1e-6), low * np.sqrt(BASE)))
+
+
+def hashes(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each key at a level, from which all its places follow."""
+    with np.errstate(over="ignore"):
+        one = mixed(keys ^ mixed(np.full(1, 0x2003 + level * 0x9E37, "u8")))
+        return one, mixed(one + PRIME) | np.uint64(1)
 
 
-def bit_places(keys: np.ndarray, kind: np.uint64, level: int, size: int) -> np.ndarray:
-    """PROBES places in a filter of ``size`` bits for each key at a level."""
+def place(one: np.ndarray, two: np.ndarray, i: int, size: int) -> np.ndarray:
+    """The ``i``-th place among ``size`` bits."""
     with np.errstate(over="ignore"):
-        one = mixed(keys ^ mixed(np.full(len(keys), level, "u8") * np.uint64(0x9E37) + kind))
-        two = mixed(one + PRIME) | np.uint64(1)
-        return (one[:, None] + two[:, None] * np.arange(PROBES, dtype="u8")) % np.uint64(size)
+        return ((one + two * np.uint64(i)) >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)
 
 
-def built(parts: list[tuple[np.uint64, np.ndarray, np.ndarray]], load: float) -> np.ndarray:
-    """The bytes of a filter with all entries of (kind, keys, levels), at most a share ``load`` of its bits set by design."""
-    n = sum(int(lv.sum()) for _, _, lv in parts)
-    size = 8 * max(8, int(np.ceil(n * PROBES / -np.log(1 - load) / 8)))
+def probes_of(level: int, probes: int) -> int:
+    return probes if level == 1 else LEVEL_PROBES
+
+
+def built(keys: np.ndarray, level: np.ndarray, probes: int) -> np.ndarray:
+    """The bytes of a filter that holds ``keys`` at all levels up to their own."""
+    n = len(keys) * probes + int((level - 1).sum()) * LEVEL_PROBES
+    size = 8 * max(8, int(np.ceil(n / -np.log(1 - LOAD) / 8)))
     bits = np.zeros(size, bool)
-    for kind, keys, lv in parts:
-        for level in range(1, int(lv.max(initial=0)) + 1):
-            keys, lv = keys[lv >= level], lv[lv >= level]
-            for i in range(0, len(keys), CHUNK):
-                bits[bit_places(keys[i : i + CHUNK], kind, level, size).ravel()] = True
+    now = 1
+    while len(keys):
+        for lo in range(0, len(keys), CHUNK):
+            one, two = hashes(keys[lo : lo + CHUNK], now)
+            for i in range(probes_of(now, probes)):
+                bits[place(one, two, i, size)] = True
+        now += 1
+        keys, level = keys[level >= now], level[level >= now]
     return np.packbits(bits, bitorder="little")
 
 
-def probe(bits: np.ndarray, keys: np.ndarray, kind: np.uint64) -> np.ndarray:
+def probe(bits: np.ndarray, keys: np.ndarray, probes: int) -> np.ndarray:
     """The highest level up to which each key is in the filter."""
-    out, left, level = np.zeros(len(keys), "u1"), np.arange(len(keys)), 1
-    while len(left) and level < 200:
-        at = bit_places(keys[left], kind, level, 8 * len(bits))
-        hit = ((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype("u1")) & 1).all(axis=1)
-        left = left[hit]
-        out[left] = level
-        level += 1
+    out, left, now, size = np.zeros(len(keys), "u1"), np.arange(len(keys)), 1, 8 * len(bits)
+    while len(left) and now < 200:
+        one, two = hashes(keys[left], now)
+        for i in range(probes_of(now, probes)):
+            at = place(one, two, i, size)
+            hit = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype("u1")) & 1 == 1
+            if not hit.all():
+                left, one, two = left[hit], one[hit], two[hit]
+            if not len(left):
+                break
+        out[left] = now
+        now += 1
     return out
 
 
-def word_buckets(keys: np.ndarray, up: np.uint64) -> np.ndarray:
-    return (keys >> up).astype("i8")
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as byte planes of their differences, which compress well."""
+    return np.diff(keys, prepend=np.uint64(0)).view("u1").reshape(-1, 8).T.tobytes()
 
 
-def pair_buckets(keys: np.ndarray, up: np.uint64) -> np.ndarray:
-    return ((keys >> up) * np.uint64(SALTS) + (keys & np.uint64(SALTS - 1))).astype("i8")
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, "u1").reshape(8, -1).T).view("u8").ravel(), dtype="u8")
 
 
-def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, values = keys[order], values[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
-    return keys[first], np.add.reduceat(values, first) if len(first) else values[:0]
+def cells(keys: np.ndarray, up: np.uint64) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of sorted keys, whose upper bits are their bucket."""
+    bucket = keys >> up
+    at = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(keys)]
+    return [(int(bucket[lo]), lo, hi) for lo, hi in zip(at, at[1:], strict=False) if lo < hi]
 
 
-BLOCK = "kind int, bucket long, keys binary, vals binary"
+def counted(texts: DataFrame, shift: int, keys_of) -> DataFrame:
+    """bucket, keys: blocks of locally counted keys; a key's bucket is left out of it, and its count is there instead."""
+    up, low, most = np.uint64(64 - shift), np.uint64(shift), (1 << shift) - 1
 
+    def flush(parts: list[np.ndarray]) -> pd.DataFrame:
+        keys = np.sort(np.concatenate(parts))
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        counts, keys = np.diff(np.r_[first, len(keys)]), keys[first]
+        if counts.max() > most:  # large counts are several entries
+            times = -(-counts // most)
+            ends = np.cumsum(times) - 1
+            rest = counts - (times - 1) * most
+            keys, counts = np.repeat(keys, times), np.full(int(times.sum()), most)
+            counts[ends] = rest
+        entries = (keys << low) | counts.astype("u8")
+        rows = [(b, packed(np.sort(entries[lo:hi]))) for b, lo, hi in cells(keys, up)]
+        return pd.DataFrame(rows, columns=["bucket", "keys"])
 
-def blocks(kind: int, keys: np.ndarray, vals: np.ndarray, bucket: np.ndarray) -> list[tuple]:
-    """Rows of BLOCK for each bucket; keys sorted within it."""
-    order = np.lexsort((keys, bucket))
-    keys, vals, bucket = keys[order], vals[order], bucket[order]
-    at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
-    ends = [*at[1:], len(bucket)] if len(at) else []
-    return [(kind, int(bucket[a]), keys[a:b].tobytes(), vals[a:b].tobytes()) for a, b in zip(at, ends, strict=True)]
-
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts: list[np.ndarray] = []
+        for b in batches:
+            for i in range(0, len(b), 1000):
+                parts.append(keys_of(*tokens(encoded(b["text"].iloc[i : i + 1000]))))
+                if sum(map(len, parts)) > FLUSH:
+                    yield flush(parts)
+                    parts = []
+        if parts:
+            yield flush(parts)
 
-def frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["kind", "bucket", "keys", "vals"])
+    return texts.select("text").mapInPandas(run, "bucket long, keys binary")
 
 
-def joined(pdf: pd.DataFrame, dtype: str) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(pdf["keys"]), "u8"), np.frombuffer(b"".join(pdf["vals"]), dtype)
+def encoded(texts: pd.Series) -> list[bytes]:
+    return [t.encode("utf-8", "replace") for t in texts]
 
 
-def counted(training: DataFrame, shift: int) -> DataFrame:
-    """BLOCK rows: kind 1, exact counts of words; kind 2, the filter of pairs; kind 3, what contexts give to those pairs."""
-    up, load = np.uint64(64 - shift), LOAD
+def merged(blocks: pd.Series, bucket: int, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of one bucket and their counts, from its blocks."""
+    entries = np.sort(np.concatenate([unpacked(x) for x in blocks]))
+    keys, counts = entries >> np.uint64(shift), (entries & np.uint64((1 << shift) - 1)).astype("i8")
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first] | (np.uint64(bucket) << np.uint64(64 - shift)), np.add.reduceat(counts, first)
 
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words: list[tuple[np.ndarray, np.ndarray]] = []
-        pairs: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def add(parts: list, keys: np.ndarray) -> None:
-            parts.append(np.unique(keys, return_counts=True))
-            if len(parts) >= 8:
-                parts[:] = [summed(*map(np.concatenate, zip(*parts, strict=True)))]
+VOCABULARY = "bucket long, keys binary, counts binary, total binary, back binary"
 
-        def flush() -> Iterator[pd.DataFrame]:
-            if words:
-                k, c = summed(*map(np.concatenate, zip(*words, strict=True)))
-                yield frame(blocks(1, k, c.astype("i8"), word_buckets(k, up)))
-                k, c = summed(*map(np.concatenate, zip(*pairs, strict=True)))
-                yield frame(blocks(2, k, c.astype("i4"), pair_buckets(k, up)))
-            words.clear()
-            pairs.clear()
 
-        for b in batches:
-            for i in range(0, len(b), 1000):
-                t, bounds = tokens(b["text"].iloc[i : i + 1000].tolist())
-                add(words, t)
-                add(pairs, pair_keys(contexts(t, bounds), t))
-                if sum(len(k) for k, _ in pairs) > 6_000_000:
-                    yield from flush()
-        yield from flush()
+def count_words(training: DataFrame, shift: int) -> DataFrame:
+    """bucket, keys, counts: all words and end tokens."""
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        kind, bucket = int(pdf["kind"].iloc[0]), int(pdf["bucket"].iloc[0])
-        k, c = summed(*joined(pdf, "i8" if kind == 1 else "i4"))
-        if kind == 1:
-            return frame([(1, bucket, k.tobytes(), c.tobytes())])
-        level = levels(c, 1, PAIR_BASE)
-        contexts_, s = summed(k >> np.uint64(32), np.maximum(value(level, 1, PAIR_BASE) - DISCOUNT, 0))
-        return frame([(2, bucket, built([(PAIR, k, level)], load).tobytes(), b""), (3, bucket // SALTS, contexts_.tobytes(), s.astype("f8").tobytes())])
+        bucket = int(pdf["bucket"].iloc[0])
+        k, c = merged(pdf["keys"], bucket, shift)
+        return pd.DataFrame({"bucket": [bucket], "keys": [k.tobytes()], "counts": [c.tobytes()]})
 
-    return training.select("text").mapInPandas(local, BLOCK).groupBy("kind", "bucket").applyInPandas(merge, BLOCK)
+    return counted(training, shift, lambda t, bounds: t).groupBy("bucket").applyInPandas(merge, "bucket long, keys binary, counts binary")
 
 
-def word_filter(k: np.ndarray, c: np.ndarray, given: pd.DataFrame, load: float) -> np.ndarray:
-    """The filter of one bucket's words and of the fallback weights of its contexts."""
-    h, s = summed(*joined(given, "f8"))
-    total_h, total = summed(k >> np.uint64(32), c)
-    at = np.searchsorted(total_h, h)  # every context is a word of the bucket
-    level = np.round(-np.log(np.clip(1 - s / total[at], 0.01, 1)) / np.log(WEIGHT_BASE)).astype("i4")
-    return built([(WORD, k, levels(c, 1, WORD_BASE)), (WEIGHT, h, level)], load)
+def count_pairs(training: DataFrame, shift: int, hot, probes: int) -> DataFrame:
+    """bucket, kind: 2, the filter of a bucket's pairs (keys); 3, contexts (keys) of a bucket of words, with the sum of their quantised counts (total) and the number of words that follow (kinds)."""
+    up = np.uint64(32 - shift)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        bucket = int(pdf["bucket"].iloc[0])
+        k, c = merged(pdf["keys"], bucket, shift)
+        level = levels(c)
+        rows = [(bucket, 2, built(k, level, probes).tobytes(), b"", b"")]
+        upper = k >> np.uint64(32)
+        first = np.flatnonzero(np.r_[True, upper[1:] != upper[:-1]])
+        context, total, kinds = upper[first], np.add.reduceat(value(level), first), np.diff(np.r_[first, len(k)])
+        names, salts = hot.value
+        if len(names):  # what is dealt to several buckets belongs to one context
+            own = np.repeat(names, salts.astype("i8"))
+            other = dealt(own, np.concatenate([np.arange(int(s), dtype="u8") for s in salts]))
+            order = np.argsort(other)
+            other, own = other[order], own[order]
+            at = np.minimum(np.searchsorted(other, context), len(other) - 1)
+            context = np.where(other[at] == context, own[at] >> np.uint64(32), context)
+            order = np.argsort(context, kind="stable")
+            context, total, kinds = context[order], total[order], kinds[order]
+        for b, lo, hi in cells(context, up):
+            rows.append((b, 3, context[lo:hi].astype("u4").tobytes(), total[lo:hi].astype("f8").tobytes(), kinds[lo:hi].astype("i8").tobytes()))
+        return pd.DataFrame(rows, columns=["bucket", "kind", "keys", "total", "kinds"])
+
+    blocks = counted(training, shift, lambda t, bounds: pair_keys(contexts(t, bounds), t, hot.value))
+    return blocks.groupBy("bucket").applyInPandas(merge, "bucket long, kind int, keys binary, total binary, kinds binary")
+
+
+def with_contexts(words: DataFrame, contexts_: DataFrame) -> DataFrame:
+    """VOCABULARY rows: the words with their T (total) and their weight d K / T of falling back (back)."""
+
+    def meet(words: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(words):
+            return pd.DataFrame({"bucket": [], "keys": [], "counts": [], "total": [], "back": []}).astype({"bucket": "i8"})
+        k = np.frombuffer(words["keys"].iloc[0], "u8")
+        c = np.frombuffer(b"".join(own["keys"]), "u4").astype("u8")
+        kinds, at = np.unique(c, return_inverse=True)
+        total = np.bincount(at, np.frombuffer(b"".join(own["total"]), "f8"), len(kinds))
+        n = np.bincount(at, np.frombuffer(b"".join(own["kinds"]), "i8"), len(kinds))
+        upper = k >> np.uint64(32)
+        place_ = np.minimum(np.searchsorted(kinds, upper), max(len(kinds) - 1, 0))
+        found = kinds[place_] == upper if len(kinds) else np.zeros(len(k), bool)
+        t = np.where(found, total[place_], 1.0) if len(kinds) else np.ones(len(k))
+        back = np.where(found, DISCOUNT * n[place_] / t, 1.0) if len(kinds) else np.ones(len(k))
+        return pd.DataFrame({"bucket": words["bucket"], "keys": words["keys"], "counts": words["counts"], "total": [t.astype("f4").tobytes()], "back": [back.astype("f4").tobytes()]})
+
+    return words.groupBy("bucket").cogroup(contexts_.groupBy("bucket")).applyInPandas(meet, VOCABULARY)
+
+
+def sizes(words: DataFrame) -> tuple[int, int]:
+    """N and V."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            counts = [np.frombuffer(x, "i8") for x in b["counts"]]
+            yield pd.DataFrame({"n": [int(sum(c.sum() for c in counts))], "v": [sum(map(len, counts))]})
+
+    got = words.select("counts").mapInPandas(run, "n long, v long").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    return int(got["n"] or 0), int(got["v"] or 0)
 
 
-def frequent(counts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Sorted hashes and counts of the most frequent words, at most ``most``; N; V."""
+def least_count(words: DataFrame, most: int) -> int | None:
+    """The least count such that at most ``most`` words have it or more; None if even the largest counts are too many."""
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for vals in b["vals"]:
+            for vals in b["counts"]:
                 c, n = np.unique(np.frombuffer(vals, "i8"), return_counts=True)
                 yield pd.DataFrame({"c": c, "n": n})
 
-    words = counts.where("kind = 1")
-    steps = words.select("vals").mapInPandas(spread, "c long, n long").groupBy("c").agg(F.sum("n").alias("n"))
-    total = steps.agg(F.sum(F.col("c") * F.col("n")).alias("tokens"), F.sum("n").alias("kinds")).first()
+    steps = words.select("counts").mapInPandas(spread, "c long, n long").groupBy("c").agg(F.sum("n").alias("n"))
     band = F.floor(F.log2("c") * 16)  # counts in bands, so that few rows come back
     at, left = None, most
     for r in steps.groupBy(band.alias("band")).agg(F.sum("n").alias("n"), F.min("c").alias("least")).orderBy(F.desc("band")).collect():
         if r["n"] > left:
             break
         at, left = r["least"], left - r["n"]
-    if at is None:
-        return np.zeros(0, "u8"), np.zeros(0, "i8"), int(total["tokens"] or 0), int(total["kinds"] or 0)
+    return at
 
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def picked(words: DataFrame, least: int, columns: dict[str, str]) -> list[np.ndarray]:
+    """keys, counts and further columns of the words that occur ``least`` times or more, sorted by key."""
+    kinds = {"keys": "u8", "counts": "i8", **columns}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for keys, vals in zip(b["keys"], b["vals"], strict=True):
-                c = np.frombuffer(vals, "i8")
-                yield pd.DataFrame({"keys": [np.frombuffer(keys, "u8")[c >= at].tobytes()], "vals": [c[c >= at].tobytes()]})
+            keep = [np.frombuffer(x, "i8") >= least for x in b["counts"]]
+            yield pd.DataFrame({c: [np.frombuffer(x, kind)[k].tobytes() for x, k in zip(b[c], keep, strict=True)] for c, kind in kinds.items()})
+
+    got = words.select(*kinds).mapInPandas(run, ", ".join(f"{c} binary" for c in kinds)).toPandas()
+    out = [np.frombuffer(b"".join(got[c]), kind) for c, kind in kinds.items()]
+    order = np.argsort(out[0])
+    return [x[order] for x in out]
 
-    got = words.select("keys", "vals").mapInPandas(pick, "keys binary, vals binary").toPandas()  # ``most`` words at most
-    keys, vals = joined(got, "i8")
-    order = np.argsort(keys)
-    return keys[order], vals[order], int(total["tokens"]), int(total["kinds"])
+
+BLOB = "batch long, ids binary, known binary, times binary, lengths binary, texts binary"
+
+
+def blobs(docs: DataFrame, batches_: int) -> DataFrame:
+    """BLOB rows: compressed texts dealt to batches, equal rows once, with their number."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            ids = b["doc_id"].astype("object").where(b["doc_id"].notna(), None)
+            rows: dict[int, dict[tuple, int]] = {}
+            for batch, doc_id, text in zip(b["batch"].tolist(), ids, b["text"], strict=True):
+                own = rows.setdefault(batch, {})
+                own[doc_id, text] = own.get((doc_id, text), 0) + 1
+            out = []
+            for batch, own in rows.items():
+                raw = [t.encode("utf-8", "replace") for _, t in own]
+                known = np.array([i is not None for i, _ in own])
+                out.append((batch, np.array([i or 0 for i, _ in own], "i8").tobytes(), known.tobytes(), np.array(list(own.values()), "i8").tobytes(), np.array(list(map(len, raw)), "i8").tobytes(), squeeze.compress(b"".join(raw))))
+            yield pd.DataFrame(out, columns=["batch", "ids", "known", "times", "lengths", "texts"])
+
+    return docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches_))).mapInPandas(run, BLOB)
+
+
+def opened(pdf: pd.DataFrame) -> tuple[list, np.ndarray, list[bytes]]:
+    """Ids, numbers and texts of a batch, in an order that doesn't depend on the rows' order."""
+    pdf = pdf.sort_values(["ids", "lengths"], kind="stable")
+    ids, known, times, lengths = (np.frombuffer(b"".join(pdf[c]), kind) for c, kind in (("ids", "i8"), ("known", bool), ("times", "i8"), ("lengths", "i8")))
+    data = b"".join(zstandard.ZstdDecompressor().decompress(x) for x in pdf["texts"])
+    ends = np.cumsum(lengths)
+    return [i if k else None for i, k in zip(ids.tolist(), known.tolist(), strict=True)], times, [data[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
 
 
 def lm_scores(docs: DataFrame, held_out) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text; ``held_out`` is a condition on doc_id."""
-    spark = docs.sparkSession
+    context_ = docs.sparkSession.sparkContext
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = cols.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shift = max(4, min(24, (int(size) // BUCKET_BYTES // SALTS).bit_length()))
-    counts = written(counted(cols.where(~held_out), shift), "counts")
-    keys, vals, n_train, kinds = frequent(counts)
-    shared = spark.sparkContext.broadcast((keys, vals))  # FREQUENT words
-    least = int(vals.min()) if len(vals) else None  # words counted so often are all broadcast
-    up, load = np.uint64(64 - shift), LOAD
+    size = int(cols.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    shift = max(8, min(24, (size // BUCKET_BYTES).bit_length()))
+    training = cols.where(~held_out)
+    words = written(count_words(training, shift), "words")
+    n_train, kinds = sizes(words)
+    least = least_count(words, FREQUENT)
+    probes = FALSE + (kinds + 1).bit_length()
+    hot_at = max(HOT, n_train >> 20)  # so hot contexts have at most 2 ** 21 buckets together
+    names, counts = picked(words, max(hot_at, least), {}) if least is not None else (np.zeros(0, "u8"), np.zeros(0, "i8"))
+    hot = context_.broadcast((names, -(-counts // hot_at).astype("u8") if len(counts) else counts.astype("u8")))
+    pairs = written(count_pairs(training, shift, hot, probes), "pairs")
+    vocabulary = written(with_contexts(words, pairs.where("kind = 3").select("bucket", "keys", "total", "kinds")), "vocabulary")
+    shared = context_.broadcast(picked(vocabulary, least, {"total": "f4", "back": "f4"}) if least is not None else [np.zeros(0, "u8"), np.zeros(0, "i8"), np.zeros(0, "f4"), np.zeros(0, "f4")])  # FREQUENT words
+    dropped(words)
+    up, low = np.uint64(64 - shift), np.uint64(shift)
     norm = np.log10(max(n_train + 0.1 * (kinds + 1), 1e-300))
-    texts = cols.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 + int(size) // BATCH_BYTES)))
+    texts = blobs(cols, 1 + size // BATCH_BYTES)
+
+    def parts_of(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens, bounds, the distinct ones, whether those are among the broadcast words, and the pairs' keys."""
+        t, bounds = tokens(raw)
+        word, known = np.unique(np.r_[t, END]), shared.value[0]
+        at = np.minimum(np.searchsorted(known, word), max(len(known) - 1, 0))
+        return t, bounds, word, known[at] == word if len(known) else np.zeros(len(word), bool), pair_keys(contexts(t, bounds), t, hot.value)
 
     def ask(pdf: pd.DataFrame) -> pd.DataFrame:
-        """What a batch has to know: its distinct words (kind 1) and pairs (kind 2), by bucket."""
-        t, bounds = tokens(pdf["text"].tolist())
-        word, pair = np.unique(np.r_[t, END]), np.unique(pair_keys(contexts(t, bounds), t))
-        got = [(kind, bucket, k) for kind, keys, at in ((1, word, word_buckets(word, up)), (2, pair, pair_buckets(pair, up))) for _, bucket, k, _ in blocks(kind, keys, keys, at)]
+        """What a batch has to know: its distinct words that aren't broadcast (kind 1) and its distinct pairs (kind 2), by bucket."""
+        _, _, word, known, pair = parts_of(opened(pdf)[2])
+        got = [(kind, b, packed(keys[lo:hi] << low)) for kind, keys in ((1, word[~known]), (2, np.unique(pair))) for b, lo, hi in cells(keys, up)]
         return pd.DataFrame(got, columns=["kind", "bucket", "keys"]).assign(batch=pdf["batch"].iloc[0])
 
     def answer(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        """Levels of the keys, in their order; for words, those of the fallback weight and the counts beyond the broadcast ones as well."""
+        """The levels of pairs; counts, totals and weights of words; in the order of the keys."""
+        none = pd.DataFrame({"batch": [], "kind": [], "bucket": [], "vals": []}).astype({"batch": "i8", "kind": "i4", "bucket": "i8"})
         if not len(asked):
-            return pd.DataFrame({"batch": [], "kind": [], "bucket": [], "vals": []}).astype({"batch": "i8", "kind": "i4", "bucket": "i8"})
-        pairs, vals = int(asked["kind"].iloc[0]) == 2, []
-        if pairs:
+            return none
+        kind, top, vals = int(asked["kind"].iloc[0]), np.uint64(int(asked["bucket"].iloc[0])) << up, []
+        if kind == 2:
             bits = np.frombuffer(own["keys"].iloc[0], "u1") if len(own) else np.zeros(8, "u1")
+            vals = [probe(bits, (unpacked(raw) >> low) | top, probes).tobytes() for raw in asked["keys"]]
         else:
-            k, c = joined(own[own["kind"] == 1], "i8")
-            bits = word_filter(k, c, own[own["kind"] == 3], load)
-        for keys in asked["keys"]:
-            q = np.frombuffer(keys, "u8")
-            if pairs:
-                vals.append(probe(bits, q, PAIR).tobytes())
-                continue
-            at = np.minimum(np.searchsorted(k, q), max(len(k) - 1, 0))
-            count = np.where(k[at] == q, c[at], 0) if len(k) else np.zeros(len(q), "i8")
-            if least is not None:
-                count[count >= least] = 0
-            vals.append(probe(bits, q, WORD).tobytes() + probe(bits, q >> np.uint64(32), WEIGHT).tobytes() + count.tobytes())
+            k, c, t, back = (np.frombuffer(own[col].iloc[0] if len(own) else b"", kind_) for col, kind_ in (("keys", "u8"), ("counts", "i8"), ("total", "f4"), ("back", "f4")))
+            for raw in asked["keys"]:
+                q = (unpacked(raw) >> low) | top
+                at = np.minimum(np.searchsorted(k, q), max(len(k) - 1, 0))
+                hit = k[at] == q if len(k) else np.zeros(len(q), bool)
+                found = [np.where(hit, x[at], other) if len(k) else np.full(len(q), other) for x, other in ((c, 0), (t, 1.0), (back, 1.0))]
+                vals.append(found[0].astype("i8").tobytes() + found[1].astype("f4").tobytes() + found[2].astype("f4").tobytes())
         return asked[["batch", "kind", "bucket"]].assign(vals=vals)
 
     def score(key: tuple, pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        keys, vals = shared.value
-        answers = answers.sort_values("bucket")
-        t, bounds = tokens(pdf["text"].tolist())
-        context = contexts(t, bounds)
-        kind = np.unique(np.r_[t, END])  # its order is that of the buckets
-        at, at_c = np.searchsorted(kind, t), np.searchsorted(kind, context)
-        parts = [(v, len(v) // 10) for v in answers.loc[answers["kind"] == 1, "vals"]]  # two levels and a count each
-        word = value(np.frombuffer(b"".join(v[:n] for v, n in parts), "u1"), 1, WORD_BASE)
-        weight = WEIGHT_BASE ** -np.frombuffer(b"".join(v[n : 2 * n] for v, n in parts), "u1").astype("f8")
-        count = np.frombuffer(b"".join(v[2 * n :] for v, n in parts), "i8")
-        if len(keys):
-            place = np.minimum(np.searchsorted(keys, kind), len(keys) - 1)
-            count = np.where(keys[place] == kind, vals[place], count)
-        pair, at_p = np.unique(pair_keys(context, t), return_inverse=True)
-        level = np.zeros(len(pair), "u1")
-        level[np.lexsort((pair, pair_buckets(pair, up)))] = np.frombuffer(b"".join(answers.loc[answers["kind"] == 2, "vals"]), "u1")
-        seen = np.maximum(value(level, 1, PAIR_BASE) - DISCOUNT, 0)
-        p = np.minimum(1.0, np.minimum(seen[at_p] / np.maximum(word[at_c], 1.0), 1.0) + weight[at_c] * (word[at] + 0.1) / 10**norm)
+        known_k, known_c, known_t, known_b = shared.value
+        answers = answers.sort_values("bucket")  # keys are sorted by bucket
+        ids, times, raw = opened(pdf)
+        t, bounds, word, known, pair = parts_of(raw)
+        count, total, back = np.zeros(len(word), "i8"), np.ones(len(word)), np.ones(len(word))
+        place_ = np.searchsorted(known_k, word[known])
+        count[known], total[known], back[known] = known_c[place_], known_t[place_], known_b[place_]
+        given = [(v, len(v) // 16) for v in answers.loc[answers["kind"] == 1, "vals"]]
+        count[~known] = np.frombuffer(b"".join(v[: 8 * n] for v, n in given), "i8")
+        total[~known] = np.frombuffer(b"".join(v[8 * n : 12 * n] for v, n in given), "f4")
+        back[~known] = np.frombuffer(b"".join(v[12 * n :] for v, n in given), "f4")
+        at = np.searchsorted(word, t)
+        at_c = np.searchsorted(word, contexts(t, bounds))
+        distinct, at_p = np.unique(pair, return_inverse=True)
+        level = np.frombuffer(b"".join(answers.loc[answers["kind"] == 2, "vals"]), "u1")
+        seen = np.maximum(value(np.arange(256)) - DISCOUNT, 0)[level]
+        p = np.minimum(1.0, seen[at_p] / total[at_c] + back[at_c] * (count[at] + 0.1) / 10**norm)
         n = np.diff(bounds)
-        return pd.DataFrame({
-            "doc_id": pdf["doc_id"].astype("Int64"), "n_tokens": n, "n_known": np.add.reduceat((count[at] > 0).astype("i8"), bounds[:-1]),
+        out = pd.DataFrame({
+            "doc_id": pd.array(ids, "Int64"), "n_tokens": n, "n_known": np.add.reduceat((count[at] > 0).astype("i8"), bounds[:-1]),
             "base_score": np.add.reduceat(np.log10(count[at] + 0.1), bounds[:-1]) - n * norm, "score": np.add.reduceat(np.log10(p), bounds[:-1]),
         })
+        return out.loc[np.repeat(np.arange(len(out)), times)]
 
     asked = texts.groupBy("batch").applyInPandas(ask, "kind int, bucket long, keys binary, batch long")
-    own = counts.withColumn("role", F.when(F.col("kind") == 2, 2).otherwise(1))
-    answers = asked.groupBy("kind", "bucket").cogroup(own.groupBy("role", "bucket")).applyInPandas(answer, "batch long, kind int, bucket long, vals binary")
+    filters = pairs.where("kind = 2").select("kind", "bucket", "keys", F.lit(None).cast("binary").alias("counts"), F.lit(None).cast("binary").alias("total"), F.lit(None).cast("binary").alias("back"))
+    own = vocabulary.select(F.lit(1).alias("kind"), "bucket", "keys", "counts", "total", "back").unionByName(filters)
+    answers = asked.groupBy("kind", "bucket").cogroup(own.groupBy("kind", "bucket")).applyInPandas(answer, "batch long, kind int, bucket long, vals binary")
     out = texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -336,52 +336,87 @@ def test_language_model(docs, empty):
     assert lm.lm_scores(empty, held).count() == 0
 
 
-def test_tail_words_are_counted_by_join(docs, monkeypatch):
+def test_words_that_are_not_broadcast(docs, monkeypatch):
     held = F.col("doc_id") % 10 == 0
     some = docs.where("doc_id is not null")
-    want = sorted((r.doc_id, r.n_known, round(r.base_score, 6)) for r in lm.lm_scores(some, held).collect())
-    real = lm.frequent
-    monkeypatch.setattr(lm, "frequent", lambda counts: real(counts, 6))
-    assert sorted((r.doc_id, r.n_known, round(r.base_score, 6)) for r in lm.lm_scores(some, held).collect()) == want
+    want = sorted((r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 4)) for r in lm.lm_scores(some, held).collect())
+    for most in (0, 6):
+        monkeypatch.setattr(lm, "FREQUENT", most)
+        assert sorted((r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 4)) for r in lm.lm_scores(some, held).collect()) == want
 
 
 def test_filters_hold_all_that_is_counted():
     g = np.random.default_rng(2)
     for n in (0, 1, 1000, 200_000):
         keys, level = g.integers(0, 2**63, n).astype("u8"), g.integers(1, 12, n)
-        bits = lm.built([(lm.PAIR, keys, level)], 0.5)
-        assert (lm.probe(bits, keys, lm.PAIR) >= level).all()
+        bits = lm.built(keys, level, 20)
+        got = lm.probe(bits, keys, 20)
+        assert (got >= level).all() and (got > level).mean() < 0.01 if n else not len(got)
         assert np.unpackbits(bits).mean() <= 0.51
-    assert len(bits) > 5 * len(lm.built([(lm.PAIR, keys[:20_000], level[:20_000])], 0.5))  # it grows with its entries
+    assert len(bits) > 5 * len(lm.built(keys[:20_000], level[:20_000], 20))  # it grows with its entries
+    assert not lm.probe(bits, g.integers(0, 2**63, 200_000).astype("u8"), 20).any()
 
 
-def test_language_model_scores_every_pair(spark, monkeypatch):
-    monkeypatch.setattr(lm, "LOAD", 1e-4)  # next to no false positives
-    texts = [(i, " ".join(rng.choices("a b c d e f g h".split(), [30, 20, 10, 5, 3, 2, 1, 1], k=rng.randint(0, 40)))) for i in range(60)]
-    got = {r.doc_id: r.score for r in lm.lm_scores(spark.createDataFrame(texts, "doc_id long, text string"), F.col("doc_id") % 10 == 0).collect()}
+def test_blocks_of_keys():
+    g = np.random.default_rng(4)
+    keys = np.sort(g.integers(0, 2**64, 5000, dtype="u8"))
+    assert (lm.unpacked(lm.packed(keys)) == keys).all()
+    assert [b for b, _, _ in lm.cells(keys, np.uint64(60))] == list(range(16))
 
-    def pairs(text):
-        t = [*text.split(), None]
-        return list(zip([None, *t[:-1]], t))
 
-    def rounded(count, base):
-        return float(lm.value(lm.levels(np.array([count]), 1, base), 1, base)[0])
+def language_model(texts):
+    """The model's formula on exact dictionaries: a function P(w | h), and the vocabulary."""
+
+    def rounded(count):
+        return float(lm.value(lm.levels(np.array([count])))[0])
 
     c = collections.Counter(p for i, t in texts if i % 10 for p in pairs(t))
-    assert 1 in c.values()
-    words = collections.Counter()
-    for (_, w), n in c.items():
+    words, total, follow = collections.Counter(), collections.Counter(), collections.Counter()
+    for (h, w), n in c.items():
         words[w] += n
-    total, kinds, given = sum(words.values()), len(words), collections.Counter()
-    for (h, _), n in c.items():
-        given[h] += max(rounded(n, lm.PAIR_BASE) - lm.DISCOUNT, 0)
-    for i, text in texts:
-        want = 0.0
-        for h, w in pairs(text):
-            weight = lm.WEIGHT_BASE ** -round(-math.log(min(max(1 - given[h] / words[h], 0.01), 1)) / math.log(lm.WEIGHT_BASE)) if words[h] else 1.0
-            seen = max(rounded(c[h, w], lm.PAIR_BASE) - lm.DISCOUNT, 0) / max(rounded(words[h], lm.WORD_BASE), 1)
-            want += math.log10(min(1.0, min(seen, 1.0) + weight * (rounded(words[w], lm.WORD_BASE) + 0.1) / (total + 0.1 * (kinds + 1))))
-        assert abs(got[i] - want) < 1e-6
+        total[h] += rounded(n)
+        follow[h] += 1
+    n = sum(words.values())
+
+    def p(w, h):
+        base = (words[w] + 0.1) / (n + 0.1 * (len(words) + 1))
+        if not total[h]:
+            return base
+        seen = max(rounded(c[h, w]) - lm.DISCOUNT, 0) if c[h, w] else 0
+        return seen / total[h] + lm.DISCOUNT * follow[h] / total[h] * base
+
+    return p, words
+
+
+def pairs(text):
+    t = [*text.split(), None]
+    return list(zip([None, *t[:-1]], t))
+
+
+@pytest.mark.parametrize("hot", [1 << 17, 40])
+def test_language_model_scores_every_pair(spark, monkeypatch, hot):
+    monkeypatch.setattr(lm, "HOT", hot)  # 40: the pairs of frequent contexts are dealt to several buckets
+    monkeypatch.setattr(lm, "LEVEL_PROBES", 24)  # next to no false positives
+    g = random.Random(8)
+    texts = [(i, " ".join(g.choices([f"w{k}" for k in range(300)], [1 / (k + 1) for k in range(300)], k=g.randint(0, 60)))) for i in range(120)]
+    texts.append((10, "w0 never seen w1"))
+    rows = lm.lm_scores(spark.createDataFrame([*texts, (3, texts[3][1])], "doc_id long, text string"), F.col("doc_id") % 10 == 0).collect()
+    p, words = language_model([*texts, (3, texts[3][1])])
+    want = sorted((i, sum(math.log10(min(1.0, p(w, h))) for h, w in pairs(t))) for i, t in [*texts, (3, texts[3][1])])
+    got = sorted((r.doc_id, r.score) for r in rows)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert not [(i, s, w) for (i, s), (_, w) in zip(got, want, strict=True) if abs(s - w) > 1e-3]
+    for h in [None, "w0", "w1", "w250", "w299", "never"]:  # frequent, rare and unseen contexts
+        assert abs(sum(p(w, h) for w in [*words, "unknown"]) - 1) < 1e-9
+
+
+def test_false_positives_of_a_rare_context_are_bounded():
+    g = np.random.default_rng(6)
+    vocabulary = 100_000
+    probes = lm.FALSE + (vocabulary + 1).bit_length()
+    keys = g.integers(0, 2**63, 50_000).astype("u8")
+    bits = lm.built(keys, np.ones(len(keys), "i4"), probes)
+    assert (1 - lm.DISCOUNT) * np.count_nonzero(lm.probe(bits, g.integers(0, 2**63, vocabulary * 20).astype("u8"), probes)) / 20 < 0.02
 
 
 def test_near_vectors_that_the_graph_misses(spark, monkeypatch):
