@@ -38,6 +38,18 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return out
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def dropped(*frames: DataFrame | None) -> None:
     """Delete the folders of written tables that nothing reads any more."""
     for df in frames:

@@ -1,18 +1,23 @@
 """N-gram Jaccard join by a MinHash LSH forest.
 
 Texts are sets of shingles of five words. Equal texts are one class, which is compared once. Every
-class has a MinHash signature, cut into trees; a tree is a prefix trie of the sorted signatures, and
-classes below one node at some depth are candidates. The depth is shortened until the modelled recall
-at the threshold reaches the target, and again after verification if the links found tell that more
-were lost than that. Candidates whose signatures differ clearly are dropped; what is left falls into
-connected groups, and in each group every pair is verified on the exact sets by an inverted index.
-Large trie nodes and groups are cut into blocks that meet pairwise, so neither is ever one task's, and
-pairs aren't rows: a task returns counts and a spanning forest of its links.
+class has a MinHash signature, cut into trees; a tree is a prefix trie, kept as the range-sorted keys of
+all classes. A pass over the sorted keys gives each class its longest prefix in common with a neighbour;
+classes whose longest match in a tree is shorter than the depth asked for leave that tree. The others
+meet below one node: neighbours first, which have the longest prefixes in common, then, with prefixes
+shortened to the depth, all that aren't connected yet. The depth begins where the modelled recall at the
+threshold reaches the target, and is shortened, with a looser drop of candidates by their signatures,
+until the measured recall reaches it too: that of a bounded sample of documents, whose links are
+counted by brute force in the pass that signs all texts, and that told by the similarities of the links
+found. What is left falls into connected groups, and in each group every pair is verified on the exact
+sets by an inverted index. Large trie nodes and groups are cut into blocks that meet pairwise, so neither
+is ever one task's, and pairs aren't rows: a task returns counts and a spanning forest of its links.
 
 Defined cases: rows without id, and texts that are null or without words, link with nothing; a text of
 one to four words is one shingle; ties are inclusive (similarity of exactly the threshold links);
 repeated rows are copies; a repeated id has a row for each of its texts; an empty table gives an empty
-result; columns other than doc_id and text pass through ``one_of_each`` and are otherwise not read.
+result; columns other than doc_id and text pass through ``one_of_each``, whatever their names, and are
+otherwise not read.
 """
 
 from __future__ import annotations
@@ -24,14 +29,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, dropped, written
-from .graph import components, forest
+from .common import documents, dropped, fresh, written
+from .graph import components, forest, roots
 
 WORDS = 5
 THRESHOLD = 0.8
 TREES, DEPTH = 16, 8  # tries, and values in each: 128 hash functions
 TARGET = 0.999  # recall
 CLEAR = 5.0  # standard deviations below the threshold at which a signature rules a pair out
+AUDIT, AUDIT_SHINGLES = 512, 1_000_000  # documents whose links are counted by brute force, and shingles of them, at most
+SORTED_ROWS = 200_000  # rows of the sorted tries in one range
+FILTER_WORDS = 1 << 20  # of 64 bits, in the filter that keeps texts without candidates from being shuffled: 8 MB
 NODE_BLOCK, GROUP_BLOCK = 1000, 1500  # classes
 CHUNK = 1 << 20  # bytes hashed at once
 
@@ -82,10 +90,9 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out) if out else np.zeros(0, "u8"), np.r_[0, np.cumsum(counts)]
 
 
-def signatures(texts: list[str]) -> np.ndarray:
-    """TREES x DEPTH MinHash values of each text; zeros for one without words."""
-    h, bounds = shingles(texts)
-    out = np.zeros((len(texts), TREES * DEPTH), "u4")
+def signatures(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """TREES x DEPTH MinHash values of each text, from its shingles; zeros for one without words."""
+    out = np.zeros((len(bounds) - 1, TREES * DEPTH), "u4")
     some = np.flatnonzero(np.diff(bounds))
     rng = np.random.default_rng(2)
     a, b = rng.integers(0, 2**32, (2, TREES * DEPTH), dtype="u4")
@@ -105,6 +112,32 @@ def signatures(texts: list[str]) -> np.ndarray:
     return out
 
 
+class Sample:
+    """Some texts' shingles, sorted, against which others are compared by brute force."""
+
+    def __init__(self, texts: list[str]):
+        sets = [np.unique(h) for h in (shingles([t])[0] for t in texts)]
+        self.sizes = np.array(list(map(len, sets)), "i8")
+        owner, h = np.repeat(np.arange(len(sets)), self.sizes), np.concatenate([np.zeros(0, "u8"), *sets])
+        order = np.argsort(h, kind="stable")
+        self.h, self.owner = h[order], owner[order]
+
+    def links(self, h: np.ndarray, bounds: np.ndarray, threshold: float) -> list[list[int]]:
+        """For each text, given by its shingles, the sampled ones that are similar to it."""
+        out: list[list[int]] = [[] for _ in bounds[1:]]
+        at = np.searchsorted(self.h, h)
+        hit = np.flatnonzero(self.h[np.minimum(at, len(self.h) - 1)] == h) if len(self.h) else at[:0]
+        doc = np.searchsorted(bounds, hit, "right") - 1
+        for i in np.unique(doc):
+            own = np.unique(h[bounds[i] : bounds[i + 1]])
+            lo, hi = np.searchsorted(self.h, own), np.searchsorted(self.h, own, "right")
+            n = hi - lo
+            met = self.owner[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            shared = np.bincount(met, minlength=len(self.sizes))
+            out[i] = np.flatnonzero((shared > 0) & (shared / (len(own) + self.sizes - shared) >= threshold)).tolist()
+        return out
+
+
 def modelled_recall(similarity: float | np.ndarray, depth: int) -> float | np.ndarray:
     """The chance that two sets meet in a trie node of ``depth``."""
     return 1 - (1 - similarity**depth) ** TREES
@@ -125,36 +158,59 @@ def has_words() -> Column:
     return F.coalesce(F.col("text").cast("string").rlike(r"[^\s\p{Z}\x1c-\x1f\x85]"), F.lit(False))
 
 
-def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, h1, h2 and signature of documents that have an id and words."""
+def usable(docs: DataFrame) -> DataFrame:
+    """doc_id, h1, h2 and text of documents that have an id and words."""
+    return docs.where(F.col("doc_id").isNotNull() & has_words()).select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys(), F.col("text").cast("string").alias("text"))
+
+
+def sampled(rows: DataFrame) -> pd.DataFrame:
+    """doc_id, h1, h2 and text of some documents: AUDIT and about AUDIT_SHINGLES at most."""
+    got = rows.select("doc_id", "h1", "h2", F.length("text").alias("n")).orderBy(F.xxhash64("doc_id", "h1", F.lit(5)), "doc_id", "h1").limit(AUDIT).toPandas()
+    got = got[(got["n"].cumsum() <= 5 * AUDIT_SHINGLES)]
+    if not len(got):
+        return got.assign(text=[])
+    keys = F.broadcast(rows.sparkSession.createDataFrame(got[["doc_id", "h1", "h2"]], "doc_id long, h1 long, h2 long"))
+    return rows.join(keys, ["doc_id", "h1", "h2"]).toPandas().drop_duplicates(["h1", "h2"], ignore_index=True)
+
+
+def signed(rows: DataFrame, sample: Sample, threshold: float) -> DataFrame:
+    """doc_id, h1, h2, signature and the places of the sampled texts that are similar to the document's."""
+    shared = rows.sparkSession.sparkContext.broadcast(sample)  # AUDIT_SHINGLES shingles
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for i in range(0, len(b), 2000):
                 part = b.iloc[i : i + 2000]
-                s = signatures(part["text"].tolist())
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "h1": part["h1"].to_numpy(), "h2": part["h2"].to_numpy(), "sig": [x.tobytes() for x in s]})
+                h, bounds = shingles(part["text"].tolist())
+                s = signatures(h, bounds)
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "h1": part["h1"].to_numpy(), "h2": part["h2"].to_numpy(), "sig": [x.tobytes() for x in s], "near": shared.value.links(h, bounds, threshold)})
 
-    rows = docs.where(F.col("doc_id").isNotNull() & has_words()).select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys(), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, h1 long, h2 long, sig binary").withColumn("row", F.monotonically_increasing_id())
+    return rows.mapInPandas(run, "doc_id long, h1 long, h2 long, sig binary, near array<int>").withColumn("row", F.monotonically_increasing_id())
 
 
-def trie_nodes(classes: DataFrame, depth: int) -> DataFrame:
-    """trie (a hash of tree and prefix), node, sketch: every class in each tree, to ``depth``."""
+def sorted_tries(classes: DataFrame, n: int, depth: int) -> DataFrame:
+    """tree, key, node, match: ``n`` classes in each tree, range-sorted by key, as far as their longest common prefix with a neighbour (match, in values) is ``depth`` or more, or can't be known before the ranges meet."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if not len(b):
-                continue
-            s = np.frombuffer(b"".join(b["sig"]), "u4").reshape(len(b), TREES, DEPTH)
-            with np.errstate(over="ignore"):
-                h = np.broadcast_to(np.arange(1, TREES + 1, dtype="u8"), (len(b), TREES))
-                for d in range(depth):
-                    h = (h ^ s[:, :, d]) * PRIME
-                    h = h ^ (h >> np.uint64(31))
-            yield pd.DataFrame({"trie": h.astype("i8").ravel(), "node": np.repeat(b["node"].to_numpy(), TREES)})
-
-    return classes.select("node", "sig").mapInPandas(run, "trie long, node long")
+            if len(b):
+                raw = np.frombuffer(b"".join(b["sig"]), "u4").astype(">u4").tobytes()
+                width = 4 * DEPTH
+                yield pd.DataFrame({"tree": np.tile(np.arange(TREES, dtype="i4"), len(b)), "key": [raw[i : i + width] for i in range(0, len(raw), width)], "node": np.repeat(b["node"].to_numpy(), TREES)})
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([pd.DataFrame({"tree": [], "key": [], "node": []}).astype({"tree": "i4", "node": "i8"}), *batches], ignore_index=True)  # SORTED_ROWS on average
+        if not len(rows):
+            return
+        values, tree = np.frombuffer(b"".join(rows["key"]), ">u4").reshape(-1, DEPTH), rows["tree"].to_numpy()
+        common = np.cumprod((values[1:] == values[:-1]) & (tree[1:] == tree[:-1])[:, None], axis=1).sum(axis=1)
+        longest = np.maximum(np.r_[DEPTH, common], np.r_[common, DEPTH])  # the ends may go on in the next range
+        yield rows.assign(match=longest)[longest >= depth]
+
+    order = ["tree", "key", "node"]
+    rows = classes.select("node", "sig").mapInPandas(keys, "tree int, key binary, node long")
+    parts = -(-n * TREES // SORTED_ROWS)
+    return rows.repartitionByRange(max(1, parts), *order).sortWithinPartitions(*order).mapInPandas(match, "tree int, key binary, node long, match int")
 
 
 def blocked(rows: DataFrame, key: str, size: str, block: int) -> DataFrame:
@@ -171,32 +227,38 @@ def sketch(sig: bytes) -> np.ndarray:
 
 
 def likely(cut: float):
-    """Sorted rows trie, a, b, block, node, sketch: a spanning forest of pairs in each cell whose sketches agree to ``cut``."""
+    """Rows trie, a, b, block, key, node, sketch, sorted by cell and key: a spanning forest of pairs in each cell whose sketches agree to ``cut``."""
+
+    def forest_of(node: np.ndarray, block: np.ndarray, s: np.ndarray, cross: bool) -> tuple[np.ndarray, np.ndarray]:
+        n = len(node)
+        near = np.flatnonzero((s[1:] == s[:-1]).mean(axis=1, dtype="f4") >= cut)  # neighbours: the longest common prefixes
+        left, right = [near], [near + 1]
+        ids, low = roots(np.r_[near, np.arange(n)], np.r_[near + 1, np.arange(n)])
+        for i in range(0, n if len(np.unique(low)) > 1 else 0, 64):  # shorter ones: pairs that aren't connected yet
+            x, y = np.nonzero((low[i : i + 64, None] < low[None]) | ((low[i : i + 64, None] > low[None]) & (np.arange(i, min(n, i + 64))[:, None] < np.arange(n))))
+            x += i
+            fine = block[x] != block[y] if cross else np.ones(len(x), bool)
+            x, y = x[fine], y[fine]
+            for k in range(0, len(x), 20_000):
+                hit = (s[x[k : k + 20_000]] == s[y[k : k + 20_000]]).mean(axis=1, dtype="f4") >= cut
+                a, b = forest(x[k : k + 20_000][hit], y[k : k + 20_000][hit])
+                left.append(a)
+                right.append(b)
+        x, y = forest(np.concatenate(left), np.concatenate(right))
+        return node[x], node[y]
 
     def cells(df: pd.DataFrame) -> pd.DataFrame:
         node, block, cross = df["node"].to_numpy(), df["block"].to_numpy(), (df["a"] != df["b"]).to_numpy()
         s = np.frombuffer(b"".join(df["sketch"]), "u1").reshape(len(df), -1)
         cell = df[["trie", "a", "b"]].to_numpy()
         bounds = np.r_[0, np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1, len(df)]
-        sizes = np.diff(bounds)
-        two = bounds[:-1][sizes == 2]
-        ok = ((s[two] == s[two + 1]).mean(axis=1) >= cut) & (~cross[two] | (block[two] != block[two + 1]))
-        a, b = [node[two[ok]]], [node[two[ok] + 1]]
-        for lo, n in zip(bounds[:-1][sizes > 2], sizes[sizes > 2], strict=True):
-            own = s[lo : lo + n]
-            left, right = [], []
-            for i in range(0, n, 64):
-                hit = (own[i : i + 64, None] == own[None]).mean(axis=2, dtype="f4") >= cut
-                x, y = np.nonzero(hit)
-                x += i
-                fine = (x < y) & (~cross[lo] | (block[lo + x] != block[lo + y]))
-                x, y = forest(x[fine], y[fine])
-                left.append(x)
-                right.append(y)
-            x, y = forest(np.concatenate(left), np.concatenate(right))
-            a.append(node[lo + x])
-            b.append(node[lo + y])
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+        size = np.diff(bounds)
+        two = bounds[:-1][size == 2]
+        ok = (s[two] == s[two + 1]).mean(axis=1) >= cut
+        pairs = [(node[two[ok]], node[two[ok] + 1])]
+        for lo, n in zip(bounds[:-1][size > 2], size[size > 2], strict=True):
+            pairs.append(forest_of(node[lo : lo + n], block[lo : lo + n], s[lo : lo + n], bool(cross[lo])))
+        return pd.DataFrame({"a": np.concatenate([a for a, _ in pairs]), "b": np.concatenate([b for _, b in pairs])})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -213,20 +275,39 @@ def likely(cut: float):
     return run
 
 
-def candidates(classes: DataFrame, depth: int, threshold: float) -> DataFrame:
-    """node, component of classes that are likely to be similar to another one."""
-    tries = written(trie_nodes(classes, depth), "tries")
+def candidates(classes: DataFrame, n: int, depth: int, threshold: float, clear: float) -> DataFrame:
+    """node, component of classes that are likely to be similar to another one; ``n`` classes."""
+    prefix = F.xxhash64("tree", F.expr(f"substring(key, 1, {4 * depth})")).alias("trie")
+    tries = written(sorted_tries(classes, n, depth).select(prefix, "key", "node"), "tries")
     sizes = tries.groupBy("trie").agg(F.count("*").alias("n")).where("n > 1")
-    met = tries.join(sizes, "trie")
-    cells = blocked(met, "trie", "n", NODE_BLOCK).join(classes.select("node", "sketch"), "node").select("trie", "a", "b", "block", "node", "sketch")
-    cut = threshold - CLEAR * np.sqrt(threshold * (1 - threshold) / (TREES * DEPTH))
-    sorted_cells = cells.repartition("trie", "a", "b").sortWithinPartitions("trie", "a", "b")
+    cells = blocked(tries.join(sizes, "trie"), "trie", "n", NODE_BLOCK).join(classes.select("node", "sketch"), "node").select("trie", "a", "b", "block", "key", "node", "sketch")
+    cut = threshold - clear * np.sqrt(threshold * (1 - threshold) / (TREES * DEPTH))
+    sorted_cells = cells.repartition("trie", "a", "b").sortWithinPartitions("trie", "a", "b", "key", "node")
     edges = sorted_cells.mapInPandas(likely(float(cut)), "a long, b long")
     out = written(components(edges).select(F.col("id").alias("node"), "component"), "groups")
     dropped(tries)
     return out
 
 
+def filtered(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` whose (h1, h2) may be among those of ``keys``: all that are, and few others unless the filter is full."""
+    places = keys.select(F.explode(F.array("h1", "h2")).alias("h"))
+    word = F.shiftrightunsigned("h", 6) % FILTER_WORDS
+    got = places.select(word.alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # FILTER_WORDS rows at most
+    bits = np.zeros(FILTER_WORDS, "u8")
+    bits[got["word"].to_numpy("i8")] = got["bits"].to_numpy("i8").view("u8")
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def among(one: pd.Series, two: pd.Series) -> pd.Series:
+        ok = np.ones(len(one), bool)
+        for h in (one.to_numpy("i8").view("u8"), two.to_numpy("i8").view("u8")):
+            ok &= (shared.value[(h >> np.uint64(6)) % np.uint64(FILTER_WORDS)] >> (h & np.uint64(63))) & np.uint64(1) == 1
+        return pd.Series(ok)
+
+    return rows.where(among("h1", "h2"))
+
+
 def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshold: float, depth: int) -> DataFrame:
     """Rows kind 'n' (node, n: texts, docs: documents linked), 'e' (node, other: a forest of links) and 's' (n links, of which some share x is modelled as lost)."""
     sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
@@ -235,7 +316,8 @@ def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshold:
     where = groups.join(sizes, "component").join(classes.select("node", "doc_id", "h1", "h2", "copies"), "node")
     small = F.col("size") <= GROUP_BLOCK
     where = where.withColumn("cell", F.when(small, -1 - F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.col("component")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys(), F.col("text").cast("string").alias("text")).join(where, ["doc_id", "h1", "h2"])
+    where = written(where, "where")
+    texts = filtered(usable(docs), where).join(where, ["doc_id", "h1", "h2"])
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -297,7 +379,9 @@ def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshold:
             out.append(pd.DataFrame({"kind": ["s"], "node": [0], "n": [len(s)], "x": [float((1 / met - 1).sum())]}))
         return pd.concat(out).reindex(columns=["kind", "node", "n", "docs", "other", "x"]).astype({"n": "Int64", "docs": "Int64", "other": "Int64"})
 
-    return written(cells.groupBy("cell", "a", "b").applyInPandas(run, "kind string, node long, n long, docs long, other long, x double"), "links")
+    out = written(cells.groupBy("cell", "a", "b").applyInPandas(run, "kind string, node long, n long, docs long, other long, x double"), "links")
+    dropped(where)
+    return out
 
 
 def with_sketch(rows: DataFrame) -> DataFrame:
@@ -308,19 +392,33 @@ def with_sketch(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "doc_id long, h1 long, h2 long, copies long, node long, sig binary, sketch binary")
 
 
+def measured(rows: DataFrame, sample: pd.DataFrame, classes: DataFrame, found: DataFrame) -> float:
+    """The mean share of the links to other texts that were found, over the sampled documents that have any."""
+    if not len(sample):
+        return 1.0
+    texts = rows.where("size(near) > 0").select("h1", "h2", F.explode("near").alias("k")).distinct()
+    own = rows.sparkSession.createDataFrame(sample.assign(k=range(len(sample)))[["k", "h1", "h2"]], "k int, h1 long, h2 long")
+    true = texts.groupBy("k").agg((F.count("*") - 1).alias("n")).where("n > 0").join(own, "k")  # a text is near to itself
+    got = F.broadcast(true).join(classes.select("h1", "h2", "node"), ["h1", "h2"], "left").join(found.where("kind = 'n'").groupBy("node").agg(F.sum("n").alias("got")), "node", "left")
+    share = got.agg(F.avg(F.least(F.lit(1.0), F.coalesce("got", F.lit(0)) / F.col("n")))).first()[0]
+    return 1.0 if share is None else float(share)
+
+
 def links(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Classes of equal texts (node, doc_id: their smallest, h1, h2, copies), link counts (node, n_texts, n_docs) and groups (node, group)."""
-    rows = written(signed(docs), "signatures")
+    sample = sampled(usable(docs))
+    rows = written(signed(usable(docs), Sample(sample["text"].tolist()), threshold), "signatures")
     equal = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("copies")).select("copies", F.col("first.row").alias("row"))
     classes = written(with_sketch(rows.join(equal, "row").select("doc_id", "h1", "h2", "copies", F.col("row").alias("node"), "sig")), "classes")
-    depth = first_depth(threshold, target)
+    n, depth, clear = classes.count(), first_depth(threshold, target), CLEAR
     while True:
-        groups = candidates(classes, depth, threshold)
+        groups = candidates(classes, n, depth, threshold, clear)
         found = verified(docs, classes, groups, threshold, depth)
         got = found.where("kind = 's'").agg(F.sum("n").alias("n"), F.sum("x").alias("lost")).first()
-        if depth == 1 or not got["n"] or got["lost"] <= (1 - target) * (got["n"] + got["lost"]):
+        enough = not got["n"] or got["lost"] <= (1 - target) * (got["n"] + got["lost"])
+        if depth == 1 or enough and measured(rows, sample, classes, found) >= target:
             break
-        depth -= 1
+        depth, clear = depth - 1, clear + 1
         dropped(groups, found)
     dropped(rows, groups)
     counts = found.where("kind = 'n'").groupBy("node").agg(F.sum("n").alias("n_texts"), F.sum("docs").alias("n_docs"))
@@ -346,15 +444,15 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     classes, _, joined = links(docs, threshold)
     best = classes.join(joined, "node", "left").withColumn("group", F.coalesce("group", "node"))
     best = best.groupBy("group").agg(F.min(F.struct("doc_id", "node")).alias("first")).select(F.col("first.node").alias("node"))
-    kept = classes.join(best, "node").select(F.col("doc_id").alias("kept_id"), F.col("h1").alias("kept_h1"), F.col("h2").alias("kept_h2"), (F.col("copies") > 1).alias("kept_more"))
-    h1, h2 = text_keys()
-    keyed = docs.withColumns({"kept_h1": h1, "kept_h2": h2})
-    out = keyed.where("doc_id is not null").join(kept, (F.col("doc_id").cast("long") == F.col("kept_id")) & keyed["kept_h1"].eqNullSafe(kept["kept_h1"]) & keyed["kept_h2"].eqNullSafe(kept["kept_h2"]))
-    out = out.select(*[keyed[c] for c in docs.columns], "kept_more", keyed["kept_h1"], keyed["kept_h2"])
-    once = out.where("not kept_more").select(docs.columns)
-    more = out.where("kept_more").dropDuplicates(["doc_id", "kept_h1", "kept_h2"]).select(docs.columns)  # copies may have the same id
-    wordless = keyed.where(F.col("doc_id").isNull() | ~has_words()).select(docs.columns)
-    return once.unionByName(more).unionByName(wordless)
+    own = fresh(docs, "h1", "h2", "kept_id", "kept_h1", "kept_h2", "more")
+    kept = classes.join(best, "node").select(*[c.alias(n) for c, n in zip((F.col("doc_id"), F.col("h1"), F.col("h2"), F.col("copies") > 1), own[2:], strict=True)])
+    h1, h2, kept_id, kept_h1, kept_h2, more = map(F.col, own)
+    keyed = docs.withColumns(dict(zip(own, text_keys(), strict=False)))
+    out = keyed.where("doc_id is not null").join(kept, (F.col("doc_id").cast("long") == kept_id) & (h1 == kept_h1) & (h2 == kept_h2))
+    once = out.where(~more).select(docs.columns)
+    several = out.where(more).dropDuplicates(["doc_id", *own[:2]]).select(docs.columns)  # copies may have the same id
+    wordless = docs.where(F.col("doc_id").isNull() | ~has_words())
+    return once.unionByName(several).unionByName(wordless)
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

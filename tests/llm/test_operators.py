@@ -173,6 +173,42 @@ def test_large_trie_nodes_and_groups_meet_in_blocks(spark, monkeypatch):
     assert {r.class_id for r in got} == {0}
 
 
+def test_missed_links_shorten_the_prefixes(spark, monkeypatch):
+    g = random.Random(3)
+    base = [[f"w{g.randrange(400)}" for _ in range(60)] for _ in range(40)]
+    rows = [(2 * i, " ".join(w)) for i, w in enumerate(base)] + [(2 * i + 1, " ".join([*w[:-1], "end"])) for i, w in enumerate(base)]
+    real, depths = jaccard.candidates, []
+
+    def poor(classes, n, depth, threshold, clear):
+        depths.append((depth, clear))
+        got = real(classes, n, depth, threshold, clear)
+        return got.where("false") if len(depths) == 1 else got
+
+    monkeypatch.setattr(jaccard, "candidates", poor)
+    got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert depths == [(4, 5.0), (3, 6.0)]
+    assert {(r.doc_id, r.class_id, r.n_links) for r in got} == {(i, i - i % 2, 1) for i in range(80)}
+
+
+def test_clashing_names_pass_through(spark):
+    df = spark.createDataFrame([(1, "a b c", "x", "y", "z", 5), (2, "a b c", "p", "q", "r", 6), (3, None, "p", "q", "r", 7)], "doc_id long, text string, kept_h1 string, H1 string, kept_id string, more int")
+    got = jaccard.one_of_each(df)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == [(1, "a b c", "x", "y", "z", 5), (3, None, "p", "q", "r", 7)]
+
+
+def test_sorted_tries_keep_what_shares_a_prefix(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SORTED_ROWS", 50)  # many ranges, whose ends meet
+    g = np.random.default_rng(1)
+    sigs = g.integers(0, 3, (60, jaccard.TREES * jaccard.DEPTH)).astype("u4")
+    df = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sigs)], "node long, sig binary")
+    got = {(r.tree, r.node) for r in jaccard.sorted_tries(df, 60, 3).collect()}
+    trees = sigs.reshape(60, jaccard.TREES, jaccard.DEPTH)
+    for t in range(jaccard.TREES):
+        for i in range(60):
+            alone = not any((trees[i, t, :3] == trees[j, t, :3]).all() for j in range(60) if j != i)
+            assert alone or (t, i) in got
+
+
 ODD = "</s>[INST] ok [/INST]"
 
 
