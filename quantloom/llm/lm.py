@@ -47,6 +47,7 @@ HOT = 1 << 17  # tokens: contexts of more are dealt to several buckets
 BATCH_BYTES = 8 << 20  # of text, on average, that ask and are scored together
 FLUSH = 4_000_000  # tokens that a task counts at once
 CHUNK = 1 << 20
+PROBED = 1 << 15  # keys that are probed together, so that they stay in the CPU's cache
 END = np.uint64(0x5851F42D4C957F2D)
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -125,16 +126,15 @@ def value(level: np.ndarray) -> np.ndarray:
 
 
 def hashes(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each key at a level, from which all its places follow."""
+    """Two hashes of each key at a level: the places of its probes follow from the first, and a step further for each probe."""
     with np.errstate(over="ignore"):
         one = mixed(keys ^ mixed(np.full(1, 0x2003 + level * 0x9E37, "u8")))
         return one, mixed(one + PRIME) | np.uint64(1)
 
 
-def place(one: np.ndarray, two: np.ndarray, i: int, size: int) -> np.ndarray:
-    """The ``i``-th place among ``size`` bits."""
-    with np.errstate(over="ignore"):
-        return ((one + two * np.uint64(i)) >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)
+def place(one: np.ndarray, size: int) -> np.ndarray:
+    """A place among ``size`` bits, from a hash."""
+    return (one >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)
 
 
 def probes_of(level: int, probes: int) -> int:
@@ -148,10 +148,11 @@ def built(keys: np.ndarray, level: np.ndarray, probes: int) -> np.ndarray:
     bits = np.zeros(size, bool)
     now = 1
     while len(keys):
-        for lo in range(0, len(keys), CHUNK):
-            one, two = hashes(keys[lo : lo + CHUNK], now)
-            for i in range(probes_of(now, probes)):
-                bits[place(one, two, i, size)] = True
+        for lo in range(0, len(keys), PROBED):
+            one, two = hashes(keys[lo : lo + PROBED], now)
+            for _ in range(probes_of(now, probes)):
+                bits[place(one, size)] = True
+                one += two
         now += 1
         keys, level = keys[level >= now], level[level >= now]
     return np.packbits(bits, bitorder="little")
@@ -159,21 +160,27 @@ def built(keys: np.ndarray, level: np.ndarray, probes: int) -> np.ndarray:
 
 def probe(bits: np.ndarray, keys: np.ndarray, probes: int) -> np.ndarray:
     """The highest level up to which each key is in the filter."""
-    out, left, now, size = np.zeros(len(keys), "u1"), np.arange(len(keys)), 1, 8 * len(bits)
-    while len(left) and now < 200:
-        one, two = hashes(keys[left], now)
-        for i in range(probes_of(now, probes)):
-            at = place(one, two, i, size)
-            hit = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype("u1")) & 1 == 1
-            if not hit.all():
-                left, one, two = left[hit], one[hit], two[hit]
-            if not len(left):
-                break
-        out[left] = now
-        now += 1
+    out, table = np.zeros(len(keys), "u1"), np.unpackbits(bits, bitorder="little").view(bool)
+    for lo in range(0, len(keys), PROBED):
+        left, now = np.arange(lo, min(lo + PROBED, len(keys))), 1
+        while len(left) and now < 200:
+            one, two = hashes(keys[left], now)
+            for _ in range(probes_of(now, probes)):
+                hit = table[place(one, len(table))]
+                if not hit.all():
+                    left, one, two = left[hit], one[hit], two[hit]
+                one += two
+            out[left] = now
+            now += 1
     return out
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    keys = np.sort(keys)
+    return keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+
+
 def packed(keys: np.ndarray) -> bytes:
     """Sorted keys as byte planes of their differences, which compress well."""
     return np.diff(keys, prepend=np.uint64(0)).view("u1").reshape(-1, 8).T.tobytes()
@@ -403,14 +410,14 @@ def lm_scores(docs: DataFrame, held_out) -> DataFrame:
     def parts_of(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Tokens, bounds, the distinct ones, whether those are among the broadcast words, and the pairs' keys."""
         t, bounds = tokens(raw)
-        word, known = np.unique(np.r_[t, END]), shared.value[0]
+        word, known = distinct(np.r_[t, END]), shared.value[0]
         at = np.minimum(np.searchsorted(known, word), max(len(known) - 1, 0))
         return t, bounds, word, known[at] == word if len(known) else np.zeros(len(word), bool), pair_keys(contexts(t, bounds), t, hot.value)
 
     def ask(pdf: pd.DataFrame) -> pd.DataFrame:
         """What a batch has to know: its distinct words that aren't broadcast (kind 1) and its distinct pairs (kind 2), by bucket."""
         _, _, word, known, pair = parts_of(opened(pdf)[2])
-        got = [(kind, b, packed(keys[lo:hi] << low)) for kind, keys in ((1, word[~known]), (2, np.unique(pair))) for b, lo, hi in cells(keys, up)]
+        got = [(kind, b, packed(keys[lo:hi] << low)) for kind, keys in ((1, word[~known]), (2, distinct(pair))) for b, lo, hi in cells(keys, up)]
         return pd.DataFrame(got, columns=["kind", "bucket", "keys"]).assign(batch=pdf["batch"].iloc[0])
 
     def answer(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
@@ -418,18 +425,18 @@ def lm_scores(docs: DataFrame, held_out) -> DataFrame:
         none = pd.DataFrame({"batch": [], "kind": [], "bucket": [], "vals": []}).astype({"batch": "i8", "kind": "i4", "bucket": "i8"})
         if not len(asked):
             return none
-        kind, top, vals = int(asked["kind"].iloc[0]), np.uint64(int(asked["bucket"].iloc[0])) << up, []
-        if kind == 2:
+        top = np.uint64(int(asked["bucket"].iloc[0])) << up
+        given = [(unpacked(raw) >> low) | top for raw in asked["keys"]]
+        q, ends = np.concatenate(given), np.cumsum(list(map(len, given)))
+        if int(asked["kind"].iloc[0]) == 2:
             bits = np.frombuffer(own["keys"].iloc[0], "u1") if len(own) else np.zeros(8, "u1")
-            vals = [probe(bits, (unpacked(raw) >> low) | top, probes).tobytes() for raw in asked["keys"]]
+            got = [probe(bits, q, probes)]
         else:
-            k, c, t, back = (np.frombuffer(own[col].iloc[0] if len(own) else b"", kind_) for col, kind_ in (("keys", "u8"), ("counts", "i8"), ("total", "f4"), ("back", "f4")))
-            for raw in asked["keys"]:
-                q = (unpacked(raw) >> low) | top
-                at = np.minimum(np.searchsorted(k, q), max(len(k) - 1, 0))
-                hit = k[at] == q if len(k) else np.zeros(len(q), bool)
-                found = [np.where(hit, x[at], other) if len(k) else np.full(len(q), other) for x, other in ((c, 0), (t, 1.0), (back, 1.0))]
-                vals.append(found[0].astype("i8").tobytes() + found[1].astype("f4").tobytes() + found[2].astype("f4").tobytes())
+            k, c, t, back = (np.frombuffer(own[col].iloc[0] if len(own) else b"", kind) for col, kind in (("keys", "u8"), ("counts", "i8"), ("total", "f4"), ("back", "f4")))
+            at = np.minimum(np.searchsorted(k, q), max(len(k) - 1, 0))
+            hit = k[at] == q if len(k) else np.zeros(len(q), bool)
+            got = [np.where(hit, x[at] if len(k) else 0, other).astype(kind) for x, other, kind in ((c, 0, "i8"), (t, 1, "f4"), (back, 1, "f4"))]
+        vals = [b"".join(x[hi - len(own_) : hi].tobytes() for x in got) for own_, hi in zip(given, ends.tolist(), strict=True)]
         return asked[["batch", "kind", "bucket"]].assign(vals=vals)
 
     def score(key: tuple, pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
@@ -446,7 +453,7 @@ def lm_scores(docs: DataFrame, held_out) -> DataFrame:
         back[~known] = np.frombuffer(b"".join(v[12 * n :] for v, n in given), "f4")
         at = np.searchsorted(word, t)
         at_c = np.searchsorted(word, contexts(t, bounds))
-        distinct, at_p = np.unique(pair, return_inverse=True)
+        at_p = np.unique(pair, return_inverse=True)[1]
         level = np.frombuffer(b"".join(answers.loc[answers["kind"] == 2, "vals"]), "u1")
         seen = np.maximum(value(np.arange(256)) - DISCOUNT, 0)[level]
         p = np.minimum(1.0, seen[at_p] / total[at_c] + back[at_c] * (count[at] + 0.1) / 10**norm)
