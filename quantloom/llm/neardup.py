@@ -1,20 +1,25 @@
 """Near duplicates among embeddings, by a robust-pruned flat graph.
 
 Equal vectors are one node. Nodes join the shards of their nearest cluster centres; the nearest is
-their home. On each shard, a graph is built from nearest candidates by robust pruning: a candidate is
-dropped if a kept one is closer to it, by a factor, than the node is. A node's lists from all its
-shards are united. Then every node searches its home shard: greedily from the shard's medoid and its
-own place, with a bounded beam, and from then on through every node within range (and some slack)
-until no new one turns up. Found pairs are verified in double precision on the original vectors. The
-recall is audited against brute force for a bounded sample of nodes, each counting the same; below the
-target, nodes join more shards and the search is repeated, and where all shards aren't enough, all
-nodes are compared exactly, in blocks that meet each other. Large shards are cut into blocks that meet each other, so no
-task holds more than a block of either kind.
+their home. Centres that lie close together are one, so that a dense group isn't torn apart. On each
+shard, a graph is built from nearest candidates by robust pruning: a candidate is dropped if a kept one
+is closer to it, by a factor, than the node is. A node's lists from all its shards are united. So that
+the united graph can be searched, a node also becomes a guest of every shard of which some member leads
+to it by a link that may lie between two nodes in range of one query. Then every node searches from its
+home shard's medoid and its own place, greedily with a bounded beam, and from then on through every
+node within range (and some slack) until no new one turns up. Found pairs are verified in double
+precision on the original vectors.
+
+The recall is audited against brute force after every pass, at any size, each audited node counting the
+same: for a bounded sample of all nodes, and for one of those nodes that links were found for. Below the
+target, nodes join more shards and the search is repeated, and where all shards aren't enough, all nodes
+are compared exactly, in blocks that meet each other. Large shards are cut into blocks that meet each
+other, so no task holds more than a block of either kind.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows
-without id, link with nothing; vectors of different length don't link; repeated ids are one vector
-per id, the links being those of any of its rows; an empty table gives an empty result; columns other
-than the id and the vector are not read.
+without id, link with nothing; vectors of different length don't link; every row is a vector of its own
+and has a row in the result, rows that repeat an id included; an empty table gives an empty result;
+columns other than the id and the vector are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import dropped, written
 from .graph import components, forest
-from .vectors import clean, embeddings, matrix, units
+from .vectors import clean, embeddings, matrix, units, usable
 
 THRESHOLD = 0.9
 SHARD = 1000  # nodes with the same home, on average
@@ -38,10 +43,12 @@ OVERLAP = 4  # shards that a node joins at first
 HOMES, MEMBERS = 2000, 6000  # nodes in a block
 CANDIDATES, DEGREE, ALPHA = 48, 16, 1.2
 BACK = 4  # of a node's links, the nearest also lead back to it, so that it can be reached
-BEAM, STEPS = 24, 12
+BEAM, STEPS = 48, 64
 SLACK = 0.15  # of cosine, below the threshold, for nodes that are still expanded
 EXPANDED = 2_000_000  # neighbours looked at together
-AUDIT, TARGET = 1024, 0.999
+GUEST = 0.62  # cosine of the widest angle between two nodes that are both in range of a third
+MERGED = 0.8  # cosine from which two centres are one
+AUDIT, TARGET = 2048, 0.999  # nodes in either sample of an audit
 BLOCK = 4000  # nodes in a block that are compared exactly
 
 
@@ -55,7 +62,10 @@ def centres_of(sample: np.ndarray, k: int) -> np.ndarray:
         np.add.at(sums, near, sample)
         long = np.linalg.norm(sums, axis=1) > 1e-9
         c[long] = sums[long] / np.linalg.norm(sums[long], axis=1)[:, None]
-    return c
+    alone = np.ones(len(c), bool)
+    for i in range(1, len(c)):
+        alone[i] = not (alone[:i] & (c[:i] @ c[i] > MERGED)).any()
+    return c[alone]
 
 
 def pruned(u: np.ndarray) -> np.ndarray:
@@ -173,7 +183,7 @@ def link_pass(nodes: DataFrame, n: int, overlap: int, threshold: float) -> DataF
     units_of = units(matrix(sample["v"]))
     k = min(CENTRES, max(1, n // SHARD), len(units_of))
     centres = centres_of(units_of, k)
-    m = min(overlap, k)
+    m = min(overlap, len(centres))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -185,19 +195,29 @@ def link_pass(nodes: DataFrame, n: int, overlap: int, threshold: float) -> DataF
 
     placed = written(nodes.mapInPandas(place, "id long, v array<double>, copies long, shards array<int>"), "placed")
     homes = placed.select(F.col("shards")[0].alias("shard")).groupBy("shard").agg(F.count("*").alias("homes"))
-    joined = placed.select(F.explode("shards").alias("shard")).groupBy("shard").agg(F.count("*").alias("members"))
-    sizes = joined.join(homes, "shard", "left").select("shard", F.ceil(F.coalesce("homes", F.lit(0)) / HOMES).cast("int").alias("hb"), F.ceil(F.col("members") / MEMBERS).cast("int").alias("mb"))
-    sizes = F.broadcast(sizes)  # CENTRES rows at most
-    members = placed.withColumn("shard", F.explode("shards")).join(sizes, "shard").withColumn("block", F.expr("cast(pmod(xxhash64(id), mb) as int)"))
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        links, ids = pruned(units(matrix(pdf["v"]))), pdf["id"].to_numpy()
-        return pd.DataFrame({"id": ids, "near": [ids[x[x >= 0]] for x in links]})
+    def blocked(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows for each node in each of its shards, with the blocks of the shard's queries (hb) and members (mb); the shards' blocks."""
+        joined = df.select(F.explode("shards").alias("shard")).groupBy("shard").agg(F.count("*").alias("members"))
+        sizes = joined.join(homes, "shard", "left").select("shard", F.ceil(F.coalesce("homes", F.lit(0)) / HOMES).cast("int").alias("hb"), F.ceil(F.col("members") / MEMBERS).cast("int").alias("mb"))
+        sizes = F.broadcast(sizes)  # CENTRES rows at most
+        return df.withColumn("shard", F.explode("shards")).join(sizes, "shard").withColumn("block", F.expr("cast(pmod(xxhash64(id), mb) as int)")), sizes
 
-    lists = members.select("shard", "block", "id", "v").groupBy("shard", "block").applyInPandas(build, "id long, near array<long>")
-    united = lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # overlap lists a node
-    members = written(members.join(united, "id"), "members")
-    queries = placed.withColumn("shard", F.col("shards")[0]).join(sizes, "shard").withColumn("part", F.expr("cast(pmod(xxhash64(id, 1), hb) as int)")).withColumn("block", F.expr("explode(sequence(0, mb - 1))"))
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        u, ids = units(matrix(pdf["v"])), pdf["id"].to_numpy()
+        links = pruned(u)
+        close = [x[x >= 0][(u[x[x >= 0]] @ v) >= GUEST] for x, v in zip(links, u, strict=True)]
+        return pd.DataFrame({"id": ids, "near": [ids[x[x >= 0]] for x in links], "close": [ids[x] for x in close]})
+
+    lists = blocked(placed)[0].select("shard", "block", "id", "v").groupBy("shard", "block").applyInPandas(build, "id long, near array<long>, close array<long>")
+    united = lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.array_distinct(F.flatten(F.collect_list("close"))).alias("close"))  # overlap lists a node
+    graph_table = graph = written(placed.join(united, "id"), "graph")
+    led = graph.where("size(close) > 0").select(F.explode("close").alias("id"), "shards").groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("shards"))).alias("led"))
+    everywhere = F.when(F.col("led").isNull(), F.col("shards")).otherwise(F.array_union("shards", "led"))  # the home stays first
+    graph = graph.drop("close").join(led, "id", "left").withColumn("shards", everywhere).drop("led")
+    members, sizes = blocked(graph)
+    members = written(members, "members")
+    queries = graph.withColumn("shard", F.col("shards")[0]).join(sizes, "shard").withColumn("part", F.expr("cast(pmod(xxhash64(id, 1), hb) as int)")).withColumn("block", F.expr("explode(sequence(0, mb - 1))"))
     nodes_at = members.where("hb > 0").withColumn("part", F.expr("explode(sequence(0, hb - 1))"))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -221,7 +241,9 @@ def link_pass(nodes: DataFrame, n: int, overlap: int, threshold: float) -> DataF
         true = np.concatenate([exact(m_q[q[i : i + 50_000]], m_n[node[i : i + 50_000]]) >= threshold for i in range(0, len(q), 50_000)] or [np.zeros(0, bool)])
         q, node = q[true], node[true]
         home = int(left["shard"].iloc[0])
-        shards_q, home_n = np.stack(list(left["shards"])), np.stack(list(right["shards"]))[:, 0]
+        widest = max(map(len, left["shards"]))
+        shards_q = np.stack([np.r_[x, np.full(widest - len(x), -1)] for x in left["shards"]])
+        home_n = np.array([x[0] for x in right["shards"]])
         copies_q, copies_n = left["copies"].to_numpy(), right["copies"].to_numpy()
         # The pair is met again, from the other side, if the query is in the node's home shard; else it is counted for both here.
         again = (shards_q[q] == home_n[node][:, None]).any(axis=1) & (home_n[node] != home)
@@ -236,7 +258,7 @@ def link_pass(nodes: DataFrame, n: int, overlap: int, threshold: float) -> DataF
     by = ["shard", "part", "block"]
     met = queries.select(*by, "id", "v", "copies", "shards").groupBy(*by).cogroup(nodes_at.select(*by, "id", "v", "copies", "shards", "near").groupBy(*by)).applyInPandas(meet, "kind string, id long, other long")
     out = written(met, "links")
-    dropped(placed, members)
+    dropped(placed, members, graph_table)
     return out
 
 
@@ -277,38 +299,45 @@ def exact_pass(nodes: DataFrame, n: int, threshold: float) -> DataFrame:
 
 
 def audit(nodes: DataFrame, links: DataFrame, threshold: float) -> float:
-    """The share of a node's links, by brute force, that were counted: the mean over a bounded sample of nodes that have any."""
+    """The share of a node's links, by brute force, that were counted: the lesser of the means over a sample of the nodes that have any, and over one of those that some were found for."""
     spark = nodes.sparkSession
-    sample = nodes.orderBy(F.xxhash64("id", F.lit(9)), "id").limit(AUDIT).select("id", "v").toPandas()  # AUDIT rows
-    ids, m = sample["id"].to_numpy(), matrix(sample["v"])
-    u = units(m)
+    order = [F.xxhash64("id", F.lit(9)), F.col("id")]
+    counted = links.where("kind = 'n'").groupBy("id").agg(F.sum("other").alias("got"))
+    linked = nodes.join(counted.select("id"), "id").orderBy(*order).limit(AUDIT).select("id", "v", F.lit(1).alias("found"))
+    sample = nodes.orderBy(*order).limit(AUDIT).select("id", "v", F.lit(0).alias("found")).unionByName(linked).toPandas()  # 2 x AUDIT rows
+    if not len(sample):
+        return 1.0
+    ids, u = sample["id"].to_numpy(), units(matrix(sample["v"]))
+    shared = spark.sparkContext.broadcast((ids, u))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, u = shared.value
         total = np.zeros(len(ids), "i8")
         for b in batches:
-            if len(b):
-                hit = (units(matrix(b["v"])) @ u.T >= threshold) & (b["id"].to_numpy()[:, None] != ids)
-                total += (hit * b["copies"].to_numpy()[:, None]).sum(axis=0)
-        yield pd.DataFrame({"id": ids, "n": total})
-
-    true = nodes.mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    got = links.where("kind = 'n'").groupBy("id").agg(F.sum("other").alias("got"))
+            for i in range(0, len(b), 2000):
+                part = b.iloc[i : i + 2000]
+                hit = (units(matrix(part["v"])) @ u.T >= threshold) & (part["id"].to_numpy()[:, None] != ids)
+                total += part["copies"].to_numpy() @ hit
+        yield pd.DataFrame({"place": np.arange(len(ids)), "n": total})
+
+    true = nodes.mapInPandas(count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).where("n > 0").toPandas()  # 2 x AUDIT rows
+    if not len(true):
+        return 1.0
+    true["id"], true["found"] = ids[true["place"]], sample["found"].to_numpy()[true["place"]]
+    table = F.broadcast(spark.createDataFrame(true[["id", "found", "n"]], "id long, found int, n long"))
     share = F.least(F.lit(1.0), F.coalesce("got", F.lit(0)) / F.col("n"))
-    r = F.broadcast(true.where("n > 0")).join(got, "id", "left").agg(F.avg(share).alias("share")).first()
-    return 1.0 if r["share"] is None else r["share"]
+    return min(r["share"] for r in table.join(counted, "id", "left").groupBy("found").agg(F.avg(share).alias("share")).collect())
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id", col: str = "embedding", overlap: int = OVERLAP) -> DataFrame:
-    """id, n_links, component of every id of ``vectors``."""
-    spark = vectors.sparkSession
+    """id, n_links, component (the smallest id reached) of every row of ``vectors``."""
+    same = ["dim", "h1", "h2"]
     rows = written(clean(vectors, key, col).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")}), "vectors")
-    equal = rows.groupBy("dim", "h1", "h2").agg(F.min("id").alias("node"), F.countDistinct("id").alias("copies"))
-    member = written(rows.select("id", "dim", "h1", "h2").join(equal, ["dim", "h1", "h2"]).select("id", "node", "copies").distinct(), "member")
-    nodes = rows.join(equal.select("dim", "h1", "h2", F.col("node").alias("id"), "copies"), ["dim", "h1", "h2", "id"]).dropDuplicates(["dim", "h1", "h2"])
-    nodes = written(nodes.select("id", "v", "copies", "dim"), "nodes")
-    found = []
+    equal = rows.groupBy(*same).agg(F.first("v").alias("v"), F.min("id").alias("low"), F.count("*").alias("copies"))
+    nodes = written(equal.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    found = None
     for r in nodes.groupBy("dim").agg(F.count("*").alias("n")).collect():  # a row for each length
-        part, shards = nodes.where(F.col("dim") == r["dim"]).drop("dim"), overlap
+        part, shards = nodes.where(F.col("dim") == r["dim"]).select("id", "v", "copies"), overlap
         while True:
             links = link_pass(part, r["n"], shards, threshold)
             most = min(CENTRES, max(1, r["n"] // SHARD))
@@ -319,17 +348,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str =
                 links = exact_pass(part, r["n"], threshold)
                 break
             shards *= 2
-        found.append(links)
-    ids = vectors.select(F.col(key).cast("long").alias("id")).distinct()
-    if not found:
-        return ids.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
-    links = found[0]
-    for x in found[1:]:
-        links = links.unionByName(x)
-    counts = links.where("kind = 'n'").groupBy(F.col("id").alias("node")).agg(F.sum("other").alias("n"))
-    per_id = member.join(counts, "node", "left").groupBy("id").agg(F.sum(F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
-    edges = links.where("kind = 'e'").select(F.col("id").alias("a"), F.col("other").alias("b")).unionByName(member.select(F.col("id").alias("a"), F.col("node").alias("b")))
-    return ids.join(per_id, "id", "left").join(components(edges), "id", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component"))
+        found = links if found is None else found.unionByName(links)
+    unfit = vectors.where(~F.coalesce(F.col(key).isNotNull() & usable(col), F.lit(False))).select(F.col(key).cast("long").alias("id"), F.lit(0).cast("long").alias("n_links"), F.col(key).cast("long").alias("component"))
+    if found is None:
+        return unfit
+    counts = found.where("kind = 'n'").groupBy("id").agg(F.sum("other").alias("n"))
+    joined = components(found.where("kind = 'e'").select(F.col("id").alias("a"), F.col("other").alias("b"))).withColumnRenamed("component", "group")
+    of_node = nodes.drop("v").join(counts, "id", "left").join(joined, "id", "left").withColumn("group", F.coalesce("group", "id"))
+    of_node = written(of_node.withColumn("n_links", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long")), "of_node")
+    least = of_node.groupBy("group").agg(F.min("low").alias("component"))
+    of_node = of_node.join(least, "group").select(*same, "n_links", "component")
+    return rows.select("id", *same).join(of_node, same).select("id", "n_links", "component").unionByName(unfit)
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

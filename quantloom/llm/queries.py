@@ -40,11 +40,12 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
 from t group by conv_id"""
 
 _VECTORS = """
-with recursive v as (select vec_id, embedding::double[] as e from embeddings where len(embedding) > 0 and list_count(embedding) = len(embedding) and len(list_filter(embedding, lambda x: not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
-l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.9),
-r as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from r join l on r.b = l.a),
-c as (select a as vec_id, min(b) as component_id from r group by 1), n as (select a as vec_id, count(*) as n from l group by 1)
-select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept from c left join n using (vec_id)"""
+with recursive every as (select row_number() over () as i, vec_id, embedding::double[] as e from embeddings),
+v as (select * from every where vec_id is not null and len(e) > 0 and list_count(e) = len(e) and len(list_filter(e, lambda x: not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+l as (select a.i as a, b.i as b, b.vec_id from v a join v b on a.i <> b.i and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.9),
+r as (select i as a, i as b from every union select r.a, l.b from r join l on r.b = l.a),
+c as (select r.a as i, min(x.vec_id) as component_id from r join every x on x.i = r.b group by 1), n as (select a as i, count(*) as n from l group by 1)
+select x.vec_id, coalesce(n, 0)::bigint as n_links, component_id, x.vec_id = component_id as kept from every x join c using (i) left join n using (i)"""
 
 #: Token ids, trained scores, packing, splitters and approximate search are beyond SQL; tests/llm hold those against brute force.
 ORACLES: dict[str, str] = {"op2_jaccard": _JACCARD.strip(), "op3_chat": _CHAT.strip(), "op10_neardup": _VECTORS.strip()}

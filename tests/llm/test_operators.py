@@ -279,6 +279,35 @@ def test_near_vectors(spark, monkeypatch):
     assert neardup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_planted_vectors_among_many(spark, monkeypatch):
+    g = np.random.default_rng(11)
+    m = g.normal(size=(10_000, 24))
+    for i in range(0, 600, 2):  # pairs near the threshold
+        m[i + 1] = m[i] + 0.35 * g.normal(size=24)
+    m[1000:1400] = m[1000] + 0.1 * g.normal(size=(400, 24))  # a dense group
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)]
+    audits, real = [], neardup.audit
+    monkeypatch.setattr(neardup, "audit", lambda *args: audits.append(real(*args)) or audits[-1])
+    got = {r.id: r for r in neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    u = m / np.linalg.norm(m, axis=1)[:, None]
+    link = u @ u.T >= 0.9
+    np.fill_diagonal(link, False)
+    want = link.sum(axis=1)
+    assert (want[:600] > 0).sum() > 200 and audits and audits
+    have = np.array([got[i].n_links for i in range(len(m))])
+    assert (have <= want).all() and np.mean(have[want > 0] / want[want > 0]) >= 0.98
+    low = np.arange(len(m))
+    ids, reached = graph.roots(*np.nonzero(link))
+    low[ids] = reached
+    assert np.mean([got[i].component == low[i] for i in range(len(m))]) > 0.999
+
+
+def test_repeated_ids_of_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [1.0, 0.1]), (2, [1.0, 0.05]), (3, [0.0, 1.0]), (4, None)]
+    got = [(r.id, r.n_links, r.component) for r in neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    assert sorted(got) == [(1, 3, 1), (1, 3, 1), (1, 3, 1), (2, 3, 1), (3, 0, 3), (4, 0, 4)]
+
+
 def test_components_in_rounds(spark):
     edges = [(i, i + 1) for i in range(40) if i % 10 != 9] + [(100, i) for i in range(101, 140)] + [(5, 5)]
     df = spark.createDataFrame(edges, "a long, b long")
