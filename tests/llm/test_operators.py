@@ -518,8 +518,30 @@ def test_equal_vectors_are_ranked_by_id():
         order = g.permutation(len(m))
         m, ids, same = m[order], ids[order], np.sort(ids[:n])
         bits, scalar = ann.encode(m)
-        got = ann.nearest(np.array([-1]), q, ids, m, bits, scalar, 5, 2.6)
-        assert [v for _, v, _ in got] == same[:5].tolist()
+        got = ann.nearest(np.array([-1]), q, np.arange(len(m)), ids, m, bits, scalar, 5, 2.6)
+        assert [v for _, _, v, _ in got] == same[:5].tolist()
+
+
+@pytest.mark.parametrize("dim", [3, 64, 100])
+def test_products_on_packed_bits(dim):
+    g = np.random.default_rng(2)
+    m, q = g.normal(size=(50, dim)), g.normal(size=(7, dim))
+    bits, _ = ann.encode(m)
+    signs = np.unpackbits(bits, axis=1, count=dim).astype(float) * 2 - 1
+    planes, code = ann.Planes(q), np.ascontiguousarray(ann.wide(bits).T)
+    ones = np.bitwise_count(code).sum(axis=0, dtype="i8")
+    for i in range(len(q)):
+        off = np.abs(planes.products(i, code, ones) - signs @ q[i] / np.sqrt(dim))
+        assert (off <= planes.error()[i] + 1e-9).all()
+
+
+def test_nearest_with_repeated_ids_and_few_candidates(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.2]), (7, [0.9, 0.1]), (7, [0.9, 0.1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in sorted(ann.search(df, "id = 0").collect(), key=lambda r: (r.score, r["rank"])):
+        got[r["rank"]].append(r.vec_id)
+    assert {k: sorted(v) for k, v in got.items()} == {1: [7, 7], 2: [7, 7], 3: [0, 0]}  # either row 0 has three candidates
 
 
 def test_most_frequent_word_of_a_whole_text():
