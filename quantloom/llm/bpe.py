@@ -21,7 +21,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, held
+from .common import documents, held, trim
 from .tokens import Generations, bytes_of_chars, tokenizer_path
 
 SPACES = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
@@ -128,6 +128,7 @@ def bpe_texts(docs: DataFrame, name: str = "word_bpe_49k.json") -> DataFrame:
     """doc_id, ids, decoded: the ids and the decoded text of each whole text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trim()
         bpe = loaded(name)
         for b in batches:
             ids = [bpe.encode(t or "") for t in b["text"]]
@@ -140,6 +141,7 @@ def bpe_digests(docs: DataFrame, name: str = "word_bpe_49k.json") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each whole text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trim()
         bpe = loaded(name)
         for b in batches:
             rows = []

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, dropped, fresh, written
+from .common import documents, dropped, fresh, trim, written
 from .graph import components, forest, roots
 
 WORDS = 5
@@ -178,9 +178,10 @@ def signed(rows: DataFrame, sample: Sample, threshold: float) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(sample)  # AUDIT_SHINGLES shingles
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trim()
         for b in batches:
-            for i in range(0, len(b), 2000):
-                part = b.iloc[i : i + 2000]
+            for i in range(0, len(b), 500):
+                part = b.iloc[i : i + 500]
                 h, bounds = shingles(part["text"].tolist())
                 s = signatures(h, bounds)
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "h1": part["h1"].to_numpy(), "h2": part["h2"].to_numpy(), "sig": [x.tobytes() for x in s], "near": shared.value.links(h, bounds, threshold)})
@@ -192,6 +193,7 @@ def sorted_tries(classes: DataFrame, n: int, depth: int) -> DataFrame:
     """tree, key, node, match: ``n`` classes in each tree, range-sorted by key, as far as their longest common prefix with a neighbour (match, in values) is ``depth`` or more, or can't be known before the ranges meet."""
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trim()
         for b in batches:
             if len(b):
                 raw = np.frombuffer(b"".join(b["sig"]), "u4").astype(">u4").tobytes()
@@ -199,6 +201,7 @@ def sorted_tries(classes: DataFrame, n: int, depth: int) -> DataFrame:
                 yield pd.DataFrame({"tree": np.tile(np.arange(TREES, dtype="i4"), len(b)), "key": [raw[i : i + width] for i in range(0, len(raw), width)], "node": np.repeat(b["node"].to_numpy(), TREES)})
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trim()
         rows = pd.concat([pd.DataFrame({"tree": [], "key": [], "node": []}).astype({"tree": "i4", "node": "i8"}), *batches], ignore_index=True)  # SORTED_ROWS on average
         if not len(rows):
             return
@@ -261,6 +264,7 @@ def likely(cut: float):
         return pd.DataFrame({"a": np.concatenate([a for a, _ in pairs]), "b": np.concatenate([b for _, b in pairs])})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trim()
         rest = None
         for df in batches:
             df = df if rest is None else pd.concat([rest, df], ignore_index=True)
@@ -320,6 +324,7 @@ def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshold:
     texts = filtered(usable(docs), where).join(where, ["doc_id", "h1", "h2"])
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trim()
         for b in batches:
             for i in range(0, len(b), 500):
                 part = b.iloc[i : i + 500]
@@ -386,6 +391,7 @@ def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshold:
 
 def with_sketch(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trim()
         for b in batches:
             yield b.assign(sketch=[sketch(s).tobytes() for s in b["sig"]])
 

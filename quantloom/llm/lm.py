@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, dropped, fold, written
+from .common import documents, dropped, fold, trim, written
 from .jaccard import PRIME, powers
 
 FOLDS, HELD_OUT = 10, 0
@@ -216,6 +216,7 @@ def counted(texts: DataFrame, shift: int, keys_of) -> DataFrame:
         return pd.DataFrame(rows, columns=["bucket", "keys"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trim()
         parts: list[np.ndarray] = []
         for b in batches:
             for i in range(0, len(b), 1000):
@@ -310,6 +311,7 @@ def sizes(words: DataFrame) -> tuple[int, int]:
     """N and V."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trim()
         for b in batches:
             counts = [np.frombuffer(x, "i8") for x in b["counts"]]
             yield pd.DataFrame({"n": [int(sum(c.sum() for c in counts))], "v": [sum(map(len, counts))]})
@@ -342,6 +344,7 @@ def picked(words: DataFrame, least: int, columns: dict[str, str]) -> list[np.nda
     kinds = {"keys": "u8", "counts": "i8", **columns}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trim()
         for b in batches:
             keep = [np.frombuffer(x, "i8") >= least for x in b["counts"]]
             yield pd.DataFrame({c: [np.frombuffer(x, kind)[k].tobytes() for x, k in zip(b[c], keep, strict=True)] for c, kind in kinds.items()})
@@ -359,6 +362,7 @@ def blobs(docs: DataFrame, batches_: int) -> DataFrame:
     """BLOB rows: compressed texts dealt to batches, equal rows once, with their number."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trim()
         squeeze = zstandard.ZstdCompressor(level=1)
         for b in batches:
             ids = b["doc_id"].astype("object").where(b["doc_id"].notna(), None)

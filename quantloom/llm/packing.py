@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, dropped, held, written
+from .common import documents, dropped, held, trim, written
 from .tokens import ByteBPE
 
 CAPACITY = 2048
@@ -44,6 +44,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = "byte_bpe_50k.
     """doc_id, piece, start, length, ids_crc32, and ids if asked for."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trim()
         import numpy as np
 
         bpe = loaded(name)

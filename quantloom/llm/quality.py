@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold, written
+from .common import documents, fold, trim, written
 
 FEATURES = 384  # random cosines
 WIDTH = 3.0  # of the Gaussian kernel, in standard deviations
@@ -86,6 +86,7 @@ def with_statistics(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """doc_id, y and x, the statistics of the text, of the documents in ``marked`` (doc_id, y)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trim()
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "x": list(statistics(b["text"].fillna("").tolist()).astype("f4"))})
 
@@ -117,6 +118,7 @@ def normal_equations(rows: DataFrame, features: Callable[[np.ndarray], np.ndarra
     """Sums over all rows (x, y) of z z', z y and 1; each partition gives one row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trim()
         a, b, n = 0.0, 0.0, 0
         for batch in batches:
             if len(batch):
@@ -173,6 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     model = Model(features=features, weights=np.linalg.solve(a + RIDGE * n * np.diag(np.r_[1e-6, np.full(len(b) - 1, 1.0)]) / 100, b))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trim()
         for batch in batches:
             if len(batch):
                 yield pd.DataFrame({"r": model.raw(np.stack(list(batch["x"])).astype("f8")), "y": batch["y"]})

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold, held
+from .common import documents, fold, held, trim
 from .quality import bounded, isotonic, training_labels
 
 WINDOW, STRIDE = 32, 16  # words
@@ -353,6 +353,7 @@ def sample_windows(docs: DataFrame, marked: DataFrame) -> pd.DataFrame:
     chosen = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < F.expr(f"({share}) * 1000000"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trim()
         for b in batches:
             rows = []
             for doc, text, y in zip(b["doc_id"], b["text"], b["y"], strict=True):
@@ -394,6 +395,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     model = Model(parameters=docs.sparkSession.sparkContext.broadcast(net.p))  # 8 MB whatever the input
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trim()
         for b in batches:
             yield pd.DataFrame({"raw": model.raw(b["text"].fillna("").tolist()), "y": b["y"]})
 
