@@ -3,15 +3,16 @@
 A word's input is a hashed word vector beside the squashed sum of its hashed character n-gram vectors.
 Windows of words run through a GRU in either direction, are pooled by attention and end in one
 probability. A document's raw score is that of its highest window, all overlapping windows of the
-whole text counting. Training sees windows of a bounded sample of labelled documents: first all with
-their document's label, then the windows that the network itself finds highest (in toxic documents)
-or most mistaken. Raw scores are calibrated by isotonic regression on labelled documents outside the
-sample.
-
-Defined cases: a null or empty text, or one without words, has the raw score 0; a document with
-several labels counts with the largest; without labels of both classes every score is the share of
-label 1 (0 without labels); repeated rows have equal scores; an empty table gives an empty result;
-columns other than doc_id and text are not read.
+whole text counting. Training reads all windows of a bounded sample of labelled documents, whose words
+are kept as numbers: in each epoch it learns from the windows that the network itself finds highest (in
+toxic documents) or most mistaken (in others), and from some others. Raw scores are calibrated by isotonic regression on
+labelled documents outside the sample.
+
+Defined cases: a null or empty text, or one without words, has the raw score NO_WORDS, below all
+others; a document with several labels counts with the largest, and one with several texts is learnt
+from by one of them; without labels of both classes every score is the share of label 1 (0 without
+labels); repeated rows have equal scores; an empty table gives an empty result; columns other than
+doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -29,11 +30,10 @@ from .common import documents, fold, held, trim
 from .quality import bounded, isotonic, training_labels
 
 WINDOW, STRIDE = 32, 16  # words
-FIT_DOCUMENTS = 2500  # of either label, at most, by a hash of the id
-FIT_WINDOWS = 12  # of each of those documents, evenly spaced
+FIT_DOCUMENTS = 5000  # of either label, at most, by a hash of the id
 EPOCHS, BATCH, RATE = 4, 256, 0.01
-STEPS = 1200  # at least, by more epochs, unless the mean loss of one falls below LEARNT
-LEARNT = 0.012
+STEPS = 1200  # at least, by more epochs
+CLEAN = 12_000  # windows of other documents, on average, that an epoch takes at random
 TABLE_RATE = 0.1  # of the learning rate, for the hashed vectors
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
 WORD_ROWS, CHAR_ROWS = 1 << 17, 1 << 17
@@ -100,42 +100,34 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 class Network:
     """Parameters, forward and backward passes."""
 
-    def __init__(self, seed: int = 5):
+    def __init__(self, seed: int = 5, kind: str = "f4"):
         rng = np.random.default_rng(seed)
         h, d = HIDDEN, WORD_DIM + CHAR_DIM
         p = {"word": rng.normal(size=(WORD_ROWS, WORD_DIM)) * 0.02, "char": rng.normal(size=(CHAR_ROWS, CHAR_DIM)) * 0.02}
         for side in "fb":
             p |= {f"w{side}": rng.normal(size=(d, 3 * h)) / np.sqrt(d), f"u{side}": rng.normal(size=(h, 3 * h)) / np.sqrt(h), f"c{side}": np.zeros(3 * h)}
         p |= {"att": rng.normal(size=2 * h) * 0.1, "out": rng.normal(size=2 * h) * 0.3, "bias": np.zeros(1)}
-        self.p = {k: v.astype("f4") for k, v in p.items()}
+        self.p = {k: v.astype(kind) for k, v in p.items()}
+        self.kind = kind
         self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         self.step = 0
         self.common: dict[str, np.ndarray] = {}  # rows of the hashed vectors that are learnt
 
-    def prime(self, index: np.ndarray, doc: np.ndarray, y: np.ndarray, grams: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
-        """Start the first component of the hashed vectors at the log odds of label 1 given the word or n-gram."""
+    def prime(self, kinds: list[np.ndarray], label: np.ndarray, grams: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        """Start the first component of the hashed vectors at the log odds of label 1 given the word or n-gram; ``kinds``: each document's distinct words."""
         word_rows, gram_rows, begins = grams
-        n, label = doc.max() + 1, np.zeros(doc.max() + 1)
-        label[doc] = y
         sizes = np.diff(np.r_[begins, len(gram_rows)])
         hits = {k: np.zeros(len(self.p[k])) for k in ("word", "char")}
         total = {k: np.zeros(len(self.p[k])) for k in ("word", "char")}
-        order = np.argsort(doc, kind="stable")
-        ends = np.searchsorted(doc[order], np.arange(n), "right")
-        for lo in range(0, n, 200):  # documents
-            part = order[ends[lo - 1] if lo else 0 : ends[min(n, lo + 200) - 1]]
-            seen = index[part] >= 0
-            pairs = np.unique(np.repeat(doc[part], seen.sum(axis=1)).astype("i8") * len(word_rows) + index[part][seen])  # distinct (document, word)
-            docs, words = pairs // len(word_rows), pairs % len(word_rows)
+        for words, y in zip(kinds, label, strict=True):
             starts = np.cumsum(sizes[words]) - sizes[words]
             of_grams = gram_rows[np.repeat(begins[words] - starts, sizes[words]) + np.arange(sizes[words].sum())]
-            for name, rows, owners in (("word", word_rows[words], docs), ("char", of_grams, np.repeat(docs, sizes[words]))):
-                size = len(self.p[name])
-                both = np.unique(owners * size + rows)
-                hits[name] += np.bincount(both % size, label[both // size], size)
-                total[name] += np.bincount(both % size, minlength=size)
+            for name, rows in (("word", word_rows[words]), ("char", of_grams)):
+                rows = np.unique(rows)
+                hits[name][rows] += y
+                total[name][rows] += 1
         for name in hits:
-            base = label.sum() / n
+            base = label.mean()
             share = (hits[name] + 4 * base) / (total[name] + 4)
             odds = np.log(share / (1 - share)) - np.log(base / (1 - base))
             self.p[name][:, 0] = odds * 0.4
@@ -145,15 +137,15 @@ class Network:
     def inputs(self, word_rows: np.ndarray, gram_rows: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Input vectors of distinct words, and their n-gram counts' roots."""
         ends = np.r_[begins[1:], len(gram_rows)]
-        root = np.sqrt(ends - begins).astype("f4")[:, None]
+        root = np.sqrt(ends - begins).astype(self.kind)[:, None]
         parts = [slice(i, i + PART) for i in range(0, len(begins), PART)]
         chars = np.tanh(np.concatenate([np.add.reduceat(self.p["char"][gram_rows[begins[x][0] : ends[x][-1]]], begins[x] - begins[x][0]) for x in parts]) / root)
         return np.hstack([self.p["word"][word_rows], chars]), root
 
     def recur(self, gates: np.ndarray, mask: np.ndarray, side: str, keep: list | None = None) -> np.ndarray:
         """States (T, N, H) of one direction; gates: (T, N, 3H) of the inputs."""
-        h, u = np.zeros((gates.shape[1], HIDDEN), "f4"), self.p["u" + side]
-        out = np.empty((*gates.shape[:2], HIDDEN), "f4")
+        h, u = np.zeros((gates.shape[1], HIDDEN), self.kind), self.p["u" + side]
+        out = np.empty((*gates.shape[:2], HIDDEN), self.kind)
         for t in range(len(gates)) if side == "f" else range(len(gates) - 1, -1, -1):
             back = h @ u
             zr = sigmoid(gates[t, :, : 2 * HIDDEN] + back[:, : 2 * HIDDEN])
@@ -178,7 +170,7 @@ class Network:
 
     def gate_table(self, x: np.ndarray) -> np.ndarray:
         """Gates of either direction for each input vector."""
-        return np.hstack([x @ self.p["wf"] + self.p["cf"], x @ self.p["wb"] + self.p["cb"]]).astype("f4")
+        return np.hstack([x @ self.p["wf"] + self.p["cf"], x @ self.p["wb"] + self.p["cb"]]).astype(self.kind)
 
     def logits(self, index: np.ndarray, table: np.ndarray) -> np.ndarray:
         """For windows (N, T) of rows of ``table``, -1 where there is no word."""
@@ -187,8 +179,8 @@ class Network:
         states = np.concatenate([self.recur(gates[:, :, : 3 * HIDDEN], mask, "f"), self.recur(gates[:, :, 3 * HIDDEN :], mask, "b")], axis=2)
         return self.pool(states, mask)[0]
 
-    def train(self, index: np.ndarray, y: np.ndarray, weight: np.ndarray, grams: tuple[np.ndarray, np.ndarray, np.ndarray], rate: float) -> float:
-        """One step of Adam on windows of words (rows of ``grams``); gives the mean loss before it."""
+    def gradients(self, index: np.ndarray, y: np.ndarray, weight: np.ndarray, grams: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[float, dict[str, tuple]]:
+        """The mean loss on windows of words (rows of ``grams``), and its gradient: for each parameter the rows concerned, and their part."""
         p, h = self.p, HIDDEN
         kinds, at = np.unique(np.maximum(index, 0), return_inverse=True)
         word_rows, gram_rows, begins = grams
@@ -204,7 +196,7 @@ class Network:
         states = np.concatenate([self.recur(gates[:, :, : 3 * h], mask, "f", keeps["f"]), self.recur(gates[:, :, 3 * h :], mask, "b", keeps["b"])], axis=2)
         logit, a, pooled = self.pool(states, mask)
         g = {k: np.zeros_like(v) for k, v in p.items() if k not in ("word", "char")}
-        d_logit = ((sigmoid(logit) - y) * weight / weight.sum()).astype("f4")
+        d_logit = ((sigmoid(logit) - y) * weight / weight.sum()).astype(self.kind)
         g["out"], g["bias"][0] = pooled.T @ d_logit, d_logit.sum()
         d_pooled = d_logit[:, None] * p["out"]
         d_a = np.einsum("nh,tnh->tn", d_pooled, states)
@@ -213,8 +205,8 @@ class Network:
         d_states = a[:, :, None] * d_pooled + d_score[:, :, None] * p["att"]
         d_x = np.zeros_like(x)
         for side, lo in (("f", 0), ("b", h)):
-            d_gates = np.zeros((*rows.shape, 3 * h), "f4")
-            d_h = np.zeros((rows.shape[1], h), "f4")
+            d_gates = np.zeros((*rows.shape, 3 * h), self.kind)
+            d_h = np.zeros((rows.shape[1], h), self.kind)
             for t, before, z, r, n, back_n, m in reversed(keeps[side]):
                 d_h = d_h + d_states[t, :, lo : lo + h]
                 d_new = np.where(m, d_h, 0)
@@ -226,21 +218,30 @@ class Network:
                 g["u" + side] += before.T @ d_back
                 d_h = np.where(m, d_new * z, d_h) + d_back @ p["u" + side].T
             flat = d_gates.reshape(-1, 3 * h)
-            summed = np.zeros((len(kinds), 3 * h), "f4")
+            summed = np.zeros((len(kinds), 3 * h), self.kind)
             np.add.at(summed, rows.reshape(-1), flat)
             g["w" + side], g["c" + side] = x.T @ summed, flat.sum(axis=0)
             d_x += summed @ p["w" + side].T
         d_chars = d_x[:, WORD_DIM:] * (1 - x[:, WORD_DIM:] ** 2) / root
-        self.step += 1
-        for k, v in g.items():
-            self.move(k, slice(None), v, rate)
+        out: dict[str, tuple] = {k: (slice(None), v) for k, v in g.items()}
         for k, at, d in (("word", word_rows[kinds], d_x[:, :WORD_DIM]), ("char", own, np.repeat(d_chars, sizes, axis=0))):
             touched, back = np.unique(at, return_inverse=True)
-            summed = np.zeros((len(touched), d.shape[1]), "f4")
+            summed = np.zeros((len(touched), d.shape[1]), self.kind)
             np.add.at(summed, back, d)
-            learnt = self.common[k][touched] if k in self.common else slice(None)
-            self.move(k, touched[learnt], summed[learnt], rate * TABLE_RATE)
-        return float((np.logaddexp(0, np.where(y == 1, -logit, logit)) * weight).sum() / weight.sum())
+            out[k] = (touched, summed)
+        return float((np.logaddexp(0, np.where(y == 1, -logit, logit)) * weight).sum() / weight.sum()), out
+
+    def train(self, index: np.ndarray, y: np.ndarray, weight: np.ndarray, grams: tuple[np.ndarray, np.ndarray, np.ndarray], rate: float) -> float:
+        """One step of Adam; gives the mean loss before it."""
+        loss, g = self.gradients(index, y, weight, grams)
+        self.step += 1
+        for k, (rows, d) in g.items():
+            if k in ("word", "char"):
+                learnt = self.common[k][rows] if k in self.common else slice(None)
+                self.move(k, rows[learnt], d[learnt], rate * TABLE_RATE)
+            else:
+                self.move(k, rows, d, rate)
+        return loss
 
     def move(self, k: str, rows: slice | np.ndarray, g: np.ndarray, rate: float) -> None:
         """One step of Adam for some rows."""
@@ -250,36 +251,65 @@ class Network:
         self.p[k][rows] -= rate * (m1[rows] / (1 - 0.9**self.step)) / (np.sqrt(m2[rows] / (1 - 0.99**self.step)) + 1e-8)
 
 
-def fit_network(windows: list[list[str]], doc: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> Network:
-    """A network from windows of words; ``doc`` and ``y`` give each window's document and that document's label."""
-    vocabulary: dict[str, int] = {}
-    index = np.full((len(windows), WINDOW), -1, "i4")
-    for row, w in zip(index, windows, strict=True):
-        row[: len(w)] = [vocabulary.setdefault(x, len(vocabulary)) for x in w]
-    grams = grams_of_all(list(vocabulary))
+class Windows:
+    """All overlapping windows of some texts; words are kept as numbers, 4 bytes each."""
+
+    def __init__(self, texts: Iterator[str]):
+        self.vocabulary: dict[str, int] = {}
+        flat, starts, ends, docs, at = [np.zeros(1, "i4")], [], [], [], 1
+        self.kinds: list[np.ndarray] = []  # distinct words of each text
+        for d, text in enumerate(texts):
+            words = words_of(text)
+            flat.append(np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words), "i4", len(words)))
+            self.kinds.append(np.unique(flat[-1]))
+            if words:
+                own = window_starts(len(words))
+                starts.append(at + np.array(own))
+                ends.append(np.full(len(own), at + len(words)))
+                docs.append(np.full(len(own), d))
+            at += len(words)
+        self.flat = np.concatenate(flat)
+        self.starts, self.ends, self.docs = (np.concatenate(x or [np.zeros(0, "i8")]) for x in (starts, ends, docs))
+
+    def __getitem__(self, rows) -> np.ndarray:
+        """Windows as rows of word numbers, -1 beyond the text."""
+        place = self.starts[rows][:, None] + np.arange(WINDOW)
+        return np.where(place < self.ends[rows][:, None], self.flat[np.minimum(place, len(self.flat) - 1)], -1)
+
+    def parts(self, size: int = 4096) -> Iterator[np.ndarray]:
+        for i in range(0, len(self.starts), size):
+            yield self[np.arange(i, min(i + size, len(self.starts)))]
+
+
+def fit_network(windows: Windows, label: np.ndarray, primed: bool = True) -> Network:
+    """A network from all windows of some texts and the texts' labels."""
+    grams = grams_of_all(list(windows.vocabulary))
     net, rng = Network(), np.random.default_rng(3)
-    net.prime(index, doc, y, grams)
-    epochs = max(epochs, -(-STEPS * BATCH // len(index)))
-    last = False
-    for epoch in range(epochs):
+    if primed:
+        net.prime(windows.kinds, label, grams)
+    y, doc = label[windows.docs], windows.docs
+    clean = min(0.3, CLEAN / max(1, int((y == 0).sum())))
+    epochs, epoch = EPOCHS, 0
+    while epoch < epochs:
         x = net.inputs(*grams)[0]
-        if epoch:
+        if epoch or not primed:
             table = net.gate_table(x)
-            high = np.concatenate([net.logits(index[i : i + 4096], table) for i in range(0, len(index), 4096)])
+            high = np.concatenate([net.logits(index, table) for index in windows.parts()])
         else:
-            high = np.where(index >= 0, (x[:, 0] + x[:, WORD_DIM])[np.maximum(index, 0)], -9).max(axis=1)
-        best = np.full(doc.max() + 1, -np.inf)
+            odds = x[:, 0] + x[:, WORD_DIM]
+            high = np.concatenate([np.where(index >= 0, odds[np.maximum(index, 0)], -9).max(axis=1) for index in windows.parts()])
+        best = np.full(len(label), -np.inf)
         np.maximum.at(best, doc, high)
-        top, hard = np.quantile(high[y == 1], 0.5), np.quantile(high[y == 0], 0.8)
-        use = np.flatnonzero(np.where(y == 1, (high >= best[doc]) | (high > max(top, hard)), (high > hard) | (rng.random(len(y)) < 0.3)))
+        top, hard, hardest = np.quantile(high[y == 1], 0.5), np.quantile(high[y == 0], 0.8), np.quantile(high[y == 0], 0.95)
+        rest = (high > hard) & (rng.random(len(y)) < 2 * clean) | (high > hardest) | (rng.random(len(y)) < clean)
+        use = np.flatnonzero(np.where(y == 1, (high >= best[doc]) | (high > max(top, hard)), rest))
+        epochs = max(epochs, -(-STEPS * BATCH // len(use))) if not epoch else epochs
         weight = np.where(y == 1, 1.0, max(1.0, y[use].sum()) / max(1.0, (1 - y[use]).sum())).astype("f4")
-        order, loss = rng.permutation(use), 0.0
+        order = rng.permutation(use)
         for lo in range(0, len(order), BATCH):
             part = order[lo : lo + BATCH]
-            loss += net.train(index[part], y[part].astype("f4"), weight[part], grams, RATE * (0.1 if last else (1 - epoch / epochs) ** 2)) * len(part)
-        if last:
-            break
-        last = epoch + 2 >= EPOCHS and loss < LEARNT * len(order)  # one more epoch, with small steps
+            net.train(windows[part], y[part].astype("f4"), weight[part], grams, RATE * (1 - epoch / epochs) ** 2)
+        epoch += 1
     return net
 
 
@@ -344,28 +374,15 @@ class Scorer:
         np.maximum.at(out, docs, self.net.logits(index, self.table))
 
 
-def sample_windows(docs: DataFrame, marked: DataFrame) -> pd.DataFrame:
-    """doc, y and words of evenly spaced windows of a bounded sample of labelled documents."""
+def sample_texts(docs: DataFrame, marked: DataFrame) -> pd.DataFrame:
+    """doc_id, y and whole text of a bounded sample of labelled documents."""
     counts = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return pd.DataFrame({"doc": [], "y": [], "words": []})
+        return pd.DataFrame({"doc_id": [], "y": [], "text": []})
     share = "case " + " ".join(f"when y = {y} then {min(1.0, FIT_DOCUMENTS / max(1, n))}" for y, n in counts.items()) + " end"
     chosen = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < F.expr(f"({share}) * 1000000"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trim()
-        for b in batches:
-            rows = []
-            for doc, text, y in zip(b["doc_id"], b["text"], b["y"], strict=True):
-                words = words_of(text or "")
-                starts = window_starts(len(words))
-                for k in np.unique(np.linspace(0, len(starts) - 1, min(FIT_WINDOWS, len(starts))).astype(int)):
-                    if part := words[starts[k] : starts[k] + WINDOW]:
-                        rows.append((doc, y, " ".join(part)))
-            yield pd.DataFrame(rows, columns=["doc", "y", "words"]).astype({"doc": "i8", "y": "i4"})
-
-    texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    return texts.join(F.broadcast(chosen), "doc_id").mapInPandas(run, "doc long, y int, words string").toPandas()  # 2 x FIT_DOCUMENTS x FIT_WINDOWS rows at most
+    texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).toPandas()  # 2 x FIT_DOCUMENTS rows at most
 
 
 class Model:
@@ -388,10 +405,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from the texts of the documents that ``labels`` (doc_id, y) marks."""
     marked = labels.where("y is not null and doc_id is not null").groupBy("doc_id").agg(F.max("y").cast("int").alias("y"))
     later = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(4)) == 0
-    got = sample_windows(docs, marked.where(~later)).sort_values(["doc", "words"], ignore_index=True)
+    got = sample_texts(docs, marked.where(~later)).sort_values("doc_id", ignore_index=True)
     if got["y"].nunique() < 2:
         return Model(constant=float(got["y"].max()) if len(got) else 0.0)
-    net = fit_network([w.split(" ") for w in got["words"]], np.unique(got["doc"], return_inverse=True)[1], got["y"].to_numpy())
+    label = got.pop("y").to_numpy().astype("i8")
+    windows = Windows(got.pop("text").fillna(""))
+    if len(np.unique(label[windows.docs])) < 2:  # no words in the texts of one class
+        return Model(constant=float(label.max()))
+    net = fit_network(windows, label)
     model = Model(parameters=docs.sparkSession.sparkContext.broadcast(net.p))  # 8 MB whatever the input
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

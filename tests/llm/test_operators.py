@@ -360,23 +360,68 @@ def test_isotonic():
 
 
 def test_gradients():
-    net = toxicity.Network()
+    net = toxicity.Network(kind="f8")
     words = [f"w{i}" for i in range(30)]
     grams = toxicity.grams_of_all(words)
     g = np.random.default_rng(0)
-    index = g.integers(0, 30, (16, toxicity.WINDOW)).astype("i4")
+    index = g.integers(0, 30, (6, toxicity.WINDOW)).astype("i4")
     index[3, 5:] = -1
-    y = (np.arange(16) % 2).astype("f4")
-    weight = np.ones(16, "f4")
+    y, weight = np.arange(6) % 2, g.random(6) + 0.5
+    for k in ("word", "char"):
+        net.p[k] *= 20
+    _, got = net.gradients(index, y, weight, grams)
+
+    def loss():
+        return net.gradients(index, y, weight, grams)[0]
+
+    for k, (rows, d) in got.items():
+        p = net.p[k]
+        rows = np.arange(len(p)) if isinstance(rows, slice) else rows
+        cells = [(r, c) for r in range(len(rows)) for c in (range(p.shape[1]) if p.ndim > 1 else [None])]
+        for r, c in [cells[i] for i in g.permutation(len(cells))[:150]]:
+            at = rows[r] if c is None else (rows[r], c)
+            old = p[at]
+            p[at] = old + 1e-5
+            up = loss()
+            p[at] = old - 1e-5
+            down = loss()
+            p[at] = old
+            want = (up - down) / 2e-5
+            assert abs((d[r] if c is None else d[r, c]) - want) < 1e-7 + 1e-5 * abs(want), (k, at)
+
+
+def test_training_lowers_the_loss():
+    net = toxicity.Network()
+    grams = toxicity.grams_of_all([f"w{i}" for i in range(30)])
+    index = np.random.default_rng(0).integers(0, 30, (16, toxicity.WINDOW)).astype("i4")
+    y, weight = (np.arange(16) % 2).astype("f4"), np.ones(16, "f4")
     losses = [net.train(index, y, weight, grams, 0.01) for _ in range(150)]
     assert losses[-1] < 0.2 * losses[0]
+
+
+def test_all_windows_are_read():
     assert toxicity.window_starts(33)[-1] + toxicity.WINDOW >= 33 and list(toxicity.window_starts(5)) == [0]
+    texts = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(n)) for n in (0, 1, 5, 32, 33, 47, 48, 49, 1000)]
+    windows = toxicity.Windows(iter(texts))
+    names = list(windows.vocabulary)
+    for d, text in enumerate(texts):
+        own = windows[np.flatnonzero(windows.docs == d)]
+        words = text.split()
+        assert {names[i] for i in own.ravel() if i >= 0} == set(words)
+        starts = list(toxicity.window_starts(len(words))) if words else []
+        assert [[names[i] for i in row if i >= 0] for row in own] == [words[s : s + toxicity.WINDOW] for s in starts]
 
 
 def test_toxicity(marked, docs, empty):
     texts, labels, rows = marked
     got = {r.doc_id: r.s for r in toxicity.toxicity(texts, labels.where("doc_id % 3 <> 1").select("doc_id", F.col("toxic").alias("y")), "s").collect()}
     assert np.mean([(got[i] >= 0.7) == (x == 1) for i, _, _, x in rows if i % 3 == 1]) > 0.97
+    model = toxicity.fit(texts, labels.select("doc_id", F.col("toxic").alias("y")))
+    own = {r.text: r.s for r in docs.select("text", toxicity.scorer(model)(F.col("text")).alias("s")).collect()}  # nulls, no words, 40,000 words
+    assert all(0 <= s <= 1 for s in own.values()) and own[None] == own[""] == own["   "] == min(own.values())
+    long = " ".join([*["river"] * 39_000, "zorkelig", *["river"] * 999])  # one word decides, wherever it stands
+    raw = model.raw([long, "river " * 40_000, " ".join(["river"] * 20 + ["zorkelig"] + ["river"] * 20)])
+    assert raw[0] > raw[1] + 1 and raw[2] > raw[1] + 1
     none = labels.where("false").select("doc_id", F.col("toxic").alias("y"))
     assert {r.s for r in toxicity.toxicity(docs, none, "s").collect()} == {0.0}
     assert toxicity.toxicity(empty, none, "s").count() == 0
