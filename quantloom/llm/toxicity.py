@@ -5,7 +5,8 @@ Windows of words run through a GRU in either direction, are pooled by attention
 probability. A document's raw score is that of its highest window, all overlapping windows of the
 whole text counting. Training reads all windows of a bounded sample of labelled documents, whose words
 are kept as numbers: in each epoch it learns from the windows that the network itself finds highest (in
-toxic documents) or most mistaken (in others), and from some others. Raw scores are calibrated by isotonic regression on
+toxic documents) or most mistaken (in others), and from some others; a part of the sample tells which epoch's network ranks
+documents best. Raw scores are calibrated by isotonic regression on
 labelled documents outside the sample.
 
 Defined cases: a null or empty text, or one without words, has the raw score NO_WORDS, below all
@@ -33,6 +34,7 @@ WINDOW, STRIDE = 32, 16  # words
 FIT_DOCUMENTS = 5000  # of either label, at most, by a hash of the id
 EPOCHS, BATCH, RATE = 4, 256, 0.01
 STEPS = 1200  # at least, by more epochs
+VALID, PATIENCE = 6, 2  # one text in so many only tells the best epoch; epochs without a better one that end the training
 CLEAN = 12_000  # windows of other documents, on average, that an epoch takes at random
 TABLE_RATE = 0.1  # of the learning rate, for the hashed vectors
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
@@ -218,17 +220,14 @@ class Network:
                 g["u" + side] += before.T @ d_back
                 d_h = np.where(m, d_new * z, d_h) + d_back @ p["u" + side].T
             flat = d_gates.reshape(-1, 3 * h)
-            summed = np.zeros((len(kinds), 3 * h), self.kind)
-            np.add.at(summed, rows.reshape(-1), flat)
+            summed = np.stack([np.bincount(rows.reshape(-1), x, len(kinds)) for x in flat.T], axis=1).astype(self.kind)
             g["w" + side], g["c" + side] = x.T @ summed, flat.sum(axis=0)
             d_x += summed @ p["w" + side].T
         d_chars = d_x[:, WORD_DIM:] * (1 - x[:, WORD_DIM:] ** 2) / root
         out: dict[str, tuple] = {k: (slice(None), v) for k, v in g.items()}
         for k, at, d in (("word", word_rows[kinds], d_x[:, :WORD_DIM]), ("char", own, np.repeat(d_chars, sizes, axis=0))):
-            touched, back = np.unique(at, return_inverse=True)
-            summed = np.zeros((len(touched), d.shape[1]), self.kind)
-            np.add.at(summed, back, d)
-            out[k] = (touched, summed)
+            touched = np.flatnonzero(np.bincount(at))
+            out[k] = (touched, np.stack([np.bincount(at, x)[touched] for x in d.T], axis=1).astype(self.kind))
         return float((np.logaddexp(0, np.where(y == 1, -logit, logit)) * weight).sum() / weight.sum()), out
 
     def train(self, index: np.ndarray, y: np.ndarray, weight: np.ndarray, grams: tuple[np.ndarray, np.ndarray, np.ndarray], rate: float) -> float:
@@ -281,16 +280,28 @@ class Windows:
             yield self[np.arange(i, min(i + size, len(self.starts)))]
 
 
+def concordance(score: np.ndarray, label: np.ndarray) -> float:
+    """How often a document of label 1 scores above one of label 0; ties count half."""
+    kinds, at, n = np.unique(score, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(n) - (n - 1) / 2)[at]
+    ones = int(label.sum())
+    return float((rank[label == 1].sum() - ones * (ones + 1) / 2) / max(1, ones * (len(label) - ones)))
+
+
 def fit_network(windows: Windows, label: np.ndarray, primed: bool = True) -> Network:
-    """A network from all windows of some texts and the texts' labels."""
+    """A network from all windows of some texts and the texts' labels; one text in VALID tells which epoch was the best."""
     grams = grams_of_all(list(windows.vocabulary))
     net, rng = Network(), np.random.default_rng(3)
+    valid = np.arange(len(label)) % VALID == VALID - 1
+    if len(np.unique(label[valid])) < 2 or len(np.unique(label[~valid])) < 2:
+        valid[:] = False
     if primed:
-        net.prime(windows.kinds, label, grams)
+        net.prime([k for k, v in zip(windows.kinds, valid, strict=True) if not v], label[~valid], grams)
     y, doc = label[windows.docs], windows.docs
+    own = ~valid[doc]
     clean = min(0.3, CLEAN / max(1, int((y == 0).sum())))
-    epochs, epoch = EPOCHS, 0
-    while epoch < epochs:
+    epochs, epoch, found, least = EPOCHS, 0, (-1.0, 0), None
+    while True:
         x = net.inputs(*grams)[0]
         if epoch or not primed:
             table = net.gate_table(x)
@@ -300,9 +311,16 @@ def fit_network(windows: Windows, label: np.ndarray, primed: bool = True) -> Net
             high = np.concatenate([np.where(index >= 0, odds[np.maximum(index, 0)], -9).max(axis=1) for index in windows.parts()])
         best = np.full(len(label), -np.inf)
         np.maximum.at(best, doc, high)
-        top, hard, hardest = np.quantile(high[y == 1], 0.5), np.quantile(high[y == 0], 0.8), np.quantile(high[y == 0], 0.95)
+        if epoch:
+            now = concordance(best[valid], label[valid]) if valid.any() else float(epoch)
+            if now > found[0]:
+                found, least = (now, epoch), {k: v.copy() for k, v in net.p.items()}
+            if epoch == epochs or epoch - found[1] >= PATIENCE:
+                net.p = least
+                return net
+        top, hard, hardest = np.quantile(high[own & (y == 1)], 0.5), np.quantile(high[own & (y == 0)], 0.8), np.quantile(high[own & (y == 0)], 0.95)
         rest = (high > hard) & (rng.random(len(y)) < 2 * clean) | (high > hardest) | (rng.random(len(y)) < clean)
-        use = np.flatnonzero(np.where(y == 1, (high >= best[doc]) | (high > max(top, hard)), rest))
+        use = np.flatnonzero(own & np.where(y == 1, (high >= best[doc]) | (high > max(top, hard)), rest))
         epochs = max(epochs, -(-STEPS * BATCH // len(use))) if not epoch else epochs
         weight = np.where(y == 1, 1.0, max(1.0, y[use].sum()) / max(1.0, (1 - y[use]).sum())).astype("f4")
         order = rng.permutation(use)
@@ -310,7 +328,6 @@ def fit_network(windows: Windows, label: np.ndarray, primed: bool = True) -> Net
             part = order[lo : lo + BATCH]
             net.train(windows[part], y[part].astype("f4"), weight[part], grams, RATE * (1 - epoch / epochs) ** 2)
         epoch += 1
-    return net
 
 
 class Scorer:
