@@ -32,7 +32,7 @@ WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
 class WordBPE:
     """Encoder and decoder of a tokenizers file with byte-level words and a word-end suffix."""
 
-    def __init__(self, name: str = "word_bpe_49k.json", limit: int = 400_000):
+    def __init__(self, name: str = "word_bpe_49k.json", limit: int = 120_000_000):
         with open(tokenizer_path(name), encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import tempfile
 import uuid
 from collections.abc import Callable
 from typing import TypeVar
@@ -15,15 +16,22 @@ T = TypeVar("T")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; tests without one get a folder of their own."""
+    """The folder named by spark.checkpoint.dir, or set as the session's checkpoint folder.
+
+    A session on this machine alone that names none gets a folder of its own; on a cluster that is an
+    error, since executors don't share a machine's folders.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if set_dir.isDefined():
-            return set_dir.get()
-        named = "/tmp/checkpoints/quantloom"
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+    if named:
+        return named
+    context = spark.sparkContext
+    already = context._jsc.sc().getCheckpointDir()
+    if already.isDefined():
+        return already.get()
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("Set spark.checkpoint.dir to a folder that driver and executors share: intermediate tables are written there.")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="quantloom-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def written(df: DataFrame, name: str = "step") -> DataFrame:

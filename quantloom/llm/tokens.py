@@ -6,22 +6,33 @@ from __future__ import annotations
 import base64
 import os
 import re
+from sys import getsizeof
+
+ENTRY = 100  # bytes of a dict's entry
 
 
 class Generations(dict):
-    """A dict that computes missing values and keeps at most two generations of ``limit`` entries."""
+    """A dict that computes missing values and keeps at most two generations of ``limit`` bytes.
+
+    Values over a hundredth of that are computed anew each time.
+    """
 
     def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.limit, self.older = make, limit, {}
+        self.make, self.limit, self.older, self.bytes = make, limit, {}, 0
 
     def __missing__(self, key):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.limit:
+        size = ENTRY + getsizeof(key) + getsizeof(value) + (sum(map(getsizeof, value)) if isinstance(value, tuple) else 0)
+        if size > self.limit // 100:
+            return value
+        if self.bytes + size > self.limit:
             self.older = dict(self)
             self.clear()
+            self.bytes = 0
+        self.bytes += size
         self[key] = value
         return value
 
@@ -45,7 +56,7 @@ class ByteBPE:
     CUT = re.compile(r"(?<=\S) (?=\S)")
     ODD = re.compile(r" \s|\s |^ | $")
 
-    def __init__(self, name: str = "byte_bpe_50k.json", limit: int = 250_000):
+    def __init__(self, name: str = "byte_bpe_50k.json", limit: int = 60_000_000):
         import numpy as np
         import tiktoken
         from tokenizers import Tokenizer

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.llm import ann, bpe, chat, graph, jaccard, lm, neardup, packing, quality, sharding, toxicity
-from quantloom.llm.tokens import ByteBPE, tokenizer_path
+from quantloom.llm.tokens import ByteBPE, Generations, tokenizer_path
 
 DOCS = "doc_id long, text string, size long, score double, id string, shard int"
 rng = random.Random(4)
@@ -69,6 +69,19 @@ def test_byte_ids_equal_the_library():
         assert own.ids(text or "") == np.array(t.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_caches_are_bounded_by_bytes():
+    cache = Generations(lambda k: k[::-1], 1_000_000)
+    for i in range(10_000):
+        text = f"{i:05d}" * 400  # 2,000 characters without a space
+        assert cache[text] == text[::-1]
+        assert cache.bytes <= 1_000_000 and len(cache) + len(cache.older) < 600
+    assert cache["x" * 50_000] == "x" * 50_000 and "x" * 50_000 not in cache
+    own = ByteBPE(limit=200_000)
+    for i in range(3000):
+        own.ids("a " + f"{i:x}Z" * 60)
+    assert own.after_space.bytes <= 200_000
+
+
 def sequential(sizes, capacity):
     gaps, n = [], 0
     for size in sorted(sizes, reverse=True):
