@@ -52,16 +52,24 @@ def rolling(agg: Callable[[Column], Column], x: str | Column, n: int, least: int
     return F.when(F.count(col(x)).over(w) >= (n if least is None else least), agg(col(x)).over(w))
 
 
-def ew_kernel(x: str | Column, n: int, half_life: float) -> Column:
-    """Exponentially weighted mean of the last n values, the latest weighing most; null unless all are there.
+def decayed(over: WindowSpec, decay: float, *xs: Column) -> list[Column]:
+    """Sums over an ordered frame, each row counting ``decay`` times the next one; nulls as 0.
 
-    Scaling by decay ** -date_idx turns the kernel into one windowed sum.
+    The frame's rows are folded from the oldest on, so that no power of ``decay`` over- or underflows, however long the calendar.
     """
+    frame = F.collect_list(F.struct(*[F.coalesce(x.cast("double"), F.lit(0.0)).alias(f"x{i}") for i, x in enumerate(xs)])).over(over)
+
+    def fold(name: str) -> Column:
+        return F.aggregate(frame, F.lit(0.0), lambda total, row: total * decay + row[name])
+
+    return [fold(f"x{i}") for i in range(len(xs))]
+
+
+def ew_kernel(x: str | Column, n: int, half_life: float) -> Column:
+    """Exponentially weighted mean of the last n values, the latest weighing most; null unless all are there."""
     decay = 0.5 ** (1 / half_life)
-    total = sum(decay**j for j in range(n))
     w = rows(n)
-    scaled = F.sum(col(x) * F.pow(F.lit(decay), -F.col("date_idx"))).over(w) * F.pow(F.lit(decay), F.col("date_idx"))
-    return F.when(F.count(col(x)).over(w) == n, scaled / total)
+    return F.when(F.count(col(x)).over(w) == n, decayed(w, decay, col(x))[0] / sum(decay**j for j in range(n)))
 
 
 def ffill(x: str | Column) -> Column:
@@ -81,8 +89,9 @@ def rank_first(x: str, descending: bool = False, by: str = "trade_date") -> Colu
 def rank_avg(x: str, descending: bool = False, by: str = "trade_date") -> Column:
     """Rank of non-null values per date, ties sharing their mean rank."""
     order = F.col(x).desc_nulls_last() if descending else F.col(x).asc_nulls_last()
-    ties = F.count(F.lit(1)).over(Window.partitionBy(by, x))
-    return F.when(F.col(x).isNotNull(), F.rank().over(Window.partitionBy(by).orderBy(order)) + (ties - 1) / 2.0)
+    over = Window.partitionBy(by).orderBy(order)
+    ties = F.count(F.lit(1)).over(over.rangeBetween(Window.currentRow, Window.currentRow))  # the same exchange and sort
+    return F.when(F.col(x).isNotNull(), F.rank().over(over) + (ties - 1) / 2.0)
 
 
 def pair(x: Column, y: Column) -> tuple[Column, Column]:

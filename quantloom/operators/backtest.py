@@ -48,7 +48,11 @@ def ic_decay(panel: DataFrame, factor: str, ret: str, length: int) -> DataFrame:
 
 def top_bottom(panel: DataFrame, factor: str, head: int, n_paths: int = 1, last: bool = True) -> DataFrame:
     """long_w and short_w (0/1) of every path: the highest and lowest ``head`` names on the path's dates, held until its next one."""
-    ranked = panel.withColumn("f", F.col(factor) if not last else F.when(F.col("date_idx") < F.max("date_idx").over(Window.partitionBy()), F.col(factor)))
+    if last:
+        end = F.broadcast(panel.agg(F.max("date_idx").alias("last_idx")))  # one row
+        ranked = panel.crossJoin(end).withColumn("f", F.when(F.col("date_idx") < F.col("last_idx"), F.col(factor))).drop("last_idx")
+    else:
+        ranked = panel.withColumn("f", F.col(factor))
     ranked = ranked.withColumns({"rk": rank_first("f"), "n": F.count("f").over(Window.partitionBy("trade_date"))})
     ranked = ranked.withColumns({"top": F.when(F.col("n") > 0, F.coalesce(F.col("rk") > F.col("n") - head, F.lit(False)).cast("double")), "low": F.when(F.col("n") > 0, F.coalesce(F.col("rk") <= head, F.lit(False)).cast("double"))})
     paths = ranked.withColumn("path_id", F.explode(F.sequence(F.lit(0), F.lit(n_paths - 1))))

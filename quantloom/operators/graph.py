@@ -7,15 +7,48 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import corr
 
-
-def correlations(panel: DataFrame, least: int, x: str = "ret") -> DataFrame:
-    """(a, b, n, rho) of ticker pairs a < b with at least ``least`` common dates. For small universes; see ``windows`` for large ones."""
-    p = panel.where(F.col(x).isNotNull()).select("trade_date", "ticker", F.col(x).alias("x"))
-    a, b = p.select("trade_date", F.col("ticker").alias("a"), F.col("x").alias("xa")), p.select("trade_date", F.col("ticker").alias("b"), F.col("x").alias("xb"))
-    both = a.join(b, "trade_date").where("a < b")
-    return both.groupBy("a", "b").agg(F.count("*").alias("n"), corr("xa", "xb").alias("rho")).where(F.col("n") >= least)
+def correlations(panel: DataFrame, least: int, x: str = "ret", ranks: bool = False, block: int = 500) -> DataFrame:
+    """(a, b, n, rho) of ticker pairs a < b with at least ``least`` common dates; Spearman's on each ticker's average ranks if asked for.
+
+    Each ticker is one row of its values by date. Blocks of tickers meet pairwise, as products of matrices.
+    """
+    own = panel.where(F.col(x).isNotNull()).groupBy("ticker").agg(F.collect_list("date_idx").alias("at"), F.collect_list(F.col(x).cast("double")).alias("x"))
+    n = panel.select("ticker").distinct().count()
+    blocks = max(1, -(-n // block))
+    placed = own.withColumn("block", F.pmod(F.xxhash64("ticker"), F.lit(blocks)).cast("int"))
+    left = placed.withColumnRenamed("block", "lb").withColumn("rb", F.expr(f"explode(sequence(lb, {blocks - 1}))"))
+    right = placed.select(F.col("ticker").alias("ticker"), F.col("at").alias("at"), F.col("x").alias("x"), F.col("block").alias("rb")).withColumn("lb", F.expr("explode(sequence(0, rb))"))
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"a": [], "b": [], "n": [], "rho": []}).astype({"a": "str", "b": "str", "n": "i8", "rho": "f8"})
+        if not len(left) or not len(right):
+            return none
+        dates = np.unique(np.concatenate([*left["at"], *right["at"]]))
+
+        def matrices(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+            v = np.full((len(pdf), len(dates)), np.nan)
+            for row, at, values in zip(v, pdf["at"], pdf["x"], strict=True):
+                values = pd.Series(values).rank().to_numpy() if ranks else values
+                row[np.searchsorted(dates, at)] = values - np.mean(values)  # centred, so that little cancels
+            ok = ~np.isnan(v)
+            return np.where(ok, v, 0.0), ok.astype(float)
+
+        (u, ou), (v, ov) = matrices(left), matrices(right)
+        n = ou @ ov.T
+        with np.errstate(all="ignore"):
+            su, sv = u @ ov.T / n, ou @ v.T / n
+            cov, vu, vv = u @ v.T / n - su * sv, (u * u) @ ov.T / n - su * su, ou @ (v * v).T / n - sv * sv
+            sd = np.sqrt(np.maximum(vu, 0)), np.sqrt(np.maximum(vv, 0))
+            rho = np.where((sd[0] > 1e-12) & (sd[1] > 1e-12), cov / (sd[0] * sd[1]), np.nan)
+        a, b = left["ticker"].to_numpy(), right["ticker"].to_numpy()
+        same = int(left["lb"].iloc[0]) == int(left["rb"].iloc[0])
+        i, j = np.nonzero((n >= least) & ((a[:, None] < b[None]) if same else np.ones(n.shape, bool)))
+        low, high = np.minimum(a[i], b[j]), np.maximum(a[i], b[j])
+        return pd.DataFrame({"a": low, "b": high, "n": n[i, j].astype("i8"), "rho": rho[i, j]})
+
+    got = left.groupBy("lb", "rb").cogroup(right.groupBy("lb", "rb")).applyInPandas(meet, "a string, b string, n long, rho double")
+    return got.withColumn("rho", F.nanvl("rho", F.lit(None).cast("double")))
 
 
 def asset_edges(pairs: DataFrame, n_dates: int, tau: float = 3.0) -> DataFrame:

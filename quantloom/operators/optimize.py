@@ -7,29 +7,124 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
+from ..functions.expr import div
+from .risk import asset_factors
 
-def interior_point(p: np.ndarray, c: np.ndarray, g: np.ndarray, h: np.ndarray, a: np.ndarray, b: np.ndarray, steps: int = 200, gap: float = 1e-8) -> np.ndarray | None:
+
+class Dense:
+    """A quadratic form and constraints as plain matrices."""
+
+    def __init__(self, p: np.ndarray, g: np.ndarray, a: np.ndarray):
+        self.p, self.g, self.a = p, g, a
+
+    def quad(self, x: np.ndarray) -> np.ndarray:
+        return self.p @ x
+
+    def bound(self, x: np.ndarray) -> np.ndarray:
+        return self.g @ x
+
+    def back(self, z: np.ndarray) -> np.ndarray:
+        return self.g.T @ z
+
+    def solver(self, w: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+        """Solves (P + G' diag(w) G) d = r for given r."""
+        m = self.p + self.g.T @ (self.g * w[:, None]) + RIDGE * np.eye(len(self.p))
+        return lambda r: np.linalg.solve(m, r)
+
+
+class Portfolio:
+    """The same for weights x and trades y of n names: x'(diag + L L')x, few dense rows, 0 <= x <= upper, and y >= |x - before|.
+
+    Everything but the dense rows and L is diagonal in each name, so the system is solved by names and
+    a small dense part (Woodbury), with work n times the number of factors and rows squared.
+    """
+
+    def __init__(self, diag: np.ndarray, load: np.ndarray, rows: np.ndarray, traded: bool):
+        self.n, self.diag, self.traded = len(diag), diag, traded
+        self.load = np.vstack([load, np.zeros((self.n if traded else 0, load.shape[1]))])
+        self.rows, self.a = rows, np.hstack([np.ones((1, self.n)), np.zeros((1, self.n if traded else 0))])
+
+    def quad(self, x: np.ndarray) -> np.ndarray:
+        out = self.load @ (self.load.T @ x)
+        out[: self.n] += self.diag * x[: self.n]
+        return out
+
+    def bound(self, v: np.ndarray) -> np.ndarray:
+        x, y = v[: self.n], v[self.n :]
+        return np.concatenate([self.rows @ v, -x, x, *([x - y, -x - y] if self.traded else [])])
+
+    def parts(self, z: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        r = len(self.rows)
+        return z[:r], [z[r + i * self.n : r + (i + 1) * self.n] for i in range(4 if self.traded else 2)]
+
+    def back(self, z: np.ndarray) -> np.ndarray:
+        dense, own = self.parts(z)
+        x = own[1] - own[0] + (own[2] - own[3] if self.traded else 0)
+        return self.rows.T @ dense + (np.concatenate([x, -own[2] - own[3]]) if self.traded else x)
+
+    def solver(self, w: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+        dense, own = self.parts(w)
+        xx = self.diag + own[0] + own[1] + RIDGE
+        if self.traded:
+            yy, xy = own[2] + own[3] + RIDGE, own[3] - own[2]
+            xx = xx + own[2] + own[3]
+            # xx * yy - xy ** 2, without the terms that cancel
+            det = (self.diag + own[0] + own[1] + RIDGE) * yy + RIDGE * (own[2] + own[3]) + 4 * own[2] * own[3]
+
+        def names(r: np.ndarray) -> np.ndarray:
+            if not self.traded:
+                return r / (xx if r.ndim == 1 else xx[:, None])
+            d, e, f, g = (v if r.ndim == 1 else v[:, None] for v in (det, xx, yy, xy))
+            x, y = r[: self.n], r[self.n :]
+            return np.concatenate([(f * x - g * y) / d, (e * y - g * x) / d])
+
+        u = np.hstack([self.load, self.rows.T * np.sqrt(dense)])
+        bu = names(u)
+        inner = np.eye(u.shape[1]) + u.T @ bu
+
+        def once(r: np.ndarray) -> np.ndarray:
+            br = names(r)
+            return br - bu @ np.linalg.solve(inner, u.T @ br)
+
+        def full(x: np.ndarray) -> np.ndarray:
+            return self.quad(x) + self.back(w * self.bound(x)) + RIDGE * x
+
+        def both(r: np.ndarray) -> np.ndarray:
+            x = once(r)
+            return x + once(r - full(x))  # refined once
+
+        return lambda r: both(r) if r.ndim == 1 else np.stack([both(c) for c in r.T], axis=1)
+
+
+RIDGE = 1e-11
+
+
+def descend(form: Dense | Portfolio, c: np.ndarray, h: np.ndarray, b: np.ndarray, steps: int = 200, gap: float = 1e-8) -> np.ndarray | None:
     """min x'Px/2 + c'x with Gx <= h and Ax = b, by predictor and corrector steps; None if it isn't solved."""
-    n, m, k = len(c), len(h), len(b)
-    x, y, z, s = np.zeros(n), np.zeros(k), np.ones(m), np.maximum(h, 1.0)
+    a, m, k = form.a, len(h), len(b)
+    x, y, z, s = np.zeros(len(c)), np.zeros(k), np.ones(m), np.maximum(h, 1.0)
     for _ in range(steps):
-        dual, prime, eq, mu = p @ x + c + g.T @ z + a.T @ y, g @ x + s - h, a @ x - b, s @ z / max(m, 1)
+        dual, prime, eq, mu = form.quad(x) + c + form.back(z) + a.T @ y, form.bound(x) + s - h, a @ x - b, s @ z / max(m, 1)
         if mu < gap and np.abs(dual).max(initial=0) < 1e-6 and np.abs(prime).max(initial=0) < 1e-6 and np.abs(eq).max(initial=0) < 1e-6:
             return x
-        kkt = np.block([[p + g.T @ (g * (z / s)[:, None]) + 1e-11 * np.eye(n), a.T], [a, -1e-11 * np.eye(k)]])
+        try:
+            solve = form.solver(z / s)
+            at = solve(a.T) if k else np.zeros((len(c), 0))
+            schur = a @ at + RIDGE * np.eye(k)
 
-        def step(comp: np.ndarray) -> tuple[np.ndarray, ...]:
-            right = np.r_[-dual - g.T @ ((z * prime - comp) / s), -eq]
-            d = np.linalg.solve(kkt, right)
-            ds = -prime - g @ d[:n]
-            return d[:n], d[n:], (-comp - z * ds) / s, ds
+            def step(comp: np.ndarray) -> tuple[np.ndarray, ...]:
+                first = solve(-dual - form.back((z * prime - comp) / s))
+                dy = np.linalg.solve(schur, a @ first + eq) if k else np.zeros(0)
+                d = first - at @ dy
+                ds = -prime - form.bound(d)
+                return d, dy, (-comp - z * ds) / s, ds
 
-        def reach(v: np.ndarray, d: np.ndarray) -> float:
-            return min(1.0, float((-v[d < 0] / d[d < 0]).min(initial=1.0)))
+            def reach(v: np.ndarray, d: np.ndarray) -> float:
+                return min(1.0, float((-v[d < 0] / d[d < 0]).min(initial=1.0)))
 
-        try:
             _, _, dz, ds = step(s * z)
             sigma = ((s + reach(s, ds) * ds) @ (z + reach(z, dz) * dz) / (s @ z)) ** 3
             dx, dy, dz, ds = step(s * z + ds * dz - sigma * mu)
@@ -37,11 +132,29 @@ def interior_point(p: np.ndarray, c: np.ndarray, g: np.ndarray, h: np.ndarray, a
             return None
         t = 0.99 * min(reach(s, ds), reach(z, dz))
         x, y, z, s = x + t * dx, y + t * dy, z + t * dz, s + t * ds
-        if not np.isfinite(x).all():
+        if not np.isfinite(x).all() or t < 1e-9:
             return None
     return None
 
 
+def interior_point(p: np.ndarray, c: np.ndarray, g: np.ndarray, h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
+    """``descend`` on plain matrices."""
+    return descend(Dense(p, g, a), c, h, b)
+
+
+@dataclass(frozen=True)
+class Factored:
+    """A covariance L L' + diag(own)."""
+
+    load: np.ndarray
+    own: np.ndarray
+
+
+def factored(cov: np.ndarray) -> Factored:
+    values, vectors = np.linalg.eigh((cov + cov.T) / 2)
+    return Factored(vectors * np.sqrt(np.maximum(values, 0)), np.zeros(len(cov)))
+
+
 @dataclass(frozen=True)
 class Limits:
     upper: float = 0.1
@@ -59,7 +172,7 @@ class Day:
     """One date's names: expected returns, covariance, style exposures, industry dummies, benchmark and previous weights."""
 
     alpha: np.ndarray
-    cov: np.ndarray
+    cov: np.ndarray | Factored
     style: np.ndarray
     industry: np.ndarray
     bench: np.ndarray
@@ -81,31 +194,28 @@ def problem(day: Day, limits: Limits, method: int) -> np.ndarray | None:
     """Weights of one date, or None. Method 1: a turnover limit. 2: a price on turnover. 3: on style exposure too. 4: on misalignment instead."""
     n = len(day.alpha)
     rows, right = bands(day, limits, method != 3)
-    quad, lin = day.cov * 2, -day.alpha / max(limits.risk, 1e-6)
-    if method > 1:
-        quad, lin = limits.risk * day.cov * 2, -day.alpha
+    cov = day.cov if isinstance(day.cov, Factored) else factored(day.cov)
+    scale, lin = (2.0, -day.alpha / max(limits.risk, 1e-6)) if method == 1 else (2.0 * limits.risk, -day.alpha)
+    load = [np.sqrt(scale) * cov.load]
     if method == 3:
-        quad = quad + 2 * limits.exposure * day.style @ day.style.T
+        load.append(np.sqrt(2 * limits.exposure) * day.style)
     if method == 4:
         rest = day.alpha - day.style @ (np.linalg.pinv(day.style) @ day.alpha) if day.style.shape[1] else day.alpha
-        quad = quad + 2 * limits.misaligned * np.outer(rest, rest)
+        load.append(np.sqrt(2 * limits.misaligned) * rest[:, None])
     traded = day.prev is not None and day.prev.sum() > 1e-9
     width = 2 * n if traded else n
-    eye = np.eye(n)
-    g = [np.hstack([r, np.zeros((len(r), width - n))]) for r in rows] + [np.hstack([-eye, np.zeros((n, width - n))]), np.hstack([eye, np.zeros((n, width - n))])]
-    h = [*right, np.zeros(n), np.full(n, limits.upper)]
-    p, c = np.zeros((width, width)), np.zeros(width)
-    p[:n, :n], c[:n] = quad, lin
+    g, h, c = [np.hstack([r, np.zeros((len(r), width - n))]) for r in rows], list(right), np.zeros(width)
+    c[:n] = lin
+    more = []
     if traded:  # y >= |x - prev|
-        g += [np.hstack([eye, -eye]), np.hstack([-eye, -eye])]
-        h += [day.prev, -day.prev]
+        more = [day.prev, -day.prev]
         if method == 1:
             g.append(np.hstack([np.zeros((1, n)), np.ones((1, n))]))
             h.append(np.array([limits.turnover - (1 - day.prev.sum())]))
         else:
             c[n:] = limits.trade
-    a = np.hstack([np.ones((1, n)), np.zeros((1, width - n))])
-    x = interior_point(p, c, np.vstack(g), np.concatenate(h), a, np.ones(1))
+    dense = np.vstack(g) if g else np.zeros((0, width))
+    x = descend(Portfolio(scale * cov.own, np.hstack(load), dense, traded), c, np.concatenate([*h, np.zeros(n), np.full(n, limits.upper), *more]), np.ones(1))
     return None if x is None else x[:n]
 
 
@@ -131,33 +241,53 @@ def relaxed(day: Day, limits: Limits, method: int, solve: Callable = problem) ->
     return x / x.sum() if x.sum() > 0 else day.bench, note
 
 
-def weights(cells: DataFrame, styles: list[str], scenarios: list[tuple[int, int, float, float]], skip: int = 3, floor: float = 1e-6) -> DataFrame:
+def weights(cells: DataFrame, covariance: DataFrame, styles: list[str], group: str, scenarios: list[tuple[int, int, float, float]], skip: int = 3, floor: float = 1e-6) -> DataFrame:
     """(scenario, trade_date, ticker, w, relaxed) for scenarios (id, method, style limit, turnover limit).
 
-    cells: trade_date, ticker, alpha, sigma, industry, bench and styles. A scenario's days depend on
-    each other, so each scenario is one task; its days hold the names of the pool only.
+    cells: trade_date, ticker, alpha, idio (variance), industry, bench and styles; covariance: trade_date,
+    i, j, value of the styles and of the industries as ``group``_k. A date's asset covariance is X F X' +
+    diag(idio). A scenario's days depend on each other, so each scenario is one task; its days hold the
+    names of the pool only.
     """
     spark = cells.sparkSession
-    grid = spark.createDataFrame(scenarios, "scenario int, method int, style_limit double, turnover_limit double")
+    grid = F.broadcast(spark.createDataFrame(scenarios, "scenario int, method int, style_limit double, turnover_limit double"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, cov: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame(columns=["scenario", "trade_date", "ticker", "w", "relaxed"], dtype=object)
+        if not len(pdf) or not len(cov):
+            return none
         out, prev = [], None
         method = int(pdf["method"].iloc[0])
         limits = Limits(style=float(pdf["style_limit"].iloc[0]), turnover=float(pdf["turnover_limit"].iloc[0]))
+        by_day = {day: d.pivot(index="i", columns="j", values="value") for day, d in cov.groupby("trade_date")}
         for k, (day, d) in enumerate(pdf.dropna().sort_values(["trade_date", "ticker"]).groupby("trade_date")):
-            if k < skip or len(d) < 5:
+            if k < skip or len(d) < 5 or day not in by_day:
                 continue
             x = d[styles].to_numpy(float)
             kinds = np.sort(d["industry"].unique())
             one = (d["industry"].to_numpy()[:, None] == kinds[None]).astype(float)
-            cov = x @ x.T * 1e-4 + np.diag(d["sigma"].to_numpy(float) ** 2)
+            names = [*styles, *[f"{group}_{int(k)}" for k in kinds]]
+            f = by_day[day].reindex(index=names, columns=names).fillna(0.0).to_numpy(float)
+            sigma = Factored(*asset_factors(np.hstack([x, one]), f, d["idio"].to_numpy(float)))
             bench = d["bench"].to_numpy(float) / d["bench"].sum()
             old = None if prev is None else d["ticker"].map(prev).fillna(0.0).to_numpy()
-            w, note = relaxed(Day(d["alpha"].to_numpy(float), cov, x, one, bench, old), replace(limits, upper=max(limits.upper, 3 / len(d), float(bench.max()))), method)
+            w, note = relaxed(Day(d["alpha"].to_numpy(float), sigma, x, one, bench, old), replace(limits, upper=max(limits.upper, 3 / len(d), float(bench.max()))), method)
             w = np.where(w > floor, w, 0.0)
             prev = dict(zip(d["ticker"], w, strict=True))
             out.append(pd.DataFrame({"scenario": int(pdf["scenario"].iloc[0]), "trade_date": day, "ticker": d["ticker"], "w": w, "relaxed": note}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["scenario", "trade_date", "ticker", "w", "relaxed"], dtype=object)
+        return pd.concat(out) if out else none
+
+    names = F.broadcast(spark.createDataFrame([(s[0],) for s in scenarios], "scenario int"))
+    joined, covs = cells.crossJoin(grid), covariance.crossJoin(names)  # each scenario works on all cells
+    return joined.groupBy("scenario").cogroup(covs.groupBy("scenario")).applyInPandas(run, "scenario int, trade_date date, ticker string, w double, relaxed string")
+
 
-    joined = cells.crossJoin(grid)  # each scenario works on all cells
-    return joined.groupBy("scenario").applyInPandas(run, "scenario int, trade_date date, ticker string, w double, relaxed string")
+def over_universe(weights_: DataFrame, panel: DataFrame, blacklist: DataFrame | None = None) -> DataFrame:
+    """Weights of every ticker of the panel on the dates of each scenario, 0 where there is none; tickers of ``blacklist`` have 0 and the others are scaled up."""
+    grid = weights_.select("scenario", "trade_date").distinct().crossJoin(F.broadcast(panel.select("ticker").distinct()))
+    out = grid.join(weights_.select("scenario", "trade_date", "ticker", "w"), ["scenario", "trade_date", "ticker"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
+    if blacklist is None:
+        return out
+    out = out.join(F.broadcast(blacklist.select("ticker", F.lit(True).alias("barred"))), "ticker", "left").withColumn("w", F.when(F.col("barred"), 0.0).otherwise(F.col("w")))
+    total = F.sum("w").over(Window.partitionBy("scenario", "trade_date"))
+    return out.withColumn("w", F.coalesce(div("w", total), F.lit(0.0))).drop("barred")

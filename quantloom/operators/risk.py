@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import by_date, div
+from ..functions.expr import by_date, decayed, div
 from .regress import solve
 
 
@@ -30,23 +30,23 @@ def newey_west(x: np.ndarray, w: np.ndarray, lags: int, scalar_mean: bool = True
     return out
 
 
-def eigen_adjusted(cov: np.ndarray, n_dates: int, sims: int = 100, alpha: float = 1.2, seed: int = 0) -> np.ndarray:
+def eigen_adjusted(cov: np.ndarray, n_dates: int, sims: int = 500, alpha: float = 1.2, seed: int = 0) -> np.ndarray:
     """Scales eigenvariances by the bias that simulated samples of the same length show."""
     rng = np.random.default_rng(seed)
     values, vectors = np.linalg.eigh((cov + cov.T) / 2)
     values = np.maximum(values, 0)
     bias = np.zeros(len(values))
-    for _ in range(sims):
-        b = rng.normal(size=(len(values), n_dates)) * np.sqrt(values)[:, None]
-        s = np.cov(vectors @ b)
-        d, u = np.linalg.eigh(np.atleast_2d(s))
-        true = np.einsum("ik,ij,jk->k", u, cov, u)
-        bias += true / np.maximum(d, 1e-18)
+    for lo in range(0, sims, 100):
+        n = min(100, sims - lo)
+        b = vectors @ (rng.normal(size=(n, len(values), n_dates)) * np.sqrt(values)[:, None])
+        b -= b.mean(axis=2, keepdims=True)
+        d, u = np.linalg.eigh(b @ b.transpose(0, 2, 1) / (n_dates - 1))
+        bias += (np.einsum("sik,ij,sjk->sk", u, cov, u) / np.maximum(d, 1e-18)).sum(axis=0)
     v = alpha * (np.sqrt(np.maximum(bias / sims, 0)) - 1) + 1
     return (vectors * (v**2 * values)) @ vectors.T
 
 
-def factor_covariance(returns: DataFrame, h: int, half_life: float, lags: int = 2, pred: int = 1, eigen: bool = False) -> DataFrame:
+def factor_covariance(returns: DataFrame, h: int, half_life: float, lags: int = 4, pred: int = 1, eigen: bool = False) -> DataFrame:
     """(trade_date, i, j, value) from long factor returns (trade_date, date_idx, name, value), for each date with h full ones behind it.
 
     Each date's window goes to one task; its rows are h times the factors.
@@ -72,17 +72,38 @@ def factor_covariance(returns: DataFrame, h: int, half_life: float, lags: int =
 def idio_variance(residuals: DataFrame, h: int, half_life: float, least: int, pred: int = 1) -> DataFrame:
     """Exponentially weighted variance of each ticker's residuals over h dates; null with fewer than ``least``; at least 0.
 
-    residuals: ticker, trade_date, date_idx, value. Scaling by decay ** -date_idx makes it three windowed sums.
+    residuals: ticker, trade_date, date_idx, value.
     """
-    decay = 0.5 ** (1 / half_life)
     w = Window.partitionBy("ticker").orderBy("date_idx").rowsBetween(-(h - 1), 0)
-    k = F.when(F.col("value").isNotNull(), F.pow(F.lit(decay), -F.col("date_idx")))
     x = F.col("value")
-    mass, first, second = F.sum(k).over(w), F.sum(k * x).over(w), F.sum(k * x * x).over(w)
+    mass, first, second = decayed(w, 0.5 ** (1 / half_life), F.when(x.isNotNull(), 1.0), x, x * x)
     var = F.greatest(second / mass - F.pow(first / mass, F.lit(2)), F.lit(0.0)) * pred
     return residuals.select("ticker", "trade_date", "date_idx", F.when(F.count(x).over(w) >= least, var).alias("var"))
 
 
+def idio_newey_west(residuals: DataFrame, h: int, half_life: float, least: int, lags: int = 4, pred: int = 1) -> DataFrame:
+    """(ticker, trade_date, date_idx, var): like ``idio_variance``, less the mean of the weighted residuals, with Bartlett-weighted lag terms; a ticker's history is one group."""
+    weights = ew_weights(h, half_life)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        d = pdf.sort_values("date_idx")
+        x = d["value"].to_numpy(float)
+        out = np.full(len(x), np.nan)
+        for t in range(len(x)):
+            own = x[max(0, t - h + 1) : t + 1]
+            ok = ~np.isnan(own)
+            if ok.sum() < least:
+                continue
+            w = weights[-len(own) :]
+            z = np.where(ok, own - np.nanmean(w * own), 0.0)
+            var = (w * z * z).sum() + sum(2 * (1 - k / (lags + 1)) * (w[k:] * z[k:] * z[:-k]).sum() for k in range(1, min(lags, len(z) - 1) + 1))
+            out[t] = max(var, 0.0) * pred
+        return d.assign(var=out)[["ticker", "trade_date", "date_idx", "var"]]
+
+    got = residuals.select("ticker", "trade_date", "date_idx", "value").groupBy("ticker").applyInPandas(run, "ticker string, trade_date date, date_idx int, var double")
+    return got.withColumn("var", F.nanvl("var", F.lit(None).cast("double")))
+
+
 def robust_sigma(residuals: DataFrame, h: int, least: int) -> DataFrame:
     """std, (q75 - q25) / 1.35, and gamma = min(exp(1 - |std / robust - 1|), 1) over h dates."""
     w = Window.partitionBy("ticker").orderBy("date_idx").rowsBetween(-(h - 1), 0)
@@ -128,12 +149,50 @@ def vol_regime(panel: DataFrame, ret: str, sigma: str, h: int, half_life: float)
     x = F.pow(div(ret, sigma), F.lit(2))
     per_date = panel.groupBy("trade_date", "date_idx").agg(F.avg(x).alias("b2"))
     per_date = per_date.withColumn("b2", F.when(F.col("b2") >= 100, 1.0).otherwise(F.col("b2")))
-    decay = 0.5 ** (1 / half_life)
     w = Window.orderBy("date_idx").rowsBetween(-(h - 1), 0)  # a row per date
-    k = F.when(F.col("b2").isNotNull(), F.pow(F.lit(decay), -F.col("date_idx")))
-    return per_date.withColumn("multiplier", F.sqrt(F.sum(k * F.col("b2")).over(w) / F.sum(k).over(w)))
+    mass, total = decayed(w, 0.5 ** (1 / half_life), F.when(F.col("b2").isNotNull(), 1.0), F.col("b2"))
+    return per_date.withColumn("multiplier", F.sqrt(div(total, mass)))
+
+
+def factor_regime(returns: DataFrame, cov: DataFrame, h: int, half_life: float) -> DataFrame:
+    """Per date: mean((factor return / its volatility)^2) over the factors, and the root of its weighted mean over h dates."""
+    own = cov.where("i = j").select("trade_date", F.col("i").alias("name"), F.sqrt(F.greatest("value", F.lit(1e-18))).alias("sigma"))
+    got = vol_regime(returns.select("trade_date", "date_idx", "name", "value").join(own, ["trade_date", "name"]), "value", "sigma", h, half_life)
+    return got.select("trade_date", "b2", "multiplier")
+
+
+def adjusted_factor_covariance(returns: DataFrame, h: int, half_life: float, lags: int = 4, pred: int = 1, eigen: bool = True, regime: tuple[int, float] | None = (60, 20)) -> DataFrame:
+    """Factor covariances: raw with Newey-West, then eigen-adjusted, then scaled by the volatility regime; each step but the first can be left out."""
+    cov = factor_covariance(returns, h, half_life, lags, pred, eigen)
+    if not regime:
+        return cov
+    scale = F.broadcast(factor_regime(returns, cov, *regime).select("trade_date", "multiplier"))  # a row per date
+    return cov.join(scale, "trade_date").select("trade_date", "i", "j", (F.col("value") * F.coalesce(F.pow("multiplier", F.lit(2)), F.lit(1.0))).alias("value"))
+
+
+def adjusted_idio(residuals: DataFrame, panel: DataFrame, factors: list[str], weight: str, ret: str, h: int, half_life: float, least: int, lags: int = 4, structure: tuple[int, int] | None = (20, 8), shrink: bool = True, regime: tuple[int, float] | None = (60, 20)) -> DataFrame:
+    """(ticker, trade_date, idio): variances raw with Newey-West, then blended with a structural model, shrunk to size groups and scaled by the volatility regime; each step but the first can be left out."""
+    raw = idio_newey_west(residuals, h, half_life, least, lags).select("ticker", "trade_date", F.sqrt("var").alias("sigma"))
+    p = panel.select("ticker", "trade_date", "date_idx", ret, weight, *factors).join(raw, ["ticker", "trade_date"])
+    if structure:
+        gamma = robust_sigma(residuals, *structure).select("ticker", "trade_date", "gamma")
+        model = structural(p.join(gamma, ["ticker", "trade_date"]).withColumnRenamed("sigma", "std"), factors, weight).withColumnRenamed("sigma", "blended")
+        p = p.join(model, ["ticker", "trade_date"], "left").withColumn("sigma", F.coalesce("blended", "sigma")).drop("blended")
+    if shrink:
+        p = p.join(bayes_shrink(p, "sigma", weight).select("ticker", "trade_date", "shrunk"), ["ticker", "trade_date"], "left").withColumn("sigma", F.coalesce("shrunk", "sigma")).drop("shrunk")
+    if regime:
+        scale = F.broadcast(vol_regime(p, ret, "sigma", *regime).select("trade_date", "multiplier"))  # a row per date
+        p = p.join(scale, "trade_date").withColumn("sigma", F.col("sigma") * F.coalesce("multiplier", F.lit(1.0)))
+    return p.select("ticker", "trade_date", F.pow("sigma", F.lit(2)).alias("idio"))
 
 
 def asset_covariance(x: np.ndarray, f: np.ndarray, idio: np.ndarray) -> np.ndarray:
     """X F X' + diag(idio); missing idio as the mean, missing exposure as 0."""
-    return np.nan_to_num(x) @ f @ np.nan_to_num(x).T + np.diag(np.where(np.isnan(idio), np.nanmean(idio), idio))
+    load, own = asset_factors(x, f, idio)
+    return load @ load.T + np.diag(own)
+
+
+def asset_factors(x: np.ndarray, f: np.ndarray, idio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """L and d of the same covariance, L L' + diag(d)."""
+    values, vectors = np.linalg.eigh((f + f.T) / 2)
+    return np.nan_to_num(x) @ (vectors * np.sqrt(np.maximum(values, 0))), np.where(np.isnan(idio), np.nanmean(idio), idio)

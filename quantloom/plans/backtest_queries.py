@@ -224,25 +224,26 @@ def coverage(spark, sf):
     return month_panel(spark, sf).groupBy("trade_date").agg(F.count("*").alias("n"), F.count("ret").alias("n_ret"), r6(1 - F.count("ret") / F.count("*")).alias("null_ratio"))
 
 
-@query("pair_corr", f"select a.ticker as a, b.ticker as b, count(*) as n, {r(corr('a.ret', 'b.ret'))} as rho from panel a join panel b on a.trade_date = b.trade_date and a.ticker < b.ticker where a.ret is not null and b.ret is not null and a.region = 0 and b.region = 0 group by all having count(*) >= 40")
+@query("pair_corr", f"select a.ticker as a, b.ticker as b, count(*) as n, {r(corr('a.ret', 'b.ret'))} as rho from panel a join panel b on a.trade_date = b.trade_date and a.ticker < b.ticker where a.ret is not null and b.ret is not null group by all having count(*) >= 40")
 def pair_corr(spark, sf):
     from ..operators.graph import correlations
 
-    return correlations(month_panel(spark, sf).where("region = 0"), 40).withColumn("rho", r6("rho"))
+    return correlations(month_panel(spark, sf), 40).withColumn("rho", r6("rho"))
 
 
-@query("asset_graph", f"with c as (select a.ticker as a, b.ticker as b, {corr('a.ret', 'b.ret')} as rho, count(*) as n from panel a join panel b on a.trade_date = b.trade_date and a.ticker < b.ticker where a.ret is not null and b.ret is not null and a.region = 0 and b.region = 0 group by all having count(*) >= 40) select a, b from c where abs(rho) > tanh(1.5 / sqrt(83 - 3))")
+@query("asset_graph", f"with c as (select a.ticker as a, b.ticker as b, {corr('a.ret', 'b.ret')} as rho, count(*) as n from panel a join panel b on a.trade_date = b.trade_date and a.ticker < b.ticker where a.ret is not null and b.ret is not null group by all having count(*) >= 40) select a, b from c where abs(rho) > tanh(1.5 / sqrt(83 - 3))")
 def asset_graph(spark, sf):
     from ..operators.graph import asset_edges, correlations
 
-    return asset_edges(correlations(month_panel(spark, sf).where("region = 0"), 40), 83, 1.5).select("a", "b")
+    return asset_edges(correlations(month_panel(spark, sf), 40), 83, 1.5).select("a", "b")
 
 
-@query("k_hop", "with e as (select s_suppkey % 50 as a, (s_suppkey * 7 + 3) % 50 as b from supplier), u as (select a, b from e where a <> b union select b, a from e where a <> b) select distinct x.a as node, y.b as reach from u x join u y on x.b = y.a where x.a <> y.b and (x.a, y.b) not in (select a, b from u)", month=False)
+@query("k_hop", "with e as (select s_suppkey as a, (s_suppkey * 7 + 3) % (select max(s_suppkey) from supplier) + 1 as b from supplier), u as (select a, b from e where a <> b union select b, a from e where a <> b) select distinct x.a as node, y.b as reach from u x join u y on x.b = y.a where x.a <> y.b and (x.a, y.b) not in (select a, b from u)", month=False)
 def k_hop(spark, sf):
     from ..operators.graph import two_hops
     from ..sources.panel import table
 
     s = table(spark, sf, "supplier")
-    e = s.select((F.col("s_suppkey") % 50).alias("a"), ((F.col("s_suppkey") * 7 + 3) % 50).alias("b"))
+    n = F.broadcast(s.agg(F.max("s_suppkey").alias("n")))  # one row
+    e = s.crossJoin(n).select(F.col("s_suppkey").alias("a"), ((F.col("s_suppkey") * 7 + 3) % F.col("n") + 1).alias("b"))
     return two_hops(e)

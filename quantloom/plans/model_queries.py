@@ -114,16 +114,36 @@ def vol_regime(spark, sf):
     return K.vol_regime(p, "ret", "sigma", 12, 6).select("trade_date", r6("b2").alias("b2"), r6("multiplier").alias("multiplier"))
 
 
+def model_covariance(spark, sf):
+    """Factor covariances of the regression's factors after all adjustments."""
+    return K.adjusted_factor_covariance(factor_series(spark, sf).where("kind = 'factor'"), 24, 12, 4, 1, True, (12, 6))
+
+
+@query("adjusted_cov")
+def adjusted_cov(spark, sf):
+    return model_covariance(spark, sf).select("trade_date", "i", "j", F.round("value", 8).alias("value"))
+
+
+def model_idio(spark, sf):
+    got = factor_series(spark, sf).where("kind = 'idio'").select(F.col("name").alias("ticker"), "trade_date", "date_idx", "value")
+    return K.adjusted_idio(got, styled(spark, sf), ["s_size", "s_mom"], "cap", "ret", 24, 12, 12, 4, (20, 8), True, (12, 6))
+
+
+@query("adjusted_idio")
+def adjusted_idio(spark, sf):
+    return model_idio(spark, sf).where("idio is not null").select("ticker", "trade_date", F.round("idio", 8).alias("idio"))
+
+
 def opt_cells(spark, sf):
-    p = styled(spark, sf).join(idio(spark, sf).select("ticker", "trade_date", F.sqrt("var").alias("sigma")), ["ticker", "trade_date"])
-    p = p.withColumn("sigma", F.greatest("sigma", F.lit(0.01)))
-    return p.select("trade_date", "ticker", (F.col("s_mom") * 0.01).alias("alpha"), "sigma", F.col("region").alias("industry"), F.col("cap").alias("bench"), "s_size", "s_mom")
+    p = styled(spark, sf).join(model_idio(spark, sf), ["ticker", "trade_date"])
+    p = p.withColumn("idio", F.greatest("idio", F.lit(1e-4))).join(F.broadcast(model_covariance(spark, sf).select("trade_date").distinct()), "trade_date")
+    return p.select("trade_date", "ticker", (F.col("s_mom") * 0.01).alias("alpha"), "idio", F.col("region").alias("industry"), F.col("cap").alias("bench"), "s_size", "s_mom")
 
 
 for _m in (1, 2, 3, 4):
 
     def _qp(m=_m):
-        return lambda spark, sf: O.weights(opt_cells(spark, sf), ["s_size", "s_mom"], [(0, m, 0.3, 0.9), (1, m, 0.6, 0.5)]).select("scenario", "trade_date", "ticker", F.round("w", 5).alias("w"), "relaxed")
+        return lambda spark, sf: O.weights(opt_cells(spark, sf), model_covariance(spark, sf), ["s_size", "s_mom"], "region", [(0, m, 0.3, 0.9), (1, m, 0.6, 0.5)]).select("scenario", "trade_date", "ticker", F.round("w", 5).alias("w"), "relaxed")
 
     query(f"qp{_m}")(_qp())
 
