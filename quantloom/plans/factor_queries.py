@@ -168,7 +168,13 @@ def neutralize_q(spark, sf):
     return out(X.neutralize(month_panel(spark, sf), "ret", group="region"))
 
 
-@query("fac_process")
+PROCESS = f"""o as (select *, abs(ret - avg(ret) over (partition by trade_date)) as dev from panel), q as (select *, median(ret) over d as m, 3 * 1.483 * avg(dev) over d as k from o window d as (partition by trade_date)),
+c as (select *, case when ret is not null and cap > 0 then least(greatest(ret, m - k), m + k) end as a, case when ret is not null and cap > 0 then ln(cap) end as b from q),
+e as (select *, a - avg(a) over d - covar_pop(a, b) over d / nullif(var_pop(b) over d, 0) * (b - avg(b) over d) as res from c window d as (partition by trade_date)),
+w as (select *, (res - avg(res) over g) / nullif(stddev_samp(res) over g, 0) as w2 from e window g as (partition by trade_date, industry))"""
+
+
+@query("fac_process", f"with {PROCESS} select ticker, trade_date, {r('(w2 - avg(w2) over d) / nullif(stddev_samp(w2) over d, 0)')} as value from w window d as (partition by trade_date)")
 def fac_process(spark, sf):
     return out(X.process(month_panel(spark, sf), "ret"))
 

@@ -25,17 +25,37 @@ def styled(spark, sf):
     return p
 
 
-@query("ols_factor_ret")
+STYLED = "st0 as (select *, case when cap > 0 then log10(cap) end as size, vwap / nullif(lag(vwap, 3) over w, 0) - 1 as mom from panel window w as (partition by ticker order by date_idx)), styled as (select *, " + ", ".join(f"coalesce(({x} - avg({x}) over d) / nullif(stddev_samp({x}) over d, 0), 0) as s_{x}" for x in ("size", "mom")) + " from st0 window d as (partition by trade_date))"
+
+
+def least_squares(name: str, rows: str, group: str, weight: str, keep: str = "") -> str:
+    """SQL of ret on both styles and dummies of ``group``, weighted: means within groups come off first, then two unknowns are left. A style that the rest explains gets 0."""
+    mean = ", ".join(f"sum({weight} * {x}) over g / sum({weight}) over g as {m}" for x, m in (("ret", "my"), ("s_size", "m1"), ("s_mom", "m2"))) if group else "0.0 as my, 0.0 as m1, 0.0 as m2"
+    window = f" window g as (partition by trade_date, {group})" if group else ""
+    return f"""{name}_r as (select trade_date, date_idx, ticker, ret, s_size, s_mom, {keep or 'region'}, {weight} as wt from {rows} where ret is not null and {weight} > 0),
+{name}_m as (select *, {mean.replace(weight, 'wt') if weight != '1' else mean} from {name}_r{window}),
+{name}_s as (select trade_date, count(*) as n, sum(wt * (s_size - m1) * (s_size - m1)) as a11, sum(wt * (s_size - m1) * (s_mom - m2)) as a12, sum(wt * (s_mom - m2) * (s_mom - m2)) as a22, sum(wt * (s_size - m1) * (ret - my)) as c1, sum(wt * (s_mom - m2) * (ret - my)) as c2, sum(wt) as total from {name}_m group by 1),
+{name}_b as (select trade_date, case when a11 <= 1e-12 * total then 0 when a22 <= 1e-12 * total or a11 * a22 - a12 * a12 <= 1e-10 * a11 * a22 then c1 / a11 else (c1 * a22 - c2 * a12) / (a11 * a22 - a12 * a12) end as b1,
+ case when a22 <= 1e-12 * total then 0 when a11 <= 1e-12 * total then c2 / a22 when a11 * a22 - a12 * a12 <= 1e-10 * a11 * a22 then 0 else (c2 * a11 - c1 * a12) / (a11 * a22 - a12 * a12) end as b2 from {name}_s where n >= 2),
+{name} as (select m.*, b1, b2, my + b1 * (s_size - m1) + b2 * (s_mom - m2) as fitted from {name}_m m join {name}_b using (trade_date))"""
+
+
+OLS = f"{STYLED}, {least_squares('ols', 'styled', '', '1')}"
+WLS = f"""{STYLED}, {least_squares('wls', 'styled', 'region', 'cap')},
+wls_f as (select distinct trade_date, date_idx, unnest(['s_size', 's_mom', 'region_' || region]) as name, unnest([b1, b2, my - b1 * m1 - b2 * m2]) as value from wls)"""
+
+
+@query("ols_factor_ret", f"with {OLS} select trade_date, unnest(['s_size', 's_mom']) as name, unnest([{r('b1')}, {r('b2')}]) as value from ols_b")
 def ols_factor_ret(spark, sf):
     return R.factor_returns(styled(spark, sf), "ret", ["s_size", "s_mom"]).where("kind = 'factor'").select("trade_date", "name", r6("value").alias("value"))
 
 
-@query("wls_factor_ret")
+@query("wls_factor_ret", f"with {WLS} select trade_date, 'factor' as kind, name, {r('min(value)')} as value from wls_f group by trade_date, name union all select trade_date, 'idio', ticker, {r('ret - fitted')} from wls")
 def wls_factor_ret(spark, sf):
     return R.factor_returns(styled(spark, sf), "ret", ["s_size", "s_mom"], "region", "cap").select("trade_date", "kind", "name", r6("value").alias("value"))
 
 
-@query("two_step_attr")
+@query("two_step_attr", f"with {STYLED}, {least_squares('two', 'styled', 'industry', '1', 'region, industry')} select trade_date, ticker, {r('fitted')} as fitted, {r('avg(ret - fitted) over (partition by trade_date, region)')} as plate_fit from two")
 def two_step_attr(spark, sf):
     return R.two_step(styled(spark, sf), "ret", ["s_size", "s_mom"], "industry", "region").select("trade_date", "ticker", r6("fitted").alias("fitted"), r6("plate_fit").alias("plate_fit"))
 
@@ -46,9 +66,15 @@ def factor_series(spark, sf):
     return got.join(cal, "trade_date")
 
 
-@query("ew_factor_cov")
+FACTOR_COV = f"""{WLS}, fr as (select trade_date, date_idx, name, min(value) as value from wls_f group by all),
+win as (select e.trade_date, e.date_idx as e, f.date_idx as d, name, value, pow(0.5, (e.date_idx - f.date_idx) / 12.0) / (select sum(pow(0.5, k / 12.0)) from range(24) t(k)) as w from (select distinct trade_date, date_idx from fr) e join fr f on f.date_idx <= e.date_idx and f.date_idx > e.date_idx - 24),
+whole as (select e, avg(w * value) as mean from win group by e having count(distinct d) = 24 and count(*) = 24 * count(distinct name)),
+z as (select trade_date, win.e, d, name, w, value - mean as z from win join whole using (e))"""
+
+
+@query("ew_factor_cov", f"with {FACTOR_COV} select a.trade_date, a.name as i, b.name as j, {r('sum((1 - abs(a.d - b.d) / 5.0) * case when a.d >= b.d then a.w else b.w end * a.z * b.z)')} as value from z a join z b on a.e = b.e and abs(a.d - b.d) <= 4 group by all")
 def ew_factor_cov(spark, sf):
-    return K.factor_covariance(factor_series(spark, sf).where("kind = 'factor'"), 24, 12).select("trade_date", "i", "j", F.round("value", 10).alias("value"))
+    return K.factor_covariance(factor_series(spark, sf).where("kind = 'factor'"), 24, 12).select("trade_date", "i", "j", r6("value").alias("value"))
 
 
 @query("eigen_adj")
