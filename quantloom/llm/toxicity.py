@@ -31,7 +31,7 @@ from .common import documents, fold, held, trim
 from .quality import bounded, isotonic, training_labels
 
 WINDOW, STRIDE = 32, 16  # words
-FIT_DOCUMENTS = 5000  # of either label, at most, by a hash of the id
+FIT_DOCUMENTS = 4000  # of either label, at most, by a hash of the id
 EPOCHS, BATCH, RATE = 4, 256, 0.01
 STEPS = 1200  # at least, by more epochs
 VALID, PATIENCE = 6, 2  # one text in so many only tells the best epoch; epochs without a better one that end the training
@@ -144,6 +144,14 @@ class Network:
         chars = np.tanh(np.concatenate([np.add.reduceat(self.p["char"][gram_rows[begins[x][0] : ends[x][-1]]], begins[x] - begins[x][0]) for x in parts]) / root)
         return np.hstack([self.p["word"][word_rows], chars]), root
 
+    def parts(self, grams: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[tuple[slice, np.ndarray]]:
+        """Input vectors of all words, a part of them at a time."""
+        word_rows, gram_rows, begins = grams
+        ends = np.r_[begins[1:], len(gram_rows)]
+        for i in range(0, len(begins), PART):
+            x = slice(i, min(i + PART, len(begins)))
+            yield x, self.inputs(word_rows[x], gram_rows[begins[i] : ends[x.stop - 1]], begins[x] - begins[i])[0]
+
     def recur(self, gates: np.ndarray, mask: np.ndarray, side: str, keep: list | None = None) -> np.ndarray:
         """States (T, N, H) of one direction; gates: (T, N, 3H) of the inputs."""
         h, u = np.zeros((gates.shape[1], HIDDEN), self.kind), self.p["u" + side]
@@ -275,7 +283,7 @@ class Windows:
         place = self.starts[rows][:, None] + np.arange(WINDOW)
         return np.where(place < self.ends[rows][:, None], self.flat[np.minimum(place, len(self.flat) - 1)], -1)
 
-    def parts(self, size: int = 4096) -> Iterator[np.ndarray]:
+    def parts(self, size: int = 2048) -> Iterator[np.ndarray]:
         for i in range(0, len(self.starts), size):
             yield self[np.arange(i, min(i + size, len(self.starts)))]
 
@@ -302,12 +310,15 @@ def fit_network(windows: Windows, label: np.ndarray, primed: bool = True) -> Net
     clean = min(0.3, CLEAN / max(1, int((y == 0).sum())))
     epochs, epoch, found, least = EPOCHS, 0, (-1.0, 0), None
     while True:
-        x = net.inputs(*grams)[0]
+        trim()
         if epoch or not primed:
-            table = net.gate_table(x)
+            table = np.empty((len(grams[0]), 6 * HIDDEN), "f4")
+            for part, x in net.parts(grams):
+                table[part] = net.gate_table(x)
             high = np.concatenate([net.logits(index, table) for index in windows.parts()])
+            del table
         else:
-            odds = x[:, 0] + x[:, WORD_DIM]
+            odds = np.concatenate([x[:, 0] + x[:, WORD_DIM] for _, x in net.parts(grams)])
             high = np.concatenate([np.where(index >= 0, odds[np.maximum(index, 0)], -9).max(axis=1) for index in windows.parts()])
         best = np.full(len(label), -np.inf)
         np.maximum.at(best, doc, high)
@@ -426,7 +437,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if got["y"].nunique() < 2:
         return Model(constant=float(got["y"].max()) if len(got) else 0.0)
     label = got.pop("y").to_numpy().astype("i8")
-    windows = Windows(got.pop("text").fillna(""))
+    texts = got.pop("text").tolist()[::-1]
+    del got
+    windows = Windows(texts.pop() or "" for _ in range(len(texts)))  # each text goes as soon as its words are numbers
     if len(np.unique(label[windows.docs])) < 2:  # no words in the texts of one class
         return Model(constant=float(label.max()))
     net = fit_network(windows, label)
