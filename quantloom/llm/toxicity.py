@@ -324,7 +324,7 @@ def fit_network(windows: Windows, label: np.ndarray, primed: bool = True) -> Net
         np.maximum.at(best, doc, high)
         if epoch:
             now = concordance(best[valid], label[valid]) if valid.any() else float(epoch)
-            if now > found[0]:
+            if now >= found[0]:
                 found, least = (now, epoch), {k: v.copy() for k, v in net.p.items()}
             if epoch == epochs or epoch - found[1] >= PATIENCE:
                 net.p = least
