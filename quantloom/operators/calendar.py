@@ -46,14 +46,36 @@ def week_paths(cal: DataFrame) -> DataFrame:
 
 
 def walk_forward(n_dates: int, train: int = 240, test: int = 40, step: int = 40, delay: int = 1, mode: str = "rolling") -> Iterator[tuple[int, int, int, int, int]]:
-    """(window, first and last training index, first and last test index), ends included."""
+    """(window, first and last training index, first and last test index), ends included.
+
+    rolling: windows of ``train`` dates; expanding: all dates so far; bisect: each window of ``train``
+    dates is cut in two, and its last ``test`` dates, less the delay, are tested.
+    """
     k, start = 0, 0
-    while start + train + delay < n_dates:
+    while start + train + (0 if mode == "bisect" else delay) < n_dates + (mode == "bisect"):
         lo, hi = (0 if mode == "expanding" else start), start + train - 1
-        yield k, lo, hi, hi + 1 + delay, min(hi + delay + test, n_dates - 1)
+        if mode == "bisect":
+            yield k, lo, hi - test, hi - test + 1 + delay, hi
+        else:
+            yield k, lo, hi, hi + 1 + delay, min(hi + delay + test, n_dates - 1)
         k, start = k + 1, start + step
 
 
+def filled_weights(weights: DataFrame, cal: DataFrame) -> DataFrame:
+    """Weights (ticker, trade_date, w) on all calendar dates: on a date without any, each ticker keeps its last one before."""
+    there = weights.select("trade_date").distinct().withColumn("there", F.lit(True))
+    grid = weights.select("ticker").distinct().crossJoin(F.broadcast(cal.select("trade_date", "date_idx").join(there, "trade_date", "left")))
+    back = Window.partitionBy("ticker").orderBy("date_idx").rowsBetween(Window.unboundedPreceding, 0)
+    dense = grid.join(weights, ["ticker", "trade_date"], "left").withColumn("known", F.when(F.col("there"), F.coalesce("w", F.lit(0.0))))
+    return dense.select("ticker", "trade_date", "date_idx", F.last("known", ignorenulls=True).over(back).alias("w"))
+
+
+def trimmed(panel: DataFrame, cal: DataFrame, back: int, ahead: int) -> DataFrame:
+    """The panel without its first ``back`` and its last ``ahead`` dates."""
+    end = F.broadcast(cal.agg(F.max("date_idx").alias("end_idx")))  # one row
+    return panel.crossJoin(end).where((F.col("date_idx") >= back) & (F.col("date_idx") <= F.col("end_idx") - ahead)).drop("end_idx")
+
+
 def with_missing_dates(series: DataFrame, cal: DataFrame) -> DataFrame:
     """All calendar dates, null where the series has none."""
     return cal.select("trade_date").join(series, "trade_date", "left")

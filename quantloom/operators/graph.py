@@ -51,6 +51,10 @@ def correlations(panel: DataFrame, least: int, x: str = "ret", ranks: bool = Fal
     return got.withColumn("rho", F.nanvl("rho", F.lit(None).cast("double")))
 
 
+#: Similarities of tickers by name: (panel, least) to (a, b, n, rho).
+SIMILARITIES = {"pearson": lambda panel, least: correlations(panel, least), "spearman": lambda panel, least: correlations(panel, least, ranks=True)}
+
+
 def asset_edges(pairs: DataFrame, n_dates: int, tau: float = 3.0) -> DataFrame:
     return pairs.where(F.abs("rho") > float(np.tanh(tau / np.sqrt(n_dates - 3))))
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,24 +39,51 @@ def learner(kind: str, seed: int = 1):
         "linear": lambda: LinearRegression(labelCol="y", standardization=False),
         "ridge": lambda: LinearRegression(labelCol="y", regParam=0.01, elasticNetParam=0.0, standardization=False),
         "lasso": lambda: LinearRegression(labelCol="y", regParam=0.001, elasticNetParam=1.0, standardization=False),
-        "gbt": lambda: GBTRegressor(labelCol="y", maxIter=10, maxDepth=3, stepSize=0.1, minInstancesPerNode=25, seed=seed),
+        "logistic": lambda: LogisticRegression(labelCol="up", regParam=0.01, standardization=False),
+        "gbt": lambda: GBTRegressor(labelCol="y", maxIter=40, maxDepth=5, stepSize=0.1, minInstancesPerNode=25, seed=seed),
         "forest": lambda: RandomForestRegressor(labelCol="y", numTrees=20, maxDepth=4, seed=seed),
     }[kind]()
 
 
-def walk_forward(panel: DataFrame, features: list[str], kind: str, windows: list[tuple[int, int, int, int, int]], scale: float = 100.0) -> DataFrame:
-    """Predictions of each window's test dates, by a model fitted on its training dates."""
+def prepared(panel: DataFrame, features: list[str], scale: float = 100.0, weight: str | None = None) -> tuple[DataFrame, list[str]]:
+    """Samples with assembled features, missing ones as 0; ``up`` is 1 where the label is above 0; ``weight`` is a column of the panel, missing or negative ones as 0."""
     data, names = samples(panel, features)
-    data = data.na.fill(0.0, names).withColumn("y", F.col("y") * scale)
-    ready = VectorAssembler(inputCols=names, outputCol="features").transform(data).cache()
+    data = data.na.fill(0.0, names).withColumn("y", F.col("y") * scale).withColumn("up", (F.col("y") > 0).cast("double"))
+    if weight:
+        data = data.join(panel.select("ticker", "trade_date", F.greatest(F.coalesce(weight, F.lit(0.0)), F.lit(0.0)).alias("weight")), ["ticker", "trade_date"])
+    return VectorAssembler(inputCols=names, outputCol="features").transform(data).cache(), names
+
+
+def fitted(data: DataFrame, kind: str, lo: int, hi: int, weighted: bool = False):
+    model = learner(kind)
+    if weighted:
+        model.setWeightCol("weight")
+    return model.fit(data.where(F.col("date_idx").between(lo, hi) & F.col("y").isNotNull()))
+
+
+def walk_forward(panel: DataFrame, features: list[str], kind: str, windows: list[tuple[int, int, int, int, int]], scale: float = 100.0, weight: str | None = None) -> DataFrame:
+    """Predictions of each window's test dates, by a model fitted on its training dates; a logistic model predicts the chance of a label above 0."""
+    data, _ = prepared(panel, features, scale, weight)
     out = None
     for k, lo, hi, test_lo, test_hi in windows:
-        model = learner(kind).fit(ready.where(F.col("date_idx").between(lo, hi) & F.col("y").isNotNull()))
-        got = model.transform(ready.where(F.col("date_idx").between(test_lo, test_hi))).select(F.lit(k).alias("window_id"), "ticker", "trade_date", "date_idx", "prediction", "y")
+        got = fitted(data, kind, lo, hi, bool(weight)).transform(data.where(F.col("date_idx").between(test_lo, test_hi)))
+        prediction = vector_to_array("probability")[1] if kind == "logistic" else F.col("prediction")
+        got = got.select(F.lit(k).alias("window_id"), "ticker", "trade_date", "date_idx", prediction.alias("prediction"), "y")
         out = got if out is None else out.unionByName(got)
     return out
 
 
+def importances(panel: DataFrame, features: list[str], kind: str, windows: list[tuple[int, int, int, int, int]]) -> DataFrame:
+    """(window_id, feature, importance): a tree model's importances, or a linear one's coefficients."""
+    data, names = prepared(panel, features)
+    rows = []
+    for k, lo, hi, _, _ in windows:
+        model = fitted(data, kind, lo, hi)
+        values = model.featureImportances if hasattr(model, "featureImportances") else model.coefficients
+        rows += [(k, n, float(v)) for n, v in zip(names, values.toArray(), strict=True)]  # a row for each window and feature
+    return panel.sparkSession.createDataFrame(rows, "window_id int, feature string, importance double")
+
+
 def metrics(pred: DataFrame, p: str = "prediction", y: str = "y") -> DataFrame:
     """R2, RMSE, correlation, mean correlation per date, slope and the mean label of the top decile per window."""
     both = pred.where(F.col(p).isNotNull() & F.col(y).isNotNull())
@@ -74,4 +103,4 @@ def _window(*keys: str):
     return Window.partitionBy(*keys)
 
 
-MODELS: dict[str, Callable[..., DataFrame]] = {k: (lambda panel, features, windows, kind=k: walk_forward(panel, features, kind, windows)) for k in ("linear", "ridge", "lasso", "gbt", "forest")}
+MODELS: dict[str, Callable[..., DataFrame]] = {k: (lambda panel, features, windows, kind=k: walk_forward(panel, features, kind, windows)) for k in ("linear", "ridge", "lasso", "logistic", "gbt", "forest")}

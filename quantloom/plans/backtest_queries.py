@@ -247,3 +247,38 @@ def k_hop(spark, sf):
     n = F.broadcast(s.agg(F.max("s_suppkey").alias("n")))  # one row
     e = s.crossJoin(n).select(F.col("s_suppkey").alias("a"), ((F.col("s_suppkey") * 7 + 3) % F.col("n") + 1).alias("b"))
     return two_hops(e)
+
+
+@query("pair_spearman", f"with k as (select *, rank() over (partition by ticker order by ret) + (count(*) over (partition by ticker, ret) - 1) / 2.0 as rk from panel where ret is not null) select a.ticker as a, b.ticker as b, count(*) as n, {r(corr('a.rk', 'b.rk'))} as rho from k a join k b on a.trade_date = b.trade_date and a.ticker < b.ticker group by all having count(*) >= 40")
+def pair_spearman(spark, sf):
+    from ..operators.graph import SIMILARITIES
+
+    return SIMILARITIES["spearman"](month_panel(spark, sf), 40).withColumn("rho", r6("rho"))
+
+
+@query("lead_grid", f"with {FACTORED}, leads as (select cast(unnest(range(0, 3)) as integer) as lead_n), m as (select lead_n, f.*, lead(mom, lead_n) over (partition by ticker, lead_n order by date_idx) as m from f cross join leads), k as (select *, row_number() over (partition by lead_n, trade_date order by m desc nulls last, ticker) as rk from m where m is not null) select lead_n, {r('avg(y)')} as top_ret from k where rk <= 10 group by 1")
+def lead_grid(spark, sf):
+    p = factored(spark, sf).crossJoin(F.broadcast(spark.createDataFrame([(i,) for i in range(3)], "lead_n int")))  # three rows
+    own = Window.partitionBy("ticker", "lead_n").orderBy("date_idx")
+    k = p.withColumn("m", F.coalesce(*[F.when(F.col("lead_n") == i, F.lead("mom", i).over(own)) for i in range(3)])).where("m is not null")
+    k = k.withColumn("rk", F.row_number().over(Window.partitionBy("lead_n", "trade_date").orderBy(F.desc_nulls_last("m"), "ticker")))
+    return k.where("rk <= 10").groupBy("lead_n").agg(r6(F.avg("y")).alias("top_ret"))
+
+
+@query("factor_record")
+def factor_record(spark, sf):
+    from ..operators.evaluate import Setting, evaluate
+
+    return evaluate(factored(spark, sf), "mom", "y", "y3", "mom", Setting(head=HEAD, adj_freq=PATHS, rate=RATE))
+
+
+LONG_SHORT = ", ".join([*(f"{side}_c as (select *, lag({w}) over t as old, abs({RATE} * (lag({w}) over t - {w}) / 2) as cost from sig window t as (partition by path_id, ticker order by date_idx)), {side}_p as (select path_id, trade_date, sum(y * {w}) / nullif(sum({w}), 0) as gross, coalesce(sum(y * {w} - cost), 0) / nullif(sum({w}), 0) as net from {side}_c group by all), {side} as (select trade_date, avg(gross) as gross, avg(net) as net from {side}_p group by 1)" for side, w in (("lo", "long_w"), ("sh", "short_w")))])
+
+
+@query("long_short_curve", f"with {FACTORED}, {SIGNALS}, {LONG_SHORT} select trade_date, {r('sum(coalesce(lo.net, 0)) over t')} as long, {r('sum(coalesce(sh.net, 0)) over t')} as short, {r('sum(coalesce(lo.net - 2 * sh.gross + sh.net, 0)) over t')} as long_short from lo join sh using (trade_date) window t as (order by trade_date rows unbounded preceding)")
+def long_short_curve(spark, sf):
+    from ..operators.evaluate import curves
+
+    s = signals(spark, sf)
+    c = curves(*[B.over_paths(B.portfolio(s, f"{k}_w", "y", RATE)) for k in ("long", "short")])
+    return c.select("trade_date", *[r6(k).alias(k) for k in ("long", "short", "long_short")])

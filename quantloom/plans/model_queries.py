@@ -179,7 +179,7 @@ def windows(spark, sf):
     return list(C.walk_forward(n, 36, 12, 12, 1))
 
 
-for _kind in ("linear", "ridge", "lasso", "gbt", "forest"):
+for _kind in ("linear", "ridge", "lasso", "logistic", "gbt", "forest"):
 
     def _wf(kind=_kind):
         return lambda spark, sf: L.metrics(L.MODELS[kind](month_panel(spark, sf), ["ret", "turnover"], windows(spark, sf))).select("window_id", "n", *[F.round(c, 4).alias(c) for c in ("r2", "rmse", "ic", "slope", "top_decile", "ic_cs")])
@@ -187,6 +187,16 @@ for _kind in ("linear", "ridge", "lasso", "gbt", "forest"):
     query(f"{_kind}_walk_forward")(_wf())
 
 
+@query("weighted_walk_forward")
+def weighted_walk_forward(spark, sf):
+    return L.metrics(L.walk_forward(month_panel(spark, sf), ["ret", "turnover"], "linear", windows(spark, sf), weight="cap")).select("window_id", "n", F.round("ic", 4).alias("ic"), F.round("r2", 4).alias("r2"))
+
+
+@query("feature_importance")
+def feature_importance(spark, sf):
+    return L.importances(month_panel(spark, sf), ["ret", "turnover"], "forest", windows(spark, sf)).withColumn("importance", F.round("importance", 6))
+
+
 @query("sample_matrix", f"with f as (select ticker, trade_date, date_idx, ret as ret_0, lag(ret) over w as ret_1, lead(vwap, 2) over w / nullif(lead(vwap) over w, 0) - 1 as y0 from panel window w as (partition by ticker order by date_idx)) select ticker, trade_date, {r('ret_0')} as ret_0, {r('ret_1')} as ret_1, {r('y0 - avg(y0) over (partition by trade_date)')} as y from f")
 def sample_matrix(spark, sf):
     return L.samples(month_panel(spark, sf), ["ret"], 2)[0].select("ticker", "trade_date", r6("ret_0").alias("ret_0"), r6("ret_1").alias("ret_1"), r6("y").alias("y"))

@@ -278,3 +278,40 @@ def ffill_bfill(spark, sf):
 def running(spark, sf):
     w = by_ticker().rowsBetween(Window.unboundedPreceding, 0)
     return month_panel(spark, sf).select("ticker", "trade_date", r6(F.sum("ret").over(w)).alias("cum"), r6(F.max("close").over(w)).alias("high_so_far"))
+
+
+@query("src_names", "select lpad(cast(s_suppkey as varchar), 6, '0') as ticker, s_name as name from supplier", month=False)
+def src_names(spark, sf):
+    return table(spark, sf, "supplier").select(F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("ticker"), F.col("s_name").alias("name"))
+
+
+@query("adjusted_price", f"select ticker, trade_date, {r('close * adj')} as close, {r('vwap * adj')} as vwap, {r('close * adj / nullif(lag(close * adj) over (partition by ticker order by date_idx), 0) - 1')} as ret from (select *, 1 + 0.002 * date_idx as adj from panel)")
+def adjusted_price(spark, sf):
+    p = month_panel(spark, sf).withColumn("adj", 1 + 0.002 * F.col("date_idx"))
+    p = p.withColumns({"close": F.col("close") * F.col("adj"), "vwap": F.col("vwap") * F.col("adj")})
+    return p.select("ticker", "trade_date", r6("close").alias("close"), r6("vwap").alias("vwap"), r6(div("close", lag("close")) - 1).alias("ret"))
+
+
+INDEX = "ix as (select region, trade_date, date_idx, " + ", ".join(f"sum({c} * cap) / nullif(sum(case when {c} is not null then cap end), 0) as {c}" for c in ("open", "close", "vwap")) + " from panel group by all)"
+
+
+@query("index_ret", f"with {INDEX} select cast(region as varchar) as index_code, trade_date, {r('close / nullif(lag(close) over w, 0) - 1')} as c2c, {r('lead(open) over w / nullif(open, 0) - 1')} as o2next_o, {r('lead(vwap) over w / nullif(vwap, 0) - 1')} as v2next_v from ix window w as (partition by region order by date_idx)")
+def index_ret(spark, sf):
+    from ..functions.expr import weighted_mean
+
+    ix = month_panel(spark, sf).groupBy("region", "trade_date", "date_idx").agg(*[weighted_mean(c, "cap").alias(c) for c in ("open", "close", "vwap")])
+    w = Window.partitionBy("region").orderBy("date_idx")
+    ahead = lambda c: r6(div(F.lead(c).over(w), c) - 1)
+    return ix.select(F.col("region").cast("string").alias("index_code"), "trade_date", r6(div("close", F.lag("close").over(w)) - 1).alias("c2c"), ahead("open").alias("o2next_o"), ahead("vwap").alias("v2next_v"))
+
+
+@query("trim_range", "select ticker, trade_date from panel where date_idx between 12 and (select max(date_idx) from panel) - 5")
+def trim_range(spark, sf):
+    return C.trimmed(month_panel(spark, sf), cal_of(spark, sf), 12, 5).select("ticker", "trade_date")
+
+
+@query("weights_filled", f"with s as (select *, value / sum(value) over (partition by trade_date) as w from panel where value is not null and date_idx % 4 <> 3), g as (select p.ticker, p.trade_date, p.date_idx, case when p.date_idx % 4 <> 3 then coalesce(s.w, 0) end as known from panel p left join s on s.ticker = p.ticker and s.trade_date = p.trade_date) select ticker, trade_date, {r('last_value(known ignore nulls) over (partition by ticker order by date_idx rows between unbounded preceding and current row)')} as w from g")
+def weights_filled(spark, sf):
+    p = month_panel(spark, sf)
+    w = p.where("value is not null and date_idx % 4 <> 3").select("ticker", "trade_date", div("value", F.sum("value").over(by_date())).alias("w"))
+    return C.filled_weights(w, cal_of(spark, sf)).select("ticker", "trade_date", r6("w").alias("w"))

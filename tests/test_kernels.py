@@ -161,3 +161,37 @@ def test_streaming_bars_equal_the_batch(spark, tmp_path):
     from pyspark.sql import functions as F
 
     assert got == {(r.user_id, r.start): r.n for r in events.groupBy("user_id", F.date_trunc("day", "ts").alias("start")).agg(F.count("value").alias("n")).collect()}
+
+
+def test_bisected_windows_test_their_own_tail():
+    assert list(walk_forward(20, 10, 3, 5, 1, "bisect")) == [(0, 0, 6, 8, 9), (1, 5, 11, 13, 14), (2, 10, 16, 18, 19)]
+
+
+def test_similar_kernels_on_long_calendars(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from quantloom.functions.expr import decayed
+
+    w = Window.orderBy("i").rowsBetween(-9, 0)
+    got = spark.range(20_000).select(F.col("id").alias("i"), F.lit(1.0).alias("x")).select("i", decayed(w, 0.5 ** (1 / 5), F.col("x"))[0].alias("s")).where("i = 19999").first()
+    assert abs(got.s - sum(0.5 ** (k / 5) for k in range(10))) < 1e-12
+
+
+def test_a_record_has_its_columns(spark):
+    from quantloom.plans import backtest_queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    row = Q.factor_record(spark, sf).first()
+    assert len(row) == 51
+    want = Q.perf_stats(spark, sf).where("year = 'sum'").first()
+    assert abs(row.long_alpha_rtn - want.alpha_rtn) < 1e-5 and abs(row.long_turnover - want.turnover) < 1e-5
+    assert row.best_alpha_rtn == max(row.long_alpha_rtn, row.short_alpha_rtn)
+
+
+def test_weights_over_the_universe(spark):
+    w = spark.createDataFrame([(0, "2020-01-01", "a", 0.6), (0, "2020-01-01", "b", 0.4)], "scenario int, trade_date string, ticker string, w double")
+    panel = spark.createDataFrame([("a",), ("b",), ("c",)], "ticker string")
+    assert {(r.ticker, r.w) for r in O.over_universe(w, panel).collect()} == {("a", 0.6), ("b", 0.4), ("c", 0.0)}
+    barred = spark.createDataFrame([("a",)], "ticker string")
+    assert {(r.ticker, r.w) for r in O.over_universe(w, panel, barred).collect()} == {("a", 0.0), ("b", 1.0), ("c", 0.0)}
