@@ -11,21 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import jaccard, packing, quality, toxicity
-from quantloom.llm.common import documents, written
-
-SCORE = "corpus_pipeline_score"  # dropped again before a stage returns
+from quantloom.llm.common import documents, dropped, fresh, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
+    (score,) = fresh(docs, "score")
     labels = quality.training_labels(spark, sf_dir, "quality", quality.FOLDS, quality.HELD_OUT)
-    return quality.quality(docs, labels, SCORE).where(F.col(SCORE) >= quality.THRESHOLD).drop(SCORE)
+    return quality.quality(docs, labels, score).where(F.col(score) >= quality.THRESHOLD).drop(score)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't scored as toxic."""
+    (score,) = fresh(docs, "score")
     labels = quality.training_labels(spark, sf_dir, "toxic", toxicity.FOLDS, toxicity.HELD_OUT)
-    return toxicity.toxicity(docs, labels, SCORE).where(F.col(SCORE) < toxicity.THRESHOLD).drop(SCORE)
+    return toxicity.toxicity(docs, labels, score).where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,5 +48,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order, over the documents of ``sf_dir``."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name}")
+        dropped(before)
+    out = STAGES[-1][1](spark, docs, sf_dir)  # it has read all documents
+    dropped(docs)
+    return out
