@@ -367,6 +367,25 @@ def test_quality(marked, docs, empty, spark):
     assert quality.quality(empty, none, "s").count() == 0
 
 
+def test_normal_equations_and_ridge(spark):
+    g = np.random.default_rng(3)
+    x, y = g.normal(size=(500, 6)), g.integers(0, 2, 500).astype(float)
+    features = quality.Cosines(x.mean(axis=0), x.std(axis=0), n=40)
+    rows = spark.createDataFrame([([float(v) for v in a], float(b)) for a, b in zip(x, y)], "x array<double>, y double").repartition(5)
+    a, b, n = quality.normal_equations(rows, features, parts=3)
+    z = features(x)
+    assert n == 500 and np.allclose(a, z.T @ z) and np.allclose(b, z.T @ y)
+
+
+def test_cosines_approximate_a_gaussian_kernel():
+    g = np.random.default_rng(4)
+    x = g.normal(size=(60, 8))
+    features = quality.Cosines(np.zeros(8), np.ones(8), n=20_000, width=3.0)
+    z = features(x)[:, 9:]  # beyond the constant and the linear terms
+    want = np.exp(-((x[:, None] - x[None]) ** 2).sum(axis=2) / (2 * 3.0**2))
+    assert np.abs(z @ z.T - want).max() < 0.05
+
+
 def test_isotonic():
     x, y = quality.isotonic(np.array([0.0, 1, 2, 3]), np.array([0.0, 0.6, 0.4, 1]), np.array([1.0, 1, 1, 2]))
     assert y.tolist() == [0, 0.5, 1] and x.tolist() == [0, 1.5, 3]
@@ -425,7 +444,8 @@ def test_all_windows_are_read():
         assert [[names[i] for i in row if i >= 0] for row in own] == [words[s : s + toxicity.WINDOW] for s in starts]
 
 
-def test_toxicity(marked, docs, empty):
+def test_toxicity(marked, docs, empty, monkeypatch):
+    monkeypatch.setattr(toxicity, "STEPS", 250)  # for time
     texts, labels, rows = marked
     got = {r.doc_id: r.s for r in toxicity.toxicity(texts, labels.where("doc_id % 3 <> 1").select("doc_id", F.col("toxic").alias("y")), "s").collect()}
     assert np.mean([(got[i] >= 0.7) == (x == 1) for i, _, _, x in rows if i % 3 == 1]) > 0.97

@@ -3,6 +3,7 @@
 import collections
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quantloom.llm import packing, quality, toxicity
@@ -53,3 +54,15 @@ def test_rejected_documents_score_below_the_thresholds(spark, results):
     scores = {r.doc_id: r.s for r in quality.quality(documents(spark, SF), labels, "s").collect()}
     assert {i for i, s in scores.items() if s >= quality.THRESHOLD} == {r.doc_id for r in results[0].collect()}
     assert toxicity.THRESHOLD == 0.7
+
+
+def test_clashing_names_pass_through_the_stages(spark):
+    docs = documents(spark, SF).limit(40).withColumn("score", F.lit("own")).withColumn("Score_", F.lit(3))
+    for stage in (corpus_pipeline.quality_stage, corpus_pipeline.duplicates_stage):
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns and {(r.score, r.Score_) for r in got.collect()} == {("own", 3)}
+
+
+def test_the_whole_run_equals_the_stages(spark, results):
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert sorted((r.doc_id, r.piece, r.length) for r in got) == sorted((r.doc_id, r.piece, r.length) for r in results[3].collect())
