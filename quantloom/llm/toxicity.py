@@ -32,8 +32,8 @@ from .quality import bounded, isotonic, training_labels
 
 WINDOW, STRIDE = 32, 16  # words
 FIT_DOCUMENTS = 4000  # of either label, at most, by a hash of the id
-EPOCHS, BATCH, RATE = 4, 256, 0.01
-STEPS = 1200  # at least, by more epochs
+EPOCHS, MOST_EPOCHS, BATCH, RATE = 4, 8, 256, 0.01
+STEPS = 1200  # at least, by more epochs and, of few windows, by several passes in each
 VALID, PATIENCE = 6, 2  # one text in so many only tells the best epoch; epochs without a better one that end the training
 CLEAN = 12_000  # windows of other documents, on average, that an epoch takes at random
 TABLE_RATE = 0.1  # of the learning rate, for the hashed vectors
@@ -332,9 +332,12 @@ def fit_network(windows: Windows, label: np.ndarray, primed: bool = True) -> Net
         top, hard, hardest = np.quantile(high[own & (y == 1)], 0.5), np.quantile(high[own & (y == 0)], 0.8), np.quantile(high[own & (y == 0)], 0.95)
         rest = (high > hard) & (rng.random(len(y)) < 2 * clean) | (high > hardest) | (rng.random(len(y)) < clean)
         use = np.flatnonzero(own & np.where(y == 1, (high >= best[doc]) | (high > max(top, hard)), rest))
-        epochs = max(epochs, -(-STEPS * BATCH // len(use))) if not epoch else epochs
+        if not epoch:
+            steps = -(-len(use) // BATCH)
+            epochs = min(MOST_EPOCHS, max(EPOCHS, -(-STEPS // steps)))
+            passes = max(1, STEPS // (epochs * steps))
         weight = np.where(y == 1, 1.0, max(1.0, y[use].sum()) / max(1.0, (1 - y[use]).sum())).astype("f4")
-        order = rng.permutation(use)
+        order = np.concatenate([rng.permutation(use) for _ in range(passes)])
         for lo in range(0, len(order), BATCH):
             part = order[lo : lo + BATCH]
             net.train(windows[part], y[part].astype("f4"), weight[part], grams, RATE * (1 - epoch / epochs) ** 2)

@@ -452,9 +452,9 @@ def test_toxicity(marked, docs, empty, monkeypatch):
     model = toxicity.fit(texts, labels.select("doc_id", F.col("toxic").alias("y")))
     own = {r.text: r.s for r in docs.select("text", toxicity.scorer(model)(F.col("text")).alias("s")).collect()}  # nulls, no words, 40,000 words
     assert all(0 <= s <= 1 for s in own.values()) and own[None] == own[""] == own["   "] == min(own.values())
-    long = " ".join([*["river"] * 39_000, "zorkelig", *["river"] * 999])  # one word decides, wherever it stands
-    raw = model.raw([long, "river " * 40_000, " ".join(["river"] * 20 + ["zorkelig"] + ["river"] * 20)])
-    assert raw[0] > raw[1] + 1 and raw[2] > raw[1] + 1
+    clean, start = sentence(40_000), sentence(20)  # text like that of the clean documents; one word decides, wherever it stands
+    raw = model.raw([clean[:200_000] + " zorkelig " + clean[200_000:], clean, start + " zorkelig " + start, start + " " + start])
+    assert raw[0] > raw[1] + 1 and raw[2] > raw[3] + 1
     none = labels.where("false").select("doc_id", F.col("toxic").alias("y"))
     assert {r.s for r in toxicity.toxicity(docs, none, "s").collect()} == {0.0}
     assert toxicity.toxicity(empty, none, "s").count() == 0
