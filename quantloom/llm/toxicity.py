@@ -42,6 +42,7 @@ WORD_ROWS, CHAR_ROWS = 1 << 17, 1 << 17
 RARE = 3  # words and n-grams of fewer sampled documents keep a zero vector
 GRAMS = (3, 4, 5)
 CACHED_WORDS = 200_000
+ROWS = 1024  # windows scored together; their arrays stay in the processor's cache
 PART = 20_000  # words whose n-grams are looked at together
 THRESHOLD = 0.7
 NO_WORDS = -40.0  # the raw score of a text without words
@@ -96,7 +97,10 @@ def grams_of_all(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    with np.errstate(over="ignore"):
+        y = np.exp(-x)
+    y += 1
+    return np.reciprocal(y, out=y)
 
 
 class Network:
@@ -152,31 +156,38 @@ class Network:
             x = slice(i, min(i + PART, len(begins)))
             yield x, self.inputs(word_rows[x], gram_rows[begins[i] : ends[x.stop - 1]], begins[x] - begins[i])[0]
 
-    def recur(self, gates: np.ndarray, mask: np.ndarray, side: str, keep: list | None = None) -> np.ndarray:
-        """States (T, N, H) of one direction; gates: (T, N, 3H) of the inputs."""
-        h, u = np.zeros((gates.shape[1], HIDDEN), self.kind), self.p["u" + side]
-        out = np.empty((*gates.shape[:2], HIDDEN), self.kind)
-        for t in range(len(gates)) if side == "f" else range(len(gates) - 1, -1, -1):
-            back = h @ u
-            zr = sigmoid(gates[t, :, : 2 * HIDDEN] + back[:, : 2 * HIDDEN])
+    def recur(self, rows: np.ndarray, table: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """States (T, 2H, N) of both directions, stepped together; rows: (T, N) of the gates in ``table`` (K, 6H). Windows are the last axis, so that operations run over long rows."""
+        last, lo = len(rows) - 1, 2 * HIDDEN
+        halves, u = table.reshape(-1, 3 * HIDDEN), np.stack([self.p["uf"].T, self.p["ub"].T])  # forward gates in even rows, backward ones in odd rows
+        h = np.zeros((2, HIDDEN, rows.shape[1]), self.kind)
+        out = np.empty((len(rows), 2, HIDDEN, rows.shape[1]), self.kind)
+        for t in range(len(rows)):
+            now = np.ascontiguousarray(halves[2 * rows[[t, last - t]] + [[0], [1]]].transpose(0, 2, 1))
+            back = u @ h
+            zr = sigmoid(now[:, :lo] + back[:, :lo])
             z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            n = np.tanh(gates[t, :, 2 * HIDDEN :] + r * back[:, 2 * HIDDEN :])
-            new = n + z * (h - n)
-            m = mask[t][:, None]
+            n = r * back[:, lo:]
+            n += now[:, lo:]
+            np.tanh(n, out=n)
+            new = h - n
+            new *= z
+            new += n
+            m = mask[[t, last - t]][:, None]
             if keep is not None:
-                keep.append((t, h, z, r, n, back[:, 2 * HIDDEN :], m))
-            h = np.where(m, new, h)
-            out[t] = h
-        return out
+                keep.append((h, z, r, n, back[:, lo:], m))
+            h = new if m.all() else np.where(m, new, h)
+            out[t, 0], out[last - t, 1] = h
+        return out.reshape(len(rows), 2 * HIDDEN, -1)
 
     def pool(self, states: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Attention over time: logits, weights, pooled states."""
-        a = np.where(mask, states @ self.p["att"], -1e9)
+        a = np.where(mask, self.p["att"] @ states, -1e9)
         a = np.exp(a - a.max(axis=0))
         a = a * mask
         a /= np.maximum(a.sum(axis=0), 1e-9)
-        pooled = np.einsum("tn,tnh->nh", a, states)
-        return pooled @ self.p["out"] + self.p["bias"], a, pooled
+        pooled = np.einsum("tn,thn->hn", a, states)
+        return self.p["out"] @ pooled + self.p["bias"], a, pooled
 
     def gate_table(self, x: np.ndarray) -> np.ndarray:
         """Gates of either direction for each input vector."""
@@ -185,9 +196,7 @@ class Network:
     def logits(self, index: np.ndarray, table: np.ndarray) -> np.ndarray:
         """For windows (N, T) of rows of ``table``, -1 where there is no word."""
         mask = (index >= 0).T
-        gates = table[np.maximum(index, 0).T]
-        states = np.concatenate([self.recur(gates[:, :, : 3 * HIDDEN], mask, "f"), self.recur(gates[:, :, 3 * HIDDEN :], mask, "b")], axis=2)
-        return self.pool(states, mask)[0]
+        return self.pool(self.recur(np.maximum(index, 0).T, table, mask), mask)[0]
 
     def gradients(self, index: np.ndarray, y: np.ndarray, weight: np.ndarray, grams: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[float, dict[str, tuple]]:
         """The mean loss on windows of words (rows of ``grams``), and its gradient: for each parameter the rows concerned, and their part."""
@@ -201,41 +210,46 @@ class Network:
         x, root = self.inputs(word_rows[kinds], own, starts)
         mask = (index >= 0).T
         rows = at.reshape(index.shape).T
-        gates = self.gate_table(x)[rows]
-        keeps: dict[str, list] = {"f": [], "b": []}
-        states = np.concatenate([self.recur(gates[:, :, : 3 * h], mask, "f", keeps["f"]), self.recur(gates[:, :, 3 * h :], mask, "b", keeps["b"])], axis=2)
+        keep: list[tuple] = []
+        states = self.recur(rows, self.gate_table(x), mask, keep)
         logit, a, pooled = self.pool(states, mask)
         g = {k: np.zeros_like(v) for k, v in p.items() if k not in ("word", "char")}
         d_logit = ((sigmoid(logit) - y) * weight / weight.sum()).astype(self.kind)
-        g["out"], g["bias"][0] = pooled.T @ d_logit, d_logit.sum()
-        d_pooled = d_logit[:, None] * p["out"]
-        d_a = np.einsum("nh,tnh->tn", d_pooled, states)
+        g["out"], g["bias"][0] = pooled @ d_logit, d_logit.sum()
+        d_pooled = p["out"][:, None] * d_logit
+        d_a = np.einsum("hn,thn->tn", d_pooled, states)
         d_score = a * (d_a - (a * d_a).sum(axis=0))
-        g["att"] = np.einsum("tn,tnh->h", d_score, states)
-        d_states = a[:, :, None] * d_pooled + d_score[:, :, None] * p["att"]
+        g["att"] = np.einsum("tn,thn->h", d_score, states)
+        d_states = a[:, None] * d_pooled + d_score[:, None] * p["att"][:, None]
+        u, last = np.stack([p["uf"], p["ub"]]), len(rows) - 1
+        d_u, d_h = np.zeros_like(u), np.zeros((2, h, rows.shape[1]), self.kind)
+        d_gates = np.zeros((2, 3 * h, *rows.shape), self.kind)
+        for t in range(last, -1, -1):
+            before, z, r, n, back_n, m = keep.pop()
+            d_h = d_h + np.stack([d_states[t, :h], d_states[last - t, h:]])
+            d_new = np.where(m, d_h, 0)
+            d_n = d_new * (1 - z) * (1 - n * n)
+            d_z = d_new * (before - n) * z * (1 - z)
+            d_r = d_n * back_n * r * (1 - r)
+            d_back = np.concatenate([d_z, d_r, d_n * r], axis=1)
+            d_u += before @ d_back.transpose(0, 2, 1)
+            d_h = np.where(m, d_new * z, d_h) + u @ d_back
+            for side, at_t in enumerate((t, last - t)):
+                d_gates[side, : 2 * h, at_t], d_gates[side, 2 * h :, at_t] = d_back[side, : 2 * h], d_n[side]
         d_x = np.zeros_like(x)
-        for side, lo in (("f", 0), ("b", h)):
-            d_gates = np.zeros((*rows.shape, 3 * h), self.kind)
-            d_h = np.zeros((rows.shape[1], h), self.kind)
-            for t, before, z, r, n, back_n, m in reversed(keeps[side]):
-                d_h = d_h + d_states[t, :, lo : lo + h]
-                d_new = np.where(m, d_h, 0)
-                d_n = d_new * (1 - z) * (1 - n * n)
-                d_z = d_new * (before - n) * z * (1 - z)
-                d_r = d_n * back_n * r * (1 - r)
-                d_gates[t] = np.hstack([d_z, d_r, d_n])
-                d_back = np.hstack([d_z, d_r, d_n * r])
-                g["u" + side] += before.T @ d_back
-                d_h = np.where(m, d_new * z, d_h) + d_back @ p["u" + side].T
-            flat = d_gates.reshape(-1, 3 * h)
-            summed = np.stack([np.bincount(rows.reshape(-1), x, len(kinds)) for x in flat.T], axis=1).astype(self.kind)
-            g["w" + side], g["c" + side] = x.T @ summed, flat.sum(axis=0)
+        for i, side in enumerate("fb"):
+            flat = d_gates[i].reshape(3 * h, -1)
+            summed = np.stack([np.bincount(rows.reshape(-1), v, len(kinds)) for v in flat], axis=1).astype(self.kind)
+            g["u" + side], g["w" + side], g["c" + side] = d_u[i], x.T @ summed, flat.sum(axis=1)
             d_x += summed @ p["w" + side].T
         d_chars = d_x[:, WORD_DIM:] * (1 - x[:, WORD_DIM:] ** 2) / root
         out: dict[str, tuple] = {k: (slice(None), v) for k, v in g.items()}
         for k, at, d in (("word", word_rows[kinds], d_x[:, :WORD_DIM]), ("char", own, np.repeat(d_chars, sizes, axis=0))):
             touched = np.flatnonzero(np.bincount(at))
-            out[k] = (touched, np.stack([np.bincount(at, x)[touched] for x in d.T], axis=1).astype(self.kind))
+            place = np.zeros(len(p[k]), "i4")
+            place[touched] = np.arange(len(touched))
+            at = place[at]
+            out[k] = (touched, np.stack([np.bincount(at, v, len(touched)) for v in d.T], axis=1).astype(self.kind))
         return float((np.logaddexp(0, np.where(y == 1, -logit, logit)) * weight).sum() / weight.sum()), out
 
     def train(self, index: np.ndarray, y: np.ndarray, weight: np.ndarray, grams: tuple[np.ndarray, np.ndarray, np.ndarray], rate: float) -> float:
@@ -252,10 +266,14 @@ class Network:
 
     def move(self, k: str, rows: slice | np.ndarray, g: np.ndarray, rate: float) -> None:
         """One step of Adam for some rows."""
-        m1, m2 = self.moments[k]
-        m1[rows] += 0.1 * (g - m1[rows])
-        m2[rows] += 0.01 * (g**2 - m2[rows])
-        self.p[k][rows] -= rate * (m1[rows] / (1 - 0.9**self.step)) / (np.sqrt(m2[rows] / (1 - 0.99**self.step)) + 1e-8)
+        first, second = (m[rows] for m in self.moments[k])
+        first = first + 0.1 * (g - first)
+        second = second + 0.01 * (g * g - second)
+        self.moments[k][0][rows], self.moments[k][1][rows] = first, second
+        first *= rate / (1 - 0.9**self.step)
+        second /= 1 - 0.99**self.step
+        first /= np.sqrt(second) + 1e-8
+        self.p[k][rows] -= first
 
 
 class Windows:
@@ -283,7 +301,7 @@ class Windows:
         place = self.starts[rows][:, None] + np.arange(WINDOW)
         return np.where(place < self.ends[rows][:, None], self.flat[np.minimum(place, len(self.flat) - 1)], -1)
 
-    def parts(self, size: int = 2048) -> Iterator[np.ndarray]:
+    def parts(self, size: int = ROWS) -> Iterator[np.ndarray]:
         for i in range(0, len(self.starts), size):
             yield self[np.arange(i, min(i + size, len(self.starts)))]
 
@@ -402,7 +420,8 @@ class Scorer:
             at += len(ws)
         place = np.array(starts)[:, None] + np.arange(WINDOW)
         index = np.where(place < np.array(ends)[:, None], rows[np.minimum(place, len(rows) - 1)], -1)
-        np.maximum.at(out, docs, self.net.logits(index, self.table))
+        high = np.concatenate([self.net.logits(index[i : i + ROWS], self.table) for i in range(0, len(index), ROWS)])
+        np.maximum.at(out, docs, high)
 
 
 def sample_texts(docs: DataFrame, marked: DataFrame) -> pd.DataFrame:
