@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from . import ann, bpe, chat, jaccard, lm, neardup, packing, quality, sharding, toxicity
+from . import ann, bpe, chat, counts, jaccard, lm, neardup, packing, quality, sharding, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_lm": lm.op9_lm,
     "op10_neardup": neardup.op10_neardup,
+    "op11_counts": counts.op11_counts,
 }
 _JACCARD = r"""
 with recursive w as (select doc_id, text, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') as w from documents),
