@@ -1,13 +1,14 @@
 """Token counts without ids.
 
 Texts are split into pre-tokens, which the tokenizer never merges across. A pass over the texts
-writes, for each block of them, the block's distinct pre-tokens under local numbers, and for each
-document how often it has which number. Then every distinct pre-token of the corpus is encoded once
-for its number of pieces, joined to the blocks' pre-tokens, and each document's frequencies are
-weighed by these numbers and summed. Ids are never kept.
+writes, for each block of them, the block's distinct pre-tokens, and for each document how often it
+has which of them. The pre-tokens of all blocks meet in buckets of their hash, where each distinct
+one is encoded once for its number of pieces; these numbers are joined back to the blocks, where
+each document's frequencies are weighed by them and summed. Ids are never kept.
 
 A block holds a bounded number of characters (or one text), so a pre-token that every text has
-gives one row a block, and no task gathers more than a block.
+comes once a block to its bucket. The number of buckets follows the bytes of all texts. A block's
+pre-tokens of a bucket are one row, and a block's documents another one, both compressed.
 
 Defined cases: null and empty texts have no bytes and no tokens; special strings inside a text are
 one token each, as the library has it by default; very long texts are split in parts at places
@@ -18,11 +19,13 @@ empty table gives an empty result; columns other than doc_id and text are not re
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
@@ -34,12 +37,25 @@ from .tokens import ByteBPE, bytes_of_chars, tokenizer_path
 
 BLOCK = 4_000_000  # characters of a block
 PART = 1_000_000  # characters of a text that are split at a time
+BUCKETS, BUCKET_BYTES = 256, 32_000_000  # buckets at least, and bytes of text a bucket at most
 LIMIT = 1024
 SPECIAL = " "  # marks special strings among pre-tokens; the byte alphabet has no space
 SPACE = "\u0120"  # a space in the byte alphabet
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")  # letters, and a mark: two pre-tokens, of the commonest form
-ROWS = "block long, number int, pretoken string, doc_id long, n_bytes long, numbers array<int>, times array<int>"
-COLUMNS, INTS = [x.split()[0] for x in ROWS.split(", ")], pa.list_(pa.int32())
+ROWS = "block long, bucket int, words int, pretokens binary, doc_ids array<long>, n_bytes array<long>, n_entries int, entries binary, times binary"
+CODEC, SEPARATOR = "zstd", "\0"
+KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+SCHEMA = pa.schema([(n, KINDS[k]) for n, k in map(str.split, ROWS.split(", "))])
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32 by planes of their bytes, compressed."""
+    return pa.compress(np.ascontiguousarray(numbers.astype("<u4").view("u1").reshape(-1, 4).T).tobytes(), CODEC, asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * n, CODEC, asbytes=True), "u1").reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
 class Splitter:
@@ -96,11 +112,14 @@ class Splitter:
 class Block:
     """Texts with the pre-tokens they share."""
 
-    def __init__(self, splitter: Splitter, number: int):
-        self.splitter, self.number, self.chars = splitter, number, 0
+    def __init__(self, splitter: Splitter, block: int, buckets: int):
+        self.splitter, self.block, self.buckets, self.chars = splitter, block, buckets, 0
         self.numbers: dict[str, int] = {}
         self.of_word: dict[str, tuple[int, ...]] = {}
-        self.docs: list[tuple] = []
+        self.ids: list = []
+        self.sizes: list[int] = []
+        self.entries: list[np.ndarray] = []
+        self.times: list[np.ndarray] = []
 
     def numbered(self, pretokens: list[str]) -> tuple[int, ...]:
         return tuple([self.numbers.setdefault(x, len(self.numbers)) for x in pretokens])
@@ -121,65 +140,98 @@ class Block:
                     of = self.of_word[word] = self.numbered(self.splitter.after_space(word))
                 for i in of:
                     times[i] = times.get(i, 0) + n
-        order = sorted(times)
-        self.docs.append((doc_id, len(text.encode()), order, [times[i] for i in order]))
+        self.ids.append(doc_id)
+        self.sizes.append(len(text.encode()))
+        self.entries.append(np.fromiter(times, np.int64, len(times)))
+        self.times.append(np.fromiter(times.values(), np.int64, len(times)))
         self.chars += len(text) + 1
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        names, n = list(self.numbers), len(self.docs)
-        ids, sizes, numbers, times = zip(*self.docs, strict=True)
-        none = lambda k, *kinds: [pa.nulls(k, x) for x in kinds]
-        pretokens = [pa.array([self.number] * len(names), pa.int64()), pa.array(range(len(names)), pa.int32()), pa.array(names, pa.string()), *none(len(names), pa.int64(), pa.int64(), INTS, INTS)]
-        yield pa.RecordBatch.from_arrays(pretokens, COLUMNS)
-        docs = [pa.array([self.number] * n, pa.int64()), *none(n, pa.int32(), pa.string()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(numbers, INTS), pa.array(times, INTS)]
-        yield pa.RecordBatch.from_arrays(docs, COLUMNS)
+        """A row for each bucket's pre-tokens, and one for the documents: the differences between the sorted numbers of (document, pre-token)."""
+        order = sorted((zlib.crc32(x.encode()) % self.buckets, x) for x in self.numbers)
+        place = np.empty(len(order), np.int64)
+        place[[self.numbers[x] for _, x in order]] = range(len(order))
+        of_bucket = [(bucket, [x for _, x in run]) for bucket, run in groupby(order, itemgetter(0))]
+        lengths = [len(x) for x in self.entries if len(x)]  # of texts that aren't empty, so that differences stay small
+        docs = np.repeat(np.arange(len(lengths)), lengths)
+        keys = docs * len(order) + place[np.concatenate(self.entries)]
+        sort = np.argsort(keys)
+        for bucket, words in of_bucket:
+            text = SEPARATOR.join(words).encode()
+            yield batch(block=self.block, bucket=bucket, words=len(words), pretokens=len(text).to_bytes(8, "little") + pa.compress(text, CODEC, asbytes=True))
+        yield batch(block=self.block, doc_ids=self.ids, n_bytes=self.sizes, n_entries=len(keys), entries=packed(np.diff(keys[sort], prepend=0)), times=packed(np.concatenate(self.times)[sort]))
 
 
-def blocks(docs: DataFrame, name: str, size: int = BLOCK) -> DataFrame:
-    """Rows of both kinds: a block's pre-tokens, and its documents with the numbers of these and how often they occur."""
+def batch(**values) -> pa.RecordBatch:
+    """One row of ROWS."""
+    return pa.RecordBatch.from_arrays([pa.array([values.get(f.name)], f.type) for f in SCHEMA], schema=SCHEMA)
+
+
+def blocks(docs: DataFrame, name: str, buckets: int, size: int = BLOCK) -> DataFrame:
+    """Rows of both kinds: a block's pre-tokens of a bucket, and a block's documents with how often they have which."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
         splitter = held(("splitter", name), lambda: Splitter(name))
         first = TaskContext.get().partitionId() << 32  # the same for every attempt
-        nth, block = 0, Block(splitter, first)
+        nth, block = 0, Block(splitter, first, buckets)
         for b in batches:
             for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"], strict=True):
                 block.add(doc_id, text.as_py() or "")
                 if block.chars >= size:
                     yield from block.rows()
                     nth += 1
-                    block = Block(splitter, first + nth)
-        if block.docs:
+                    block = Block(splitter, first + nth, buckets)
+        if block.ids:
             yield from block.rows()
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, ROWS)
 
 
-def pieces_of(name: str):
-    @F.pandas_udf("int")
-    def pieces(pretokens: pd.Series) -> pd.Series:
+def words_of(data: bytes) -> list[str]:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), CODEC, asbytes=True).decode().split(SEPARATOR)
+
+
+def priced(has: DataFrame, name: str) -> DataFrame:
+    """in_block, bucket, words, pieces: the numbers of pieces of the blocks' pre-tokens, each distinct one encoded once."""
+
+    def run(table: pa.Table) -> pa.Table:
         splitter = held(("splitter", name), lambda: Splitter(name))
-        return pd.Series(map(splitter.pieces, pretokens), dtype="int32")
+        known: dict[str, int] = {}
+        out = []
+        for data in table["pretokens"]:
+            words = words_of(data.as_py())
+            for x in words:
+                if x not in known:
+                    known[x] = splitter.pieces(x)
+            out.append(packed(np.array([known[x] for x in words])))
+        return pa.table({"in_block": table["block"], "bucket": table["bucket"], "words": table["words"], "pieces": pa.array(out, pa.binary())})
+
+    return has.groupBy("bucket").applyInArrow(run, "in_block long, bucket int, words int, pieces binary")
+
+
+def weighed(texts: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Each document's frequencies times the numbers of pieces, summed."""
+
+    def run(texts: pa.Table, pieces: pa.Table) -> pa.Table:
+        (row,), pieces = texts.to_pylist(), pieces.sort_by("bucket").to_pylist()
+        of = np.concatenate([np.zeros(0, np.int64), *(unpacked(x["pieces"], x["words"]) for x in pieces)])
+        sums, filled = np.zeros(len(row["doc_ids"]), np.int64), np.flatnonzero(row["n_bytes"])
+        if len(of):
+            keys = np.cumsum(unpacked(row["entries"], row["n_entries"]))
+            np.add.at(sums, filled[keys // len(of)], of[keys % len(of)] * unpacked(row["times"], row["n_entries"]))
+        return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "n_bytes": pa.array(row["n_bytes"], pa.int64()), "n_tokens": sums})
 
-    return pieces
+    return texts.groupBy("block").cogroup(pieces.groupBy("in_block")).applyInArrow(run, "doc_id long, n_bytes long, n_tokens long")
 
 
 def token_counts(docs: DataFrame, name: str = "byte_bpe_50k.json", block: int = BLOCK) -> DataFrame:
     """doc_id, n_bytes, n_tokens of each row's whole text."""
-    table = written(blocks(docs, name, block), "counts")
-    has = table.where("pretoken is not null").select("block", "number", "pretoken")
-    priced = has.select("pretoken").distinct().withColumn("pieces", pieces_of(name)("pretoken"))
-    priced = has.join(priced, "pretoken").select(F.col("block").alias("in_block"), "number", "pieces")
-
-    def weigh(texts: pd.DataFrame, pieces: pd.DataFrame) -> pd.DataFrame:
-        of = np.zeros(len(pieces), np.int64)
-        of[pieces["number"]] = pieces["pieces"]
-        n = [int(of[numbers] @ times.astype(np.int64)) for numbers, times in zip(texts["numbers"], texts["times"], strict=True)]
-        return pd.DataFrame({"doc_id": texts["doc_id"].astype("Int64"), "n_bytes": texts["n_bytes"].astype("int64"), "n_tokens": n})
-
-    texts = table.where("pretoken is null").select("block", "doc_id", "n_bytes", "numbers", "times")
-    return texts.groupBy("block").cogroup(priced.groupBy("in_block")).applyInPandas(weigh, "doc_id long, n_bytes long, n_tokens long")
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    table = written(blocks(docs, name, max(BUCKETS, -(-size // BUCKET_BYTES)), block), "counts")
+    has = table.where("bucket is not null").select("block", "bucket", "words", "pretokens")
+    texts = table.where("bucket is null").select("block", "doc_ids", "n_bytes", "n_entries", "entries", "times")
+    return weighed(texts, priced(has, name))
 
 
 def op11_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
