@@ -107,8 +107,7 @@ def drawdown(x: str, by: tuple[str, ...] = ()) -> Column:
 
 def performance(series: DataFrame, ret: str = "net", bench: str = "bench") -> DataFrame:
     """Per calendar year and for 'sum': alpha return, Sharpe and drawdown, beta, return, drawdown, turnover and cost."""
-    s = series.withColumn("alpha", F.col(ret) - F.col(bench)).withColumn("year", F.year("trade_date").cast("string"))
-    s = s.unionByName(s.withColumn("year", F.lit("sum")))
+    s = series.withColumn("alpha", F.col(ret) - F.col(bench)).withColumn("year", F.explode(F.array(F.year("trade_date").cast("string"), F.lit("sum"))))
     by = Window.partitionBy("year").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
     s = s.withColumns({"cum": F.sum(F.coalesce(F.col(ret), F.lit(0.0))).over(by), "acum": F.sum(F.coalesce(F.col("alpha"), F.lit(0.0))).over(by)})
     s = s.withColumns({"dd": F.col("cum") - F.max("cum").over(by), "add": F.col("acum") - F.max("acum").over(by)})

@@ -82,26 +82,25 @@ def idio_variance(residuals: DataFrame, h: int, half_life: float, least: int, pr
 
 
 def idio_newey_west(residuals: DataFrame, h: int, half_life: float, least: int, lags: int = 4, pred: int = 1) -> DataFrame:
-    """(ticker, trade_date, date_idx, var): like ``idio_variance``, less the mean of the weighted residuals, with Bartlett-weighted lag terms; a ticker's history is one group."""
-    weights = ew_weights(h, half_life)
+    """(ticker, trade_date, date_idx, var): like ``idio_variance``, less the mean of the weighted residuals, with Bartlett-weighted lag terms.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf.sort_values("date_idx")
-        x = d["value"].to_numpy(float)
-        out = np.full(len(x), np.nan)
-        for t in range(len(x)):
-            own = x[max(0, t - h + 1) : t + 1]
-            ok = ~np.isnan(own)
-            if ok.sum() < least:
-                continue
-            w = weights[-len(own) :]
-            z = np.where(ok, own - np.nanmean(w * own), 0.0)
-            var = (w * z * z).sum() + sum(2 * (1 - k / (lags + 1)) * (w[k:] * z[k:] * z[:-k]).sum() for k in range(1, min(lags, len(z) - 1) + 1))
-            out[t] = max(var, 0.0) * pred
-        return d.assign(var=out)[["ticker", "trade_date", "date_idx", "var"]]
-
-    got = residuals.select("ticker", "trade_date", "date_idx", "value").groupBy("ticker").applyInPandas(run, "ticker string, trade_date date, date_idx int, var double")
-    return got.withColumn("var", F.nanvl("var", F.lit(None).cast("double")))
+    The mean m depends on the frame, so it is taken off the sums: with w the weights, the sum of w (x - m)(x' - m) over pairs at
+    one lag is that of w x x', less m times that of w (x + x'), plus m^2 times that of w. All sums are over one ticker's windows.
+    """
+    own, x, decay = Window.partitionBy("ticker").orderBy("date_idx"), F.col("value"), 0.5 ** (1 / half_life)
+    total = sum(decay**age for age in range(h))
+    frame = own.rowsBetween(-(h - 1), 0)
+    r = residuals.select("ticker", "trade_date", "date_idx", "value", F.count("value").over(frame).alias("n"), *[F.lag("value", k).over(own).alias(f"x{k}") for k in range(1, lags + 1)])
+    r = r.withColumns(dict(zip(("mass", "first", "second"), decayed(frame, decay, F.when(x.isNotNull(), 1.0), x, x * x), strict=True)))
+    r = r.withColumn("m", div(F.col("first") / total, "n"))
+    var = F.col("second") - 2 * F.col("m") * F.col("first") + F.col("m") * F.col("m") * F.col("mass")
+    for k in range(1, min(lags, h - 1) + 1):
+        other = F.col(f"x{k}")
+        both = x.isNotNull() & other.isNotNull()
+        mass, plus, times = decayed(own.rowsBetween(-(h - 1) + k, 0), decay, F.when(both, 1.0), F.when(both, x + other), F.when(both, x * other))
+        r = r.withColumns({f"m{k}": mass, f"p{k}": plus, f"t{k}": times})
+        var = var + 2 * (1 - k / (lags + 1)) * (F.col(f"t{k}") - F.col("m") * F.col(f"p{k}") + F.col("m") * F.col("m") * F.col(f"m{k}"))
+    return r.select("ticker", "trade_date", "date_idx", F.when(F.col("n") >= least, F.greatest(var / total, F.lit(0.0)) * pred).alias("var"))
 
 
 def robust_sigma(residuals: DataFrame, h: int, least: int) -> DataFrame:

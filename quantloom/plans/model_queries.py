@@ -14,6 +14,7 @@ from ..operators import optimize as O
 from ..operators import regress as R
 from ..operators import risk as K
 from ..sources.panel import month_panel
+from ..sources.store import Store, kept_in
 from .registry import query, r
 
 
@@ -111,7 +112,17 @@ def robust_sigma(spark, sf):
     return K.robust_sigma(residuals(spark, sf), 20, 8).where("std is not null").select("ticker", "trade_date", *[r6(c).alias(c) for c in ("std", "robust", "gamma")])
 
 
-@query("struct_adj")
+#: Weighted least squares of ln(std) on a constant and two styles: means off first.
+STRUCT = f"""{ROBUST}, {STYLED.replace('st0 as (select *,', 'st0 as (select panel.*,')}, g0 as (select rb.ticker, rb.trade_date, std, least(exp(1 - abs(std / nullif(robust, 0) - 1)), 1) as gamma, cap, s_size as x1, s_mom as x2 from rb join styled s on s.ticker = rb.ticker and s.trade_date = rb.trade_date),
+g as (select *, gamma >= 1 - 1e-12 and std > 0 and cap > 0 as good from g0 where std is not null and gamma is not null and cap is not null),
+mm as (select trade_date, count(*) as n, sum(cap * x1) / sum(cap) as m1, sum(cap * x2) / sum(cap) as m2, sum(cap * ln(std)) / sum(cap) as my from g where good group by 1),
+ss as (select trade_date, sum(cap * (x1 - m1) * (x1 - m1)) as a11, sum(cap * (x1 - m1) * (x2 - m2)) as a12, sum(cap * (x2 - m2) * (x2 - m2)) as a22, sum(cap * (x1 - m1) * (ln(std) - my)) as c1, sum(cap * (x2 - m2) * (ln(std) - my)) as c2 from g join mm using (trade_date) where good group by 1),
+bb as (select trade_date, n, m1, m2, my, (c1 * a22 - c2 * a12) / nullif(a11 * a22 - a12 * a12, 0) as b1, (c2 * a11 - c1 * a12) / nullif(a11 * a22 - a12 * a12, 0) as b2 from mm join ss using (trade_date)),
+md as (select g.*, coalesce(n, 0) as n, exp(my + b1 * (x1 - m1) + b2 * (x2 - m2)) as model from g left join bb using (trade_date)),
+st as (select *, sum(case when good then cap * std / model end) over d / sum(case when good then cap end) over d as e0 from md window d as (partition by trade_date))"""
+
+
+@query("struct_adj", f"with {STRUCT} select trade_date, ticker, {r('case when n > 3 then gamma * std + (1 - gamma) * e0 * model else std end')} as sigma from st")
 def struct_adj(spark, sf):
     p = K.robust_sigma(residuals(spark, sf), 20, 8).join(styled(spark, sf).select("ticker", "trade_date", "s_size", "s_mom"), ["ticker", "trade_date"])
     return K.structural(p, ["s_size", "s_mom"], "cap").select("trade_date", "ticker", r6("sigma").alias("sigma"))
@@ -150,6 +161,15 @@ def adjusted_cov(spark, sf):
     return model_covariance(spark, sf).select("trade_date", "i", "j", F.round("value", 8).alias("value"))
 
 
+def kept_model_covariance(spark, sf):
+    """The same, estimated once a session and kept by month; for each date of the panel the last one on or before it."""
+    store, chain = Store(spark, kept_in(spark, sf)), {"adj_chain": "eigen_vol", "ret_type": "factor"}
+    if not store.has("covariance_dates", **chain):
+        store.keep_dated("covariance", model_covariance(spark, sf), **chain)
+    asked = month_panel(spark, sf).select(F.col("trade_date").alias("asked_date")).distinct()
+    return store.asof("covariance", asked, **chain).select(F.col("asked_date").alias("trade_date"), "i", "j", "value")
+
+
 def model_idio(spark, sf):
     got = factor_series(spark, sf).where("kind = 'idio'").select(F.col("name").alias("ticker"), "trade_date", "date_idx", "value")
     return K.adjusted_idio(got, styled(spark, sf), ["s_size", "s_mom"], "cap", "ret", 24, 12, 12, 4, (20, 8), True, (12, 6))
@@ -162,14 +182,14 @@ def adjusted_idio(spark, sf):
 
 def opt_cells(spark, sf):
     p = styled(spark, sf).join(model_idio(spark, sf), ["ticker", "trade_date"])
-    p = p.withColumn("idio", F.greatest("idio", F.lit(1e-4))).join(F.broadcast(model_covariance(spark, sf).select("trade_date").distinct()), "trade_date")
+    p = p.withColumn("idio", F.greatest("idio", F.lit(1e-4))).join(F.broadcast(kept_model_covariance(spark, sf).select("trade_date").distinct()), "trade_date")
     return p.select("trade_date", "ticker", (F.col("s_mom") * 0.01).alias("alpha"), "idio", F.col("region").alias("industry"), F.col("cap").alias("bench"), "s_size", "s_mom")
 
 
 for _m in (1, 2, 3, 4):
 
     def _qp(m=_m):
-        return lambda spark, sf: O.weights(opt_cells(spark, sf), model_covariance(spark, sf), ["s_size", "s_mom"], "region", [(0, m, 0.3, 0.9), (1, m, 0.6, 0.5)]).select("scenario", "trade_date", "ticker", F.round("w", 5).alias("w"), "relaxed")
+        return lambda spark, sf: O.weights(opt_cells(spark, sf), kept_model_covariance(spark, sf), ["s_size", "s_mom"], "region", [(0, m, 0.3, 0.9), (1, m, 0.6, 0.5)]).select("scenario", "trade_date", "ticker", F.round("w", 5).alias("w"), "relaxed")
 
     query(f"qp{_m}")(_qp())
 

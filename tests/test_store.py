@@ -21,7 +21,13 @@ def test_writing_a_name_keeps_the_others(spark, tmp_path):
 
 
 def test_unknown_tickers_are_an_error(spark):
-    df = spark.createDataFrame([("a", 1), ("b", 2)], "ticker string, x int")
+    """Found where the rows are read, by the plan itself: planning starts no job."""
+    df = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "ticker string, x int")
     assert require(df, df.where("x = 1")).count() == 1
-    with pytest.raises(KeyError):
-        require(df, spark.createDataFrame([("zz",)], "ticker string"))
+    assert require(df, df.where("x = 9")).count() == 0
+    for unknown in ("zz", None):
+        spark.sparkContext.setJobGroup("planning", "")
+        got = require(df, spark.createDataFrame([(unknown,), ("a",)], "ticker string"))
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("planning")) == []
+        with pytest.raises(Exception, match="unknown ticker"):
+            got.collect()
