@@ -28,58 +28,57 @@ from collections import Counter
 from collections.abc import Iterator
 from os.path import commonprefix
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .common import documents, trim, written
 
-# The terms' pattern, the least number of documents, the unit of shares, the smoothing.
-TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+# What separates terms (in UTF-8 bytes), the least number of documents, the unit of shares, the smoothing.
+BETWEEN = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]+")
 LEAST, UNIT, SMOOTH = 10, 1_000_000_000, 2
 
 TOP = 10
-PART = 1_000_000  # characters of a text that are counted at a time
+PART = 1_000_000  # bytes of a text that are counted at a time
 ENTRIES = 400_000  # terms and groups that a task holds before it hands them on
 BITS, DIGIT = 30, 10  # of values, which are at most a share, and of a histogram
-CAPITALS = {i: i + 32 for i in range(65, 91)}
 GROUP = ["lang", "source"]
 
 
-def parts(text: str) -> Iterator[str]:
-    """The text in parts that end between terms."""
+def terms_of(text: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text in UTF-8, a part at a time; parts end between terms. Lower case of bytes is that of A-Z."""
     at = 0
-    while len(text) - at > PART:
-        run = TERM.match(text, at + PART)
-        end = run.end() if run else at + PART
-        yield text[at:end]
+    while at < len(text):
+        cut = BETWEEN.search(text, at + PART) if len(text) - at > PART else None
+        end = cut.start() if cut else len(text)
+        terms = BETWEEN.split(text[at:end].lower())
+        yield terms[terms[0] == b"" : len(terms) - (terms[-1] == b"" and len(terms) > 1)]
         at = end
-    yield text[at:]
-
-
-def lowered(text: str) -> str:
-    return text.lower() if text.isascii() else text.translate(CAPITALS)
 
 
 def counted(docs: DataFrame, entries: int = ENTRIES) -> DataFrame:
     """lang, source, term, n, docs: occurrences and documents, added up as far as a task's memory allows."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
         found: dict[tuple, tuple[Counter, Counter]] = {}
         size = 0
 
-        def rows() -> pd.DataFrame:
-            each = [(*group, term, n, docs[term]) for group, (times, docs) in found.items() for term, n in times.items()]
-            return pd.DataFrame(each, columns=["lang", "source", "term", "n", "docs"])
+        def rows() -> pa.RecordBatch:
+            columns: list[list[pa.Array]] = [[] for _ in range(5)]
+            for (lang, source), (times, docs) in found.items():
+                terms = list(times)
+                group = [pa.repeat(pa.scalar(x, pa.string()), len(terms)) for x in (lang, source)]
+                for column, values in zip(columns, (*group, pa.array(terms, pa.binary()).cast(pa.string()), pa.array(list(times.values()), pa.int64()), pa.array([docs[t] for t in terms], pa.int64())), strict=True):
+                    column.append(values)
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in columns], ["lang", "source", "term", "n", "docs"])
 
         for b in batches:
-            for lang, source, text in b.itertuples(index=False):
+            for lang, source, text in zip(b["lang"].to_pylist(), b["source"].to_pylist(), b["text"], strict=True):
                 times, docs = found.setdefault((lang, source), (Counter(), Counter()))
                 before, seen = len(times), set()
-                for part in parts(text):
-                    terms = TERM.findall(lowered(part))
+                for terms in terms_of(text.as_buffer().to_pybytes()):
                     times.update(terms)
                     seen.update(terms)
                 docs.update(seen)
@@ -92,7 +91,7 @@ def counted(docs: DataFrame, entries: int = ENTRIES) -> DataFrame:
             yield rows()
 
     texts = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    return texts.mapInPandas(run, "lang string, source string, term string, n long, docs long")
+    return texts.mapInArrow(run, "lang string, source string, term string, n long, docs long")
 
 
 def share(n: str | int, total: str, terms: str) -> Column:
