@@ -57,6 +57,22 @@ def evaluate(panel: DataFrame, factor: str, ret: str, ic_ret: str, name: str, se
     return rows.select(*fixed, "start_date", "end_date", "ic_mean", "ic_pos_ratio", "ic_neg_ratio", "ic_sig_ratio", "ir", *best, *[f"long_{c}" for c in cols], *[f"short_{c}" for c in cols])
 
 
+def evaluate_signal(signals: DataFrame, panel: DataFrame, ret: str, name: str, setting: Setting = Setting(), long_only: bool = False, run_at: str = "") -> DataFrame:
+    """The record of a signal, of 43 columns: 7 of its setting, and 12 each of the better, the long and the short side.
+
+    signals: path_id, ticker, trade_date, date_idx, ``ret`` and the weights long_w and short_w. The better side is the long one unless the
+    short one has more alpha after cost; always the long one with ``long_only``. ``run_at`` is the time that the caller gives the run.
+    """
+    bench = B.benchmark(panel, ret)
+    long, short = (summary(side(signals, f"{k}_w", ret, bench, setting.rate), k) for k in ("long", "short"))
+    rows = panel.agg(F.min("trade_date").alias("start_date"), F.max("trade_date").alias("end_date")).crossJoin(F.broadcast(long)).crossJoin(F.broadcast(short))  # one row each
+    cols = [*MEASURES, *[f"{m}_gross" for m in MEASURES], "turnover", "cost"]
+    better = F.lit(False) if long_only else F.coalesce(F.col("short_alpha_rtn") > F.col("long_alpha_rtn"), F.lit(False))
+    best = [F.when(better, F.col(f"short_{c}")).otherwise(F.col(f"long_{c}")).alias(f"best_{c}") for c in cols]
+    fixed = [F.lit(v).alias(k) for k, v in (("signal", name), ("run_at", run_at), ("pool", setting.pool), ("head", setting.head), ("adj_freq", setting.adj_freq))]
+    return rows.select(*fixed, "start_date", "end_date", *best, *[f"long_{c}" for c in cols], *[f"short_{c}" for c in cols])
+
+
 def curves(long: DataFrame, short: DataFrame) -> DataFrame:
     """trade_date, running sums of the long side, the short side, and of long net - 2 x short gross + short net (the short side is sold, its cost stays)."""
     both = long.select("trade_date", F.col("net").alias("l_net")).join(short.select("trade_date", F.col("net").alias("s_net"), F.col("gross").alias("s_gross")), "trade_date")

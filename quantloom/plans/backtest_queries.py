@@ -265,13 +265,6 @@ def lead_grid(spark, sf):
     return k.where("rk <= 10").groupBy("lead_n").agg(r6(F.avg("y")).alias("top_ret"))
 
 
-@query("factor_record")
-def factor_record(spark, sf):
-    from ..operators.evaluate import Setting, evaluate
-
-    return evaluate(factored(spark, sf), "mom", "y", "y3", "mom", Setting(head=HEAD, adj_freq=PATHS, rate=RATE))
-
-
 LONG_SHORT = ", ".join([*(f"{side}_c as (select *, lag({w}) over t as old, abs({RATE} * (lag({w}) over t - {w}) / 2) as cost from sig window t as (partition by path_id, ticker order by date_idx)), {side}_p as (select path_id, trade_date, sum(y * {w}) / nullif(sum({w}), 0) as gross, coalesce(sum(y * {w} - cost), 0) / nullif(sum({w}), 0) as net from {side}_c group by all), {side} as (select trade_date, avg(gross) as gross, avg(net) as net from {side}_p group by 1)" for side, w in (("lo", "long_w"), ("sh", "short_w")))])
 
 

@@ -26,8 +26,10 @@ def test_unknown_tickers_are_an_error(spark):
     assert require(df, df.where("x = 1")).count() == 1
     assert require(df, df.where("x = 9")).count() == 0
     for unknown in ("zz", None):
-        spark.sparkContext.setJobGroup("planning", "")
+        group = f"planning-{unknown}"
+        spark.sparkContext.setJobGroup(group, "")
         got = require(df, spark.createDataFrame([(unknown,), ("a",)], "ticker string"))
-        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("planning")) == []
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) == []
+        spark.sparkContext.setJobGroup("running", "")
         with pytest.raises(Exception, match="unknown ticker"):
             got.collect()
