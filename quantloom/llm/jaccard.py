@@ -164,11 +164,19 @@ def usable(docs: DataFrame) -> DataFrame:
 
 
 def sampled(rows: DataFrame) -> pd.DataFrame:
-    """doc_id, h1, h2 and text of some documents: AUDIT and about AUDIT_SHINGLES at most."""
+    """doc_id, h1, h2 and text of some documents: AUDIT and about AUDIT_SHINGLES at most, in the order of a hash.
+
+    A text that would exceed the bound, or a twentieth of it, is passed over, the ones after it aren't; if all are so long, the shortest is taken.
+    """
     got = rows.select("doc_id", "h1", "h2", F.length("text").alias("n")).orderBy(F.xxhash64("doc_id", "h1", F.lit(5)), "doc_id", "h1").limit(AUDIT).toPandas()
-    got = got[(got["n"].cumsum() <= 5 * AUDIT_SHINGLES)]
+    room, fits = 5 * AUDIT_SHINGLES, []
+    for i, n in enumerate(got["n"]):
+        if n <= min(room, AUDIT_SHINGLES // 4):
+            room -= n
+            fits.append(i)
     if not len(got):
         return got.assign(text=[])
+    got = got.iloc[fits or [int(got["n"].argmin())]]
     keys = F.broadcast(rows.sparkSession.createDataFrame(got[["doc_id", "h1", "h2"]], "doc_id long, h1 long, h2 long"))
     return rows.join(keys, ["doc_id", "h1", "h2"]).toPandas().drop_duplicates(["h1", "h2"], ignore_index=True)
 
@@ -399,8 +407,8 @@ def with_sketch(rows: DataFrame) -> DataFrame:
 
 
 def measured(rows: DataFrame, sample: pd.DataFrame, classes: DataFrame, found: DataFrame) -> float:
-    """The mean share of the links to other texts that were found, over the sampled documents that have any."""
-    if not len(sample):
+    """The mean share of the links to other texts that were found, over the sampled documents that have any; 1 if none has, or if there are no documents."""
+    if not len(sample):  # of an empty table only
         return 1.0
     texts = rows.where("size(near) > 0").select("h1", "h2", F.explode("near").alias("k")).distinct()
     own = rows.sparkSession.createDataFrame(sample.assign(k=range(len(sample)))[["k", "h1", "h2"]], "k int, h1 long, h2 long")
@@ -422,8 +430,11 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET)
         found = verified(docs, classes, groups, threshold, depth)
         got = found.where("kind = 's'").agg(F.sum("n").alias("n"), F.sum("x").alias("lost")).first()
         enough = not got["n"] or got["lost"] <= (1 - target) * (got["n"] + got["lost"])
-        if depth == 1 or enough and measured(rows, sample, classes, found) >= target:
+        share = measured(rows, sample, classes, found) if enough or depth == 1 else 0.0
+        if share >= target:
             break
+        if depth == 1:
+            raise RuntimeError(f"prefixes of one value found {share:.4f} of the sampled documents' links, less than {target}: the signatures have too few trees for this threshold")
         depth, clear = depth - 1, clear + 1
         dropped(groups, found)
     dropped(rows, groups)

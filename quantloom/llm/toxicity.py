@@ -6,8 +6,8 @@ probability. A document's raw score is that of its highest window, all overlappi
 whole text counting. Training reads all windows of a bounded sample of labelled documents, whose words
 are kept as numbers: in each epoch it learns from the windows that the network itself finds highest (in
 toxic documents) or most mistaken (in others), and from some others; a part of the sample tells which epoch's network ranks
-documents best. Raw scores are calibrated by isotonic regression on
-labelled documents outside the sample.
+documents best. Raw scores are calibrated on labelled documents that the network didn't learn from: by
+isotonic regression, in which a logistic curve stands for a few more labels.
 
 Defined cases: a null or empty text, or one without words, has the raw score NO_WORDS, below all
 others; a document with several labels counts with the largest, and one with several texts is learnt
@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold, held, trim
+from .common import documents, dropped, fold, held, trim, written
 from .quality import bounded, isotonic, training_labels
 
 WINDOW, STRIDE = 32, 16  # words
@@ -48,6 +48,8 @@ THRESHOLD = 0.7
 NO_WORDS = -40.0  # the raw score of a text without words
 FOLDS, HELD_OUT = 3, 1
 BINS = 1000
+FIT_CHARS = 60_000_000  # of the sample's texts, at most; a twentieth of it of one text
+PRIOR, LOW = 2.0, -12.0  # labels that the logistic curve adds to a bin; raw scores below count as LOW for it
 CALIBRATE = 100_000  # labelled documents that scores are calibrated on, at most
 
 WORDS = re.compile(r"[^\W\d_]+")
@@ -314,8 +316,11 @@ def concordance(score: np.ndarray, label: np.ndarray) -> float:
     return float((rank[label == 1].sum() - ones * (ones + 1) / 2) / max(1, ones * (len(label) - ones)))
 
 
-def fit_network(windows: Windows, label: np.ndarray, primed: bool = True) -> Network:
-    """A network from all windows of some texts and the texts' labels; one text in VALID tells which epoch was the best."""
+def fit_network(windows: Windows, label: np.ndarray, primed: bool = True) -> tuple[Network, np.ndarray]:
+    """A network from all windows of some texts and the texts' labels, and its raw scores of the texts that it didn't learn from (others: not a number).
+
+    One text in VALID tells which epoch was the best.
+    """
     grams = grams_of_all(list(windows.vocabulary))
     net, rng = Network(), np.random.default_rng(3)
     valid = np.arange(len(label)) % VALID == VALID - 1
@@ -344,9 +349,10 @@ def fit_network(windows: Windows, label: np.ndarray, primed: bool = True) -> Net
             now = concordance(best[valid], label[valid]) if valid.any() else float(epoch)
             if now >= found[0]:
                 found, least = (now, epoch), {k: v.copy() for k, v in net.p.items()}
+                unseen = np.where(valid, np.where(np.isfinite(best), best, NO_WORDS), np.nan)
             if epoch == epochs or epoch - found[1] >= PATIENCE:
                 net.p = least
-                return net
+                return net, unseen
         top, hard, hardest = np.quantile(high[own & (y == 1)], 0.5), np.quantile(high[own & (y == 0)], 0.8), np.quantile(high[own & (y == 0)], 0.95)
         rest = (high > hard) & (rng.random(len(y)) < 2 * clean) | (high > hardest) | (rng.random(len(y)) < clean)
         use = np.flatnonzero(own & np.where(y == 1, (high >= best[doc]) | (high > max(top, hard)), rest))
@@ -425,14 +431,52 @@ class Scorer:
 
 
 def sample_texts(docs: DataFrame, marked: DataFrame) -> pd.DataFrame:
-    """doc_id, y and whole text of a bounded sample of labelled documents."""
+    """doc_id, y, whole text and weight (labelled documents that it stands for) of a bounded sample of labelled documents.
+
+    FIT_DOCUMENTS of either label at most, by a hash of the id, and FIT_CHARS characters: a text that would exceed these is left out, others after it aren't.
+    """
     counts = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return pd.DataFrame({"doc_id": [], "y": [], "text": []})
+        return pd.DataFrame({"doc_id": [], "y": [], "text": [], "weight": []})
     share = "case " + " ".join(f"when y = {y} then {min(1.0, FIT_DOCUMENTS / max(1, n))}" for y, n in counts.items()) + " end"
     chosen = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < F.expr(f"({share}) * 1000000"))
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(F.broadcast(chosen), "doc_id")
-    return texts.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).toPandas()  # 2 x FIT_DOCUMENTS rows at most
+    picked = written(texts.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "sample")
+    sizes = picked.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).orderBy(F.xxhash64("doc_id", F.lit(19)), "doc_id").collect()  # 2 x FIT_DOCUMENTS rows at most
+    room, fits = FIT_CHARS, []
+    for r in sizes:
+        if r["n"] <= min(room, FIT_CHARS // 20):
+            room -= r["n"]
+            fits.append((r["doc_id"],))
+    ids = F.broadcast(docs.sparkSession.createDataFrame(fits, "doc_id long"))
+    got = picked.join(ids, "doc_id").toPandas()
+    dropped(picked)
+    return got.assign(weight=got["y"].map(counts) / got.groupby("y")["y"].transform("size"))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """A rising logistic curve's values at x, fitted to targets that stay off 0 and 1 by what few labels can't tell."""
+    ones, all_ = (weight * y).sum(), weight.sum()
+    target = y * (ones + 1) / (ones + 2) + (1 - y) / (all_ - ones + 2)
+    scale = max(float(np.sqrt(np.average((x - np.average(x, weights=weight)) ** 2, weights=weight))), 1e-9)
+    z = np.stack([np.ones(len(x)), (x - np.average(x, weights=weight)) / scale], axis=1)
+    b = np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
+        w = weight * p * (1 - p)
+        step = np.linalg.solve((z * w[:, None]).T @ z + 1e-3 * np.eye(2), (z * weight[:, None]).T @ (target - p) - 1e-3 * b)
+        b += step
+        if np.abs(step).max() < 1e-9:
+            break
+    b[1] = max(b[1], 0.0)
+    return 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
+
+
+def calibration(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Isotonic steps of labels ``y`` (means of ``n``) by raw scores: each bin counts with PRIOR labels more, as the logistic curve has them, so that few labels don't end in steps of a few documents."""
+    curve = logistic(np.maximum(x, LOW), y, n)
+    at, value = isotonic(x, (n * y + PRIOR * curve) / (n + PRIOR), n + PRIOR)
+    return at, value
 
 
 class Model:
@@ -458,13 +502,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     got = sample_texts(docs, marked.where(~later)).sort_values("doc_id", ignore_index=True)
     if got["y"].nunique() < 2:
         return Model(constant=float(got["y"].max()) if len(got) else 0.0)
-    label = got.pop("y").to_numpy().astype("i8")
+    label, weight = got.pop("y").to_numpy().astype("i8"), got.pop("weight").to_numpy("f8")
     texts = got.pop("text").tolist()[::-1]
     del got
     windows = Windows(texts.pop() or "" for _ in range(len(texts)))  # each text goes as soon as its words are numbers
     if len(np.unique(label[windows.docs])) < 2:  # no words in the texts of one class
         return Model(constant=float(label.max()))
-    net = fit_network(windows, label)
+    net, unseen = fit_network(windows, label)
+    del windows
     model = Model(parameters=docs.sparkSession.sparkContext.broadcast(net.p))  # 8 MB whatever the input
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -475,8 +520,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rest = bounded(labels.where(later), CALIBRATE, 29)
     raw = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(F.broadcast(rest), "doc_id").mapInPandas(run, "raw double, y double")
     bins = raw.groupBy(F.floor(F.greatest("raw", F.lit(-40.0)) * (BINS / 80)).alias("bin")).agg(F.avg("raw").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n")).collect()  # about BINS rows at most
-    if len(bins) > 1:
-        model.at, model.value = isotonic(*(np.array([b[k] for b in bins], "f8") for k in ("x", "y", "n")))
+    own = np.isfinite(unseen)  # of the sample, what only told the best epoch
+    x, y, n = (np.concatenate([np.array([b[k] for b in bins], "f8"), more]) for k, more in (("x", unseen[own]), ("y", label[own].astype("f8")), ("n", weight[own])))
+    if len(x) > 1:
+        model.at, model.value = calibration(x, y, n)
     return model
 
 
