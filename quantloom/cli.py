@@ -12,7 +12,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("sf_dir", nargs="?")
     p.add_argument("out", nargs="?")
     a = p.parse_args(args)
-    from .plans import artifact_queries, backtest_queries, factor_queries, model_queries, panel_queries, record_queries, store_queries  # noqa: F401
+    from .plans import artifact_queries, backtest_queries, evaluation_queries, factor_queries, model_queries, panel_queries, record_queries, store_queries  # noqa: F401
     from .plans.registry import QUERIES
 
     if a.query == "list":

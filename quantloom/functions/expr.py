@@ -86,7 +86,7 @@ def rank_first(x: str, descending: bool = False, by: str = "trade_date") -> Colu
     return F.when(F.col(x).isNotNull(), F.row_number().over(Window.partitionBy(by).orderBy(order, "ticker"))).cast("long")
 
 
-def rank_avg(x: str, descending: bool = False, by: str = "trade_date") -> Column:
+def rank_avg(x: str, descending: bool = False, by: str | list[str] = "trade_date") -> Column:
     """Rank of non-null values per date, ties sharing their mean rank."""
     order = F.col(x).desc_nulls_last() if descending else F.col(x).asc_nulls_last()
     over = Window.partitionBy(by).orderBy(order)

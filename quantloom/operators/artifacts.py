@@ -66,33 +66,36 @@ class Trained:
         data: ticker, trade_date, date_idx, the features and y. ``options``: of ``cleaning.chain``.
         """
         new = [w for w in windows if not self.saved(w[0])]
+        models = {}
         for w in new:
-            self.fit(data, w, **options).write().overwrite().save(self.at(w[0]))
+            models[w[0]] = self.fit(data, w, **options)
+            models[w[0]].write().overwrite().save(self.at(w[0]))
             self.spark.range(0).write.mode("overwrite").parquet(f"{self.at(w[0])}-whole")
         if new:
-            self.store.write("coefficient", self.coefficients(windows), name=self.name)
-            self.store.write("feature", self.predict(data, windows), kind="ml_factors", name=self.name)
+            models |= {k: self.load(k) for k, *_ in windows if k not in models}
+            self.store.write("coefficient", self.coefficients(windows, models), name=self.name)
+            self.store.write("feature", self.predict(data, windows, models=models), kind="ml_factors", name=self.name)
 
     def load(self, window: int) -> PipelineModel:
         return PipelineModel.load(self.at(window))
 
-    def coefficients(self, windows: list[Window]) -> DataFrame:
+    def coefficients(self, windows: list[Window], models: dict[int, PipelineModel] | None = None) -> DataFrame:
         """window_id, feature, coefficient, as the saved models have them: a linear model's with its intercept, or a tree model's importances."""
         rows = []
         for k, *_ in windows:
-            model = self.load(k).stages[-1]
+            model = (models[k] if models else self.load(k)).stages[-1]
             linear = hasattr(model, "coefficients")
             values = (model.coefficients if linear else model.featureImportances).toArray()
             rows += [(k, f, float(v)) for f, v in zip(self.features, values, strict=True)] + ([(k, "(intercept)", float(model.intercept))] if linear else [])
         return self.spark.createDataFrame(rows, COEFFICIENTS)  # a row for each window and feature
 
-    def predict(self, data: DataFrame, windows: list[Window]) -> DataFrame:
-        """window_id, ticker, trade_date, value: what the saved models say of the test dates. Nothing is fitted."""
+    def predict(self, data: DataFrame, windows: list[Window], labels: bool = False, models: dict[int, PipelineModel] | None = None) -> DataFrame:
+        """window_id, ticker, trade_date, value, with ``labels`` also y after cleaning: what the saved models say of the test dates. Nothing is fitted."""
         out = None
         for k, _, _, lo, hi in windows:
-            got = self.load(k).transform(self.rows(data, lo, hi, False))
+            got = (models[k] if models else self.load(k)).transform(self.rows(data, lo, hi, False))
             value = vector_to_array("probability")[1] if "probability" in got.columns else F.col("prediction")
-            got = got.select(F.lit(k).alias("window_id"), "ticker", "trade_date", value.alias("value"))
+            got = got.select(F.lit(k).alias("window_id"), "ticker", "trade_date", value.alias("value"), *(["y"] if labels else []))
             out = got if out is None else out.unionByName(got)
         if out is None:
             raise ValueError("no window to predict")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import by_date, div
+from ..functions.expr import by_date, div, lag
 
 
 def active(panel: DataFrame, holding: str, bench: str) -> DataFrame:
@@ -36,3 +36,12 @@ def yearly(series: DataFrame, key: str, exposure: str, attribution: str) -> Data
     s = series.withColumn("year", F.year("trade_date").cast("string"))
     s = s.unionByName(s.withColumn("year", F.lit("sum")))
     return s.groupBy("year", key).agg(F.avg(exposure).alias("mean_exposure"), F.sum(attribution).alias("total_attribution"))
+
+
+def risk_inputs(panel: DataFrame, factors: list[str], index: str, returns: DataFrame, close: str = "close", value: str = "value") -> DataFrame:
+    """What an attribution starts from, on the panel's rows: exposures of the same date (the panel has those of the date before), the weight in percent in the ticker's index, the index's close, and the date's factor returns (``returns``, a row per date)."""
+    group = Window.partitionBy("trade_date", index)
+    held = F.sum(F.when(F.col(close).isNotNull(), F.col(value))).over(group)
+    p = panel.withColumns({f: lag(f, -1) for f in factors})
+    p = p.withColumns({"weight": 100 * div(value, F.sum(value).over(group)), "index_close": div(F.sum(F.col(close) * F.col(value)).over(group), held)})
+    return p.join(F.broadcast(returns), "trade_date", "left")  # a row per date

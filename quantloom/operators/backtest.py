@@ -62,6 +62,30 @@ def top_bottom(panel: DataFrame, factor: str, head: int, n_paths: int = 1, last:
     return paths.withColumns(held)
 
 
+def held_sums(panel: DataFrame, factor: str, ret: str, head: int, grid: list[tuple[int, int, int]]) -> DataFrame:
+    """cell, long_sum, short_sum, long_short of a grid of (cell, paths, lag): what both sides and their difference earn in all, before cost.
+
+    A cell's factor is that of ``lag`` dates before, of later dates if it is negative, and its signals are held over ``paths`` paths.
+    All cells share one pass: the panel is copied once for each.
+    """
+    cells = panel.sparkSession.createDataFrame(grid, "cell int, paths int, moved int")
+    p = panel.select("ticker", "trade_date", "date_idx", factor, ret).crossJoin(F.broadcast(cells))  # a row for each cell
+    own = Window.partitionBy("cell", "ticker").orderBy("date_idx")
+    moved = F.coalesce(*[F.when(F.col("moved") == k, (F.lag(factor, k) if k >= 0 else F.lead(factor, -k)).over(own)) for k in sorted({m for _, _, m in grid})])
+    day = Window.partitionBy("cell", "trade_date")
+    p = p.withColumn("m", moved)
+    p = p.withColumns({"n": F.count("m").over(day), "rk": F.when(F.col("m").isNotNull(), F.row_number().over(day.orderBy(F.asc_nulls_last("m"), "ticker")))})
+    p = p.withColumns({"top": F.when(F.col("n") > 0, F.coalesce(F.col("rk") > F.col("n") - head, F.lit(False)).cast("double")), "low": F.when(F.col("n") > 0, F.coalesce(F.col("rk") <= head, F.lit(False)).cast("double"))})
+    p = p.withColumn("path_id", F.explode(F.sequence(F.lit(0), F.col("paths") - 1)))
+    kept = F.col("date_idx") % F.col("paths") == F.col("path_id")
+    back = Window.partitionBy("cell", "path_id", "ticker").orderBy("date_idx").rowsBetween(Window.unboundedPreceding, 0)
+    p = p.withColumns({w: F.coalesce(F.last(F.when(kept, F.col(c)), ignorenulls=True).over(back), F.lit(0.0)) for w, c in (("l", "top"), ("s", "low"))})
+    paths = p.groupBy("cell", "path_id", "trade_date").agg(*[div(F.sum(F.col(ret) * F.col(w)), F.sum(w)).alias(w) for w in ("l", "s")])
+    dates = paths.groupBy("cell", "trade_date").agg(F.avg("l").alias("l"), F.avg("s").alias("s"))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0.0))
+    return dates.groupBy("cell").agg(total(F.col("l")).alias("long_sum"), total(F.col("s")).alias("short_sum"), total(F.col("l") - F.col("s")).alias("long_short"))
+
+
 def groups(panel: DataFrame, factor: str, n: int) -> DataFrame:
     """Quantile groups by rank; names whose rank is a bound belong to both groups."""
     ranked = panel.withColumn("rk", rank_first(factor)).withColumn("width", F.max("rk").over(Window.partitionBy("trade_date")) / F.lit(float(n)))

@@ -73,6 +73,16 @@ def evaluate_signal(signals: DataFrame, panel: DataFrame, ret: str, name: str, s
     return rows.select(*fixed, "start_date", "end_date", *best, *[f"long_{c}" for c in cols], *[f"short_{c}" for c in cols])
 
 
+def signal_curves(long: DataFrame, short: DataFrame) -> DataFrame:
+    """trade_date, running net sums of the long and the short side, their difference, the better side's (the long one unless it ends lower), and its drawdown."""
+    both = long.select("trade_date", F.col("net").alias("l_net")).join(short.select("trade_date", F.col("net").alias("s_net")), "trade_date")
+    w = Window.orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)  # a row per date
+    c = both.select("trade_date", *[F.sum(F.coalesce(x, F.lit(0.0))).over(w).alias(k) for k, x in (("long", "l_net"), ("short", "s_net"))])
+    end = c.agg(F.coalesce(F.max_by("long", "trade_date") >= F.max_by("short", "trade_date"), F.lit(True)).alias("up"))
+    c = c.crossJoin(F.broadcast(end)).withColumn("best", F.when(F.col("up"), F.col("long")).otherwise(F.col("short")))  # one row
+    return c.select("trade_date", "long", "short", (F.col("long") - F.col("short")).alias("long_short"), "best", (F.col("best") - F.max("best").over(w)).alias("drawdown"))
+
+
 def curves(long: DataFrame, short: DataFrame) -> DataFrame:
     """trade_date, running sums of the long side, the short side, and of long net - 2 x short gross + short net (the short side is sold, its cost stays)."""
     both = long.select("trade_date", F.col("net").alias("l_net")).join(short.select("trade_date", F.col("net").alias("s_net"), F.col("gross").alias("s_gross")), "trade_date")

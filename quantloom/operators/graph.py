@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -193,9 +195,13 @@ def embedded(corpus: list[list[int]], n: int, dims: int = 16, window: int = 5) -
     return u[:, :dims] * np.sqrt(s[:dims])
 
 
+#: Upper bounds of the bins of degree ratios but the last.
+DEGREE_BOUNDS = (0.05, 0.1, 0.15, 0.2, 0.25, 0.5, 0.75)
+
+
 def degree_bucket(ratio: float) -> int | None:
     """One of 8 half-open bins of [0, 1); None from 1 on."""
-    return int(ratio * 8) if 0 <= ratio < 1 else None
+    return bisect_right(DEGREE_BOUNDS, ratio) if 0 <= ratio < 1 else None
 
 
 def node2vec(neighbours: list[list[int]], k: int, seed: int = 0) -> np.ndarray:

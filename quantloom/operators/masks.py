@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ def restrict(panel: DataFrame, mask: DataFrame) -> DataFrame:
     return panel.join(mask, ["ticker", "trade_date"], "left_semi")
 
 
+def restrict_to(panel: DataFrame, tickers: Sequence[str]) -> DataFrame:
+    """Rows of a static list of tickers, as a filter that reaches the scan."""
+    return panel.where(F.col("ticker").isin(list(tickers)))
+
+
 def listed(days: int = 60, price: str = "close") -> Column:
     """After the ``days``-th date that follows the first one with a price."""
     first = F.min(F.when(F.col(price).isNotNull(), F.col("date_idx"))).over(by_ticker().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))

@@ -92,11 +92,28 @@ def metrics(pred: DataFrame, p: str = "prediction", y: str = "y") -> DataFrame:
     err = F.col(y) - F.col(p)
     main = ranked.groupBy("window_id").agg(
         F.count("*").alias("n"), (1 - div(F.sum(err * err), F.var_pop(y) * F.count(y))).alias("r2"), F.sqrt(F.avg(err * err)).alias("rmse"), corr(p, y).alias("ic"),
-        div(F.covar_pop(F.col(y), F.col(p)), F.var_pop(p)).alias("slope"), F.avg(F.when(F.col("share") > 0.9, F.col(y))).alias("top_decile"),
+        div(F.covar_samp(F.col(y), F.col(p)), F.var_pop(y)).alias("slope"), F.avg(F.when(F.col("share") > 0.9, F.col(y))).alias("top_decile"),
     )
     return main.join(per_date, "window_id")
 
 
+def full_metrics(pred: DataFrame, features: int) -> DataFrame:
+    """window_id, n, R2 and R2 adjusted for ``features``, RMSE, correlations (of values, with ranks of the label, and their means per date), slope, the top decile's mean label; and accuracy, precision, recall and F1 of the signs."""
+    both = pred.where("prediction is not null and y is not null")
+    w = _window("window_id")
+    per_date = both.withColumn("rk", rank_avg("y", by=["window_id", "trade_date"])).groupBy("window_id", "trade_date").agg(corr("prediction", "y").alias("a"), corr("prediction", "rk").alias("b")).groupBy("window_id").agg(F.avg("a").alias("ic_cs"), F.avg("b").alias("sm_ic_cs"))
+    p, y = F.col("prediction"), F.col("y")
+    hit, said, true = ((p > 0) & (y > 0)).cast("double"), (p > 0).cast("double"), (y > 0).cast("double")
+    ranked = both.withColumns({"rk": F.row_number().over(w.orderBy("y", "trade_date", "ticker")), "share": rank_avg("prediction", by="window_id") / F.count("*").over(w)})
+    m = ranked.groupBy("window_id").agg(
+        F.count("*").alias("n"), (1 - div(F.sum((y - p) * (y - p)), F.var_pop(y) * F.count(y))).alias("r2"), F.sqrt(F.avg((y - p) * (y - p))).alias("rmse"), corr("prediction", "y").alias("ic"), corr("prediction", "rk").alias("sm_ic"),
+        div(F.covar_samp(p, y), F.var_pop(y)).alias("slope"), F.avg(F.when(F.col("share") > 0.9, y)).alias("top_decile"),
+        F.avg((said == true).cast("double")).alias("accuracy"), div(F.sum(hit), F.sum(said)).alias("precision"), div(F.sum(hit), F.sum(true)).alias("recall"),
+    )
+    m = m.withColumns({"adj_r2": 1 - (1 - F.col("r2")) * div(F.col("n") - 1, F.col("n") - features - 1), "f1": div(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))})
+    return m.join(per_date, "window_id")
+
+
 def _window(*keys: str):
     from pyspark.sql import Window
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def solve(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
@@ -41,6 +42,13 @@ def factor_returns(panel: DataFrame, ret: str, factors: list[str], group: str |
     return panel.select(*cols).groupBy("trade_date").applyInPandas(run, "trade_date date, kind string, name string, value double")
 
 
+def membership(tickers: DataFrame, group: str, unknown: str = "100000") -> DataFrame:
+    """(ticker, class_code, member 0 or 1): the matrix of tickers by classes, with a class for those without one. ``tickers``: a row for each, with its class."""
+    own = tickers.select("ticker", F.coalesce(F.col(group).cast("string"), F.lit(unknown)).alias("own"))
+    classes = own.select(F.col("own").alias("class_code")).unionByName(own.sparkSession.range(1).select(F.lit(unknown).alias("class_code"))).distinct()
+    return own.crossJoin(F.broadcast(classes)).select("ticker", "class_code", (F.col("own") == F.col("class_code")).cast("int").alias("member"))  # as many classes as industries
+
+
 def two_step(panel: DataFrame, ret: str, factors: list[str], group: str, plate: str) -> DataFrame:
     """Fitted values of ret on groups and factors, and of the residual on plates."""
 

@@ -40,7 +40,7 @@ def eigen_adjusted(cov: np.ndarray, n_dates: int, sims: int = 500, alpha: float
         n = min(100, sims - lo)
         b = vectors @ (rng.normal(size=(n, len(values), n_dates)) * np.sqrt(values)[:, None])
         b -= b.mean(axis=2, keepdims=True)
-        d, u = np.linalg.eigh(b @ b.transpose(0, 2, 1) / (n_dates - 1))
+        d, u = np.linalg.eigh(b @ b.transpose(0, 2, 1) / n_dates)
         bias += (np.einsum("sik,ij,sjk->sk", u, cov, u) / np.maximum(d, 1e-18)).sum(axis=0)
     v = alpha * (np.sqrt(np.maximum(bias / sims, 0)) - 1) + 1
     return (vectors * (v**2 * values)) @ vectors.T

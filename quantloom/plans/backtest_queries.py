@@ -231,22 +231,23 @@ def pair_corr(spark, sf):
     return correlations(month_panel(spark, sf), 40).withColumn("rho", r6("rho"))
 
 
-@query("asset_graph", f"with c as (select a.ticker as a, b.ticker as b, {corr('a.ret', 'b.ret')} as rho, count(*) as n from panel a join panel b on a.trade_date = b.trade_date and a.ticker < b.ticker where a.ret is not null and b.ret is not null group by all having count(*) >= 40) select a, b from c where abs(rho) > tanh(1.5 / sqrt(83 - 3))")
+EDGES = f"c as (select a.ticker as a, b.ticker as b, {corr('a.ret', 'b.ret')} as rho, count(*) as n from panel a join panel b on a.trade_date = b.trade_date and a.ticker < b.ticker where a.ret is not null and b.ret is not null group by all having count(*) >= 40), e as (select a, b from c where abs(rho) > tanh(3 / sqrt((select count(*) from cal) - 3)))"
+
+
+@query("asset_graph", f"with {EDGES} select a, b from e")
 def asset_graph(spark, sf):
     from ..operators.graph import asset_edges, correlations
 
-    return asset_edges(correlations(month_panel(spark, sf), 40), 83, 1.5).select("a", "b")
+    p = month_panel(spark, sf)
+    return asset_edges(correlations(p, 40), p.select("trade_date").distinct().count(), 3).select("a", "b")
 
 
-@query("k_hop", "with e as (select s_suppkey as a, (s_suppkey * 7 + 3) % (select max(s_suppkey) from supplier) + 1 as b from supplier), u as (select a, b from e where a <> b union select b, a from e where a <> b) select distinct x.a as node, y.b as reach from u x join u y on x.b = y.a where x.a <> y.b and (x.a, y.b) not in (select a, b from u)", month=False)
+@query("k_hop", f"with {EDGES}, u as (select a, b from e union select b, a from e) select distinct x.a as node, y.b as reach from u x join u y on x.b = y.a where x.a <> y.b and (x.a, y.b) not in (select a, b from u)")
 def k_hop(spark, sf):
+    """Tickers two steps apart in the asset graph."""
     from ..operators.graph import two_hops
-    from ..sources.panel import table
 
-    s = table(spark, sf, "supplier")
-    n = F.broadcast(s.agg(F.max("s_suppkey").alias("n")))  # one row
-    e = s.crossJoin(n).select(F.col("s_suppkey").alias("a"), ((F.col("s_suppkey") * 7 + 3) % F.col("n") + 1).alias("b"))
-    return two_hops(e)
+    return two_hops(asset_graph(spark, sf))
 
 
 @query("pair_spearman", f"with k as (select *, rank() over (partition by ticker order by ret) + (count(*) over (partition by ticker, ret) - 1) / 2.0 as rk from panel where ret is not null) select a.ticker as a, b.ticker as b, count(*) as n, {r(corr('a.rk', 'b.rk'))} as rho from k a join k b on a.trade_date = b.trade_date and a.ticker < b.ticker group by all having count(*) >= 40")

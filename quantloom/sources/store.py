@@ -24,6 +24,7 @@ KINDS = {
     "dyn_industry": ("model_name",),
     "coefficient": ("name",),
     "summary": (),
+    "windows": ("name",),
 }
 
 

@@ -12,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def registered():
-    from quantloom.plans import artifact_queries, backtest_queries, factor_queries, model_queries, panel_queries, record_queries, store_queries  # noqa: F401
+    from quantloom.plans import artifact_queries, backtest_queries, evaluation_queries, factor_queries, model_queries, panel_queries, record_queries, store_queries  # noqa: F401
     from quantloom.plans.registry import ORACLES, QUERIES
 
     return QUERIES, ORACLES
