@@ -69,13 +69,15 @@ def month_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     key = (spark.sparkContext.applicationId, sf_dir, "month")
     if key not in _PANELS:
-        cells = month_cells(table(spark, sf_dir, "lineitem"))
-        cal = calendar(cells)
+        lines = table(spark, sf_dir, "lineitem")
+        cells = month_cells(lines)
+        cal = calendar(lines.select(F.to_date(F.date_trunc("month", "l_shipdate")).alias("trade_date")))  # one column is scanned, not all that cells need
+        tickers = lines.select(F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("ticker"))
         supplier, nation = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
         static = supplier.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select(
             F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("ticker"), F.col("s_nationkey").cast("int").alias("industry"), F.col("n_regionkey").cast("int").alias("region")
         )
-        panel = dense(cells, cal, cells.select("ticker")).join(static, "ticker", "left")
+        panel = dense(cells, cal, tickers).join(static, "ticker", "left")
         panel = panel.withColumns(
             {
                 "preclose": F.lag("close").over(by_ticker()),
@@ -84,7 +86,7 @@ def month_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
             }
         )
         panel = panel.withColumn("ret", div("close", "preclose") - 1)
-        _PANELS[key] = PanelSchema().check(panel).repartition("ticker").sortWithinPartitions("ticker", "date_idx").cache()
+        _PANELS[key] = PanelSchema().check(panel).cache()  # dealt by ticker and sorted by date for its own windows
     return _PANELS[key]
 
 
