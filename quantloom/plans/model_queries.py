@@ -15,7 +15,7 @@ from ..operators import regress as R
 from ..operators import risk as K
 from ..sources.panel import month_panel
 from ..sources.store import Store, kept_in
-from .registry import query, r
+from .registry import corr, query, r
 
 
 def styled(spark, sf):
@@ -161,6 +161,18 @@ def adjusted_cov(spark, sf):
     return model_covariance(spark, sf).select("trade_date", "i", "j", F.round("value", 8).alias("value"))
 
 
+REGIME = f"""{FACTOR_COV}, c as (select a.trade_date, a.name as i, b.name as j, sum((1 - abs(a.d - b.d) / 5.0) * case when a.d >= b.d then a.w else b.w end * a.z * b.z) as value from z a join z b on a.e = b.e and abs(a.d - b.d) <= 4 group by all),
+x as (select fr.trade_date, fr.date_idx, avg(pow(fr.value / sqrt(greatest(c.value, 1e-18)), 2)) as b0 from fr join c on c.trade_date = fr.trade_date and c.i = fr.name and c.j = fr.name group by all), y as (select *, case when b0 >= 100 then 1 else b0 end as b2 from x),
+rm as (select trade_date, sqrt(sum(pow({D6!r}::double, -date_idx) * b2) over w / sum(case when b2 is not null then pow({D6!r}::double, -date_idx) end) over w) as multiplier from y window w as (order by date_idx rows between 11 preceding and current row))"""
+
+
+@query("regime_cov", f"with {REGIME} select c.trade_date, i, j, {r('value * coalesce(pow(multiplier, 2), 1)')} as value from c join rm using (trade_date)")
+def regime_cov(spark, sf):
+    """The chain of factor covariances without its simulated step."""
+    got = K.adjusted_factor_covariance(factor_series(spark, sf).where("kind = 'factor'"), 24, 12, 4, 1, False, (12, 6))
+    return got.select("trade_date", "i", "j", r6("value").alias("value"))
+
+
 def kept_model_covariance(spark, sf):
     """The same, estimated once a session and kept by month; for each date of the panel the last one on or before it."""
     store, chain = Store(spark, kept_in(spark, sf)), {"adj_chain": "eigen_vol", "ret_type": "factor"}
@@ -175,9 +187,32 @@ def model_idio(spark, sf):
     return K.adjusted_idio(got, styled(spark, sf), ["s_size", "s_mom"], "cap", "ret", 24, 12, 12, 4, (20, 8), True, (12, 6))
 
 
-@query("adjusted_idio")
+#: The whole chain of residual variances. Residuals have no rows on dates without a return, so windows go by row.
+ADJUSTED = f"""{WLS}, rs as (select ticker, trade_date, date_idx, ret - fitted as value, row_number() over (partition by ticker order by date_idx) as rn from wls),
+n as (select e.ticker, e.trade_date, e.rn as e, a.rn as d, a.value as x, pow(0.5, (e.rn - a.rn) / 12.0) / (select sum(pow(0.5, k / 12.0)) from range(24) t(k)) as w from rs e join rs a on a.ticker = e.ticker and a.rn between e.rn - 23 and e.rn),
+m as (select ticker, e, sum(w * x) / count(x) as m from n group by all having count(x) >= 12), z as (select n.ticker, n.trade_date, n.e, n.d, n.w, n.x - m.m as z from n join m using (ticker, e)),
+nw as (select a.ticker, a.trade_date, sqrt(greatest(sum(case when a.d = b.d then 1 else 2 * (1 - (a.d - b.d) / 5.0) end * a.w * a.z * b.z), 0)) as sigma from z a join z b on a.ticker = b.ticker and a.e = b.e and a.d - b.d between 0 and 4 group by all),
+rb as (select ticker, trade_date, case when count(value) over w >= 8 then stddev_samp(value) over w end as std, case when count(value) over w >= 8 then (quantile_cont(value, 0.75) over w - quantile_cont(value, 0.25) over w) / 1.35 end as robust from rs window w as (partition by ticker order by date_idx rows between 19 preceding and current row)),
+p0 as (select s.ticker, s.trade_date, s.date_idx, s.ret, s.cap, s.s_size as x1, s.s_mom as x2, sigma, least(exp(1 - abs(std / nullif(robust, 0) - 1)), 1) as gamma from styled s join rb using (ticker, trade_date) left join nw using (ticker, trade_date)),
+g as (select *, ln(case when sigma > 0 then sigma end) as y, gamma >= 1 - 1e-12 and sigma > 0 and cap > 0 as good from p0 where sigma is not null and gamma is not null and cap is not null),
+mm as (select trade_date, count(*) as n, sum(cap * x1) / sum(cap) as m1, sum(cap * x2) / sum(cap) as m2, sum(cap * y) / sum(cap) as my from g where good group by 1),
+ss as (select trade_date, sum(cap * (x1 - m1) * (x1 - m1)) as a11, sum(cap * (x1 - m1) * (x2 - m2)) as a12, sum(cap * (x2 - m2) * (x2 - m2)) as a22, sum(cap * (x1 - m1) * (y - my)) as c1, sum(cap * (x2 - m2) * (y - my)) as c2 from g join mm using (trade_date) where good group by 1),
+bb as (select trade_date, n, m1, m2, my, (c1 * a22 - c2 * a12) / nullif(a11 * a22 - a12 * a12, 0) as b1, (c2 * a11 - c1 * a12) / nullif(a11 * a22 - a12 * a12, 0) as b2 from mm join ss using (trade_date)),
+md as (select g.*, coalesce(n, 0) as n, exp(my + b1 * (x1 - m1) + b2 * (x2 - m2)) as model from g left join bb using (trade_date)),
+e0 as (select *, sum(case when good then cap * sigma / model end) over d / sum(case when good then cap end) over d as e0 from md window d as (partition by trade_date)),
+p1 as (select p0.ticker, p0.trade_date, p0.date_idx, p0.ret, p0.cap, coalesce(case when e0.n > 3 then e0.gamma * e0.sigma + (1 - e0.gamma) * e0 * model else e0.sigma end, p0.sigma) as sigma from p0 left join e0 using (ticker, trade_date)),
+q as (select *, {' + '.join(f'(cap > quantile_cont(cap, {i / 10}) over (partition by trade_date))::int' for i in range(1, 10))} as grp from p1 where sigma is not null and cap is not null),
+h as (select *, sum(sigma * cap) over d / nullif(sum(cap) over d, 0) as mean from q window d as (partition by trade_date, grp)),
+v as (select *, sqrt(avg(pow(sigma - mean, 2)) over (partition by trade_date, grp)) as spread, abs(sigma - mean) as away from h),
+k as (select ticker, trade_date, coalesce(away / nullif(spread + away, 0), 0) * mean + (1 - coalesce(away / nullif(spread + away, 0), 0)) * sigma as shrunk from v),
+p2 as (select p1.ticker, p1.trade_date, p1.date_idx, p1.ret, coalesce(shrunk, sigma) as sigma from p1 left join k using (ticker, trade_date)),
+rg as (select trade_date, date_idx, avg(pow(ret / nullif(sigma, 0), 2)) as b0 from p2 group by all), rc as (select *, case when b0 >= 100 then 1 else b0 end as b2 from rg),
+rm as (select trade_date, sqrt(sum(pow({D6!r}::double, -date_idx) * b2) over w / sum(case when b2 is not null then pow({D6!r}::double, -date_idx) end) over w) as multiplier from rc window w as (order by date_idx rows between 11 preceding and current row))"""
+
+
+@query("adjusted_idio", f"with {ADJUSTED} select ticker, p2.trade_date, {r('pow(sigma * coalesce(multiplier, 1), 2)')} as idio from p2 join rm using (trade_date) where sigma is not null")
 def adjusted_idio(spark, sf):
-    return model_idio(spark, sf).where("idio is not null").select("ticker", "trade_date", F.round("idio", 8).alias("idio"))
+    return model_idio(spark, sf).where("idio is not null").select("ticker", "trade_date", r6("idio").alias("idio"))
 
 
 def opt_cells(spark, sf):
@@ -199,15 +234,33 @@ def windows(spark, sf):
     return list(C.walk_forward(n, 36, 12, 12, 1))
 
 
+def walk_sql(reg: float = 0.0, weight: str = "1.0") -> str:
+    """CTE ``mt``: the metrics of linear models with two unknowns, whose (weighted) means are taken off; MLlib divides the penalty by the label's deviation."""
+    mean = lambda x: f"sum(wt * ({x})) / sum(wt)"
+    return f"""w0 as (select *, lead(vwap, 2) over w / nullif(lead(vwap) over w, 0) - 1 as y0 from panel window w as (partition by ticker order by date_idx)),
+f as (select ticker, trade_date, date_idx, coalesce(ret, 0) as x1, coalesce(turnover, 0) as x2, 100 * (y0 - avg(y0) over (partition by trade_date)) as y, {weight} as wt from w0),
+win as (select cast(k as integer) as window_id, k * 12 as lo, k * 12 + 35 as hi, k * 12 + 37 as tlo, least(k * 12 + 48, n - 1) as thi from (select unnest(range(0, 100)) as k) cross join (select count(*) as n from cal) where k * 12 + 37 < n),
+tr as (select window_id, f.* from f join win on date_idx between lo and hi where y is not null),
+me as (select window_id, {mean('x1')} as m1, {mean('x2')} as m2, {mean('y')} as my from tr group by 1),
+va as (select window_id, any_value(m1) as m1, any_value(m2) as m2, any_value(my) as my, {mean('(x1 - m1) * (x1 - m1)')} as s11, {mean('(x2 - m2) * (x2 - m2)')} as s22, {mean('(x1 - m1) * (x2 - m2)')} as s12, {mean('(x1 - m1) * (y - my)')} as s1y, {mean('(x2 - m2) * (y - my)')} as s2y, {reg} / sqrt({mean('(y - my) * (y - my)')}) as pen from tr join me using (window_id) group by 1),
+be as (select *, ((s22 + pen) * s1y - s12 * s2y) / ((s11 + pen) * (s22 + pen) - s12 * s12) as b1, ((s11 + pen) * s2y - s12 * s1y) / ((s11 + pen) * (s22 + pen) - s12 * s12) as b2 from va),
+pr as (select window_id, ticker, trade_date, y, my + b1 * (x1 - m1) + b2 * (x2 - m2) as p from f join win on date_idx between tlo and thi join be using (window_id) where y is not null),
+cs as (select window_id, avg(a) as ic_cs from (select window_id, trade_date, {corr('p', 'y')} as a from pr group by 1, 2) group by 1),
+sh as (select *, (rank() over (partition by window_id order by p) + (count(*) over (partition by window_id, p) - 1) / 2.0) / count(*) over (partition by window_id) as share from pr),
+mt as (select window_id, count(*) as n, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) as r2, sqrt(avg((y - p) * (y - p))) as rmse, {corr('p', 'y')} as ic, covar_samp(p, y) / var_pop(y) as slope, avg(case when share > 0.9 then y end) as top_decile, any_value(ic_cs) as ic_cs from sh join cs using (window_id) group by 1)"""
+
+
+WALKED = {"linear": walk_sql(), "ridge": walk_sql(0.01)}
+
 for _kind in ("linear", "ridge", "lasso", "logistic", "gbt", "forest"):
 
     def _wf(kind=_kind):
         return lambda spark, sf: L.metrics(L.MODELS[kind](month_panel(spark, sf), ["ret", "turnover"], windows(spark, sf))).select("window_id", "n", *[F.round(c, 4).alias(c) for c in ("r2", "rmse", "ic", "slope", "top_decile", "ic_cs")])
 
-    query(f"{_kind}_walk_forward")(_wf())
+    query(f"{_kind}_walk_forward", f"with {WALKED[_kind]} select window_id, n, {', '.join(f'round({c}, 4) as {c}' for c in ('r2', 'rmse', 'ic', 'slope', 'top_decile', 'ic_cs'))} from mt" if _kind in WALKED else None)(_wf())
 
 
-@query("weighted_walk_forward")
+@query("weighted_walk_forward", f"with {walk_sql(weight='greatest(coalesce(cap, 0), 0)')} select window_id, n, round(ic, 4) as ic, round(r2, 4) as r2 from mt")
 def weighted_walk_forward(spark, sf):
     return L.metrics(L.walk_forward(month_panel(spark, sf), ["ret", "turnover"], "linear", windows(spark, sf), weight="cap")).select("window_id", "n", F.round("ic", 4).alias("ic"), F.round("r2", 4).alias("r2"))
 
