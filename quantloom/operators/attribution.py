@@ -33,8 +33,7 @@ def explained(panel: DataFrame, fitted: str) -> DataFrame:
 
 def yearly(series: DataFrame, key: str, exposure: str, attribution: str) -> DataFrame:
     """Mean exposure and summed attribution per year, and for 'sum'."""
-    s = series.withColumn("year", F.year("trade_date").cast("string"))
-    s = s.unionByName(s.withColumn("year", F.lit("sum")))
+    s = series.withColumn("year", F.explode(F.array(F.year("trade_date").cast("string"), F.lit("sum"))))
     return s.groupBy("year", key).agg(F.avg(exposure).alias("mean_exposure"), F.sum(attribution).alias("total_attribution"))
 
 

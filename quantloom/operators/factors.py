@@ -131,6 +131,11 @@ def for_regression(panel: DataFrame, x: str) -> DataFrame:
 
 def winsorize(panel: DataFrame, x: str, how: str, k: float = 3.0, q: float = 0.05) -> DataFrame:
     """Clipped to quantiles, to k deviations around the median, or to k x 1.483 mean absolute deviations around it."""
+    return winsorized(panel, x, "value", how, k, q).select("ticker", "trade_date", "date_idx", "value")
+
+
+def winsorized(panel: DataFrame, x: str, name: str, how: str, k: float = 3.0, q: float = 0.05) -> DataFrame:
+    """The panel with ``x`` winsorized as ``name``; all windows are those of a date."""
     med = F.median(x).over(by_date())
     if how == "quantile":
         p = panel.withColumn("q", F.percentile(x, [q, 1 - q]).over(by_date()))
@@ -142,7 +147,8 @@ def winsorize(panel: DataFrame, x: str, how: str, k: float = 3.0, q: float = 0.0
         p = panel.withColumn("off", F.abs(F.col(x) - F.avg(x).over(by_date())))
         wide = k * 1.483 * F.avg("off").over(by_date())
         lo, hi = med - wide, med + wide
-    return p.withColumns({"lo": lo, "hi": hi}).select("ticker", "trade_date", "date_idx", clip(F.col(x), F.col("lo"), F.col("hi")).alias("value"))
+    p = p.withColumns({"_lo": lo, "_hi": hi}).withColumn(name, clip(F.col(x), F.col("_lo"), F.col("_hi")))
+    return p.drop("_lo", "_hi", *{"quantile": ["q"], "sigma": []}.get(how, ["off"]))
 
 
 def standardize(panel: DataFrame, x: str, how: str) -> DataFrame:
@@ -162,6 +168,5 @@ def neutralize(panel: DataFrame, x: str, by: str = "cap", group: str = "industry
 
 def process(panel: DataFrame, x: str) -> DataFrame:
     """Winsorize, neutralize, standardize."""
-    first = panel.join(winsorize(panel, x, "mad").select("ticker", "trade_date", F.col("value").alias("w1")), ["ticker", "trade_date"])
-    second = neutralize(first, "w1").withColumnRenamed("value", "w2")
+    second = neutralize(winsorized(panel, x, "w1", "mad"), "w1").withColumnRenamed("value", "w2")
     return standardize(second, "w2", "z")

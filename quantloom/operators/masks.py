@@ -29,6 +29,12 @@ def restrict_to(panel: DataFrame, tickers: Sequence[str]) -> DataFrame:
     return panel.where(F.col("ticker").isin(list(tickers)))
 
 
+def held(weights: DataFrame, blacklist: Sequence[str] = (), least: float = 1e-6) -> DataFrame:
+    """Rows of weights above ``least``, without the tickers of a blacklist."""
+    rows = weights.where(F.col("w") > least)
+    return rows.where(~F.col("ticker").isin(list(blacklist))) if blacklist else rows
+
+
 def listed(days: int = 60, price: str = "close") -> Column:
     """After the ``days``-th date that follows the first one with a price."""
     first = F.min(F.when(F.col(price).isNotNull(), F.col("date_idx"))).over(by_ticker().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import div, r6, rank_first
@@ -175,6 +176,14 @@ def holdings_kept(spark, sf):
     return store.read("signal", name="mom_long", path_id=1).select("ticker", "trade_date", "w")
 
 
+@query("held_names", f"with {FACTORED}, {SIGNALS}, n as (select path_id, ticker, trade_date, long_w / nullif(sum(long_w) over (partition by path_id, trade_date), 0) as w from sig) select path_id, ticker, trade_date, {r('w')} as w from n where w > 1e-6 and ticker not in ('000002', '000005')")
+def held_names(spark, sf):
+    """Names that are held, two of them blacklisted."""
+    s = signals(spark, sf)
+    share = s.select("path_id", "ticker", "trade_date", div("long_w", F.sum("long_w").over(Window.partitionBy("path_id", "trade_date"))).alias("w"))
+    return M.held(share, ("000002", "000005")).withColumn("w", r6("w"))
+
+
 @query("class_factors_kept", f"with o as (select *, (coalesce(ret, 0) + coalesce(turnover, 0)) / nullif((ret is not null)::int + (turnover is not null)::int, 0) as x from panel), k as (select ticker, trade_date, 'class' as name, (x - sum(x * cap) over d / nullif(sum(case when x is not null then cap end) over d, 0)) / nullif(stddev_samp(x) over d, 0) as value from o window d as (partition by trade_date) union all select ticker, trade_date, 'ret', ret from panel union all select ticker, trade_date, 'turnover', turnover from panel) select ticker, trade_date, name, {r('value')} as value from k")
 def class_factors_kept(spark, sf):
     """Two factors and the class that they make, each a feature of its own."""
