@@ -180,9 +180,10 @@ def test_similar_kernels_on_long_calendars(spark):
 
 def test_a_record_has_its_columns(spark):
     from quantloom.plans import backtest_queries as Q
+    from quantloom.plans.record_queries import factor_record
 
     sf = "/root/testdata/sf0.001"
-    row = Q.factor_record(spark, sf).first()
+    row = factor_record(spark, sf).first()
     assert len(row) == 51
     want = Q.perf_stats(spark, sf).where("year = 'sum'").first()
     assert abs(row.long_alpha_rtn - want.alpha_rtn) < 1e-5 and abs(row.long_turnover - want.turnover) < 1e-5
