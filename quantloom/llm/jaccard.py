@@ -193,6 +193,7 @@ def signed(rows: DataFrame, sample: Sample, threshold: float) -> DataFrame:
                 h, bounds = shingles(part["text"].tolist())
                 s = signatures(h, bounds)
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "h1": part["h1"].to_numpy(), "h2": part["h2"].to_numpy(), "sig": [x.tobytes() for x in s], "near": shared.value.links(h, bounds, threshold)})
+        trim()
 
     return rows.mapInPandas(run, "doc_id long, h1 long, h2 long, sig binary, near array<int>").withColumn("row", F.monotonically_increasing_id())
 

@@ -19,7 +19,9 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,24 +45,25 @@ def cut_points(n: int, capacity: int) -> list[int]:
 def pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = "byte_bpe_50k.json", keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, and ids if asked for."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trim()
-        import numpy as np
+    kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()} | ({"ids": pa.list_(pa.int32())} if keep_ids else {})
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         bpe = loaded(name)
         for b in batches:
             rows = []
-            for doc_id, text in zip(b["doc_id"].array, b["text"], strict=True):
-                raw = bpe.ids(text or "") + bytes(4)
+            for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"], strict=True):  # texts become strings one by one
+                raw = bpe.ids(text.as_py() or "") + bytes(4)
                 starts = cut_points(len(raw) // 4, capacity)
                 for k, (lo, hi) in enumerate(zip(starts, [*starts[1:], len(raw) // 4], strict=True)):
                     part = raw[4 * lo : 4 * hi]
                     rows.append((doc_id, k, lo, hi - lo, zlib.crc32(part), *([np.frombuffer(part, "<u4").astype("i4")] if keep_ids else [])))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids])
-            yield out.astype({"doc_id": "Int64"})
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
+        trim()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInPandas(run, schema)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, schema)
 
 
 def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

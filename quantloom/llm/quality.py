@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import documents, fold, trim, written
 
 FEATURES = 384  # random cosines
+ROWS = 1000  # whose features are held at a time
 WIDTH = 3.0  # of the Gaussian kernel, in standard deviations
 RIDGE = 1e-3  # times the number of rows
 FIT_ROWS = 200_000  # labelled rows used at most, by a hash of the id; their ids and labels are broadcast (5 MB)
@@ -89,6 +90,7 @@ def with_statistics(docs: DataFrame, marked: DataFrame) -> DataFrame:
         trim()
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "x": list(statistics(b["text"].fillna("").tolist()).astype("f4"))})
+        trim()
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(F.broadcast(marked), "doc_id").mapInPandas(run, "doc_id long, y double, x array<float>")
 
@@ -121,9 +123,10 @@ def normal_equations(rows: DataFrame, features: Callable[[np.ndarray], np.ndarra
         trim()
         a, b, n = 0.0, 0.0, 0
         for batch in batches:
-            if len(batch):
-                z = features(np.stack(list(batch["x"])).astype("f8"))
-                a, b, n = a + z.T @ z, b + z.T @ batch["y"].to_numpy("f8"), n + len(batch)
+            for i in range(0, len(batch), ROWS):
+                part = batch.iloc[i : i + ROWS]
+                z = features(np.stack(list(part["x"])).astype("f8"))
+                a, b, n = a + z.T @ z, b + z.T @ part["y"].to_numpy("f8"), n + len(part)
         if n:
             yield pd.DataFrame({"a": [np.ascontiguousarray(a).tobytes()], "b": [np.ascontiguousarray(b).tobytes()], "n": [n]})
 
@@ -152,7 +155,9 @@ class Model:
         self.at, self.value = np.array([0.0, 1.0]), np.array([0.0, 1.0])
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return np.full(len(x), self.constant) if self.constant is not None else self.features(x) @ self.weights
+        if self.constant is not None:
+            return np.full(len(x), self.constant)
+        return np.concatenate([np.zeros(0), *(self.features(x[i : i + ROWS]) @ self.weights for i in range(0, len(x), ROWS))])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         r = self.raw(x)
@@ -195,6 +200,7 @@ def scorer(model: Model) -> Callable[[Column], Column]:
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for t in texts:
             yield pd.Series(model.score(statistics(t.fillna("").tolist()).astype("f4").astype("f8")), dtype="f8")
+        trim()  # what follows may need the memory for other work than Python's
 
     return lambda text: score(text.cast("string"))
 

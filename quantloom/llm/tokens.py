@@ -56,7 +56,7 @@ class ByteBPE:
     CUT = re.compile(r"(?<=\S) (?=\S)")
     ODD = re.compile(r" \s|\s |^ | $")
 
-    def __init__(self, name: str = "byte_bpe_50k.json", limit: int = 60_000_000):
+    def __init__(self, name: str = "byte_bpe_50k.json", limit: int = 40_000_000):
         import numpy as np
         import tiktoken
         from tokenizers import Tokenizer

@@ -534,6 +534,7 @@ def scorer(model: Model) -> Callable[[Column], Column]:
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for t in texts:
             yield pd.Series(model.score(t.fillna("").tolist()), dtype="f8")
+        trim()
 
     return lambda text: score(text.cast("string"))
 

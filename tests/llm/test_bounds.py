@@ -1,10 +1,13 @@
 """Samples that very long texts can't end, and calibration by few labels."""
 
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.llm import jaccard, toxicity
+from quantloom.llm import jaccard, lm, toxicity
+from quantloom.llm.common import fold
 
 
 @pytest.mark.parametrize("long_id", [3, 11, 29])
@@ -55,3 +58,14 @@ def test_calibration_without_one_class_or_with_one_score():
         assert np.isfinite(value).all() and (0 <= value).all() and (value <= 1).all()
     _, value = toxicity.calibration(np.full(4, 2.0), np.array([0, 1, 0, 1.0]), np.ones(4))
     assert np.isfinite(value).all()
+
+
+def test_the_language_model_scores_rows_without_an_id(spark):
+    """An id of '' is held out, as an id whose remainder is 0 is; so equal texts have equal scores."""
+    held = next(i for i in range(1_000, 2_000) if zlib.crc32(str(i).encode()) % 10 == 0)
+    rows = [(i, f"some words of number {i % 3}") for i in range(30)] + [(None, "some words of no number"), (held, "some words of no number"), (None, None)]
+    got = lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), fold("doc_id", 10) == 0).collect()
+    assert len(got) == len(rows)
+    none = {r.n_tokens: r.score for r in got if r.doc_id is None}
+    (same,) = [r.score for r in got if r.doc_id == held]
+    assert set(none) == {1, 6} and none[6] == pytest.approx(same) and all(s < 0 for s in none.values())

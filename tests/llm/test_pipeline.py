@@ -53,14 +53,28 @@ def test_rejected_documents_score_below_the_thresholds(spark, results):
     labels = quality.training_labels(spark, SF, "quality", quality.FOLDS, quality.HELD_OUT)
     scores = {r.doc_id: r.s for r in quality.quality(documents(spark, SF), labels, "s").collect()}
     assert {i for i, s in scores.items() if s >= quality.THRESHOLD} == {r.doc_id for r in results[0].collect()}
-    assert toxicity.THRESHOLD == 0.7
+
+
+def test_toxicity_keeps_what_its_scorer_passes(spark, results):
+    labels = quality.training_labels(spark, SF, "toxic", toxicity.FOLDS, toxicity.HELD_OUT)
+    scores = {r.doc_id: r.s for r in toxicity.toxicity(results[0], labels, "s").collect()}
+    assert {i for i, s in scores.items() if s < toxicity.THRESHOLD} == {r.doc_id for r in results[1].collect()}
 
 
 def test_clashing_names_pass_through_the_stages(spark):
     docs = documents(spark, SF).limit(40).withColumn("score", F.lit("own")).withColumn("Score_", F.lit(3))
-    for stage in (corpus_pipeline.quality_stage, corpus_pipeline.duplicates_stage):
+    for stage in (corpus_pipeline.quality_stage, corpus_pipeline.toxicity_stage, corpus_pipeline.duplicates_stage):
         got = stage(spark, docs, SF)
         assert got.columns == docs.columns and {(r.score, r.Score_) for r in got.collect()} == {("own", 3)}
+    pieces = corpus_pipeline.packing_stage(spark, docs.withColumns({c: F.lit("own") for c in ("piece", "start", "sequence_id", "offset")}), SF).collect()
+    assert {r.doc_id for r in pieces} == {r.doc_id for r in docs.collect()} and all(r.offset >= 0 for r in pieces)
+
+
+def test_an_empty_table_passes_through_the_stages(spark):
+    docs = documents(spark, SF).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, SF)
+        assert got.count() == 0
 
 
 def test_the_whole_run_equals_the_stages(spark, results):
