@@ -29,3 +29,34 @@ def test_spanning_tree_by_blocks(panel):
     tree = {(w, min(a, b), max(a, b)) for w, a, b, _ in rows(whole)}
     blocks = rows(G.spanning_edges(panel, WINDOWS, 12, 60, block=8))
     assert {r[:3] for r in blocks} == tree and len(blocks) == 2 * 59
+
+
+def test_complete_linkage_by_blocks(panel):
+    whole = G.clustered(panel, WINDOWS, "complete", 5, 12)
+    for clusters in (6, 30):
+        assert rows(G.complete_by_blocks(G.window_rows(panel, WINDOWS), 60, 5, 12, block=8, whole=clusters)) == rows(whole)
+
+
+def same(x, y):
+    """Whether labels are the same up to their numbers."""
+    return len(set(zip(x, y, strict=True))) == len(set(x)) == len(set(y))
+
+
+def test_tree_methods_without_matrices(panel, monkeypatch):
+    tickers = G.window_cells(panel, WINDOWS).select("window_id", "ticker").distinct()
+    edges = G.spanning_edges(panel, WINDOWS, 12, 60, block=8)
+    for method in ("spectral", "node2vec", "sub2vec"):
+        assert rows(G.tree_clustered(tickers, edges, method, 5)) == rows(G.clustered(panel, WINDOWS, method, 5, 12))
+    rng, near = np.random.default_rng(4), [[] for _ in range(150)]
+    for i in range(1, 150):
+        j = int(rng.integers(max(0, i - 6), i))
+        near[i].append(j)
+        near[j].append(i)
+    adjacency = np.zeros((150, 150))
+    for i, x in enumerate(near):
+        adjacency[i, x] = 1
+    for k in (3, 5, 8):
+        assert same(G.forest_spectral(near, k, 1), G.spectral(adjacency, k, 1))
+    u = G.embedded(G.walks(near), 150)
+    v = G.sparse_embedded(G.walks(near), 150)
+    assert np.allclose(((u[:, None] - u) ** 2).sum(2), ((v[:, None] - v) ** 2).sum(2), atol=1e-6)
