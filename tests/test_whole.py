@@ -32,3 +32,23 @@ def test_windows_and_graphs_cover_the_panel(spark):
     assert nodes == tickers
     labels = {r.ticker for r in QUERIES["cluster_complete"](spark, SF).where("label >= 0").collect()}
     assert labels == tickers
+
+
+def test_month_panel_moves_lines_once_by_ticker(spark):
+    """No exchange by ticker and date: dates without lines come in the same exchange as the lines."""
+    import re
+
+    text = month_panel(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    keys = [k for k in re.findall(r"hashpartitioning\(([^)]*)\)", text) if "ticker" in k]
+    assert keys and not any("trade_date" in k for k in keys)
+
+
+def test_month_panel_is_dense_with_odd_lines(spark, tmp_path):
+    """Lines without a date add no date, those without a supplier a ticker without cells."""
+    lines = spark.createDataFrame([(1, 1, 1, 1, 2.0, 8.0, "1995-01-05"), (1, 1, 1, 2, 2.0, 6.0, "1995-03-05"), (2, 1, 2, 1, 1.0, 5.0, None), (3, 1, None, 1, 1.0, 5.0, "1995-03-01")], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate string")
+    lines.withColumn("l_shipdate", F.to_timestamp("l_shipdate")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    for t in ("supplier", "nation"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    got = {(r.ticker, str(r.trade_date), r.date_idx, r.close) for r in month_panel(spark, str(tmp_path)).collect()}
+    dates = (("1995-01-01", 0), ("1995-03-01", 1))
+    assert got == {("000001", *dates[0], 4.0), ("000001", *dates[1], 3.0)} | {(t, *d, None) for t in ("000002", None) for d in dates}
