@@ -1,4 +1,6 @@
 import pytest
+from pyspark.sql import functions as F
+
 
 from quantloom.sources.store import Store, require
 
@@ -33,3 +35,15 @@ def test_unknown_tickers_are_an_error(spark):
         spark.sparkContext.setJobGroup("running", "")
         with pytest.raises(Exception, match="unknown ticker"):
             got.collect()
+
+
+def test_names_with_different_columns(spark, tmp_path):
+    """A name is read with its own columns, whichever other names of its kind are there."""
+    store = Store(spark, str(tmp_path))
+    plain = spark.createDataFrame([("a", 1.0)], "ticker string, value double")
+    store.write("feature", plain, kind="a", name="plain")
+    store.write("feature", plain.withColumn("window_id", F.lit(7)), kind="ml", name="windowed")
+    store.write("feature", plain, kind="z", name="plain")
+    assert [r.window_id for r in store.read("feature", kind="ml", name="windowed").collect()] == [7]
+    assert "window_id" not in store.read("feature", kind="a", name="plain").columns
+    assert store.read("feature", kind="ml", name="nothing").count() == 0
