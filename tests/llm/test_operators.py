@@ -69,6 +69,15 @@ def test_byte_ids_equal_the_library():
         assert own.ids(text or "") == np.array(t.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_long_texts_are_encoded_whole():
+    """Words of long texts are mostly met once, so they don't go through the cache; white space and marks at the ends and the seams are the library's."""
+    t, own = hf("byte_bpe_50k.json"), ByteBPE()
+    for seam in (" ", "  ", "\n ", " \n", "\u00a0 ", " \u3000", "\r\n", "\t"):
+        text = seam.join(["", *(f"w{i}é'll 12" for i in range(50)), "漢字", ""])
+        assert own.ids(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert not own.after_space
+
+
 def test_caches_are_bounded_by_bytes():
     cache = Generations(lambda k: k[::-1], 1_000_000)
     for i in range(10_000):
