@@ -85,3 +85,10 @@ def test_two_hops_make_no_rows_of_paths(spark):
     got = G.two_hops(edges, 40, block=10)
     assert rows(got) == sorted((f"{i:03d}", f"{j:03d}") for i, j in zip(*np.nonzero(far), strict=True))
     assert "CoGroup" in got._jdf.queryExecution().executedPlan().toString() and "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_below_a_bound_are_never_rows(panel):
+    """The same pairs as by a filter on all of them, and no filter is left to the plan."""
+    every = {(r.a, r.b, r.n, round(r.rho, 9)) for r in G.correlations(panel, 30).where("abs(rho) > 0.3").collect()}
+    got = G.correlations(panel, 30, beyond=0.3, block=20)
+    assert {(r.a, r.b, r.n, round(r.rho, 9)) for r in got.collect()} == every and 0 < len(every) < G.correlations(panel, 30).count()
