@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import by_ticker, corr, div, lag, rank_avg, rank_first, rows
+from ..functions.expr import by_ticker, corr, div, lag, rank_avg, rank_first, rows, with_date
 
 DAYS = 252
 
@@ -47,14 +47,21 @@ def ic_decay(panel: DataFrame, factor: str, ret: str, length: int) -> DataFrame:
 
 
 def top_bottom(panel: DataFrame, factor: str, head: int, n_paths: int = 1, last: bool = True) -> DataFrame:
-    """long_w and short_w (0/1) of every path: the highest and lowest ``head`` names on the path's dates, held until its next one."""
+    """long_w and short_w (0/1) of every path: the highest and lowest ``head`` names on the path's dates, held until its next one.
+
+    Only the names at both ends are moved; the panel's rows stay with their ticker.
+    """
     if last:
         end = F.broadcast(panel.agg(F.max("date_idx").alias("last_idx")))  # one row
         ranked = panel.crossJoin(end).withColumn("f", F.when(F.col("date_idx") < F.col("last_idx"), F.col(factor))).drop("last_idx")
     else:
         ranked = panel.withColumn("f", F.col(factor))
-    ranked = ranked.withColumns({"rk": rank_first("f"), "n": F.count("f").over(Window.partitionBy("trade_date"))})
-    ranked = ranked.withColumns({"top": F.when(F.col("n") > 0, F.coalesce(F.col("rk") > F.col("n") - head, F.lit(False)).cast("double")), "low": F.when(F.col("n") > 0, F.coalesce(F.col("rk") <= head, F.lit(False)).cast("double"))})
+    day, cells = Window.partitionBy("trade_date"), ranked.where("f is not null").select("trade_date", "ticker", "f")
+    ends = {"top": day.orderBy(F.desc("f"), F.desc("ticker")), "low": day.orderBy("f", "ticker")}
+    marked = [cells.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= head).select("trade_date", "ticker", F.lit(k).alias("end")) for k, w in ends.items()]
+    marks = marked[0].unionByName(marked[1]).groupBy(F.col("trade_date").alias("of_date"), F.col("ticker").alias("of_ticker")).agg(*[F.max((F.col("end") == k).cast("double")).alias(f"is_{k}") for k in ends])
+    ranked = with_date(ranked, n=F.count("f")).join(F.broadcast(marks), (F.col("trade_date") == F.col("of_date")) & (F.col("ticker") == F.col("of_ticker")), "left")  # both ends of each date
+    ranked = ranked.withColumns({k: F.when(F.col("n") > 0, F.coalesce(f"is_{k}", F.lit(0.0))) for k in ends}).drop("of_date", "of_ticker", *[f"is_{k}" for k in ends])
     paths = ranked.withColumn("path_id", F.explode(F.sequence(F.lit(0), F.lit(n_paths - 1))))
     own = F.col("date_idx") % n_paths == F.col("path_id")
     back = Window.partitionBy("path_id", "ticker").orderBy("date_idx").rowsBetween(Window.unboundedPreceding, 0)
