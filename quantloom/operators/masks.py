@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import by_date, by_ticker, bfill, div, lag, rows
+from ..functions.expr import by_ticker, bfill, div, lag, rows, with_date
 
 
 def index_weights(panel: DataFrame, group: str = "region", value: str = "value") -> DataFrame:
     """Constituent weights in percent: shares of the group's value on the date."""
-    return panel.where(F.col(value).isNotNull()).select(F.col(group).cast("string").alias("index_code"), "ticker", "trade_date", (100 * div(value, F.sum(value).over(by_date().partitionBy("trade_date", group)))).alias("weight"))
+    p = panel.where(F.col(value).isNotNull()).select(F.col(group).cast("string").alias("index_code"), "ticker", "trade_date", F.col(value).alias("own"))
+    return with_date(p, "index_code", whole=F.sum("own")).select("index_code", "ticker", "trade_date", (100 * div("own", "whole")).alias("weight"))
 
 
 def members(weights: DataFrame, codes: list[str]) -> DataFrame:
