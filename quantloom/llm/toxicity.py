@@ -43,7 +43,9 @@ RARE = 3  # words and n-grams of fewer sampled documents keep a zero vector
 GRAMS = (3, 4, 5)
 CACHED_WORDS = 200_000
 ROWS = 1024  # windows scored together; their arrays stay in the processor's cache
+PASS = 16 * ROWS  # windows whose words' gates are held at a time while training looks at all windows
 PART = 20_000  # words whose n-grams are looked at together
+SAMPLE_PARTS = 64  # of the sampled texts, which reach the driver one part at a time
 THRESHOLD = 0.7
 NO_WORDS = -40.0  # the raw score of a text without words
 FOLDS, HELD_OUT = 3, 1
@@ -150,13 +152,30 @@ class Network:
         chars = np.tanh(np.concatenate([np.add.reduceat(self.p["char"][gram_rows[begins[x][0] : ends[x][-1]]], begins[x] - begins[x][0]) for x in parts]) / root)
         return np.hstack([self.p["word"][word_rows], chars]), root
 
-    def parts(self, grams: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[tuple[slice, np.ndarray]]:
-        """Input vectors of all words, a part of them at a time."""
+    def parts(self, grams: tuple[np.ndarray, np.ndarray, np.ndarray], kinds: np.ndarray) -> Iterator[np.ndarray]:
+        """Input vectors of the words ``kinds`` (rising rows of ``grams``), a part of them at a time."""
         word_rows, gram_rows, begins = grams
-        ends = np.r_[begins[1:], len(gram_rows)]
-        for i in range(0, len(begins), PART):
-            x = slice(i, min(i + PART, len(begins)))
-            yield x, self.inputs(word_rows[x], gram_rows[begins[i] : ends[x.stop - 1]], begins[x] - begins[i])[0]
+        for i in range(0, len(kinds), PART):
+            x = kinds[i : i + PART]
+            sizes = np.where(x + 1 < len(begins), begins[np.minimum(x + 1, len(begins) - 1)], len(gram_rows)) - begins[x]
+            starts = np.cumsum(sizes) - sizes
+            yield self.inputs(word_rows[x], gram_rows[np.repeat(begins[x] - starts, sizes) + np.arange(sizes.sum())], starts)[0]
+
+    def highs(self, windows: Windows, grams: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """The logits of all windows; gates are held for the words of PASS windows, not for the whole vocabulary."""
+        found, place = [np.zeros(0, self.kind)], np.zeros(len(grams[0]), "i4")
+        for index in windows.parts(PASS):
+            place[:] = 0
+            place[index[index >= 0]] = 1
+            kinds = np.flatnonzero(place)
+            place[kinds] = np.arange(len(kinds))
+            table, at = np.empty((len(kinds), 6 * HIDDEN), self.kind), 0
+            for x in self.parts(grams, kinds):
+                table[at : at + len(x)] = self.gate_table(x)
+                at += len(x)
+            index = np.where(index >= 0, place[np.maximum(index, 0)], -1)
+            found += [self.logits(index[i : i + ROWS], table) for i in range(0, len(index), ROWS)]
+        return np.concatenate(found)
 
     def recur(self, rows: np.ndarray, table: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
         """States (T, 2H, N) of both directions, stepped together; rows: (T, N) of the gates in ``table`` (K, 6H). Windows are the last axis, so that operations run over long rows."""
@@ -319,15 +338,19 @@ def concordance(score: np.ndarray, label: np.ndarray) -> float:
 def fit_network(windows: Windows, label: np.ndarray, primed: bool = True) -> tuple[Network, np.ndarray]:
     """A network from all windows of some texts and the texts' labels, and its raw scores of the texts that it didn't learn from (others: not a number).
 
-    One text in VALID tells which epoch was the best.
+    One text in VALID tells which epoch was the best. The words themselves are let go: ``windows`` keeps their numbers.
     """
-    grams = grams_of_all(list(windows.vocabulary))
+    words = list(windows.vocabulary)
+    windows.vocabulary.clear()
+    grams = grams_of_all(words)
+    del words
     net, rng = Network(), np.random.default_rng(3)
     valid = np.arange(len(label)) % VALID == VALID - 1
     if len(np.unique(label[valid])) < 2 or len(np.unique(label[~valid])) < 2:
         valid[:] = False
     if primed:
         net.prime([k for k, v in zip(windows.kinds, valid, strict=True) if not v], label[~valid], grams)
+    windows.kinds.clear()
     y, doc = label[windows.docs], windows.docs
     own = ~valid[doc]
     clean = min(0.3, CLEAN / max(1, int((y == 0).sum())))
@@ -335,13 +358,9 @@ def fit_network(windows: Windows, label: np.ndarray, primed: bool = True) -> tup
     while True:
         trim()
         if epoch or not primed:
-            table = np.empty((len(grams[0]), 6 * HIDDEN), "f4")
-            for part, x in net.parts(grams):
-                table[part] = net.gate_table(x)
-            high = np.concatenate([net.logits(index, table) for index in windows.parts()])
-            del table
+            high = net.highs(windows, grams)
         else:
-            odds = np.concatenate([x[:, 0] + x[:, WORD_DIM] for _, x in net.parts(grams)])
+            odds = np.concatenate([x[:, 0] + x[:, WORD_DIM] for x in net.parts(grams, np.arange(len(grams[0])))])
             high = np.concatenate([np.where(index >= 0, odds[np.maximum(index, 0)], -9).max(axis=1) for index in windows.parts()])
         best = np.full(len(label), -np.inf)
         np.maximum.at(best, doc, high)
@@ -430,26 +449,30 @@ class Scorer:
         np.maximum.at(out, docs, high)
 
 
-def sample_texts(docs: DataFrame, marked: DataFrame) -> pd.DataFrame:
-    """doc_id, y, whole text and weight (labelled documents that it stands for) of a bounded sample of labelled documents.
+def sample_texts(docs: DataFrame, marked: DataFrame, read: Callable[[Iterator[str]], object] | None = None) -> pd.DataFrame:
+    """doc_id, y and weight (labelled documents that it stands for) of a bounded sample of labelled documents, by rising id; ``read`` gets their whole texts in this order.
 
     FIT_DOCUMENTS of either label at most, by a hash of the id, and FIT_CHARS characters: a text that would exceed these is left out, others after it aren't.
+    The driver holds one of SAMPLE_PARTS parts of the texts at a time.
     """
     counts = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return pd.DataFrame({"doc_id": [], "y": [], "text": [], "weight": []})
+        return pd.DataFrame({"doc_id": [], "y": [], "weight": []})
     share = "case " + " ".join(f"when y = {y} then {min(1.0, FIT_DOCUMENTS / max(1, n))}" for y, n in counts.items()) + " end"
     chosen = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < F.expr(f"({share}) * 1000000"))
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(F.broadcast(chosen), "doc_id")
     picked = written(texts.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "sample")
-    sizes = picked.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).orderBy(F.xxhash64("doc_id", F.lit(19)), "doc_id").collect()  # 2 x FIT_DOCUMENTS rows at most
+    sizes = picked.select("doc_id", "y", F.coalesce(F.length("text"), F.lit(0)).alias("n")).orderBy(F.xxhash64("doc_id", F.lit(19)), "doc_id").collect()  # 2 x FIT_DOCUMENTS rows at most
     room, fits = FIT_CHARS, []
     for r in sizes:
         if r["n"] <= min(room, FIT_CHARS // 20):
             room -= r["n"]
-            fits.append((r["doc_id"],))
-    ids = F.broadcast(docs.sparkSession.createDataFrame(fits, "doc_id long"))
-    got = picked.join(ids, "doc_id").toPandas()
+            fits.append((r["doc_id"], r["y"]))
+    got = pd.DataFrame(sorted(fits), columns=["doc_id", "y"])
+    if read and fits:
+        ids = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i, _ in fits], "doc_id long"))
+        parts = picked.join(ids, "doc_id").repartitionByRange(SAMPLE_PARTS, "doc_id").sortWithinPartitions("doc_id").select("text")
+        read(r["text"] or "" for r in parts.toLocalIterator())
     dropped(picked)
     return got.assign(weight=got["y"].map(counts) / got.groupby("y")["y"].transform("size"))
 
@@ -499,15 +522,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from the texts of the documents that ``labels`` (doc_id, y) marks."""
     marked = labels.where("y is not null and doc_id is not null").groupBy("doc_id").agg(F.max("y").cast("int").alias("y"))
     later = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(4)) == 0
-    got = sample_texts(docs, marked.where(~later)).sort_values("doc_id", ignore_index=True)
+    read: list[Windows] = []
+    got = sample_texts(docs, marked.where(~later), lambda texts: read.append(Windows(texts)))  # each text goes as soon as its words are numbers
     if got["y"].nunique() < 2:
         return Model(constant=float(got["y"].max()) if len(got) else 0.0)
-    label, weight = got.pop("y").to_numpy().astype("i8"), got.pop("weight").to_numpy("f8")
-    texts = got.pop("text").tolist()[::-1]
-    del got
-    windows = Windows(texts.pop() or "" for _ in range(len(texts)))  # each text goes as soon as its words are numbers
+    label, weight, windows = got["y"].to_numpy("i8"), got["weight"].to_numpy("f8"), read.pop()
     if len(np.unique(label[windows.docs])) < 2:  # no words in the texts of one class
         return Model(constant=float(label.max()))
+    docs.sparkSession._jvm.java.lang.System.gc()  # the driver's heap hands back what it has free: training needs memory beside it
     net, unseen = fit_network(windows, label)
     del windows
     model = Model(parameters=docs.sparkSession.sparkContext.broadcast(net.p))  # 8 MB whatever the input

@@ -39,6 +39,30 @@ def test_a_very_long_text_does_not_end_the_toxic_sample(spark, monkeypatch):
     assert got.groupby("y")["weight"].sum().tolist() == pytest.approx([30, 30])
 
 
+def test_the_toxic_sample_reaches_the_driver_in_parts(spark, monkeypatch):
+    """No frame of all texts: they come one after the other by rising id, and the words are let go before training."""
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.when(F.col("id") % 2 == 0, F.lit("good day ")).otherwise(F.lit("foul day ")), F.col("id").cast("string")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("y"))
+    monkeypatch.setattr(type(docs), "toPandas", lambda self: pytest.fail("all texts at once"))
+    read, seen = [], []
+    got = toxicity.sample_texts(docs, labels, read.extend)
+    assert got["doc_id"].tolist() == list(range(200)) and [int(t.split()[-1]) for t in read] == list(range(200))
+    monkeypatch.setattr(toxicity.Network, "highs", lambda self, windows, grams, real=toxicity.Network.highs: (seen.append((len(windows.vocabulary), len(windows.kinds))), real(self, windows, grams))[1])
+    scores = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels).collect()}
+    assert seen and set(seen) == {(0, 0)}
+    assert max(scores[i] for i in range(0, 200, 2)) < min(scores[i] for i in range(1, 200, 2))
+
+
+def test_all_windows_by_passes_equal_one_table(monkeypatch):
+    """Gates held for a pass's words give the logits that a table of the whole vocabulary gives."""
+    windows = toxicity.Windows(" ".join(f"w{(i * k) % 37}" for k in range(90)) for i in range(1, 12))
+    grams = toxicity.grams_of_all([w.replace("w", "ab") + "x" for w in windows.vocabulary])
+    net = toxicity.Network()
+    table = net.gate_table(net.inputs(*grams)[0])
+    monkeypatch.setattr(toxicity, "PASS", 7)
+    assert net.highs(windows, grams) == pytest.approx(net.logits(windows[np.arange(len(windows.starts))], table), abs=1e-5)
+
+
 @pytest.mark.parametrize("n, low, high", [(60, 0.55, 1.0), (20_000, 0.0, 1.0)])
 def test_calibration_of_few_and_many_labels(n, low, high):
     """Scores rise with raw scores, are near the labels' shares, and with 30 labels of either class still pass the threshold."""
