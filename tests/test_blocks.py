@@ -92,3 +92,52 @@ def test_pairs_below_a_bound_are_never_rows(panel):
     every = {(r.a, r.b, r.n, round(r.rho, 9)) for r in G.correlations(panel, 30).where("abs(rho) > 0.3").collect()}
     got = G.correlations(panel, 30, beyond=0.3, block=20)
     assert {(r.a, r.b, r.n, round(r.rho, 9)) for r in got.collect()} == every and 0 < len(every) < G.correlations(panel, 30).count()
+
+
+def test_residual_variances_run_each_step_once(spark):
+    """Residuals are estimated once, however many steps read them."""
+    from pyspark.sql import functions as F
+
+    from quantloom.operators import risk
+
+    cells = spark.range(40 * 30).selectExpr("lpad(cast(id % 40 as string), 6, '0') ticker", "cast(id div 40 as int) date_idx", "date_add(date'2020-01-01', cast(id div 40 as int)) trade_date", "cast(sin(id * id) as double) ret", "cast(1 + id % 7 as double) cap", "cast(cos(id) as double) a", "cast(sin(3 * id) as double) b")
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def estimated(x):
+        seen.add(1)
+        return x
+
+    got = risk.adjusted_idio(cells.select("ticker", "trade_date", "date_idx", estimated(F.col("ret") * 0.5).alias("value")), cells, ["a", "b"], "cap", "ret", 12, 6, 6, 2, (10, 5), True, (6, 3))
+    assert got.where("idio > 0").count() == 40 * 25
+    assert seen.value == 40 * 30
+
+
+def test_weighted_sums_go_on_across_batches_and_tickers(spark):
+    """Batches that cut a ticker's rows, nulls, and a ticker without name: as by one frame at a time."""
+    import numpy as np
+
+    from quantloom.operators import risk
+
+    rng, h, lags, half = np.random.default_rng(4), 7, 3, 3.0
+    x = {t: [None if rng.random() < 0.2 else float(v) for v in rng.normal(size=n)] for t, n in (("a", 1), ("b", 25), ("c", 6), (None, 13))}
+    rows = [(t, i, v) for t, values in x.items() for i, v in enumerate(values)]
+    data = spark.createDataFrame(rows, "ticker string, date_idx int, value double").selectExpr("*", "date_add(date'2020-01-01', date_idx) trade_date")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = {(r.ticker, r.date_idx): r["var"] for r in risk.idio_newey_west(data, h, half, 3, lags).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == len(rows)
+    w = risk.ew_weights(h, half)
+    for t, values in x.items():
+        for i in range(len(values)):
+            frame = np.array([np.nan] * max(0, h - 1 - i) + [np.nan if v is None else v for v in values[max(0, i - h + 1) : i + 1]])
+            n = np.count_nonzero(~np.isnan(frame))
+            if n < 3:
+                assert got[t, i] is None
+                continue
+            z = np.nan_to_num(frame - np.nansum(w * frame) / n)
+            want = (w * z * z).sum() + sum(2 * (1 - k / (lags + 1)) * (w[k:] * z[k:] * z[:-k]).sum() for k in range(1, lags + 1))
+            assert abs(got[t, i] - max(want, 0)) < 1e-12
