@@ -52,3 +52,15 @@ def test_month_panel_is_dense_with_odd_lines(spark, tmp_path):
     got = {(r.ticker, str(r.trade_date), r.date_idx, r.close) for r in month_panel(spark, str(tmp_path)).collect()}
     dates = (("1995-01-01", 0), ("1995-03-01", 1))
     assert got == {("000001", *dates[0], 4.0), ("000001", *dates[1], 3.0)} | {(t, *d, None) for t in ("000002", None) for d in dates}
+
+
+def test_partitions_of_the_month_panel_follow_the_lines(spark, monkeypatch):
+    """A task sorts PART_LINES lines, however many there are in all; the cells stay the same."""
+    from quantloom.sources import panel
+
+    lines = panel.table(spark, SF, "lineitem")
+    few = panel.month_cells(lines)
+    monkeypatch.setattr(panel, "PART_LINES", 300)
+    many = panel.month_cells(lines)
+    assert many.rdd.getNumPartitions() == -(-lines.count() // 300) > few.rdd.getNumPartitions()
+    assert sorted(map(tuple, many.collect()), key=str) == sorted(map(tuple, few.collect()), key=str)
