@@ -122,6 +122,30 @@ def test_prefixes_equal_brute_force(samples):
     assert {(r.ticker, r.date_idx): r.prediction for r in T.predicted(model, valid, 8).collect()} == pytest.approx(whole)
 
 
+def test_prefixes_move_the_highest_only(spark, samples):
+    """Before the exchange a partition keeps each prefix's and date's highest names, across batches and with equal predictions."""
+    from collections import Counter
+
+    train, valid = samples.where("date_idx < 14"), samples.where("date_idx >= 14")
+    model = T.Boosting(trees=3, depth=1, step=0.3, least=5).fit(train)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        scores = {r.prefix: r.score for r in T.prefix_scores(model, valid.coalesce(1), 4).collect()}
+        plan = T.prefix_scores(model, valid, 4)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    rows = valid.collect()
+    assert max(Counter(model.predict(r.features) for r in rows).values()) > 4  # ties
+    for n in (1, 2, 3):
+        means = []
+        for day in {r.date_idx for r in rows}:
+            at = sorted((-sum(w * t.predict(r.features) for t, w in zip(model.trees[:n], model.treeWeights[:n], strict=True)), r.ticker, r.y) for r in rows if r.date_idx == day)[:4]
+            means.append(np.mean([y for *_, y in at]))
+        assert scores[n] == pytest.approx(np.mean(means))
+    assert "Generate" not in plan  # no row for each name and prefix
+
+
 def test_patience():
     scores = [(1, 1.0), (2, 3.0), (3, 2.0), (4, 3.0), (5, 1.0), (6, 9.0)]
     assert T.chosen(scores) == 6 and T.chosen(scores, 2) == 2 and T.chosen(scores, 4) == 6 and T.chosen([]) == 0
